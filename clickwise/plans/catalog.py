@@ -40,3 +40,486 @@ def minute_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     device) with distinct clicks, exact distinct sessions, advertiser pick."""
     out = agg.window_aggregate(_clicks(spark, sf_dir), "1 minute", exact_sessions=True)
     return out.select(*MINUTE_COLS)
+
+
+# =================================================================== helpers
+
+from clickwise.functions import late_text as late_text_col  # noqa: E402
+from clickwise.functions import (  # noqa: E402
+    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, is_blank, redirect_url,
+    time_bucket_5s, to_yyyymm,
+)
+from clickwise.operators import dedup, enrich, lateness, rollup, storage, versioning  # noqa: E402
+from clickwise.operators.retention import retained  # noqa: E402
+from clickwise.plans import report, sqlparts as sp  # noqa: E402
+from clickwise.sinks import messages  # noqa: E402
+from clickwise.sources.tables import load  # noqa: E402
+
+KEYS = ["ad_id", "country", "device_type"]
+HOUR_MS = 3_600_000
+DAY_MS = 86_400_000
+# Fixed values of the replay model: arrivals per micro-batch and the
+# retention clock used by the registered retention query.
+BATCH_SIZE = 64
+RETENTION_NOW = "2026-01-20 00:00:00"
+
+
+def _requests(spark, sf_dir):
+    return derived.load_requests(spark, sf_dir)
+
+
+def _ingested(spark, sf_dir):
+    return enrich.ingest(_requests(spark, sf_dir), keep=("event_id",))
+
+
+def _arrivals(spark, sf_dir):
+    return derived.with_arrival(agg.normalize_keys(_clicks(spark, sf_dir)))
+
+
+def _minute_log(spark, sf_dir):
+    return versioning.emit_log(_arrivals(spark, sf_dir), 60_000, BATCH_SIZE)
+
+
+def _latest_minutes(spark, sf_dir):
+    return storage.latest_wins(_minute_log(spark, sf_dir), key=("window_start_ms", *KEYS))
+
+
+def _sql(*ctes, body: str) -> str:
+    return with_ctes(*ctes) + "\n" + body
+
+
+# ============================================================ scalar / FN ==
+
+@register("click_id_resolution", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, ad_id, ts_ms, click_id AS click_id_in,
+       CASE WHEN {sp.blank('click_id')} THEN {sp.uuid_of('sha256(' + sp.CLICK_SEED + ')')}
+            ELSE click_id END AS click_id,
+       {sp.blank('click_id')} AS generated_id
+FROM requests"""))
+def click_id_resolution(spark, sf_dir):
+    """FN-1, FN-2, FLT-3: client id kept untrimmed, else SHA-256 id of the 5 s bucket."""
+    r = _requests(spark, sf_dir)
+    return enrich.resolve_ids(r.withColumn("click_id_in", F.col("click_id"))) \
+        .select("event_id", "ad_id", "ts_ms", "click_id_in", "click_id", "generated_id")
+
+
+@register("client_ip", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, x_forwarded_for, x_real_ip, remote_addr, {sp.client_ip()} AS client_ip
+FROM requests"""))
+def client_ip(spark, sf_dir):
+    """FN-3: first X-Forwarded-For hop, else X-Real-IP, else remote address."""
+    return _requests(spark, sf_dir).select(
+        "event_id", "x_forwarded_for", "x_real_ip", "remote_addr",
+        extract_client_ip("x_forwarded_for", "x_real_ip", "remote_addr").alias("client_ip"))
+
+
+@register("device_type", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, user_agent, {sp.device('user_agent')} AS device_type FROM requests"""))
+def device_type(spark, sf_dir):
+    """FN-4: tablet markers before mobile markers; blank -> UNKNOWN."""
+    return _requests(spark, sf_dir).select("event_id", "user_agent",
+                                           device_type_from_ua("user_agent").alias("device_type"))
+
+
+@register("blank_check", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, {sp.blank('click_id')} AS click_id_blank, {sp.blank('x_forwarded_for')} AS xff_blank,
+       {sp.blank('user_agent')} AS user_agent_blank, {sp.blank('x_real_ip')} AS real_ip_blank
+FROM requests"""))
+def blank_check(spark, sf_dir):
+    """FLT-3: null-or-blank predicate on the request fields."""
+    return _requests(spark, sf_dir).select(
+        "event_id", is_blank("click_id").alias("click_id_blank"),
+        is_blank("x_forwarded_for").alias("xff_blank"), is_blank("user_agent").alias("user_agent_blank"),
+        is_blank("x_real_ip").alias("real_ip_blank"))
+
+
+@register("geo_stub", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, client_ip, {sp.geo_stub('client_ip')} AS country
+FROM (SELECT event_id, {sp.client_ip()} AS client_ip FROM requests)"""))
+def geo_stub(spark, sf_dir):
+    """FN-5: stub country rule on the client IP."""
+    ip = extract_client_ip("x_forwarded_for", "x_real_ip", "remote_addr")
+    return _requests(spark, sf_dir).select("event_id", ip.alias("client_ip")) \
+        .select("event_id", "client_ip", geo_country_stub("client_ip").alias("country"))
+
+
+@register("hash_ip", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, client_ip,
+       CASE WHEN {sp.blank('client_ip')} THEN 'unknown' ELSE sha256(client_ip) END AS hashed_ip
+FROM (SELECT event_id, {sp.client_ip()} AS client_ip FROM requests)"""))
+def hash_ip_q(spark, sf_dir):
+    """FN-6: unsalted SHA-256 of the client IP; blank -> 'unknown'."""
+    ip = extract_client_ip("x_forwarded_for", "x_real_ip", "remote_addr")
+    return _requests(spark, sf_dir).select("event_id", ip.alias("client_ip")) \
+        .select("event_id", "client_ip", hash_ip("client_ip").alias("hashed_ip"))
+
+
+@register("redirect_url", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT event_id, ad_id, {sp.redirect('ad_id')} AS redirect_url FROM requests"""))
+def redirect_url_q(spark, sf_dir):
+    """FN-7: stub destination URL."""
+    return _requests(spark, sf_dir).select("event_id", "ad_id", redirect_url("ad_id").alias("redirect_url"))
+
+
+@register("time_functions", _sql(CLICKS_SQL, body="""
+SELECT click_id, event_id, timestamp_ms,
+       timestamp_ms // 5000 AS bucket_5s,
+       (timestamp_ms // 3600000) * 3600000 AS hour_start_ms,
+       (timestamp_ms // 86400000) * 86400000 AS day_start_ms,
+       year(epoch_ms(timestamp_ms)) * 100 + month(epoch_ms(timestamp_ms)) AS month
+FROM clicks"""))
+def time_functions(spark, sf_dir):
+    """FN-2, FN-8..FN-11: bucket, hour/day start, month partition of each click."""
+    et = F.timestamp_millis("timestamp_ms")
+    return _clicks(spark, sf_dir).select(
+        "click_id", "event_id", "timestamp_ms", time_bucket_5s("timestamp_ms").alias("bucket_5s"),
+        F.unix_millis(F.date_trunc("hour", et)).alias("hour_start_ms"),
+        F.unix_millis(F.date_trunc("day", et)).alias("day_start_ms"),
+        to_yyyymm(et).alias("month"))
+
+
+# ============================================================ enrichment ==
+
+_GEO_SQL = f""",
+geo AS (SELECT CAST(n_nationkey AS BIGINT) * 10 * 16777216 AS ip_from,
+               (CAST(n_nationkey AS BIGINT) + 1) * 10 * 16777216 - 1 AS ip_to,
+               n_name AS geo_country FROM nation),
+ips AS (SELECT event_id, client_ip, {sp.ipv4_num('client_ip')} AS ip_num
+        FROM (SELECT event_id, {sp.client_ip()} AS client_ip FROM requests))"""
+
+
+@register("geo_range_join", _sql(sp.REQUESTS_SQL + _GEO_SQL, body="""
+SELECT i.event_id, i.client_ip, i.ip_num, g.geo_country AS country
+FROM ips i LEFT JOIN geo g ON i.ip_num BETWEEN g.ip_from AND g.ip_to"""))
+def geo_range_join(spark, sf_dir):
+    """JN-1: client IP -> country by IPv4 range table (derived from ``nation``)."""
+    geo = enrich.geo_ranges_from_nation(load(spark, sf_dir, "nation", ["n_nationkey", "n_name"]))
+    ip = extract_client_ip("x_forwarded_for", "x_real_ip", "remote_addr")
+    df = _requests(spark, sf_dir).select("event_id", ip.alias("raw_ip"))
+    return df.transform(enrich.range_country(geo)) \
+        .select("event_id", F.col("raw_ip").alias("client_ip"), "ip_num", "country")
+
+
+@register("ad_dim_join", _sql(sp.REQUESTS_SQL, body=f"""
+SELECT r.event_id, r.ad_id,
+       coalesce(r.advertiser_id, 'adv-' || (p.p_partkey % 5), 'unknown') AS advertiser_id,
+       coalesce('https://shop.example/p/' || p.p_partkey, {sp.redirect('r.ad_id')}) AS destination_url
+FROM requests r LEFT JOIN part p ON r.ad_id = 'ad-' || p.p_partkey"""))
+def ad_dim_join(spark, sf_dir):
+    """JN-2 / UDX-4: ad dimension lookup (derived from ``part``) with defaults."""
+    ads = enrich.ads_from_part(load(spark, sf_dir, "part", ["p_partkey"]))
+    return _requests(spark, sf_dir).select("event_id", "ad_id", "advertiser_id") \
+        .transform(enrich.ad_dimension(ads)).select("event_id", "ad_id", "advertiser_id", "destination_url")
+
+
+_EVENT_COLS = ["click_id", "ad_id", "advertiser_id", "placement_id", "session_id", "hashed_ip",
+               "user_agent", "country", "device_type", "timestamp_ms", "event_id"]
+
+
+@register("event_projection", _sql(sp.INGEST_SQL, body="SELECT * FROM ingested"))
+def event_projection(spark, sf_dir):
+    """PRJ-1/2/6/7, UDX-3/5: the ordered enrichment chain, raw IP never projected."""
+    return _ingested(spark, sf_dir).select(*_EVENT_COLS)
+
+
+# ================================================================= dedup ==
+
+_DEDUP_SQL = "WITH RECURSIVE " + sp.INGEST_SQL.strip() + """,
+passes(click_id, pass_ts) AS (
+  SELECT click_id, min(timestamp_ms) FROM ingested GROUP BY click_id
+  UNION ALL
+  SELECT i.click_id, min(i.timestamp_ms) FROM ingested i JOIN passes p
+    ON i.click_id = p.click_id AND i.timestamp_ms >= p.pass_ts + 86400000
+  GROUP BY i.click_id
+),
+kept AS (
+  SELECT i.*, row_number() OVER (PARTITION BY i.click_id, i.timestamp_ms ORDER BY i.event_id) AS rn
+  FROM ingested i JOIN passes p ON i.click_id = p.click_id AND i.timestamp_ms = p.pass_ts
+)"""
+
+
+@register("dedup_24h", _DEDUP_SQL + "\nSELECT * EXCLUDE (rn) FROM kept WHERE rn = 1")
+def dedup_24h(spark, sf_dir):
+    """DED-1 / FLT-1 batch form: first sight of a click id per 24 h period passes."""
+    return dedup.first_sight(_ingested(spark, sf_dir).select(*_EVENT_COLS), tiebreak=("event_id",))
+
+
+@register("dedup_counts", _DEDUP_SQL + """
+SELECT CAST((SELECT count(*) FROM kept WHERE rn = 1) AS BIGINT) AS published,
+       CAST((SELECT count(*) FROM ingested) - (SELECT count(*) FROM kept WHERE rn = 1) AS BIGINT) AS duplicates""")
+def dedup_counts(spark, sf_dir):
+    """FLT-4: published / duplicate counters of the 24 h dedup."""
+    ev = _ingested(spark, sf_dir).select(*_EVENT_COLS)
+    return dedup.dedup_counts(ev, dedup.first_sight(ev, tiebreak=("event_id",)))
+
+
+# ============================================================ aggregates ==
+
+@register("window_agg_1h", _sql(CLICKS_SQL, body=sp.minute_agg_body("clicks", HOUR_MS)))
+def window_agg_1h(spark, sf_dir):
+    """STR-4 with a configured window size (60 minutes)."""
+    return agg.window_aggregate(_clicks(spark, sf_dir), "60 minutes", exact_sessions=True).select(*MINUTE_COLS)
+
+
+@register("minute_agg_hll_check", _sql(CLICKS_SQL, body=f"""
+SELECT (timestamp_ms // {HOUR_MS}) * {HOUR_MS} AS window_start_ms, ad_id,
+       coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
+       count(DISTINCT session_id) AS unique_sessions, TRUE AS hll_within_bound
+FROM clicks GROUP BY 1, 2, 3, 4"""))
+def minute_agg_hll_check(spark, sf_dir):
+    """AGG-2: HLL (p=14) session estimate within max(1, 3 %) of the exact count."""
+    out = agg.window_aggregate(_clicks(spark, sf_dir), "60 minutes", exact_sessions=True, with_sketch=True)
+    est = F.hll_sketch_estimate("session_sketch")
+    ok = F.abs(est - F.col("unique_sessions")) <= F.greatest(F.lit(1.0), 0.03 * F.col("unique_sessions"))
+    return out.select("window_start_ms", *KEYS, "unique_sessions", ok.alias("hll_within_bound"))
+
+
+@register("advertiser_pick", _sql(sp.INGEST_SQL, body=f"""
+SELECT (timestamp_ms // {HOUR_MS}) * {HOUR_MS} AS window_start_ms, ad_id,
+       coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
+       first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
+       count(DISTINCT advertiser_id) AS n_advertisers
+FROM ingested GROUP BY 1, 2, 3, 4"""))
+def advertiser_pick(spark, sf_dir):
+    """AGG-3 (T7): advertiser of the earliest event when a window mixes values."""
+    ev = agg.normalize_keys(_ingested(spark, sf_dir))
+    w = F.window(F.timestamp_millis("timestamp_ms"), "60 minutes")
+    return (ev.groupBy(w.alias("window"), *KEYS)
+              .agg(agg.advertiser_pick(), F.count_distinct("advertiser_id").alias("n_advertisers"))
+              .select(F.unix_millis("window.start").alias("window_start_ms"), *KEYS,
+                      "advertiser_id", "n_advertisers"))
+
+
+@register("partial_merge", _sql(sp.ARRIVALS_SQL, body=f"""
+SELECT (timestamp_ms // {HOUR_MS}) * {HOUR_MS} AS window_start_ms, ad_id, country, device_type,
+       first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
+       count(DISTINCT click_id) AS click_count, TRUE AS sessions_within_bound
+FROM arrivals GROUP BY 1, 2, 3, 4"""))
+def partial_merge(spark, sf_dir):
+    """AGG-5/AGG-6: per-micro-batch partial states (id set, sketch, first
+    event) merged into the window's value."""
+    arr = _arrivals(spark, sf_dir).withColumn("batch", F.floor(F.col("seq") / BATCH_SIZE))
+    ids, sketches = agg.partial_states(arr, "60 minutes", by=("batch",))
+    merged = agg.merge_partials(ids, sketches)
+    exact = agg.normalize_keys(arr).withColumn("window_start", F.window(F.timestamp_millis("timestamp_ms"),
+                                                                         "60 minutes").start) \
+        .groupBy("window_start", *KEYS).agg(F.count_distinct("session_id").alias("_exact"))
+    ok = F.abs(F.col("unique_sessions") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("_exact"))
+    return merged.join(exact, ["window_start", *KEYS]).select(
+        F.unix_millis("window_start").alias("window_start_ms"), *KEYS, "advertiser_id", "click_count",
+        ok.alias("sessions_within_bound"))
+
+
+# ===================================================== versioned storage ==
+
+@register("minute_log", _sql(sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE), body="SELECT * FROM minute_log"))
+def minute_log(spark, sf_dir):
+    """STR-5 / SNK-1 rows: every re-emission of a window per micro-batch, versioned."""
+    return _minute_log(spark, sf_dir)
+
+
+@register("latest_wins", _sql(sp.ARRIVALS_SQL, body="""
+SELECT (timestamp_ms // 60000) * 60000 AS window_start_ms, ad_id, country, device_type,
+       first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
+       count(DISTINCT click_id) AS click_count, count(DISTINCT session_id) AS unique_sessions,
+       CAST(max(seq // 64) AS BIGINT) AS batch_id, CAST(0 AS BIGINT) AS emit_seq
+FROM arrivals GROUP BY 1, 2, 3, 4"""))
+def latest_wins(spark, sf_dir):
+    """AGG-7 / SRC-4 / DED-3: latest version per minute key of the log."""
+    return _latest_minutes(spark, sf_dir)
+
+
+_LATEST_CTE = sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE) + """,
+latest AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY window_start_ms, ad_id, country, device_type
+                                 ORDER BY batch_id DESC, emit_seq DESC) AS rn
+    FROM minute_log) WHERE rn = 1
+),
+hourly AS (
+  SELECT (window_start_ms // 3600000) * 3600000 AS window_hour_ms, advertiser_id, ad_id, country, device_type,
+         CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+  FROM latest GROUP BY 1, 2, 3, 4, 5
+),
+daily AS (
+  SELECT (window_hour_ms // 86400000) * 86400000 AS window_day_ms, advertiser_id, ad_id, country, device_type,
+         CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+  FROM hourly GROUP BY 1, 2, 3, 4, 5
+)"""
+
+
+@register("hourly_rollup", _sql(_LATEST_CTE, body="SELECT * FROM hourly"))
+def hourly_rollup(spark, sf_dir):
+    """AGG-8 (latest mode): hourly sums of the latest minute rows."""
+    h, _ = rollup.rollups(_minute_log(spark, sf_dir), "latest")
+    return h
+
+
+@register("daily_rollup", _sql(_LATEST_CTE, body="SELECT * FROM daily"))
+def daily_rollup(spark, sf_dir):
+    """AGG-9 (latest mode): daily sums of the hourly rows."""
+    _, d = rollup.rollups(_minute_log(spark, sf_dir), "latest")
+    return d
+
+
+_INSERT_SUM_CTE = sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE) + """,
+part_hours AS (
+  SELECT batch_id, (window_start_ms // 3600000) * 3600000 AS window_hour_ms, advertiser_id, ad_id, country,
+         device_type, sum(click_count) AS click_count, sum(unique_sessions) AS unique_sessions
+  FROM minute_log GROUP BY 1, 2, 3, 4, 5, 6
+)"""
+
+
+@register("rollup_insert_sum", _sql(_INSERT_SUM_CTE, body="""
+SELECT window_hour_ms, advertiser_id, ad_id, country, device_type,
+       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+FROM part_hours GROUP BY 1, 2, 3, 4, 5
+HAVING sum(click_count) <> 0 OR sum(unique_sessions) <> 0"""))
+def rollup_insert_sum(spark, sf_dir):
+    """STR-12 ``insert_sum`` mode (T4): every emitted version is summed, as
+    insert-triggered views over a replacing table do."""
+    h, _ = rollup.rollups(_minute_log(spark, sf_dir), "insert_sum")
+    return h
+
+
+@register("sum_collapse", _sql(_INSERT_SUM_CTE, body="""
+SELECT (window_hour_ms // 86400000) * 86400000 AS window_day_ms, advertiser_id, ad_id, country, device_type,
+       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+FROM part_hours GROUP BY 1, 2, 3, 4, 5
+HAVING sum(click_count) <> 0 OR sum(unique_sessions) <> 0"""))
+def sum_collapse(spark, sf_dir):
+    """AGG-10: partial daily rows of each insert collapsed by sort key."""
+    _, d = rollup.rollups(_minute_log(spark, sf_dir), "insert_sum")
+    return d
+
+
+@register("rollup_sessions_merged_check", _sql(CLICKS_SQL, body="""
+SELECT window_hour_ms, advertiser_id, ad_id, country, device_type,
+       CAST(sum(us) AS BIGINT) AS unique_sessions, max(exact) AS unique_sessions_exact,
+       TRUE AS est_within_bound
+FROM (
+  SELECT (timestamp_ms // 60000) * 60000 AS m, (timestamp_ms // 3600000) * 3600000 AS window_hour_ms,
+         ad_id, coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
+         first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
+         count(DISTINCT session_id) AS us,
+         max(0) AS _z
+  FROM clicks GROUP BY 1, 2, 3, 4, 5
+) mins
+JOIN (
+  SELECT (timestamp_ms // 3600000) * 3600000 AS window_hour_ms, ad_id,
+         coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
+         count(DISTINCT session_id) AS exact
+  FROM clicks GROUP BY 1, 2, 3, 4
+) ex USING (window_hour_ms, ad_id, country, device_type)
+GROUP BY 1, 2, 3, 4, 5"""))
+def rollup_sessions_merged_check(spark, sf_dir):
+    """AGG-12 / T5: hourly sessions — summed minute values (reference) vs merged
+    sketches (correct, checked against the exact distinct count)."""
+    clicks = _clicks(spark, sf_dir)
+    minutes = agg.window_aggregate(clicks, "1 minute", exact_sessions=True, with_sketch=True)
+    merged = rollup.merged_sessions(minutes, "hour")
+    exact = agg.window_aggregate(clicks, "60 minutes", exact_sessions=True) \
+        .select(F.col("window_start_ms").alias("window_hour_ms"), *KEYS,
+                F.col("unique_sessions").alias("unique_sessions_exact"))
+    j = merged.join(exact, ["window_hour_ms", *KEYS])
+    ok = F.abs(F.col("unique_sessions_est") - F.col("unique_sessions_exact")) <= \
+        F.greatest(F.lit(1.0), 0.03 * F.col("unique_sessions_exact"))
+    return j.select("window_hour_ms", "advertiser_id", *KEYS, "unique_sessions", "unique_sessions_exact",
+                    ok.alias("est_within_bound"))
+
+
+# ============================================================== lateness ==
+
+_AUDIT_SQL = sp.ARRIVALS_SQL + f""",
+audit AS (
+  SELECT event_id, click_id, ad_id, part, seq, timestamp_ms,
+         (timestamp_ms // {HOUR_MS}) * {HOUR_MS} + {HOUR_MS} AS window_end_ms,
+         max(timestamp_ms) OVER (PARTITION BY part ORDER BY seq, event_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before_ms
+  FROM arrivals
+)"""
+
+
+@register("lateness_audit", _sql(_AUDIT_SQL, body="""
+SELECT event_id, click_id, part, seq, timestamp_ms, window_end_ms, max_before_ms,
+       coalesce(window_end_ms + 30000 <= max_before_ms - 10000, FALSE) AS is_late
+FROM audit"""))
+def lateness_audit(spark, sf_dir):
+    """STR-7 / T1: replay of the arrival order; late iff window end + 30 s <=
+    (max event time before it in its source partition) - 10 s.  1 h windows."""
+    out = lateness.lateness_audit(_arrivals(spark, sf_dir), window_ms=HOUR_MS)
+    return out.select("event_id", "click_id", "part", "seq", "timestamp_ms", "window_end_ms",
+                      "max_before_ms", "is_late")
+
+
+@register("late_text", _sql(_AUDIT_SQL, body="""
+SELECT event_id, 'LATE:' || click_id || ' adId=' || ad_id AS value
+FROM audit WHERE window_end_ms + 30000 <= max_before_ms - 10000"""))
+def late_text(spark, sf_dir):
+    """PRJ-5 / SNK-2: text records of the late clicks."""
+    out = lateness.lateness_audit(_arrivals(spark, sf_dir), window_ms=HOUR_MS).filter("is_late")
+    return out.select("event_id", late_text_col("click_id", "ad_id").alias("value"))
+
+
+# ========================================================= retention etc ==
+
+_MINUTE_LATEST_SQL = sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE) + """,
+latest AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY window_start_ms, ad_id, country, device_type
+                                 ORDER BY batch_id DESC, emit_seq DESC) AS rn
+    FROM minute_log) WHERE rn = 1
+)"""
+
+
+@register("retention", _sql(_MINUTE_LATEST_SQL, body=f"""
+SELECT * FROM latest
+WHERE epoch_ms(window_start_ms) + INTERVAL 2 YEAR > TIMESTAMP '{RETENTION_NOW}'"""))
+def retention(spark, sf_dir):
+    """SNK-7: rows whose window start + 2 years is after the (parameter) clock."""
+    return retained(_latest_minutes(spark, sf_dir), "window_start_ms", RETENTION_NOW, is_ms=True)
+
+
+def _report_sql(period: str, src: str, col: str) -> str:
+    return _sql(_LATEST_CTE, body=f"""
+SELECT advertiser_id, {col} AS {period},
+       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+FROM {src} GROUP BY 1, 2""")
+
+
+@register("report_minute", _report_sql("window_start_ms", "latest", "window_start_ms"))
+def report_minute(spark, sf_dir):
+    """RPT-1 at minute grain (latest-wins minute table), all advertisers."""
+    return report.summarise(_latest_minutes(spark, sf_dir), "window_start_ms")
+
+
+@register("report_hour", _report_sql("window_hour_ms", "hourly", "window_hour_ms"))
+def report_hour(spark, sf_dir):
+    """RPT-1 / SRC-6 at hour grain."""
+    h, _ = rollup.rollups(_minute_log(spark, sf_dir), "latest")
+    return report.summarise(h, "window_hour_ms")
+
+
+@register("report_day", _report_sql("window_day_ms", "daily", "window_day_ms"))
+def report_day(spark, sf_dir):
+    """RPT-1 / SRC-6 at day grain."""
+    _, d = rollup.rollups(_minute_log(spark, sf_dir), "latest")
+    return report.summarise(d, "window_day_ms")
+
+
+@register("limit10", _sql(_MINUTE_LATEST_SQL, body="""
+SELECT * FROM latest ORDER BY window_start_ms, ad_id, country, device_type LIMIT 10"""))
+def limit10(spark, sf_dir):
+    """SRC-5 / SRT-2: ``LIMIT 10`` of the minute table in a stable order."""
+    return report.head_rows(_latest_minutes(spark, sf_dir), 10)
+
+
+@register("aggregated_json", _sql(CLICKS_SQL, body=f"""
+SELECT ad_id AS key,
+       json_object('window_start_ms', window_start_ms, 'window_end_ms', window_end_ms, 'ad_id', ad_id,
+                   'advertiser_id', advertiser_id, 'country', country, 'device_type', device_type,
+                   'click_count', click_count, 'unique_sessions', unique_sessions) AS value
+FROM ({sp.minute_agg_body('clicks', 60000)}) a"""))
+def aggregated_json(spark, sf_dir):
+    """SNK-3: aggregates as key = ad id, value = JSON."""
+    return messages.aggregate_messages(minute_agg(spark, sf_dir))

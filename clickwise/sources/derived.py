@@ -109,7 +109,7 @@ clicks_base AS (
          CASE WHEN event_id % 6 = 3 THEN 'UNKNOWN'
               WHEN event_id % 6 IN (0, 5) THEN 'TABLET'
               WHEN event_id % 6 IN (1, 4) THEN 'MOBILE' ELSE 'DESKTOP' END AS device_type,
-         epoch_ms(ts) AS timestamp_ms,
+         epoch_us(ts) // 1000 AS timestamp_ms,
          event_id
   FROM events
 ),
@@ -171,7 +171,7 @@ requests_base AS (
               ELSE ',198.51.100.7' END AS x_forwarded_for,
          CASE WHEN event_id % 3 <> 0 THEN ' 192.168.1.' || (user_id % 256) || ' ' END AS x_real_ip,
          CASE WHEN user_id % 2 = 0 THEN '127.0.0.1' ELSE '172.16.0.' || (user_id % 256) END AS remote_addr,
-         epoch_ms(ts) AS ts_ms,
+         epoch_us(ts) // 1000 AS ts_ms,
          event_id
   FROM events
 ),
