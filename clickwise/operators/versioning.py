@@ -7,10 +7,10 @@ reference's allowed-lateness re-emission.  This module computes those emits
 directly: no state store, no replay loop.
 
 Plan: the first batch of each (window, key, click id) and of each
-(window, key, session) are two partial aggregates; they and the touched
-(window, key, batch) rows are unioned and summed per (window, key, batch) —
-one shuffle — and a running sum per (window, key) ordered by batch gives the
-cumulative counts.  The running window holds one row per batch that touched
+(window, key, session) come from one grouping-sets aggregate; they and the
+touched (window, key, batch) rows are unioned and summed per (window, key,
+batch) over one exchange on the window key, which the running sum per
+(window, key) ordered by batch reuses.  The running window holds one row per batch that touched
 the key, so even a hot ad's partition stays small.
 """
 
@@ -30,21 +30,24 @@ def emit_log(arrivals: DataFrame, window_ms: int = 60_000, batch_size: int = 64,
          .withColumn("window_start_ms", (F.floor(F.col("timestamp_ms") / window_ms) * window_ms).cast("long"))
          .withColumn("batch_id", F.floor(F.col(seq) / batch_size).cast("long")))
     key = ["window_start_ms", *GROUP_KEYS]
-    new_ids = (x.groupBy(*key, "click_id").agg(F.min("batch_id").alias("batch_id"))
-                .groupBy(*key, "batch_id").agg(F.count(F.lit(1)).alias("_new_clicks")))
-    new_sessions = (x.filter(F.col("session_id").isNotNull())
-                     .groupBy(*key, "session_id").agg(F.min("batch_id").alias("batch_id"))
-                     .groupBy(*key, "batch_id").agg(F.count(F.lit(1)).alias("_new_sessions")))
+    # One scan, one aggregate for both "first batch of each click id" and
+    # "first batch of each session" (grouping sets, fixed-width hash aggregate).
+    firsts = (x.groupingSets([[*key, "click_id"], [*key, "session_id"]], *key, "click_id", "session_id")
+               .agg(F.min("batch_id").alias("batch_id"), F.grouping("session_id").alias("_is_id")))
+    new_counts = (firsts.filter((F.col("_is_id") == 1) | F.col("session_id").isNotNull())
+                        .groupBy(*key, "batch_id")
+                        .agg(F.sum("_is_id").cast("long").alias("_new_clicks"),
+                             F.sum(1 - F.col("_is_id")).cast("long").alias("_new_sessions")))
     touched = x.groupBy(*key, "batch_id").agg(
         F.min(F.struct("timestamp_ms", "click_id", "advertiser_id")).alias("_first"))
     none_struct = F.lit(None).cast(touched.schema["_first"].dataType)
     parts = (touched.select(*key, "batch_id", "_first", F.lit(0).cast("long").alias("_new_clicks"),
                             F.lit(0).cast("long").alias("_new_sessions"))
-             .unionByName(new_ids.select(*key, "batch_id", none_struct.alias("_first"), "_new_clicks",
-                                         F.lit(0).cast("long").alias("_new_sessions")))
-             .unionByName(new_sessions.select(*key, "batch_id", none_struct.alias("_first"),
-                                              F.lit(0).cast("long").alias("_new_clicks"), "_new_sessions")))
-    per_batch = parts.groupBy(*key, "batch_id").agg(
+             .unionByName(new_counts.select(*key, "batch_id", none_struct.alias("_first"),
+                                            "_new_clicks", "_new_sessions")))
+    # One exchange on the window key serves both the per-batch sum and the
+    # running window below (hash partitioning on the key satisfies both).
+    per_batch = parts.repartition(*key).groupBy(*key, "batch_id").agg(
         F.min("_first").alias("_first"), F.sum("_new_clicks").alias("_nc"),
         F.sum("_new_sessions").alias("_ns"), F.count("_first").alias("_touched"))
     run = Window.partitionBy(*key).orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)

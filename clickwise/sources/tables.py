@@ -1,4 +1,9 @@
-"""Parquet table loading with explicit column pruning."""
+"""Parquet table loading with explicit column pruning.
+
+A table is listed and its footer schema read once per session; later queries
+reuse that DataFrame (a plan, not data), and the ``select`` on top becomes the
+scan's ReadSchema.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
@@ -13,5 +20,9 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read one table; ``columns`` becomes the scan's ReadSchema."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    key = (id(spark._jsparkSession), table_path(sf_dir, name))
+    df = _TABLES.get(key)
+    if df is None:
+        df = spark.read.parquet(key[1])
+        _TABLES[key] = df
     return df.select(*columns) if columns else df
