@@ -222,6 +222,16 @@ def event_projection(spark, sf_dir):
     return _ingested(spark, sf_dir).select(*_EVENT_COLS)
 
 
+_EVENT_JSON_SQL = "json_object(" + ", ".join(f"'{c}', {c}" for c in _EVENT_COLS[:-1]) + ")"
+
+
+@register("event_messages", _sql(sp.INGEST_SQL, body=f"""
+SELECT event_id, ad_id AS key, {_EVENT_JSON_SQL} AS value FROM ingested"""))
+def event_messages(spark, sf_dir):
+    """SNK-4: click events keyed by ad id (same ad -> same stream partition), JSON value."""
+    return messages.event_messages(_ingested(spark, sf_dir), fields=_EVENT_COLS[:-1], keep=("event_id",))
+
+
 # ================================================================= dedup ==
 
 _DEDUP_SQL = "WITH RECURSIVE " + sp.INGEST_SQL.strip() + """,
@@ -284,10 +294,15 @@ def advertiser_pick(spark, sf_dir):
     """AGG-3 (T7): advertiser of the earliest event when a window mixes values."""
     ev = agg.normalize_keys(_ingested(spark, sf_dir))
     w = F.window(F.timestamp_millis("timestamp_ms"), "60 minutes")
-    return (ev.groupBy(w.alias("window"), *KEYS)
-              .agg(agg.advertiser_pick(), F.count_distinct("advertiser_id").alias("n_advertisers"))
-              .select(F.unix_millis("window.start").alias("window_start_ms"), *KEYS,
-                      "advertiser_id", "n_advertisers"))
+    # Two levels: earliest event per (window, key, advertiser), then per (window, key)
+    # the count of advertisers and the earliest of those events.
+    per_adv = ev.groupBy(w.alias("window"), *KEYS, "advertiser_id").agg(
+        F.min(F.struct("timestamp_ms", "click_id", "advertiser_id")).alias("_first"))
+    return (per_adv.groupBy("window", *KEYS)
+                   .agg(F.min("_first")["advertiser_id"].alias("advertiser_id"),
+                        F.count(F.lit(1)).alias("n_advertisers"))
+                   .select(F.unix_millis("window.start").alias("window_start_ms"), *KEYS,
+                           "advertiser_id", "n_advertisers"))
 
 
 @register("partial_merge", _sql(sp.ARRIVALS_SQL, body=f"""

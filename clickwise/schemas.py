@@ -34,6 +34,10 @@ CLICK_EVENT = T.StructType([
     T.StructField("timestamp_ms", T.LongType(), False),
 ])
 
+# Splitter output as a stream source: the partition column ``batch_id`` is
+# named in the schema so Spark fills it from the folder names consistently.
+ACCEPTED = T.StructType(CLICK_EVENT.fields + [T.StructField("batch_id", T.LongType(), True)])
+
 # Minute table row as stored (versioned log form).
 MINUTE_ROW = T.StructType([
     T.StructField("window_start", T.TimestampType(), False),

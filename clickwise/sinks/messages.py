@@ -28,15 +28,18 @@ def aggregate_messages(aggregates: DataFrame) -> DataFrame:
                              F.to_json(F.struct(*AGGREGATE_FIELDS)).alias("value"))
 
 
-def event_messages(events: DataFrame, use_avro: bool = False) -> DataFrame:
-    """SNK-4: key = ad id (same ad -> same partition), value = the event."""
-    value = F.struct(*events.columns)
+def event_messages(events: DataFrame, use_avro: bool = False, fields=None, keep=()) -> DataFrame:
+    """SNK-4: key = ad id (same ad -> same partition), value = the event.
+
+    JSON keeps null fields (as the Avro record does) so every message has
+    the same field set.  ``keep`` columns pass through beside key/value."""
+    value = F.struct(*(fields or [c for c in events.columns if c not in keep]))
     if use_avro:
         from pyspark.sql.avro.functions import to_avro  # needs the spark-avro package
         encoded = to_avro(value)
     else:
-        encoded = F.to_json(value)
-    return events.select(F.col("ad_id").alias("key"), encoded.alias("value"))
+        encoded = F.to_json(value, {"ignoreNullFields": "false"})
+    return events.select(*keep, F.col("ad_id").alias("key"), encoded.alias("value"))
 
 
 def kafka_available(spark) -> bool:

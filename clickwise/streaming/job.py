@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from clickwise.config import JobConfig
-from clickwise.schemas import CLICK_EVENT
+from clickwise.schemas import ACCEPTED
 from clickwise.sources.streams import click_event_stream, file_stream
-from clickwise.streaming.splitter import start_splitter
+from clickwise.streaming.splitter import ensure_dir, start_splitter
 from clickwise.streaming.window_agg import start_aggregation
 
 
@@ -35,7 +35,8 @@ def run_aggregation(spark: SparkSession, cfg: JobConfig, paths: AggregationPaths
     events = click_event_stream(spark, cfg, paths.events, fmt, max_files_per_trigger=max_files_per_trigger,
                                 use_kafka=use_kafka)
     q2 = start_splitter(events, paths.split_base, f"{paths.checkpoint_root}/splitter", cfg, part_col, trigger)
-    accepted = file_stream(spark, f"{paths.split_base}/accepted", CLICK_EVENT, "parquet")
+    ensure_dir(spark, f"{paths.split_base}/accepted")
+    accepted = file_stream(spark, f"{paths.split_base}/accepted", ACCEPTED, "parquet")
     q3 = start_aggregation(accepted, paths.tables_base, f"{paths.checkpoint_root}/aggregate", cfg,
                            rollup_mode, trigger)
     return q2, q3

@@ -33,6 +33,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def ensure_dir(spark: SparkSession, path: str) -> None:
+    """Create a folder on the path's filesystem (a stream source needs it to exist)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 class LateSplitter:
     """A ``foreachBatch`` function.  Outputs under ``base``: accepted/, late/,
     late_text/, ledger/ — each partitioned by ``batch_id``."""

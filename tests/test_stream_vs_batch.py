@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from clickwise.config import JobConfig
 from clickwise.operators.aggregate import normalize_keys, window_aggregate
-from clickwise.schemas import CLICK_EVENT
+from clickwise.schemas import ACCEPTED, CLICK_EVENT
 from clickwise.sources import derived
 from clickwise.sources.streams import file_stream
 from clickwise.streaming.splitter import start_splitter
@@ -58,7 +58,7 @@ def test_stream_equals_batch(spark, tmp):
     assert late == expected_late(rows, cfg)
     assert len(late) > 0
 
-    accepted = file_stream(spark, f"{split}/accepted", CLICK_EVENT, "parquet", max_files_per_trigger=1)
+    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
     tables = os.path.join(tmp, "tables")
     q = start_aggregation(accepted, tables, os.path.join(tmp, "ck2"), cfg, trigger={"availableNow": True})
     q.awaitTermination(300)

@@ -5,10 +5,10 @@ import json
 import os
 import time
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from clickwise.config import JobConfig
-from clickwise.schemas import CLICK_EVENT
+from clickwise.schemas import ACCEPTED, CLICK_EVENT
 from clickwise.sources.streams import file_stream
 from clickwise.streaming.splitter import LateSplitter, start_splitter
 from clickwise.streaming.window_agg import read_minutes, read_rollup, start_aggregation
@@ -89,7 +89,7 @@ def test_splitter_rerun_is_idempotent(spark, tmp):
 
 def test_window_aggregate_final_counts(spark, tmp):
     split = run_split(spark, tmp)
-    accepted = file_stream(spark, f"{split}/accepted", CLICK_EVENT, "parquet", max_files_per_trigger=1)
+    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
     tables = os.path.join(tmp, "tables")
     q = start_aggregation(accepted, tables, os.path.join(tmp, "ck-agg"), JobConfig(),
                           trigger={"availableNow": True})
@@ -109,7 +109,7 @@ def test_window_aggregate_final_counts(spark, tmp):
 
 def test_insert_sum_mode_double_counts_reemits(spark, tmp):
     split = run_split(spark, tmp)
-    accepted = file_stream(spark, f"{split}/accepted", CLICK_EVENT, "parquet", max_files_per_trigger=1)
+    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
     tables = os.path.join(tmp, "tables")
     q = start_aggregation(accepted, tables, os.path.join(tmp, "ck-agg"), JobConfig(), rollup_mode="insert_sum",
                           trigger={"availableNow": True})
@@ -118,3 +118,52 @@ def test_insert_sum_mode_double_counts_reemits(spark, tmp):
     summed = read_rollup(spark, tables, "hourly", mode="insert_sum").agg(F.sum("click_count")).first()[0]
     assert latest_total == 8
     assert summed > latest_total  # T4: re-emitted windows are added again
+
+
+def test_idle_partition_leaves_the_watermark(spark, tmp):
+    """STR-2: a source partition silent for longer than the idle timeout no
+    longer holds the watermark back."""
+    schema = T.StructType(CLICK_EVENT.fields + [T.StructField("part", T.LongType())])
+    clock = {"now": 0}
+    splitter = LateSplitter(os.path.join(tmp, "split"), JobConfig(), part_col="part", clock=lambda: clock["now"])
+
+    def batch(rows):
+        return spark.createDataFrame([tuple(event(c, t).values()) + (p,) for c, t, p in rows], schema)
+
+    splitter(batch([("a1", "00:05", 0), ("b1", "10:00", 1)]), 0)
+    # both partitions active: watermark = min(00:05, 10:00) - 10 s -> nothing late
+    assert splitter.watermark_ms(spark, 1) == ms("00:05") - 10_000
+    clock["now"] = 2 * 60_000
+    splitter(batch([("b2", "10:30", 1)]), 1)
+    assert splitter.watermark_ms(spark, 2) == ms("00:05") - 10_000   # partition 0 idle 2 min: still counts
+    clock["now"] = 6 * 60_000
+    splitter(batch([("b3", "11:00", 1)]), 2)
+    # partition 0 silent for 6 min (> 5): the watermark follows partition 1
+    assert splitter.watermark_ms(spark, 3) == ms("11:00") - 10_000
+    splitter(batch([("a2", "00:06", 0)]), 3)
+    late = [r.click_id for r in spark.read.parquet(f"{tmp}/split/late").collect()]
+    assert late == ["a2"]
+
+
+def test_run_aggregation_wires_both_queries(spark, tmp):
+    from clickwise.streaming.job import AggregationPaths, run_aggregation
+    src = os.path.join(tmp, "events")
+    write_batches(src)
+    paths = AggregationPaths(src, os.path.join(tmp, "split"), os.path.join(tmp, "tables"), os.path.join(tmp, "ck"))
+    q2, q3 = run_aggregation(spark, JobConfig(), paths, trigger={"processingTime": "1 second"},
+                             max_files_per_trigger=1)
+    try:
+        q2.processAllAvailable()
+        q3.processAllAvailable()
+    finally:
+        q2.stop()
+        q3.stop()
+    got = {(r.window_start_ms - BASE_MS) // 60000: r.click_count for r in read_minutes(spark, paths.tables_base).collect()}
+    assert got == {0: 3, 1: 3, 3: 2}
+
+
+def test_decode_values_json_keeps_partition(spark):
+    from clickwise.sources.streams import decode_values
+    raw = spark.createDataFrame([(json.dumps(event("c1", "00:05")).encode(), 3)], "value binary, partition int")
+    out = decode_values(raw, CLICK_EVENT).collect()[0]
+    assert out.click_id == "c1" and out.timestamp_ms == ms("00:05") and out.source_partition == 3
