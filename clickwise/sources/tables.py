@@ -3,6 +3,12 @@
 A table is listed and its footer schema read once per session; later queries
 reuse that DataFrame (a plan, not data), and the ``select`` on top becomes the
 scan's ReadSchema.
+
+A table that yields fewer scan splits than the session has cores (one small
+file, one row group) is spread round-robin so the first stage of a query
+does not run on a single core.  Column pruning and filters still reach the
+scan below that exchange.  Inputs of many files — any cluster-sized table —
+already have more splits than cores and are read as they are.
 """
 
 from __future__ import annotations
@@ -24,5 +30,8 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     df = _TABLES.get(key)
     if df is None:
         df = spark.read.parquet(key[1])
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
         _TABLES[key] = df
     return df.select(*columns) if columns else df
