@@ -67,3 +67,17 @@ def anti_join_seen(batch: DataFrame, seen: DataFrame, now_ms: int, ttl_ms: int =
     """
     recent = seen.filter(F.col(seen_ts) > F.lit(now_ms - ttl_ms)).select(key)
     return batch.join(recent, key, "left_anti")
+
+
+def anti_join_seen_batches(batch: DataFrame, seen: DataFrame, ttl_ms: int = DAY_MS, key: str = "click_id",
+                           batch_start: str = "batch_start_ms", seen_ts: str = "seen_ms") -> DataFrame:
+    """JN-3 for many batches at once: a row of the batch starting at
+    ``batch_start`` is dropped when its id was seen in the TTL before that start.
+
+    An equi-join on the id with a time-range residual: both sides shuffle on
+    the id (or ``seen`` is broadcast when Catalyst measures it small).
+    """
+    s = seen.select(F.col(key).alias("_seen_key"), F.col(seen_ts).alias("_seen_ms"))
+    cond = ((batch[key] == s["_seen_key"]) & (s["_seen_ms"] > batch[batch_start] - F.lit(ttl_ms))
+            & (s["_seen_ms"] < batch[batch_start]))
+    return batch.join(s, cond, "left_anti")

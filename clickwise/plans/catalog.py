@@ -263,6 +263,23 @@ def dedup_counts(spark, sf_dir):
     return dedup.dedup_counts(ev, dedup.first_sight(ev, tiebreak=("event_id",)))
 
 
+@register("dedup_vs_seen", _DEDUP_SQL + """,
+seen AS (SELECT click_id, timestamp_ms AS seen_ms FROM kept WHERE rn = 1),
+batches AS (SELECT event_id, click_id, timestamp_ms, (timestamp_ms // 86400000) * 86400000 AS batch_start_ms
+            FROM ingested)
+SELECT * FROM batches b
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.click_id = b.click_id
+                  AND s.seen_ms > b.batch_start_ms - 86400000 AND s.seen_ms < b.batch_start_ms)""")
+def dedup_vs_seen(spark, sf_dir):
+    """JN-3: daily request batches anti-joined with the ids seen (passed) in
+    the 24 h before each batch starts."""
+    ev = _ingested(spark, sf_dir).select(*_EVENT_COLS)
+    seen = dedup.first_sight(ev, tiebreak=("event_id",)).select("click_id", F.col("timestamp_ms").alias("seen_ms"))
+    batch = ev.select("event_id", "click_id", "timestamp_ms",
+                      (F.floor(F.col("timestamp_ms") / DAY_MS) * DAY_MS).cast("long").alias("batch_start_ms"))
+    return dedup.anti_join_seen_batches(batch, seen)
+
+
 # ============================================================ aggregates ==
 
 @register("window_agg_1h", _sql(CLICKS_SQL, body=sp.minute_agg_body("clicks", HOUR_MS)))

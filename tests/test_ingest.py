@@ -93,3 +93,15 @@ def test_streaming_ingest_dedups_across_batches(spark, tmp):
     pubs = [p["observedMetrics"]["published"]["published"] for p in q.recentProgress
             if p.get("observedMetrics", {}).get("published")]
     assert sum(pubs) == 3
+
+
+def test_anti_join_seen_batches_cross_day(spark):
+    day = dedup.DAY_MS
+    batch = spark.createDataFrame([("a", 2 * day), ("b", 2 * day), ("c", 2 * day), ("d", 2 * day)],
+                                  "click_id string, batch_start_ms long")
+    seen = spark.createDataFrame([("a", 2 * day - 3_600_000),   # seen 1 h before: dropped
+                                  ("b", day - 1),               # more than 24 h before: kept
+                                  ("c", 2 * day + 5)],          # seen after the batch start: kept
+                                 "click_id string, seen_ms long")
+    out = sorted(r.click_id for r in dedup.anti_join_seen_batches(batch, seen).collect())
+    assert out == ["b", "c", "d"]
