@@ -5,43 +5,50 @@ repeat does not refresh): the first sight of an id passes and opens a TTL
 period; every sight inside that period is a duplicate; the first sight at or
 after its end passes again and opens the next period.
 
-Batch plan: one aggregation per id (map-side combined, so a hot id costs one
-buffer per task, not a shuffle of its rows) yields the first sight and the
-last time.  Ids whose sights all fall inside the first period — in practice
-all of them — are done.  Only ids spanning a whole TTL go round again with
-their later sights; each round is checkpointed so lineage stays short.
+Batch plan: a narrow aggregate (id, first and last time) tells whether any id
+spans a whole TTL period.  If none does — the normal case — one aggregation
+per id (map-side combined, so a hot id costs one buffer per task, not a
+shuffle of its rows) picks each id's first sight and that is the answer.
+Otherwise rounds repeat on the sights at or after each period's end; every
+round is checkpointed to the shared checkpoint folder so lineage stays short
+and a lost executor costs one round, not the job.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 DAY_MS = 24 * 3600 * 1000
 
 
+def _spanning(events: DataFrame, key: str, ts: str, ttl_ms: int) -> DataFrame:
+    """Ids whose sights span at least one whole TTL period (narrow hash aggregate:
+    the id and two longs, no row payload)."""
+    return (events.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+                  .filter(F.col("_hi") >= F.col("_lo") + F.lit(ttl_ms)))
+
+
 def first_sight(events: DataFrame, key: str = "click_id", ts: str = "timestamp_ms",
                 ttl_ms: int = DAY_MS, tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """Rows that pass the TTL dedup (one per id and period), all columns kept."""
     cols = events.columns
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak]) if tiebreak else F.col(ts)
 
-    def one_round(df: DataFrame) -> DataFrame:
-        return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("first"),
-                                   F.max(ts).alias("_last_ts"))
-
-    rounds = one_round(events).persist(StorageLevel.MEMORY_AND_DISK)
-    passed = [rounds.select("first.*")]
-    spanning = rounds.filter(F.col("_last_ts") >= F.col("first")[ts] + F.lit(ttl_ms)) \
-                     .select(key, F.col("first")[ts].alias("_pass_ts"))
-    while not spanning.isEmpty():
-        later = (events.join(spanning, key)
+    def firsts(df: DataFrame) -> DataFrame:
+        return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("first")).select("first.*")
+
+    if _spanning(events, key, ts, ttl_ms).isEmpty():
+        return firsts(events)  # every id lives inside its first period: one aggregation
+    passed = []
+    while True:
+        cur = firsts(events).checkpoint()
+        passed.append(cur)
+        # sights at or after the end of the period opened by this round's pass
+        later = (events.join(cur.select(key, F.col(ts).alias("_pass_ts")), key)
                        .filter(F.col(ts) >= F.col("_pass_ts") + F.lit(ttl_ms))
                        .drop("_pass_ts")).checkpoint()
-        nxt = one_round(later).checkpoint()
-        passed.append(nxt.select("first.*"))
-        spanning = nxt.filter(F.col("_last_ts") >= F.col("first")[ts] + F.lit(ttl_ms)) \
-                      .select(key, F.col("first")[ts].alias("_pass_ts"))
+        if later.isEmpty():
+            break
         events = later
     out = passed[0]
     for p in passed[1:]:

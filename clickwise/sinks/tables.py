@@ -16,9 +16,10 @@ from clickwise.functions.timefmt import to_yyyymm
 
 def _write_partitioned(df: DataFrame, path: str, time_col: str, sort_key, mode: str) -> None:
     out = df.withColumn("month", to_yyyymm(F.col(time_col)))
-    # Cluster each month's rows by sort key before writing: one shuffle on
-    # (month, advertiser) spreads months over tasks, then a local sort.
-    (out.repartition("month", sort_key[0])
+    # Range-partition on (month, full sort key): sampled boundaries split a hot
+    # advertiser over many writer tasks, and every file holds one sorted key
+    # range, so row-group statistics skip most files for an advertiser filter.
+    (out.repartitionByRange("month", *sort_key)
         .sortWithinPartitions("month", *sort_key)
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy("month").parquet(path))
