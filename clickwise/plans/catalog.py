@@ -1,60 +1,31 @@
 """The engine's named queries (one per operator of the inventory) and their
-DuckDB oracles.  Importing this module fills ``REGISTRY``."""
+DuckDB oracles.  Importing this module fills ``REGISTRY``.
+
+Every query reads the driver's tables in full (or views Spark derives from
+them, see ``clickwise.sources.derived``); timestamps leave as epoch-ms longs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickwise.functions import (
+    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, is_blank, redirect_url,
+    time_bucket_5s, to_yyyymm,
+)
+from clickwise.functions import late_text as late_text_col
 from clickwise.operators import aggregate as agg
+from clickwise.operators import dedup, enrich, lateness, rollup, storage, versioning
+from clickwise.operators.retention import retained
+from clickwise.plans import report, sqlparts as sp
 from clickwise.plans.registry import register, with_ctes
+from clickwise.sinks import messages
 from clickwise.sources import derived
-from clickwise.sources.derived import CLICKS_SQL, REQUESTS_SQL
+from clickwise.sources.derived import CLICKS_SQL
+from clickwise.sources.tables import load
 
 MINUTE_COLS = ["window_start_ms", "window_end_ms", "ad_id", "advertiser_id", "country",
                "device_type", "click_count", "unique_sessions"]
-
-
-def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.load_clicks(spark, sf_dir)
-
-
-# ------------------------------------------------------------- minute agg --
-
-_MINUTE_AGG_SQL = with_ctes(CLICKS_SQL) + """
-SELECT (timestamp_ms // 60000) * 60000 AS window_start_ms,
-       (timestamp_ms // 60000) * 60000 + 60000 AS window_end_ms,
-       ad_id,
-       first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
-       coalesce(country, 'UNKNOWN') AS country,
-       coalesce(device_type, 'UNKNOWN') AS device_type,
-       count(DISTINCT click_id) AS click_count,
-       count(DISTINCT session_id) AS unique_sessions
-FROM clicks
-GROUP BY 1, 2, 3, 5, 6
-"""
-
-
-@register("minute_agg", _MINUTE_AGG_SQL)
-def minute_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-1/3/4, STR-4/8, PRJ-3/4/8: 1-minute tumbling windows per (ad, country,
-    device) with distinct clicks, exact distinct sessions, advertiser pick."""
-    out = agg.window_aggregate(_clicks(spark, sf_dir), "1 minute", exact_sessions=True)
-    return out.select(*MINUTE_COLS)
-
-
-# =================================================================== helpers
-
-from clickwise.functions import late_text as late_text_col  # noqa: E402
-from clickwise.functions import (  # noqa: E402
-    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, is_blank, redirect_url,
-    time_bucket_5s, to_yyyymm,
-)
-from clickwise.operators import dedup, enrich, lateness, rollup, storage, versioning  # noqa: E402
-from clickwise.operators.retention import retained  # noqa: E402
-from clickwise.plans import report, sqlparts as sp  # noqa: E402
-from clickwise.sinks import messages  # noqa: E402
-from clickwise.sources.tables import load  # noqa: E402
-
 KEYS = ["ad_id", "country", "device_type"]
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
@@ -88,6 +59,20 @@ def _sql(*ctes, body: str) -> str:
     return with_ctes(*ctes) + "\n" + body
 
 
+def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.load_clicks(spark, sf_dir)
+
+
+# ------------------------------------------------------------- minute agg --
+
+@register("minute_agg", _sql(CLICKS_SQL, body=sp.minute_agg_body("clicks", 60_000)))
+def minute_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1/3/4, STR-4/8, PRJ-3/4/8: 1-minute tumbling windows per (ad, country,
+    device) with distinct clicks, exact distinct sessions, advertiser pick."""
+    out = agg.window_aggregate(_clicks(spark, sf_dir), "1 minute", exact_sessions=True)
+    return out.select(*MINUTE_COLS)
+
+
 # ============================================================ scalar / FN ==
 
 @register("click_id_resolution", _sql(sp.REQUESTS_SQL, body=f"""

@@ -89,15 +89,17 @@ def clicks_from_events(events: DataFrame) -> DataFrame:
     return _with_replays(out)
 
 
-_VIEWS: dict[tuple, DataFrame] = {}
+_VIEWS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """One DataFrame (a plan) per session, folder and view; queries share it."""
-    key = (id(spark._jsparkSession), sf_dir, name)
-    if key not in _VIEWS:
-        _VIEWS[key] = build(load(spark, sf_dir, "events", EVENT_COLUMNS))
-    return _VIEWS[key]
+    key = (id(spark), sf_dir, name)
+    hit = _VIEWS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, build(load(spark, sf_dir, "events", EVENT_COLUMNS)))
+        _VIEWS[key] = hit
+    return hit[1]
 
 
 def load_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:

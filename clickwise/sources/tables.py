@@ -17,7 +17,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+# (session id, path) -> (session, DataFrame).  The session is held so its id
+# cannot be reused by a later session while the entry exists.
+_TABLES: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -26,12 +28,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read one table; ``columns`` becomes the scan's ReadSchema."""
-    key = (id(spark._jsparkSession), table_path(sf_dir, name))
-    df = _TABLES.get(key)
-    if df is None:
+    key = (id(spark), table_path(sf_dir, name))
+    hit = _TABLES.get(key)
+    if hit is not None and hit[0] is spark:
+        df = hit[1]
+    else:
         df = spark.read.parquet(key[1])
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
-        _TABLES[key] = df
+        _TABLES[key] = (spark, df)
     return df.select(*columns) if columns else df

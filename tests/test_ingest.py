@@ -4,7 +4,6 @@ and the streaming ingest query (Q1)."""
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from clickwise.operators import dedup, enrich
 from clickwise.schemas import CLICK_REQUEST

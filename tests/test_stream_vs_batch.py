@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F, types as T
 
 from clickwise.config import JobConfig
-from clickwise.operators.aggregate import normalize_keys, window_aggregate
+from clickwise.operators.aggregate import window_aggregate
 from clickwise.schemas import ACCEPTED, CLICK_EVENT
 from clickwise.sources import derived
 from clickwise.sources.streams import file_stream
