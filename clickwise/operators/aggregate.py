@@ -144,9 +144,13 @@ def partial_states(clicks: DataFrame, window: str = "1 minute", by=("part",),
     return ids, sketches
 
 
-def merge_partials(ids: DataFrame, sketches: DataFrame) -> DataFrame:
-    """AGG-5: set union re-counted, sketch union, first metadata by time."""
-    keys = ["window_start", *GROUP_KEYS]
+def merge_partials(ids: DataFrame, sketches: DataFrame, window_col: str = "window_start") -> DataFrame:
+    """AGG-5: set union re-counted, sketch union, first metadata by time.
+
+    The count is a distinct count over exploded id rows (shuffled on
+    (window, key, click_id) first), so a hot key never gathers its ids in one
+    buffer; sketches merge in constant space."""
+    keys = [window_col, *GROUP_KEYS]
     counts = ids.groupBy(*keys).agg(F.count_distinct("click_id").alias("click_count"))
     merged = sketches.groupBy(*keys).agg(
         F.hll_union_agg("session_sketch").alias("session_sketch"),

@@ -30,11 +30,21 @@ class AggregationPaths:
 
 def run_aggregation(spark: SparkSession, cfg: JobConfig, paths: AggregationPaths, fmt: str = "json",
                     use_kafka: bool = False, part_col: str | None = None, rollup_mode: str = "latest",
-                    trigger: dict | None = None, max_files_per_trigger: int | None = None):
-    """Start Q2 and Q3; returns both StreamingQuery handles."""
+                    trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                    mode: str = "stateful"):
+    """Start Q2 and Q3; returns both StreamingQuery handles.
+
+    ``mode="partials"`` runs no Q3: the splitter writes per-batch partial
+    states (exploded ids + session sketch) and the minute view is their merge
+    at read time (``read_minutes_from_partials``) — no window state at all,
+    which suits keys hot enough to make a per-window id set large.
+    """
     events = click_event_stream(spark, cfg, paths.events, fmt, max_files_per_trigger=max_files_per_trigger,
                                 use_kafka=use_kafka)
-    q2 = start_splitter(events, paths.split_base, f"{paths.checkpoint_root}/splitter", cfg, part_col, trigger)
+    q2 = start_splitter(events, paths.split_base, f"{paths.checkpoint_root}/splitter", cfg, part_col, trigger,
+                        write_partials=(mode == "partials"))
+    if mode == "partials":
+        return q2, None
     ensure_dir(spark, f"{paths.split_base}/accepted")
     accepted = file_stream(spark, f"{paths.split_base}/accepted", ACCEPTED, "parquet")
     q3 = start_aggregation(accepted, paths.tables_base, f"{paths.checkpoint_root}/aggregate", cfg,

@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickwise.config import JobConfig
 from clickwise.functions.timefmt import late_text
+from clickwise.operators.aggregate import merge_partials, normalize_keys, session_sketch
 from clickwise.operators.lateness import is_late, window_end_ms
+from clickwise.schemas import GROUP_KEYS
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -45,11 +47,12 @@ class LateSplitter:
     late_text/, ledger/ — each partitioned by ``batch_id``."""
 
     def __init__(self, base: str, cfg: JobConfig = JobConfig(), part_col: str | None = None,
-                 clock=lambda: int(time.time() * 1000)):
+                 clock=lambda: int(time.time() * 1000), write_partials: bool = False):
         self.base = base.rstrip("/")
         self.cfg = cfg
         self.part_col = part_col
         self.clock = clock
+        self.write_partials = write_partials
 
     def path(self, name: str, batch_id: int | None = None) -> str:
         p = f"{self.base}/{name}"
@@ -89,10 +92,26 @@ class LateSplitter:
                 .write.mode("overwrite").parquet(self.path("late", batch_id))
             late.select(late_text("click_id", "ad_id").alias("value")) \
                 .write.mode("overwrite").text(self.path("late_text", batch_id))
+            if self.write_partials:
+                self._write_partials(x.filter(~F.col("is_late")), batch_id)
             self._write_ledger(spark, x, batch_id)
         finally:
             x.unpersist()
 
+    def _write_partials(self, accepted: DataFrame, batch_id: int) -> None:
+        """State-free window aggregation: this batch's partial states — the
+        exploded id set and a session sketch per (window, key) — under
+        ``batch_id``; ``read_minutes_from_partials`` merges them (AGG-5)."""
+        w_ms = self.cfg.window_minutes * 60_000
+        x = normalize_keys(accepted).withColumn(
+            "window_start_ms", (F.floor(F.col("timestamp_ms") / w_ms) * w_ms).cast("long"))
+        keys = ["window_start_ms", *GROUP_KEYS]
+        x.select(*keys, "click_id").distinct() \
+         .write.mode("overwrite").parquet(self.path("partial_ids", batch_id))
+        x.groupBy(*keys).agg(session_sketch(self.cfg.hll_precision),
+                             F.min(F.struct("timestamp_ms", "click_id", "advertiser_id")).alias("first_event")) \
+         .write.mode("overwrite").parquet(self.path("partial_sketches", batch_id))
+
     def _write_ledger(self, spark: SparkSession, x: DataFrame, batch_id: int) -> None:
         now = self.clock()
         cur = x.groupBy(F.col("_part").alias("part")).agg(
@@ -105,9 +124,17 @@ class LateSplitter:
         led.coalesce(1).write.mode("overwrite").parquet(self.path("ledger", batch_id))
 
 
+def read_minutes_from_partials(spark: SparkSession, base: str) -> DataFrame:
+    """Minute rows merged from the splitter's partials (no streaming state)."""
+    base = base.rstrip("/")
+    ids = spark.read.parquet(f"{base}/partial_ids").drop("batch_id")
+    sketches = spark.read.parquet(f"{base}/partial_sketches").drop("batch_id")
+    return merge_partials(ids, sketches, window_col="window_start_ms")
+
+
 def start_splitter(events: DataFrame, base: str, checkpoint: str, cfg: JobConfig = JobConfig(),
-                   part_col: str | None = None, trigger: dict | None = None):
-    w = (events.writeStream.foreachBatch(LateSplitter(base, cfg, part_col))
+                   part_col: str | None = None, trigger: dict | None = None, write_partials: bool = False):
+    w = (events.writeStream.foreachBatch(LateSplitter(base, cfg, part_col, write_partials=write_partials))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(**(trigger or {"processingTime": f"{cfg.trigger_seconds} seconds"}))
     return w.start()
