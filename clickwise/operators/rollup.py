@@ -72,9 +72,3 @@ def merged_sessions(minutes_with_sketch: DataFrame, unit: str = "hour") -> DataF
     return (x.groupBy(out, *ROLLUP_KEYS)
              .agg(F.sum("unique_sessions").cast("long").alias("unique_sessions"),
                   F.hll_sketch_estimate(F.hll_union_agg("session_sketch")).alias("unique_sessions_est")))
-
-
-def touched_periods(batch_rows: DataFrame, start_col: str = "window_start_ms") -> DataFrame:
-    """STR-12: the (hour, day) periods a micro-batch's minute rows touch."""
-    return batch_rows.select(_truncate_ms(start_col, "hour", "window_hour_ms"),
-                             _truncate_ms(start_col, "day", "window_day_ms")).distinct()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickwise.functions import (
-    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, is_blank, redirect_url,
+    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, is_blank,
     time_bucket_5s, to_yyyymm,
 )
 from clickwise.functions import late_text as late_text_col
@@ -143,7 +143,8 @@ def hash_ip_q(spark, sf_dir):
 SELECT event_id, ad_id, {sp.redirect('ad_id')} AS redirect_url FROM requests"""))
 def redirect_url_q(spark, sf_dir):
     """FN-7: stub destination URL."""
-    return _requests(spark, sf_dir).select("event_id", "ad_id", redirect_url("ad_id").alias("redirect_url"))
+    return _requests(spark, sf_dir).select("event_id", "ad_id").transform(enrich.stub_destination) \
+        .withColumnRenamed("destination_url", "redirect_url")
 
 
 @register("time_functions", _sql(CLICKS_SQL, body="""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickwise.config import JobConfig
 from clickwise.operators import enrich
+from clickwise.sinks.messages import event_messages
 
 
 def ingest_stream(requests: DataFrame, cfg: JobConfig = JobConfig(),
@@ -28,12 +29,19 @@ def ingest_stream(requests: DataFrame, cfg: JobConfig = JobConfig(),
     return deduped.observe("published", F.count(F.lit(1)).alias("published"))
 
 
-def start_ingest(requests: DataFrame, out_path: str, checkpoint: str, cfg: JobConfig = JobConfig(),
-                 trigger: dict | None = None, country: enrich.Step = enrich.stub_country):
-    """Append the events as parquet (exactly-once file sink via the checkpoint).
-
-    With Kafka configured the same frame goes out keyed by ad id (SNK-4)."""
-    w = (ingest_stream(requests, cfg, country).writeStream.format("parquet")
-         .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append"))
+def start_ingest(requests: DataFrame, out_path: str | None, checkpoint: str, cfg: JobConfig = JobConfig(),
+                 trigger: dict | None = None, country: enrich.Step = enrich.stub_country,
+                 kafka_servers: str | None = None, use_avro: bool = False):
+    """Append the events as parquet (exactly-once file sink via the checkpoint),
+    or — with ``kafka_servers`` — to the raw-click topic keyed by ad id so one
+    ad stays in one partition (SNK-4, at-least-once)."""
+    events = ingest_stream(requests, cfg, country)
+    if kafka_servers:
+        w = (event_messages(events, use_avro=use_avro).writeStream.format("kafka")
+             .option("kafka.bootstrap.servers", kafka_servers).option("topic", cfg.raw_clicks_topic)
+             .option("checkpointLocation", checkpoint).outputMode("append"))
+    else:
+        w = (events.writeStream.format("parquet").option("path", out_path)
+             .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(**(trigger or {"processingTime": f"{cfg.trigger_seconds} seconds"}))
     return w.start()

@@ -27,6 +27,7 @@ from clickwise.functions.timefmt import late_text
 from clickwise.operators.aggregate import merge_partials, normalize_keys, session_sketch
 from clickwise.operators.lateness import is_late, window_end_ms
 from clickwise.schemas import GROUP_KEYS
+from clickwise.sinks.messages import kafka_available, late_messages, write_messages
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -47,12 +48,14 @@ class LateSplitter:
     late_text/, ledger/ — each partitioned by ``batch_id``."""
 
     def __init__(self, base: str, cfg: JobConfig = JobConfig(), part_col: str | None = None,
-                 clock=lambda: int(time.time() * 1000), write_partials: bool = False):
+                 clock=lambda: int(time.time() * 1000), write_partials: bool = False,
+                 late_topic_servers: str | None = None):
         self.base = base.rstrip("/")
         self.cfg = cfg
         self.part_col = part_col
         self.clock = clock
         self.write_partials = write_partials
+        self.late_topic_servers = late_topic_servers
 
     def path(self, name: str, batch_id: int | None = None) -> str:
         p = f"{self.base}/{name}"
@@ -92,6 +95,9 @@ class LateSplitter:
                 .write.mode("overwrite").parquet(self.path("late", batch_id))
             late.select(late_text("click_id", "ad_id").alias("value")) \
                 .write.mode("overwrite").text(self.path("late_text", batch_id))
+            if self.late_topic_servers and kafka_available(spark):
+                # SNK-2: the same records to the late topic (at-least-once on replay)
+                write_messages(late_messages(late), self.cfg.late_clicks_topic, self.late_topic_servers, None)
             if self.write_partials:
                 self._write_partials(x.filter(~F.col("is_late")), batch_id)
             self._write_ledger(spark, x, batch_id)

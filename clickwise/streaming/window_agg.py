@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickwise.config import JobConfig
 from clickwise.operators import rollup
 from clickwise.operators.aggregate import stream_window_aggregate
+from clickwise.operators.lateness import is_closed
 from clickwise.operators.storage import latest_wins
 from clickwise.schemas import GROUP_KEYS
 
@@ -103,7 +104,7 @@ def read_minutes(spark: SparkSession, base: str, final_only_wm_ms: int | None =
     out = latest_wins(log, key=("window_start_ms", *GROUP_KEYS),
                       values=("window_end_ms", "advertiser_id", "click_count", "unique_sessions"))
     if final_only_wm_ms is not None:
-        out = out.filter(F.col("window_end_ms") <= F.lit(final_only_wm_ms))
+        out = out.filter(is_closed(F.col("window_end_ms"), F.lit(final_only_wm_ms)))
     return out
 
 
