@@ -38,13 +38,16 @@ def hash_ip(raw_ip) -> Column:
 
 
 def ipv4_to_long(ip) -> Column:
-    """Dotted IPv4 text to its 32-bit number; anything else gives null."""
+    """Dotted IPv4 text to its 32-bit number; anything else gives null.
+
+    ``get`` and ``try_cast`` yield null instead of failing under ANSI mode,
+    whatever order the engine evaluates the guard and the value in."""
     ip = _c(ip)
     parts = F.split(ip, r"\.")
     ok = ip.rlike(r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$")
     value = F.lit(0).cast("long")
     for i in range(4):
-        octet = parts.getItem(i).cast("long")
+        octet = F.get(parts, i).try_cast("long")
         ok = ok & (octet <= 255)
         value = value * 256 + octet
     return F.when(ok, value)
