@@ -17,33 +17,59 @@ from clickwise.schemas import GROUP_KEYS
 
 GRAINS = {"minute": "window_start", "hour": "window_hour", "day": "window_day"}
 
+# Table folders per grain: the batch layout (month partitions, TIMESTAMP
+# columns) and the streaming job's layout (day partitions, epoch-ms columns).
+TABLE_DIRS = {"minute": ("clicks_1min", "minute_log"), "hour": ("clicks_hourly", "hourly"),
+              "day": ("clicks_daily", "daily")}
 
-def _month(ts: str | dt.datetime) -> int:
-    d = dt.datetime.fromisoformat(ts) if isinstance(ts, str) else ts
-    return d.year * 100 + d.month
+
+def _as_datetime(ts) -> dt.datetime:
+    return dt.datetime.fromisoformat(ts) if isinstance(ts, str) else ts
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_grain_table(spark: SparkSession, base_path: str, grain: str) -> DataFrame:
-    """SRC-6: the table of a grain; the minute table de-duplicated (SRC-4)."""
-    path = f"{base_path.rstrip('/')}/{ {'minute': 'clicks_1min', 'hour': 'clicks_hourly', 'day': 'clicks_daily'}[grain] }"
-    return spark.read.parquet(path)
+    """SRC-6: the table of a grain, in whichever layout is present under
+    ``base_path``; the period column comes back as TIMESTAMP either way."""
+    col = GRAINS[grain]
+    for name in TABLE_DIRS[grain]:
+        path = f"{base_path.rstrip('/')}/{name}"
+        if _exists(spark, path):
+            df = spark.read.parquet(path)
+            if col not in df.columns and f"{col}_ms" in df.columns:
+                df = df.withColumn(col, F.timestamp_millis(f"{col}_ms"))
+            return df
+    raise FileNotFoundError(f"no {grain} table under {base_path}")
 
 
 def filter_range(df: DataFrame, period_col: str, advertiser_id=None, start=None, end=None,
-                 ad_ids=None, has_month: bool = True) -> DataFrame:
-    """Sort-key and partition filters of a report."""
+                 ad_ids=None) -> DataFrame:
+    """Sort-key and partition filters of a report.  The partition column
+    (``month`` yyyymm or ``day`` yyyymmdd) gets its own filter: a filter on
+    the timestamp alone does not prune partitions."""
     if advertiser_id is not None:
         df = df.filter(F.col("advertiser_id") == advertiser_id)
     if ad_ids:
         df = df.filter(F.col("ad_id").isin(list(ad_ids)))
+    part = "month" if "month" in df.columns else "day" if "day" in df.columns else None
+
+    def part_value(ts):
+        d = _as_datetime(ts)
+        return d.year * 100 + d.month if part == "month" else (d.year * 100 + d.month) * 100 + d.day
+
     if start is not None:
         df = df.filter(F.col(period_col) >= F.lit(start).cast("timestamp"))
-        if has_month:
-            df = df.filter(F.col("month") >= _month(start))
+        if part:
+            df = df.filter(F.col(part) >= part_value(start))
     if end is not None:
         df = df.filter(F.col(period_col) < F.lit(end).cast("timestamp"))
-        if has_month:
-            df = df.filter(F.col("month") <= _month(end))
+        if part:
+            df = df.filter(F.col(part) <= part_value(end))
     return df
 
 
@@ -61,7 +87,10 @@ def click_report(spark: SparkSession, base_path: str, grain: str = "minute", adv
     df = read_grain_table(spark, base_path, grain)
     df = filter_range(df, col, advertiser_id, start, end)
     if grain == "minute":
-        df = latest_wins(df.drop("month"), key=("window_start", *GROUP_KEYS))
+        keep = ["window_start", *GROUP_KEYS, "advertiser_id", "click_count", "unique_sessions",
+                "batch_id", "emit_seq"]
+        df = latest_wins(df.select(*keep), key=("window_start", *GROUP_KEYS),
+                         values=("advertiser_id", "click_count", "unique_sessions"))
     return summarise(df, col, by)
 
 

@@ -181,3 +181,19 @@ def test_partials_mode_matches_stateful_aggregate(spark, tmp):
     got = {(r.window_start_ms - BASE_MS) // 60000: (r.click_count, r.unique_sessions, r.advertiser_id)
            for r in read_minutes_from_partials(spark, split).collect()}
     assert got == {0: (3, 3, "adv-1"), 1: (3, 3, "adv-1"), 3: (2, 2, "adv-1")}
+
+
+def test_report_over_streaming_tables(spark, tmp):
+    """RPT-1 reads the streaming job's tables (day partitions, epoch-ms columns)."""
+    from clickwise.plans.report import click_report
+    split = run_split(spark, tmp)
+    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
+    tables = os.path.join(tmp, "tables")
+    start_aggregation(accepted, tables, os.path.join(tmp, "ck-agg"), JobConfig(),
+                      trigger={"availableNow": True}).awaitTermination(180)
+    minute = {r.window_start.minute: r.click_count for r in click_report(spark, tables, "minute").collect()}
+    assert minute == {0: 3, 1: 3, 3: 2}
+    hour = click_report(spark, tables, "hour", advertiser_id="adv-1", start="2024-01-01 00:00:00",
+                        end="2024-01-01 01:00:00").collect()
+    assert [r.click_count for r in hour] == [8]
+    assert click_report(spark, tables, "day", start="2024-01-02").count() == 0
