@@ -109,3 +109,17 @@ def test_head_rows_is_top_n(spark):
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
     assert top.count() == 10
     assert report.as_json_lines(top).first()[0].startswith("{")
+
+
+def test_cli_report_and_retention(spark, tmp):
+    from clickwise.__main__ import main
+    base = f"{tmp}/tables"
+    write_minute_table(_minutes(spark), f"{base}/clicks_1min")
+    out = f"{tmp}/rep"
+    assert main(["report", "--tables", base, "--grain", "minute", "--advertiser", "adv-1", "--out", out],
+                spark=spark) == 0
+    lines = spark.read.text(out).collect()
+    assert lines and all('"advertiser_id":"adv-1"' in r.value for r in lines)
+    assert main(["retention", "--table", f"{base}/clicks_1min", "--now", "2026-01-15 00:00:00"], spark=spark) == 0
+    left = spark.read.parquet(f"{base}/clicks_1min")
+    assert left.agg(F.min("window_start")).first()[0] > dt.datetime(2024, 1, 15)
