@@ -78,6 +78,8 @@ def main(argv=None, spark=None) -> int:
         spark.streams.awaitAnyTermination()
     elif args.job == "report":
         from clickwise.plans.report import as_json_lines, click_report
+        from clickwise.session import size_shuffle_partitions
+        size_shuffle_partitions(spark, args.tables)
         rep = click_report(spark, args.tables, args.grain, args.advertiser, args.start, args.end)
         if args.out:
             as_json_lines(rep).write.mode("overwrite").text(args.out)
@@ -88,6 +90,8 @@ def main(argv=None, spark=None) -> int:
         print(apply_retention(spark, args.table, args.time_col, args.now, cfg.retention_years))
     elif args.job == "compact":
         from clickwise.operators.storage import compact_months
+        from clickwise.session import size_shuffle_partitions
+        size_shuffle_partitions(spark, args.table)
         compact_months(spark, args.table, args.months)
     return 0
 

@@ -152,7 +152,7 @@ SELECT click_id, event_id, timestamp_ms,
        timestamp_ms // 5000 AS bucket_5s,
        (timestamp_ms // 3600000) * 3600000 AS hour_start_ms,
        (timestamp_ms // 86400000) * 86400000 AS day_start_ms,
-       year(epoch_ms(timestamp_ms)) * 100 + month(epoch_ms(timestamp_ms)) AS month
+       CAST(year(epoch_ms(timestamp_ms)) * 100 + month(epoch_ms(timestamp_ms)) AS INTEGER) AS month
 FROM clicks"""))
 def time_functions(spark, sf_dir):
     """FN-2, FN-8..FN-11: bucket, hour/day start, month partition of each click."""
@@ -208,7 +208,7 @@ def event_projection(spark, sf_dir):
     return _ingested(spark, sf_dir).select(*_EVENT_COLS)
 
 
-_EVENT_JSON_SQL = "json_object(" + ", ".join(f"'{c}', {c}" for c in _EVENT_COLS[:-1]) + ")"
+_EVENT_JSON_SQL = "CAST(json_object(" + ", ".join(f"'{c}', {c}" for c in _EVENT_COLS[:-1]) + ") AS VARCHAR)"
 
 
 @register("event_messages", _sql(sp.INGEST_SQL, body=f"""
@@ -534,9 +534,9 @@ def limit10(spark, sf_dir):
 
 @register("aggregated_json", _sql(CLICKS_SQL, body=f"""
 SELECT ad_id AS key,
-       json_object('window_start_ms', window_start_ms, 'window_end_ms', window_end_ms, 'ad_id', ad_id,
-                   'advertiser_id', advertiser_id, 'country', country, 'device_type', device_type,
-                   'click_count', click_count, 'unique_sessions', unique_sessions) AS value
+       CAST(json_object('window_start_ms', window_start_ms, 'window_end_ms', window_end_ms, 'ad_id', ad_id,
+                        'advertiser_id', advertiser_id, 'country', country, 'device_type', device_type,
+                        'click_count', click_count, 'unique_sessions', unique_sessions) AS VARCHAR) AS value
 FROM ({sp.minute_agg_body('clicks', 60000)}) a"""))
 def aggregated_json(spark, sf_dir):
     """SNK-3: aggregates as key = ad id, value = JSON."""

@@ -18,6 +18,7 @@ BASE_CONF = {
     # bound; anything larger falls back to a shuffled join.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass":
@@ -70,3 +71,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+# Input bytes per shuffle partition when sizing from the data (before partial
+# aggregation shrinks it; AQE then coalesces small partitions at runtime).
+BYTES_PER_SHUFFLE_PARTITION = 256 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Total size of the files under ``paths`` (any Hadoop filesystem)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for path in ([paths] if isinstance(paths, str) else paths):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        total += p.getFileSystem(conf).getContentSummary(p).getLength()
+    return total
+
+
+def size_shuffle_partitions(spark: SparkSession, paths, override: bool = False) -> int:
+    """Set ``spark.sql.shuffle.partitions`` (and AQE's initial partition count)
+    from the input size: ~256 MB of input per partition, at least the core
+    count.  100 TB gives ~400k initial partitions, which AQE coalesces to its
+    advisory size after the map side has combined.  A value the user set
+    explicitly is kept unless ``override``."""
+    if not override and spark.conf.get("spark.sql.shuffle.partitions", "200") != "200":
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(spark.sparkContext.defaultParallelism, -(-input_bytes(spark, paths) // BYTES_PER_SHUFFLE_PARTITION))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n

@@ -56,3 +56,16 @@ def test_query_matches_oracle_sf0001(spark, name):
     assert sorted(sdf.columns) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert digest(sdf.columns, s_rows) == digest(d_cols, d_rows)
+
+
+def test_shuffle_partitions_sized_from_input(spark):
+    from clickwise.session import input_bytes, size_shuffle_partitions
+    assert input_bytes(spark, f"{SF001}/events.parquet") > 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # an explicitly set value is kept
+    assert size_shuffle_partitions(spark, SF001) == int(before)
+    try:
+        n = size_shuffle_partitions(spark, SF001, override=True)
+        assert n == spark.sparkContext.defaultParallelism  # tiny input: the core count
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
