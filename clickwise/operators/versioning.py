@@ -9,8 +9,9 @@ directly: no state store, no replay loop.
 Plan: the first batch of each (window, key, click id) and of each
 (window, key, session) come from one grouping-sets aggregate; they and the
 touched (window, key, batch) rows are unioned and summed per (window, key,
-batch) over one exchange on the window key, which the running sum per
-(window, key) ordered by batch reuses.  The running window holds one row per batch that touched
+batch) over one exchange on (ad, country, device), which the running sum per
+(window, key) ordered by batch — and any rollup grouped by a superset of
+those columns — reuses.  The running window holds one row per batch that touched
 the key, so even a hot ad's partition stays small.
 """
 
@@ -45,9 +46,11 @@ def emit_log(arrivals: DataFrame, window_ms: int = 60_000, batch_size: int = 64,
                             F.lit(0).cast("long").alias("_new_sessions"))
              .unionByName(new_counts.select(*key, "batch_id", none_struct.alias("_first"),
                                             "_new_clicks", "_new_sessions")))
-    # One exchange on the window key serves both the per-batch sum and the
-    # running window below (hash partitioning on the key satisfies both).
-    per_batch = parts.repartition(*key).groupBy(*key, "batch_id").agg(
+    # One exchange on (ad, country, device) serves the per-batch sum, the
+    # running window below and any later latest-wins / hourly / daily
+    # grouping (all of them group by a superset of these columns).  After the
+    # first aggregates a key's rows grow with time span, not click volume.
+    per_batch = parts.repartition(*GROUP_KEYS).groupBy(*key, "batch_id").agg(
         F.min("_first").alias("_first"), F.sum("_new_clicks").alias("_nc"),
         F.sum("_new_sessions").alias("_ns"), F.count("_first").alias("_touched"))
     run = Window.partitionBy(*key).orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
