@@ -130,6 +130,17 @@ class LateSplitter:
         led.coalesce(1).write.mode("overwrite").parquet(self.path("ledger", batch_id))
 
 
+def current_watermark_ms(spark: SparkSession, base: str, cfg: JobConfig = JobConfig()):
+    """The watermark the splitter would apply to its next batch (None before data)."""
+    ledger = f"{base.rstrip('/')}/ledger"
+    if not _path_exists(spark, ledger):
+        return None
+    last = spark.read.parquet(ledger).agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return None
+    return LateSplitter(base, cfg).watermark_ms(spark, last + 1)
+
+
 def read_minutes_from_partials(spark: SparkSession, base: str) -> DataFrame:
     """Minute rows merged from the splitter's partials (no streaming state)."""
     base = base.rstrip("/")

@@ -108,6 +108,18 @@ def read_minutes(spark: SparkSession, base: str, final_only_wm_ms: int | None =
     return out
 
 
+def read_final_minutes(spark: SparkSession, tables_base: str, split_base: str,
+                       cfg: JobConfig = JobConfig()) -> DataFrame:
+    """Only windows already closed by the splitter's watermark (the values the
+    reference emits at window close); update mode's provisional rows of open
+    windows are left out."""
+    from clickwise.streaming.splitter import current_watermark_ms
+    wm = current_watermark_ms(spark, split_base, cfg)
+    if wm is None:
+        return read_minutes(spark, tables_base).limit(0)
+    return read_minutes(spark, tables_base, final_only_wm_ms=wm)
+
+
 def read_rollup(spark: SparkSession, base: str, grain: str = "hourly", mode: str = "latest") -> DataFrame:
     from clickwise.operators.storage import sum_collapse
     base = base.rstrip("/")

@@ -100,6 +100,10 @@ def test_window_aggregate_final_counts(spark, tmp):
     got = {(r.window_start_ms - BASE_MS) // 60000: (r.click_count, r.unique_sessions)
            for r in read_minutes(spark, tables).collect()}
     assert got == {0: (3, 3), 1: (3, 3), 3: (2, 2)}
+    from clickwise.streaming.window_agg import read_final_minutes
+    final = {(r.window_start_ms - BASE_MS) // 60000: r.click_count
+             for r in read_final_minutes(spark, tables, split).collect()}
+    assert final == {0: 3, 1: 3}  # watermark 03:21: minute 3 (ends 04:00) is still open
     hourly = read_rollup(spark, tables, "hourly").collect()
     assert len(hourly) == 1 and hourly[0].click_count == 8
     assert hourly[0].unique_sessions_est == 8
