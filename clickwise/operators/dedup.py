@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from clickwise.session import ensure_checkpoint_dir
+
 DAY_MS = 24 * 3600 * 1000
 
 
@@ -39,6 +41,7 @@ def first_sight(events: DataFrame, key: str = "click_id", ts: str = "timestamp_m
 
     if _spanning(events, key, ts, ttl_ms).isEmpty():
         return firsts(events)  # every id lives inside its first period: one aggregation
+    ensure_checkpoint_dir(events.sparkSession)
     passed = []
     while True:
         cur = firsts(events).checkpoint()

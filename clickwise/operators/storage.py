@@ -53,7 +53,9 @@ def sum_collapse(rows: DataFrame, key, sums=("click_count", "unique_sessions"))
 def compact_months(spark, table_path: str, months: list[int] | None = None) -> None:
     """AGG-11: rewrite month partitions of a versioned minute table with only
     their latest rows (dynamic partition overwrite touches only those months)."""
+    from clickwise.session import ensure_checkpoint_dir
     from clickwise.sinks.tables import write_minute_table
+    ensure_checkpoint_dir(spark)
     df = spark.read.parquet(table_path)
     if months:
         df = df.filter(F.col("month").isin(months))

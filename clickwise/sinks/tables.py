@@ -57,6 +57,8 @@ def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> lis
     partition overwrite touches only those months).  Returns the months touched.
     """
     from clickwise.operators.retention import retained
+    from clickwise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     df = spark.read.parquet(path)
     cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(years)} YEARS")
     stats = (df.groupBy("month").agg(F.max(time_col).alias("hi"), F.min(time_col).alias("lo"))
