@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickwise.operators.storage import latest_wins
 from clickwise.schemas import GROUP_KEYS
+from clickwise.sources import fs
 
 GRAINS = {"minute": "window_start", "hour": "window_hour", "day": "window_day"}
 
@@ -27,19 +28,13 @@ def _as_datetime(ts) -> dt.datetime:
     return dt.datetime.fromisoformat(ts) if isinstance(ts, str) else ts
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_grain_table(spark: SparkSession, base_path: str, grain: str) -> DataFrame:
     """SRC-6: the table of a grain, in whichever layout is present under
     ``base_path``; the period column comes back as TIMESTAMP either way."""
     col = GRAINS[grain]
     for name in TABLE_DIRS[grain]:
         path = f"{base_path.rstrip('/')}/{name}"
-        if _exists(spark, path):
+        if fs.exists(spark, path):
             df = spark.read.parquet(path)
             if col not in df.columns and f"{col}_ms" in df.columns:
                 df = df.withColumn(col, F.timestamp_millis(f"{col}_ms"))

@@ -80,13 +80,8 @@ BYTES_PER_SHUFFLE_PARTITION = 256 * 1024 * 1024
 
 def input_bytes(spark: SparkSession, paths) -> int:
     """Total size of the files under ``paths`` (any Hadoop filesystem)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for path in ([paths] if isinstance(paths, str) else paths):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        total += p.getFileSystem(conf).getContentSummary(p).getLength()
-    return total
+    from clickwise.sources import fs
+    return sum(fs.size_bytes(spark, p) for p in ([paths] if isinstance(paths, str) else paths))
 
 
 def size_shuffle_partitions(spark: SparkSession, paths, override: bool = False) -> int:

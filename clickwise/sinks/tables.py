@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clickwise.functions.timefmt import to_yyyymm
+from clickwise.sources import fs
 
 
 def _write_partitioned(df: DataFrame, path: str, time_col: str, sort_key, mode: str) -> None:
@@ -42,13 +43,9 @@ def write_rollup_table(df: DataFrame, path: str, period_col: str, mode: str = "o
 
 
 def _delete_partition_dirs(spark, path: str, months: list[int]) -> None:
-    """Remove whole month folders through the Hadoop FileSystem of ``path``
-    (works on HDFS / object stores as well as local disk)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Remove whole month folders (any Hadoop filesystem)."""
     for m in months:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/month={m}")
-        p.getFileSystem(conf).delete(p, True)
+        fs.delete(spark, f"{path.rstrip('/')}/month={m}")
 
 
 def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> list[int]:

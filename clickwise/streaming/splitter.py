@@ -28,19 +28,12 @@ from clickwise.operators.aggregate import merge_partials, normalize_keys, sessio
 from clickwise.operators.lateness import is_late, window_end_ms
 from clickwise.schemas import GROUP_KEYS
 from clickwise.sinks.messages import kafka_available, late_messages, write_messages
-
-
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from clickwise.sources import fs
 
 
 def ensure_dir(spark: SparkSession, path: str) -> None:
-    """Create a folder on the path's filesystem (a stream source needs it to exist)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    """Create a folder (a stream source needs it to exist)."""
+    fs.mkdirs(spark, path)
 
 
 class LateSplitter:
@@ -64,7 +57,7 @@ class LateSplitter:
     def watermark_ms(self, spark: SparkSession, batch_id: int):
         """Watermark in force for ``batch_id`` (None before any data)."""
         prev = self.path("ledger", batch_id - 1)
-        if batch_id == 0 or not _path_exists(spark, prev):
+        if batch_id == 0 or not fs.exists(spark, prev):
             return None
         rows = spark.read.parquet(prev).collect()  # one row per source partition
         if not rows:
@@ -123,7 +116,7 @@ class LateSplitter:
         cur = x.groupBy(F.col("_part").alias("part")).agg(
             F.max("timestamp_ms").alias("max_event_ms")).withColumn("last_active_ms", F.lit(now).cast("long"))
         prev_path = self.path("ledger", batch_id - 1)
-        if batch_id > 0 and _path_exists(spark, prev_path):
+        if batch_id > 0 and fs.exists(spark, prev_path):
             cur = cur.unionByName(spark.read.parquet(prev_path))
         led = cur.groupBy("part").agg(F.max("max_event_ms").alias("max_event_ms"),
                                       F.max("last_active_ms").alias("last_active_ms"))
@@ -133,7 +126,7 @@ class LateSplitter:
 def current_watermark_ms(spark: SparkSession, base: str, cfg: JobConfig = JobConfig()):
     """The watermark the splitter would apply to its next batch (None before data)."""
     ledger = f"{base.rstrip('/')}/ledger"
-    if not _path_exists(spark, ledger):
+    if not fs.exists(spark, ledger):
         return None
     last = spark.read.parquet(ledger).agg(F.max("batch_id")).first()[0]
     if last is None:
