@@ -20,7 +20,7 @@ GRAINS = {"minute": "window_start", "hour": "window_hour", "day": "window_day"}
 
 # Table folders per grain: the batch layout (month partitions, TIMESTAMP
 # columns) and the streaming job's layout (day partitions, epoch-ms columns).
-TABLE_DIRS = {"minute": ("clicks_1min", "minute_log"), "hour": ("clicks_hourly", "hourly"),
+TABLE_DIRS = {"minute": ("clicks_1min", "current_minutes", "minute_log"), "hour": ("clicks_hourly", "hourly"),
               "day": ("clicks_daily", "daily")}
 
 
@@ -45,17 +45,18 @@ def read_grain_table(spark: SparkSession, base_path: str, grain: str) -> DataFra
 def filter_range(df: DataFrame, period_col: str, advertiser_id=None, start=None, end=None,
                  ad_ids=None) -> DataFrame:
     """Sort-key and partition filters of a report.  The partition column
-    (``month`` yyyymm or ``day`` yyyymmdd) gets its own filter: a filter on
+    (``month`` yyyymm, ``day`` yyyymmdd or ``hour`` yyyymmddhh) gets its own filter: a filter on
     the timestamp alone does not prune partitions."""
     if advertiser_id is not None:
         df = df.filter(F.col("advertiser_id") == advertiser_id)
     if ad_ids:
         df = df.filter(F.col("ad_id").isin(list(ad_ids)))
-    part = "month" if "month" in df.columns else "day" if "day" in df.columns else None
+    part = next((c for c in ("month", "day", "hour") if c in df.columns), None)
 
     def part_value(ts):
         d = _as_datetime(ts)
-        return d.year * 100 + d.month if part == "month" else (d.year * 100 + d.month) * 100 + d.day
+        ym = d.year * 100 + d.month
+        return {"month": ym, "day": ym * 100 + d.day, "hour": (ym * 100 + d.day) * 100 + d.hour}[part]
 
     if start is not None:
         df = df.filter(F.col(period_col) >= F.lit(start).cast("timestamp"))

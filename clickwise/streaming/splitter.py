@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickwise.config import JobConfig
 from clickwise.functions.timefmt import late_text
@@ -31,6 +31,11 @@ from clickwise.sinks.messages import kafka_available, late_messages, write_messa
 from clickwise.sources import fs
 
 
+LEDGER_SCHEMA = T.StructType([T.StructField("part", T.LongType()),
+                             T.StructField("max_event_ms", T.LongType()),
+                             T.StructField("last_active_ms", T.LongType())])
+
+
 def ensure_dir(spark: SparkSession, path: str) -> None:
     """Create a folder (a stream source needs it to exist)."""
     fs.mkdirs(spark, path)
@@ -80,20 +85,26 @@ class LateSplitter:
         part = F.col(self.part_col) if self.part_col else F.lit(0)
         x = self.split(batch.withColumn("_part", part), wm).persist()
         try:
-            cols = [c for c in batch.columns]
+            # One small aggregate gives both this batch's ledger contribution
+            # and its late-row count (one row per source partition).
+            stats = x.groupBy(F.col("_part").alias("part")).agg(
+                F.max("timestamp_ms").alias("max_event_ms"),
+                F.sum(F.col("is_late").cast("long")).alias("_late")).collect()
+            cols = list(batch.columns)
             (x.filter(~F.col("is_late")).select(*cols)
               .write.mode("overwrite").parquet(self.path("accepted", batch_id)))
-            late = x.filter(F.col("is_late"))
-            late.select(*cols, "window_end_ms", F.lit(wm).cast("long").alias("watermark_ms")) \
-                .write.mode("overwrite").parquet(self.path("late", batch_id))
-            late.select(late_text("click_id", "ad_id").alias("value")) \
-                .write.mode("overwrite").text(self.path("late_text", batch_id))
-            if self.late_topic_servers and kafka_available(spark):
-                # SNK-2: the same records to the late topic (at-least-once on replay)
-                write_messages(late_messages(late), self.cfg.late_clicks_topic, self.late_topic_servers, None)
+            if any(r["_late"] for r in stats):
+                late = x.filter(F.col("is_late"))
+                late.select(*cols, "window_end_ms", F.lit(wm).cast("long").alias("watermark_ms")) \
+                    .write.mode("overwrite").parquet(self.path("late", batch_id))
+                late.select(late_text("click_id", "ad_id").alias("value")) \
+                    .write.mode("overwrite").text(self.path("late_text", batch_id))
+                if self.late_topic_servers and kafka_available(spark):
+                    # SNK-2: the same records to the late topic (at-least-once on replay)
+                    write_messages(late_messages(late), self.cfg.late_clicks_topic, self.late_topic_servers, None)
             if self.write_partials:
                 self._write_partials(x.filter(~F.col("is_late")), batch_id)
-            self._write_ledger(spark, x, batch_id)
+            self._write_ledger(spark, stats, batch_id)
         finally:
             x.unpersist()
 
@@ -111,16 +122,21 @@ class LateSplitter:
                              F.min(F.struct("timestamp_ms", "click_id", "advertiser_id")).alias("first_event")) \
          .write.mode("overwrite").parquet(self.path("partial_sketches", batch_id))
 
-    def _write_ledger(self, spark: SparkSession, x: DataFrame, batch_id: int) -> None:
+    def _write_ledger(self, spark: SparkSession, stats, batch_id: int) -> None:
+        """Cumulative ledger for ``batch_id``: per source partition the max
+        event time so far and when it was last active (a few rows)."""
         now = self.clock()
-        cur = x.groupBy(F.col("_part").alias("part")).agg(
-            F.max("timestamp_ms").alias("max_event_ms")).withColumn("last_active_ms", F.lit(now).cast("long"))
+        led = {}
         prev_path = self.path("ledger", batch_id - 1)
         if batch_id > 0 and fs.exists(spark, prev_path):
-            cur = cur.unionByName(spark.read.parquet(prev_path))
-        led = cur.groupBy("part").agg(F.max("max_event_ms").alias("max_event_ms"),
-                                      F.max("last_active_ms").alias("last_active_ms"))
-        led.coalesce(1).write.mode("overwrite").parquet(self.path("ledger", batch_id))
+            led = {r["part"]: (r["max_event_ms"], r["last_active_ms"])
+                   for r in spark.read.parquet(prev_path).collect()}
+        for r in stats:
+            old = led.get(r["part"])
+            led[r["part"]] = (max(r["max_event_ms"], old[0]) if old else r["max_event_ms"], now)
+        rows = [(p, m, a) for p, (m, a) in sorted(led.items())]
+        spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1) \
+             .write.mode("overwrite").parquet(self.path("ledger", batch_id))
 
 
 def current_watermark_ms(spark: SparkSession, base: str, cfg: JobConfig = JobConfig()):

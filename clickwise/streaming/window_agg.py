@@ -4,11 +4,10 @@ touched-day rollups (STR-1, STR-4, STR-5, STR-8, STR-10, STR-12, SNK-1, SNK-5, S
 The aggregate runs in ``update`` mode: after each micro-batch every window
 that changed is emitted with its whole current value (the reference's
 allowed-lateness re-emission).  ``foreachBatch`` stamps the rows with the
-micro-batch id and writes them under ``day=<yyyymmdd>/batch_id=<b>`` with
-dynamic partition overwrite — a replayed batch rewrites its own folders.
-Then the days the batch touched are recomputed from the latest minute rows
-(``latest`` mode) or the batch's own rows are added as partial sums
-(``insert_sum`` mode, the reference's literal behaviour).
+micro-batch id, appends them to the versioned log and merges them into the
+current rows of the hours they touch (``latest`` mode), or adds the batch's
+own rows as partial sums (``insert_sum`` mode, the reference's literal
+behaviour).  See ``MinuteLogWriter``.
 
 The watermark here only bounds state: Q2 already removed late rows, and the
 delay (window + lateness + watermark + margin) keeps every accepted row.
@@ -24,6 +23,7 @@ from clickwise.operators.aggregate import stream_window_aggregate
 from clickwise.operators.lateness import is_closed
 from clickwise.operators.storage import latest_wins
 from clickwise.schemas import GROUP_KEYS
+from clickwise.sources import fs
 
 
 def state_delay(cfg: JobConfig) -> str:
@@ -39,70 +39,98 @@ def _day(col: str) -> F.Column:
     return F.date_format(F.timestamp_millis(F.col(col)), "yyyyMMdd").cast("int")
 
 
+def _hour(col: str) -> F.Column:
+    return F.date_format(F.timestamp_millis(F.col(col)), "yyyyMMddHH").cast("long")
+
+
+MINUTE_VALUES = ("window_end_ms", "advertiser_id", "click_count", "unique_sessions", "session_sketch")
+
+
 class MinuteLogWriter:
-    """``foreachBatch`` function writing the versioned minute log and rollups
-    under ``base``: minute_log/, hourly/, daily/ (and *_parts/ in insert_sum)."""
+    """``foreachBatch`` function; tables under ``base``:
+
+    * ``minute_log/``      every emitted version, partitioned by (day, batch_id) —
+                           append-only, for audit and replay; never re-read per batch;
+    * ``current_minutes/`` latest row per minute key, partitioned by hour;
+    * ``hourly/``          hourly rollup, partitioned by hour;
+    * ``daily/``           daily rollup, partitioned by day;
+    * ``*_parts/``         partial sums per batch in ``insert_sum`` mode.
+
+    Per batch, ``latest`` mode merges the batch's rows into the current rows
+    of the hours it touched (bounded by keys x 60 minutes, not by history),
+    rebuilds those hours' rollup rows and the touched days' daily rows.
+    Every write is a dynamic overwrite of the touched partitions, so a
+    replayed batch converges to the same tables.
+    """
 
     def __init__(self, base: str, rollup_mode: str = "latest", jdbc: dict | None = None):
         self.base = base.rstrip("/")
         self.mode = rollup_mode
         self.jdbc = jdbc
 
+    def _write(self, df: DataFrame, name: str, *parts: str) -> None:
+        # One writer task per touched partition: a batch writes one file per
+        # hour/day it touched instead of one per shuffle partition and hour.
+        (df.repartition(*parts[:1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(*parts).parquet(f"{self.base}/{name}"))
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = (batch.select("window_start_ms", "window_end_ms", *GROUP_KEYS, "advertiser_id",
-                             "click_count", "unique_sessions", "session_sketch")
+        rows = (batch.select("window_start_ms", *GROUP_KEYS, *MINUTE_VALUES)
                      .withColumn("batch_id", F.lit(batch_id).cast("long"))
                      .withColumn("emit_seq", F.lit(0).cast("long"))
-                     .withColumn("day", _day("window_start_ms"))
+                     .withColumn("hour", _hour("window_start_ms"))
                      .persist())
         try:
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("day", "batch_id").parquet(f"{self.base}/minute_log"))
+            self._write(rows.withColumn("day", _day("window_start_ms")).drop("hour"), "minute_log",
+                        "day", "batch_id")
             if self.jdbc:
                 from clickwise.sinks.jdbc import write_jdbc
-                write_jdbc(rows.drop("session_sketch", "day"), **self.jdbc)
-            days = [r["day"] for r in rows.select("day").distinct().collect()]  # touched days: few
-            if days:
+                write_jdbc(rows.drop("session_sketch", "hour"), **self.jdbc)
+            hours = [r["hour"] for r in rows.select("hour").distinct().collect()]  # touched hours: few
+            if hours:
                 if self.mode == "latest":
-                    self._recompute_days(spark, days)
+                    self._update_latest(spark, rows, hours)
                 else:
                     self._add_parts(rows, batch_id)
         finally:
             rows.unpersist()
 
-    def _recompute_days(self, spark: SparkSession, days: list[int]) -> None:
-        log = spark.read.parquet(f"{self.base}/minute_log").filter(F.col("day").isin(days))
-        latest = latest_wins(log.drop("day"), key=("window_start_ms", *GROUP_KEYS),
-                             values=("advertiser_id", "click_count", "unique_sessions", "session_sketch"))
-        latest = latest.persist()
-        try:
-            h = rollup.hourly(latest)
-            d = rollup.daily(h)
-            est = rollup.merged_sessions(latest, "hour").select("window_hour_ms", *rollup.ROLLUP_KEYS,
-                                                                  "unique_sessions_est")
-            h = h.join(est, ["window_hour_ms", *rollup.ROLLUP_KEYS], "left")
-            for name, df, col in (("hourly", h, "window_hour_ms"), ("daily", d, "window_day_ms")):
-                (df.withColumn("day", _day(col)).write.mode("overwrite")
-                   .option("partitionOverwriteMode", "dynamic").partitionBy("day")
-                   .parquet(f"{self.base}/{name}"))
-        finally:
-            latest.unpersist()
+    def _update_latest(self, spark: SparkSession, rows: DataFrame, hours: list[int]) -> None:
+        cur_path = f"{self.base}/current_minutes"
+        merged = rows
+        if fs.exists(spark, cur_path):
+            merged = spark.read.parquet(cur_path).filter(F.col("hour").isin(hours)) \
+                          .select(*rows.columns).unionByName(rows)
+        latest = latest_wins(merged, key=("window_start_ms", *GROUP_KEYS), values=MINUTE_VALUES)
+        # Materialise before overwriting the partitions it was read from.
+        latest = latest.checkpoint()
+        self._write(latest, "current_minutes", "hour")
+        h = rollup.hourly_with_estimate(latest)
+        self._write(h.withColumn("hour", _hour("window_hour_ms")), "hourly", "hour")
+        days = sorted({hh // 100 for hh in hours})
+        day_hours = spark.read.parquet(f"{self.base}/hourly").filter(
+            F.floor(F.col("hour") / 100).isin(days))
+        d = rollup.daily(day_hours)
+        self._write(d.withColumn("day", _day("window_day_ms")), "daily", "day")
 
     def _add_parts(self, rows: DataFrame, batch_id: int) -> None:
         h = rollup.hourly(rows)
         d = rollup.daily(h)
         for name, df, col in (("hourly_parts", h, "window_hour_ms"), ("daily_parts", d, "window_day_ms")):
-            (df.withColumn("day", _day(col)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("day", "batch_id").parquet(f"{self.base}/{name}"))
+            self._write(df.withColumn("day", _day(col)).withColumn("batch_id", F.lit(batch_id).cast("long")),
+                        name, "day", "batch_id")
 
 
 def read_minutes(spark: SparkSession, base: str, final_only_wm_ms: int | None = None) -> DataFrame:
-    """Latest-wins minute rows; optionally only windows closed by a watermark."""
-    log = spark.read.parquet(f"{base.rstrip('/')}/minute_log").drop("day")
-    out = latest_wins(log, key=("window_start_ms", *GROUP_KEYS),
-                      values=("window_end_ms", "advertiser_id", "click_count", "unique_sessions"))
+    """Latest-wins minute rows (the compacted current table when the job keeps
+    one, else the versioned log); optionally only windows closed by a watermark."""
+    base = base.rstrip("/")
+    if fs.exists(spark, f"{base}/current_minutes"):
+        out = spark.read.parquet(f"{base}/current_minutes").drop("hour")
+    else:
+        log = spark.read.parquet(f"{base}/minute_log").drop("day")
+        out = latest_wins(log, key=("window_start_ms", *GROUP_KEYS), values=MINUTE_VALUES)
     if final_only_wm_ms is not None:
         out = out.filter(is_closed(F.col("window_end_ms"), F.lit(final_only_wm_ms)))
     return out
@@ -124,7 +152,7 @@ def read_rollup(spark: SparkSession, base: str, grain: str = "hourly", mode: str
     from clickwise.operators.storage import sum_collapse
     base = base.rstrip("/")
     if mode == "latest":
-        return spark.read.parquet(f"{base}/{grain}").drop("day")
+        return spark.read.parquet(f"{base}/{grain}").drop("day", "hour")
     col = "window_hour_ms" if grain == "hourly" else "window_day_ms"
     parts = spark.read.parquet(f"{base}/{grain}_parts").drop("day", "batch_id")
     return sum_collapse(parts, [col, *rollup.ROLLUP_KEYS])
