@@ -42,30 +42,37 @@ def write_rollup_table(df: DataFrame, path: str, period_col: str, mode: str = "o
                        ("advertiser_id", "ad_id", period_col, "country", "device_type"), mode)
 
 
-def _delete_partition_dirs(spark, path: str, months: list[int]) -> None:
-    """Remove whole month folders (any Hadoop filesystem)."""
-    for m in months:
-        fs.delete(spark, f"{path.rstrip('/')}/month={m}")
+def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> list:
+    """SNK-7 as a job, for every table layout (month, day or hour partitions;
+    TIMESTAMP or epoch-ms time column).
 
-
-def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> list[int]:
-    """SNK-7 as a job.  Months wholly past the horizon are dropped as folders;
-    months holding some expired rows are rewritten without them (dynamic
-    partition overwrite touches only those months).  Returns the months touched.
+    Partitions whose newest row is past the horizon are dropped as folders;
+    partitions holding some expired rows are rewritten without them (dynamic
+    partition overwrite touches only those partitions, sub-partitions kept).
+    Returns the outer partition values touched.
     """
     from clickwise.operators.retention import retained
     from clickwise.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     df = spark.read.parquet(path)
+    parts = fs.partition_columns(spark, path)
+    outer = parts[0]
+    is_ms = time_col.endswith("_ms")
+    t = F.timestamp_millis(F.col(time_col)) if is_ms else F.col(time_col)
     cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(years)} YEARS")
-    stats = (df.groupBy("month").agg(F.max(time_col).alias("hi"), F.min(time_col).alias("lo"))
-               .filter(F.col("lo") <= cutoff).collect())  # one row per month: bounded
-    whole = [r["month"] for r in stats if r["hi"] <= spark.range(1).select(cutoff).first()[0]]
-    partial = [r["month"] for r in stats if r["month"] not in whole]
+    stats = (df.groupBy(outer).agg(F.max(t).alias("hi"), F.min(t).alias("lo"))
+               .filter(F.col("lo") <= cutoff)
+               .select(outer, (F.col("hi") <= cutoff).alias("whole")).collect())  # one row per partition
+    whole = [r[outer] for r in stats if r["whole"]]
+    partial = [r[outer] for r in stats if not r["whole"]]
     if partial:
-        kept = retained(df.filter(F.col("month").isin(partial)), time_col, now, years).checkpoint()
-        _write_partitioned(kept.drop("month"), path, time_col,
-                           ("advertiser_id", "ad_id", time_col, "country", "device_type"), "overwrite")
-    if whole:
-        _delete_partition_dirs(spark, path, whole)
+        kept = retained(df.filter(F.col(outer).isin(partial)), time_col, now, years, is_ms=is_ms).checkpoint()
+        if outer == "month" and parts == ["month"]:
+            _write_partitioned(kept.drop("month"), path, time_col,
+                               ("advertiser_id", "ad_id", time_col, "country", "device_type"), "overwrite")
+        else:
+            (kept.repartition(outer).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy(*parts).parquet(path))
+    for v in whole:
+        fs.delete(spark, f"{path.rstrip('/')}/{outer}={v}")
     return sorted(whole + partial)

@@ -30,3 +30,18 @@ def delete(spark: SparkSession, path: str) -> None:
 def size_bytes(spark: SparkSession, path: str) -> int:
     fs, p = _fs_path(spark, path)
     return int(fs.getContentSummary(p).getLength())
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Partition column names of a table folder, outermost first, read from
+    its ``key=value`` directory levels."""
+    fs, p = _fs_path(spark, path)
+    cols = []
+    while True:
+        dirs = [st.getPath() for st in fs.listStatus(p)
+                if st.isDirectory() and "=" in st.getPath().getName()
+                and not st.getPath().getName().startswith(("_", "."))]
+        if not dirs:
+            return cols
+        cols.append(dirs[0].getName().split("=", 1)[0])
+        p = dirs[0]

@@ -228,3 +228,29 @@ def test_minute_writer_replay_is_idempotent(spark, tmp):
     assert snapshot() == first
     assert first[0] == [(BASE_MS, 3), (BASE_MS + 3_600_000, 1)]
     assert first[2] == [(BASE_MS, 1), (BASE_MS, 3)]  # one daily row per key
+
+
+def test_retention_on_streaming_tables(spark, tmp):
+    """SNK-7 on the day/hour-partitioned streaming tables (epoch-ms times)."""
+    from clickwise.sinks.tables import apply_retention
+    from clickwise.streaming.window_agg import MinuteLogWriter
+    w = MinuteLogWriter(os.path.join(tmp, "tables"))
+    sketch = spark.createDataFrame([("s1",)], "session_id string").agg(
+        F.hll_sketch_agg("session_id", 14).alias("s")).first()[0]
+    schema = ("window_start_ms long, window_end_ms long, ad_id string, country string, device_type string, "
+              "advertiser_id string, click_count long, unique_sessions long, session_sketch binary")
+    day = 86_400_000
+    rows = [(BASE_MS + k * day, BASE_MS + k * day + 60_000, "ad-1", "US", "DESKTOP", "adv-1", 1, 1, sketch)
+            for k in range(4)]  # 2024-01-01 .. 2024-01-04
+    late_jan2 = BASE_MS + day + 18 * 3_600_000
+    rows.append((late_jan2, late_jan2 + 60_000, "ad-1", "US", "DESKTOP", "adv-1", 1, 1, sketch))
+    w(spark.createDataFrame(rows, schema), 0)
+    now = "2026-01-02 12:00:00"   # horizon 2024-01-02 12:00: the rows of Jan 1 and Jan 2 (00:00) expire
+    touched = apply_retention(spark, f"{w.base}/minute_log", "window_start_ms", now)
+    assert touched == [20240101, 20240102]
+    log = spark.read.parquet(f"{w.base}/minute_log")
+    left = sorted(r.window_start_ms for r in log.collect())
+    assert left == [late_jan2, BASE_MS + 2 * day, BASE_MS + 3 * day]  # Jan 2 rewritten, 18:00 kept
+    assert {r.batch_id for r in log.collect()} == {0}                 # sub-partition kept
+    apply_retention(spark, f"{w.base}/current_minutes", "window_start_ms", now)
+    assert spark.read.parquet(f"{w.base}/current_minutes").count() == 3
