@@ -147,13 +147,18 @@ def partial_states(clicks: DataFrame, window: str = "1 minute", by=("part",),
 def merge_partials(ids: DataFrame, sketches: DataFrame, window_col: str = "window_start") -> DataFrame:
     """AGG-5: set union re-counted, sketch union, first metadata by time.
 
-    The count is a distinct count over exploded id rows (shuffled on
-    (window, key, click_id) first), so a hot key never gathers its ids in one
-    buffer; sketches merge in constant space."""
+    The id rows of all partials are made distinct (shuffled on (window, key,
+    click_id), so a hot key never gathers its ids in one buffer), unioned
+    with the sketch rows and finished in one aggregation per (window, key):
+    the count of distinct ids, the union of sketches and the earliest event."""
     keys = [window_col, *GROUP_KEYS]
-    counts = ids.groupBy(*keys).agg(F.count_distinct("click_id").alias("click_count"))
-    merged = sketches.groupBy(*keys).agg(
+    first_type = sketches.schema["first_event"].dataType
+    id_rows = ids.select(*keys, "click_id").distinct().select(
+        *keys, F.lit(1).alias("_c"), F.lit(None).cast("binary").alias("session_sketch"),
+        F.lit(None).cast(first_type).alias("first_event"))
+    sketch_rows = sketches.select(*keys, F.lit(0).alias("_c"), "session_sketch", "first_event")
+    merged = id_rows.unionByName(sketch_rows).groupBy(*keys).agg(
+        F.sum("_c").cast("long").alias("click_count"),
         F.hll_union_agg("session_sketch").alias("session_sketch"),
-        F.min("first_event").advertiser_id.alias("advertiser_id"))
-    return (counts.join(merged, keys)
-                  .withColumn("unique_sessions", F.hll_sketch_estimate("session_sketch")))
+        F.min("first_event")["advertiser_id"].alias("advertiser_id"))
+    return merged.withColumn("unique_sessions", F.hll_sketch_estimate("session_sketch"))
