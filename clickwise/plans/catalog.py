@@ -436,10 +436,13 @@ def rollup_sessions_merged_check(spark, sf_dir):
     clicks = _clicks(spark, sf_dir)
     minutes = agg.window_aggregate(clicks, "1 minute", exact_sessions=True, with_sketch=True)
     merged = rollup.merged_sessions(minutes, "hour")
-    exact = agg.window_aggregate(clicks, "60 minutes", exact_sessions=True) \
-        .select(F.col("window_start_ms").alias("window_hour_ms"), *KEYS,
-                F.col("unique_sessions").alias("unique_sessions_exact"))
-    j = merged.join(exact, ["window_hour_ms", *KEYS])
+    # exact hourly distinct sessions: only the session branch is needed
+    exact = (agg.normalize_keys(clicks).filter(F.col("session_id").isNotNull())
+             .select(((F.floor(F.col("timestamp_ms") / HOUR_MS)) * HOUR_MS).cast("long").alias("window_hour_ms"),
+                     *KEYS, "session_id").distinct()
+             .groupBy("window_hour_ms", *KEYS).agg(F.count(F.lit(1)).alias("unique_sessions_exact")))
+    j = merged.join(exact, ["window_hour_ms", *KEYS], "left") \
+        .withColumn("unique_sessions_exact", F.coalesce("unique_sessions_exact", F.lit(0).cast("long")))
     ok = F.abs(F.col("unique_sessions_est") - F.col("unique_sessions_exact")) <= \
         F.greatest(F.lit(1.0), 0.03 * F.col("unique_sessions_exact"))
     return j.select("window_hour_ms", "advertiser_id", *KEYS, "unique_sessions", "unique_sessions_exact",
