@@ -77,11 +77,12 @@ def summarise(rows: DataFrame, period_col: str, by=("advertiser_id",)) -> DataFr
 
 
 def click_report(spark: SparkSession, base_path: str, grain: str = "minute", advertiser_id=None,
-                 start=None, end=None, by=("advertiser_id",)) -> DataFrame:
-    """RPT-1 over stored tables."""
+                 start=None, end=None, by=("advertiser_id",), ad_ids=None) -> DataFrame:
+    """RPT-1 over stored tables: clicks and sessions per period and ``by``
+    columns, optionally for one advertiser, some ads and a time range."""
     col = GRAINS[grain]
     df = read_grain_table(spark, base_path, grain)
-    df = filter_range(df, col, advertiser_id, start, end)
+    df = filter_range(df, col, advertiser_id, start, end, ad_ids)
     if grain == "minute":
         keep = ["window_start", *GROUP_KEYS, "advertiser_id", "click_count", "unique_sessions",
                 "batch_id", "emit_seq"]

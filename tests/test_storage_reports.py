@@ -123,3 +123,14 @@ def test_cli_report_and_retention(spark, tmp):
     assert main(["retention", "--table", f"{base}/clicks_1min", "--now", "2026-01-15 00:00:00"], spark=spark) == 0
     left = spark.read.parquet(f"{base}/clicks_1min")
     assert left.agg(F.min("window_start")).first()[0] > dt.datetime(2024, 1, 15)
+
+
+def test_report_ad_filter_and_breakdown(spark, tmp):
+    base = f"{tmp}/tables"
+    m = _minutes(spark)
+    write_minute_table(m, f"{base}/clicks_1min")
+    rep = report.click_report(spark, base, "minute", ad_ids=["ad-1", "ad-6"], by=("advertiser_id", "ad_id"))
+    got = {(r.ad_id, r.advertiser_id) for r in rep.select("ad_id", "advertiser_id").distinct().collect()}
+    assert got and {a for a, _ in got} <= {"ad-1", "ad-6"} and all(adv == "adv-1" for _, adv in got)
+    want = m.filter(F.col("ad_id").isin("ad-1", "ad-6")).agg(F.sum("click_count")).first()[0]
+    assert rep.agg(F.sum("click_count")).first()[0] == want
