@@ -31,8 +31,8 @@ ALPHA = 0.5
 BLOCK_ROWS = 32
 # Slots of a cycle; the parameter bounds the schedule's size for any input.
 CYCLE = 1000
-# Hash buckets of a source: a fixed 4 hex digits, at most 65,536.
-BUCKET_DIGITS = 4
+# Hash buckets of a source: a fixed 3 hex digits, at most 4,096.
+BUCKET_DIGITS = 3
 
 
 def shares(counts: DataFrame, cycle: int = CYCLE, alpha: float = ALPHA, weights: dict[str, float] | None = None) -> DataFrame:

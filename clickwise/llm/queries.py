@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import exact_dedup, license_scan, mixing, sharding, sql
+from clickwise.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, sharding, sql
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,21 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and place under the law of equal bytes."""
     return sharding.shard(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query("op7_ngram_jaccard_join")
+def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets reach 85 % Jaccard similarity."""
+    return ngram_join.near_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85)
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the ranks and the pattern of the public byte-level tokenizer."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@_query("op10_bpe")
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    return bpe.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"), *vocabulary())
