@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, sharding, sql
+from clickwise.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, sharding, sql, substring_dedup
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,17 @@ def vocabulary() -> tuple[str, str]:
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them, as digests."""
     return bpe.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"), *vocabulary())
+
+
+@_query("op3_line_dedup", sql.line_dedup())
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that repeat an earlier line, up to one word."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_dedup.dropped_lines(docs).select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped_lines"))
+
+
+@_query("op9_substring_dedup")
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's passages that other documents hold too, and its text without the later copies."""
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"))

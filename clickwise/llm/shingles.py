@@ -47,8 +47,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(1 << 22, 1 << (n - 1).bit_length()))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, byte offsets of the rows, folded bytes) for SLICE_BYTES of text at
+def slices(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, byte offsets of the rows, bytes, folded if asked) for SLICE_BYTES of text at
     a time; a longer text is a slice of its own.  Null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
@@ -56,7 +56,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < len(texts):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
-        yield row, offsets[row:end + 1] - offsets[row], FOLD[data[offsets[row]:offsets[end]]]
+        part = data[offsets[row]:offsets[end]]
+        yield row, offsets[row:end + 1] - offsets[row], FOLD[part] if fold else part
         row = end
 
 

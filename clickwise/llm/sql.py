@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickwise.llm import license_scan as lic, mixing as mx
+from clickwise.llm import license_scan as lic, line_dedup as ld, mixing as mx
 from clickwise.llm.common import UPPER
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -77,3 +77,22 @@ mixed AS (SELECT r.doc_id, r.source, r.rank // {block_rows} AS block,
 
 def mixing() -> str:
     return f"WITH RECURSIVE {_mixed('documents')} SELECT doc_id, source, block, slot, place, share FROM mixed"
+
+
+def line_dedup() -> str:
+    """Matches by the words themselves: the lists without one word."""
+    return f"""
+WITH lines AS (SELECT doc_id, unnest(range(0, len(a))) AS line_no, a FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+l AS (SELECT doc_id, line_no, a[line_no + 1] AS line, string_split(a[line_no + 1], ' ') AS w FROM lines),
+firsts AS (SELECT line, any_value(w) AS w, min({{'d': doc_id, 'l': line_no}}) AS first FROM l WHERE len(w) >= {ld.MIN_WORDS} GROUP BY line),
+longer AS (SELECT line, first, w, unnest(range(0, len(w))) AS i FROM firsts WHERE len(w) >= {ld.NEAR_WORDS}),
+cut AS (SELECT line, first, i, len(w) AS n, array_to_string(w[:i] || w[i + 2:], ' ') AS rest FROM longer),
+replaced AS (SELECT line FROM (SELECT line, first, min(first) OVER (PARTITION BY rest, i, n) AS best FROM cut) WHERE best < first),
+inserted AS (SELECT c.line AS long_line, c.first AS long_first, f.line AS short_line, f.first AS short_first
+             FROM cut c JOIN firsts f ON f.line = c.rest WHERE len(f.w) >= {ld.NEAR_WORDS}),
+near AS (SELECT line FROM replaced UNION SELECT CASE WHEN long_first < short_first THEN short_line ELSE long_line END FROM inserted),
+judged AS (SELECT l.doc_id, l.line_no, f.line IS NOT NULL AND (n.line IS NOT NULL OR f.first <> {{'d': l.doc_id, 'l': l.line_no}}) AS gone
+           FROM l LEFT JOIN firsts f USING (line) LEFT JOIN near n USING (line))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (gone), '') AS dropped_lines
+FROM judged GROUP BY doc_id"""
