@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, sharding, sql, substring_dedup
+from clickwise.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, sql, substring_dedup
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,9 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's passages that other documents hold too, and its text without the later copies."""
     return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query("op8_quality_classifier")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, and whether it stays."""
+    return quality.score(read_table(spark, sf_dir, "documents", "doc_id", "text"))
