@@ -3,15 +3,15 @@
 1. Each partition cuts its texts into pieces (the tokenizer's pattern) and
    packs blocks of whole documents: a document becomes a list of numbers into
    its block's dictionary of distinct pieces.
-2. The dictionaries' pieces are shuffled by content, so all blocks' copies of a
-   piece meet in one task.  There the merges are replayed over the distinct
+2. The dictionaries are shuffled by buckets of their pieces' content, packed, so
+   all blocks' copies of a piece meet in one task.  There the merges are replayed over the distinct
    pieces together: an inverted index from token pair to positions applies each
    merge in rank order and then touches only the merged positions' neighbours.
 3. The pieces' token ids go back to their blocks, where the documents' lists
    are turned into ids.  Texts themselves are never shuffled.
 
-A block is bounded by BLOCK_BYTES (or is one longer document), so is every
-group; a piece occurs once per block at most, so no key is hot.
+A block is bounded by BLOCK_CHARS (or is one longer document), so is every
+group; a piece occurs once per block at most, so no bucket is hot.
 
 Defined results: a null text is the empty text (no ids); null doc_ids and
 repeated rows get a row each; an empty table gives no rows.
@@ -23,16 +23,17 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from clickwise.llm.common import materialise
-
-BLOCK_BYTES = 8 << 20
+BLOCK_CHARS = 16 << 20
 # Distinct pieces that one replay holds in memory.
 REPLAY_PIECES = 400_000
+BUCKETS_PER_PARTITION = 4
 
 
 @lru_cache(maxsize=4)
@@ -140,7 +141,7 @@ def replay(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def _merges(path: str, items: tuple | None = None) -> Merges:
+def _merges(path: str) -> Merges:
     return Merges(load_ranks(path))
 
 
@@ -152,114 +153,150 @@ class _Numbers(dict):
         return n
 
 
-def _pack(parts: list[bytes]) -> bytes:
-    sizes = np.array([len(p) for p in parts], "<u4").tobytes()
-    return pa.compress(sizes + b"".join(parts), "zstd", asbytes=True)
+def _pack(parts: list[bytes]) -> tuple[int, bytes]:
+    """Raw size and compressed bytes: the parts' lengths, then the parts."""
+    raw = np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, count: int, raw: int) -> list[bytes]:
     data = pa.decompress(packed, raw, "zstd", asbytes=True)
-    ends = np.cumsum(np.frombuffer(data, "<u4", count)).tolist()
-    body = data[4 * count:]
-    return [body[a:b] for a, b in zip([0, *ends], ends)]
+    ends = (np.cumsum(np.frombuffer(data, "<u4", count)) + 4 * count).tolist()
+    return [data[a:b] for a, b in zip([4 * count, *ends], ends)]
+
+
+# One kind of row all the way.  bucket -1: a block's documents (count of them).
+# Others: the pieces of one block and bucket, numbered base .. base + count - 1;
+# data are the pieces, later their ids.
+SCHEMA = "block long, bucket int, base long, count long, raw long, data binary"
+ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("base", pa.int64()),
+                   ("count", pa.int64()), ("raw", pa.int64()), ("data", pa.binary())])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Little numbers byte plane by byte plane, which compresses to their entropy."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
 
 
-BLOCK_SCHEMA = "block long, doc_id long, count long, raw long, data binary"
-PIECE_SCHEMA = "block long, num int, piece binary"
-CODE_SCHEMA = "block long, num int, code binary"
+def _pack_docs(ids: list, counts: list[int], place: np.ndarray, numbers: np.ndarray) -> tuple[int, bytes]:
+    """Documents' ids, numbers of pieces, and pieces: as ranks by frequency in the
+    block, with each rank's place in the dictionary."""
+    order = np.argsort(-np.bincount(numbers, minlength=len(place)), kind="stable")
+    rank = np.empty(len(place), np.int64)
+    rank[order] = np.arange(len(place))
+    raw = (np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes()
+           + np.array([len(place)], "<u4").tobytes() + np.array(counts, "<u4").tobytes() + _planes(place[order]) + _planes(rank[numbers]))
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
 
 
-def _blocks(pattern: str):
-    """Texts -> per document its piece numbers (count >= 0), per block its
-    dictionary (doc_id null, count < 0: minus the number of pieces)."""
+def _unpack_docs(data: bytes, n: int) -> tuple[list, list[int], np.ndarray]:
+    ids, none = np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, n, 8 * n)
+    size = int(np.frombuffer(data, "<u4", 1, 9 * n)[0])
+    counts = np.frombuffer(data, "<u4", n, 9 * n + 4)
+    place = _from_planes(data, 13 * n + 4, size)
+    numbers = _from_planes(data, 13 * n + 4 + 4 * size, int(counts.sum()))
+    return [None if x else i for i, x in zip(ids.tolist(), none)], counts.tolist(), place[numbers]
+
+
+def _blocks(pattern: str, buckets: int):
+    """Texts -> blocks: their documents and their dictionaries by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
 
         cut = regex.compile(pattern).findall
-        block, numbers, size, rows = TaskContext.get().partitionId() << 32, _Numbers(), 0, []
+        block, pieces, size, ids, found = TaskContext.get().partitionId() << 32, _Numbers(), 0, [], []
 
         def flush():
-            pieces = [p.encode("utf-8") for p in numbers]
-            raw = 4 * len(pieces) + sum(map(len, pieces))
-            rows.append((block, None, -len(pieces) - 1, raw, _pack(pieces)))
-            cols = list(zip(*rows))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                   names=["block", "doc_id", "count", "raw", "data"])
+            known = [p.encode("utf-8") for p in pieces]
+            bucket = np.array([crc32(p) % buckets for p in known], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            out = [(block, -1, 0, len(ids), *_pack_docs(ids, [len(f) for f in found], place, np.concatenate(found).astype(np.int64)))]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if hi > lo:
+                    out.append((block, b, lo, hi - lo, *_pack([known[i] for i in order[lo:hi].tolist()])))
+            return _rows(out)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, text in zip(ids, batch.column(1)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                nums = np.array([numbers[p] for p in cut(text)], "<u4").tobytes()
-                rows.append((block, doc, len(nums) // 4, len(nums), pa.compress(nums, "zstd", asbytes=True)))
+                ids.append(doc)
+                found.append(np.array([pieces[p] for p in cut(text)], np.uint32))
                 size += len(text)
-                if size >= BLOCK_BYTES:
+                if size >= BLOCK_CHARS:
                     yield flush()
-                    block, numbers, size, rows = block + 1, _Numbers(), 0, []
-        if rows:
+                    block, pieces, size, ids, found = block + 1, _Numbers(), 0, [], []
+        if ids:
             yield flush()
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            parts = _unpack(row["data"], -row["count"] - 1, row["raw"])
-            for a in range(0, len(parts), 50_000):
-                some = parts[a:a + 50_000]
-                yield pa.record_batch([pa.array(np.full(len(some), row["block"])), pa.array(np.arange(a, a + len(some), dtype=np.int32)),
-                                       pa.array(some, pa.binary())], names=["block", "num", "piece"])
-
-
 def _codes(path: str):
-    """Pieces of one hash partition -> their ids; each distinct piece is replayed once per REPLAY_PIECES."""
+    """Dictionary rows of some buckets -> the same rows with ids for pieces; every
+    distinct piece is replayed once per REPLAY_PIECES."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(path)
         held, numbers = [], _Numbers()
 
         def flush():
             code = [ids.astype("<i4").tobytes() for ids in replay(list(numbers), merges)]
-            for block, num, which in held:
-                yield pa.record_batch([block, num, pa.array([code[i] for i in which], pa.binary())], names=["block", "num", "code"])
+            for at in range(0, len(held), 1000):
+                yield _rows([(r["block"], r["bucket"], r["base"], r["count"], *_pack([code[i] for i in which]))
+                             for r, which in held[at:at + 1000]])
 
+        size = 0
         for batch in batches:
-            held.append((batch.column(0), batch.column(1), [numbers[p] for p in batch.column(2).to_pylist()]))
-            if len(numbers) >= REPLAY_PIECES or len(held) >= 200:
-                yield from flush()
-                held, numbers = [], _Numbers()
-        yield from flush()
+            for r in batch.to_pylist():
+                held.append((r, [numbers[p] for p in _unpack(r.pop("data"), r["count"], r["raw"])]))
+                size += r["count"]
+                if len(numbers) >= REPLAY_PIECES or size >= 10 * REPLAY_PIECES:
+                    yield from flush()
+                    held, numbers, size = [], _Numbers(), 0
+        if held:
+            yield from flush()
     return run
 
 
-def _assemble(table: pa.Table) -> pa.Table:
-    """One block: its dictionary's codes and its documents' piece numbers -> ids."""
-    kind = table.column("code").is_valid()
-    codes, docs = table.filter(kind), table.filter(table.column("code").is_null())
-    code = [b""] * codes.num_rows
-    for num, c in zip(codes.column("num").to_pylist(), codes.column("code").to_pylist()):
-        code[num] = c
-    ids = []
-    for count, raw, data in zip(*(docs.column(c).to_pylist() for c in ("count", "raw", "data"))):
-        nums = np.frombuffer(pa.decompress(data, raw, "zstd", asbytes=True), "<u4") if count else ()
-        ids.append(np.frombuffer(b"".join([code[i] for i in nums.tolist()]) if count else b"", "<i4"))
-    offsets = np.cumsum([0, *map(len, ids)])
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))})
+def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pc.greater_equal(batch.column("bucket"), 0))
+
+
+def _assemble(block: pa.Table, codes: pa.Table) -> pa.Table:
+    """One block: its documents' pieces and its dictionary's ids -> the documents' ids."""
+    code = [c for r in codes.sort_by("base").select(["count", "raw", "data"]).to_pylist() for c in _unpack(r["data"], r["count"], r["raw"])]
+    docs = block.filter(pc.less(block.column("bucket"), 0)).to_pylist()[0]
+    ids, counts, places = _unpack_docs(pa.decompress(docs["data"], docs["raw"], "zstd", asbytes=True), docs["count"])
+    flat, sizes, at = [], [], 0
+    for n in counts:
+        some = b"".join([code[i] for i in places[at:at + n].tolist()])
+        flat.append(some)
+        sizes.append(len(some) // 4)
+        at += n
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(
+        pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()))})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) of every row, as the tokenizer without special tokens gives them."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialise(texts.mapInArrow(_blocks(pattern), BLOCK_SCHEMA))
-    codes = (blocks.filter("count < 0").mapInArrow(_pieces, PIECE_SCHEMA)
-                   .repartition("piece").mapInArrow(_codes(ranks_path), CODE_SCHEMA))
-    none = lambda kind: F.lit(None).cast(kind)
-    both = (blocks.filter("count >= 0").select("block", "doc_id", "count", "raw", "data", none("int").alias("num"), none("binary").alias("code"))
-                  .unionByName(codes.select("block", none("long").alias("doc_id"), none("long").alias("count"), none("long").alias("raw"),
-                                            none("binary").alias("data"), "num", "code")))
-    return both.groupBy("block").applyInArrow(_assemble, "doc_id long, ids array<int>")
+    # One exchange by block serves both the dictionaries and the assembly.
+    blocks = texts.mapInArrow(_blocks(pattern, BUCKETS_PER_PARTITION * partitions), SCHEMA).repartition(partitions, "block")
+    codes = blocks.mapInArrow(_dictionaries, SCHEMA).repartition(partitions, "bucket").mapInArrow(_codes(ranks_path), SCHEMA)
+    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def _decode(path: str):
