@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickwise.llm.common import ascii_lower, materialise
+from clickwise.llm.common import ascii_lower, broadcast_if_small, materialise
 
 # A chunk ends at the first vowel + blank after MIN_CHUNK characters, or at MAX_CHUNK.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -64,12 +64,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one per group of equal texts."""
-    kept = (exact_groups(docs, id_col, text_col).filter("kept")
-            .groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-            .agg(F.count(F.lit(1)).alias("__copies")))
-    cols = docs.columns
-    stay = (docs.withColumn("__sha", F.sha2(ascii_lower(text_col), 256))
-                .join(kept, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))))
-    # Only rows that repeat doc_id and text need one of them chosen.
-    again = stay.filter("__copies > 1").dropDuplicates([id_col, "__sha"])
-    return stay.filter("__copies = 1").select(*cols).union(again.select(*cols))
+    sha = F.sha2(ascii_lower(text_col), 256)
+    # Only rows that go, or that repeat doc_id and text: the others need no look-up.
+    odd = materialise(exact_groups(docs, id_col, text_col)
+                      .groupBy(F.col("doc_id").alias("__odd_id"), F.col("text_sha256").alias("__odd_sha"))
+                      .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__copies")).filter("NOT __kept OR __copies > 1"))
+    marked = docs.withColumn("__sha", sha).join(
+        broadcast_if_small(odd), F.col(id_col).eqNullSafe(F.col("__odd_id")) & (F.col("__sha") == F.col("__odd_sha")), "left")
+    stay = marked.filter("__kept IS NULL").select(*docs.columns)
+    if odd.filter("__kept").isEmpty():
+        return stay
+    one = marked.filter("__kept").dropDuplicates([id_col, "__sha"])
+    return stay.union(one.select(*docs.columns))

@@ -77,26 +77,40 @@ def cycle_schedule(share: DataFrame, cycle: int = CYCLE) -> DataFrame:
     return slots.select("source", "share", (F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1).alias("k"), "slot")
 
 
+def _place(rows: DataFrame, id_col: str, source_col: str, cycle: int, alpha: float, block_rows: int,
+           weights: dict[str, float] | None) -> DataFrame:
+    """``rows`` plus __source, __block, __slot, __at (place inside the block), __share."""
+    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    keyed = (rows.withColumn("__source", F.coalesce(F.col(source_col), F.lit(""))).withColumn("__h", hashed)
+                 .withColumn("__bucket", F.substring("__h", 1, BUCKET_DIGITS)))
+    per_bucket = materialise(keyed.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("n"))
+                                  .withColumnsRenamed({"__source": "source", "__bucket": "bucket"}))
+    share = materialise(shares(per_bucket.groupBy("source").agg(F.sum("n").alias("n")), cycle, alpha, weights))
+    plan = materialise(cycle_schedule(share, cycle))
+    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (per_bucket.withColumn("__row0", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(share, "source")
+                         .select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "__row0", F.col("share").alias("__share")))
+    at = F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__h", id_col)) - 1
+    slots = plan.select(F.col("source").alias("__source"), F.col("k").alias("__k"), F.col("slot").alias("__slot0"))
+    # ``slots`` has ``cycle`` rows, a parameter.
+    return (keyed.withColumn("__rank", at).join(offsets, ["__source", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__row0"))
+                 .withColumn("__block", F.expr(f"__rank div {block_rows}")).withColumn("__k", F.col("__block") % F.col("__share"))
+                 .join(F.broadcast(slots), ["__source", "__k"])
+                 .withColumn("__slot", F.expr("__block div __share") * cycle + F.col("__slot0"))
+                 .withColumn("__at", (F.col("__rank") % block_rows).cast("int")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", cycle: int = CYCLE, alpha: float = ALPHA,
         block_rows: int = BLOCK_ROWS, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, source, block (of the source), slot, place (inside the block), share."""
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
-                           .withColumn("h", hashed).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)))
-    per_bucket = materialise(rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    counts = per_bucket.groupBy("source").agg(F.sum("n").alias("n"))
-    share = materialise(shares(counts, cycle, alpha, weights))
-    plan = materialise(cycle_schedule(share, cycle))
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (per_bucket.withColumn("row0", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-                         .join(share, "source").select("source", "bucket", "row0", "share"))
-    at = F.row_number().over(W.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1
-    ranked = (rows.withColumn("at", at).join(offsets, ["source", "bucket"])
-                  .withColumn("rank", F.col("row0") + F.col("at"))
-                  .withColumn("block", F.expr(f"rank div {block_rows}"))
-                  .withColumn("k", F.col("block") % F.col("share")))
-    # ``plan`` has ``cycle`` rows, a parameter.
-    return (ranked.join(F.broadcast(plan.drop("share")), ["source", "k"])
-                  .select("doc_id", "source", "block",
-                          (F.expr("block div share") * cycle + F.col("slot")).alias("slot"),
-                          (F.col("rank") % block_rows).cast("int").alias("place"), "share"))
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")))
+    return _place(rows, "doc_id", "source", cycle, alpha, block_rows, weights).select(
+        "doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"),
+        F.col("__at").alias("place"), F.col("__share").alias("share"))
+
+
+def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", cycle: int = CYCLE, alpha: float = ALPHA,
+               block_rows: int = BLOCK_ROWS, weights: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, in the order of the schedule (written, the files hold them in that order)."""
+    return (_place(docs, id_col, source_col, cycle, alpha, block_rows, weights)
+            .orderBy("__slot", "__at").select(*docs.columns))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, sql, substring_dedup
+from clickwise.llm import ann_forest, bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, sql, substring_dedup
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,9 @@ def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, and whether it stays."""
     return quality.score(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query("op4_ann_forest")
+def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector, by inner product."""
+    return ann_forest.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
