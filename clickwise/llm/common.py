@@ -30,6 +30,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def one_row(spark: SparkSession) -> DataFrame:
-    """A single row without columns to hang bounded constants on."""
-    return spark.range(0, 1, 1, 1).select()
+# Rows of a narrow key list (a few numbers each) that every task may hold.
+BROADCAST_ROWS = 300_000
+
+
+def broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """``keys`` (materialised, a few numbers per row) with a broadcast hint if it has
+    at most BROADCAST_ROWS rows; beyond that Spark shuffles the join."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

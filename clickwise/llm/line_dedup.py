@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from clickwise.llm.common import materialise
+from clickwise.llm.common import broadcast_if_small, materialise
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 
@@ -48,9 +48,9 @@ def _half_keys() -> Column:
     """The halves that one edit leaves: for the shorter line's length n or n - 1,
     its first n div 2 words and its last n - n div 2."""
     def keys(n: str) -> list[Column]:
-        return [F.expr(f"xxhash64({n}, 'first', slice(w, 1, ({n}) div 2))"),
-                F.expr(f"xxhash64({n}, 'last', slice(w, size(w) - ({n}) + ({n}) div 2 + 1, ({n}) - ({n}) div 2))")]
-    return F.array(*keys("size(w)"), *keys("size(w) - 1"))
+        return [F.expr(f"xxhash64({n}, 'first', substring_index(line, ' ', cast({n} div 2 as int)))"),
+                F.expr(f"xxhash64({n}, 'last', substring_index(line, ' ', cast({n} div 2 - {n} as int)))")]
+    return F.array(*keys("n"), *keys("(n - 1)"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -71,16 +71,17 @@ def _variants(lines: DataFrame) -> DataFrame:
     return rest.select("line", F.explode(all_keys).alias("k")).select("k.key", "line", "k.place")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, occ: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """line, match: lines within one word's edit of an earlier line, with that line.
-    ``names`` has (line, halves) rows, ``firsts`` (line, first)."""
-    halves = names.select("line", F.explode("halves").alias("half"))
+    ``occ`` has the occurrences: line, halves, at."""
+    halves = occ.filter("halves IS NOT NULL").select("line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("line.a").alias("lo"), F.max("line.a").alias("hi")).filter("lo != hi").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("line").distinct().join(firsts, "line").select("line", "first")
+    wanted = materialise(halves.join(shared, "half", "left_semi").select("line").distinct())
+    chosen = materialise(occ.join(broadcast_if_small(wanted), "line", "left_semi").groupBy("line").agg(F.min("at").alias("first")))
     # The words of each line are read where the line stands first.
-    texts = (_lines(docs, id_col, text_col).filter(F.size(F.split("line", " ")) >= NEAR_WORDS)
+    texts = (_lines(docs, id_col, text_col)
              .select(_name(F.col("line")).alias("line"), F.col("line").alias("text"), F.struct("doc_id", "mark", "line_no").alias("at")))
-    lines = materialise(texts.join(chosen, "line").filter(F.col("at").eqNullSafe(F.col("first")))
+    lines = materialise(texts.join(broadcast_if_small(chosen), "line").filter(F.col("at").eqNullSafe(F.col("first")))
                              .select("line", "first", F.split("text", " ").alias("w")).dropDuplicates(["line"]))
     keyed = _variants(lines).repartition("key")
     met = materialise(keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
@@ -104,19 +105,19 @@ def near_lines(docs: DataFrame, firsts: DataFrame, names: DataFrame, id_col: str
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark, n_lines, dropped (sorted line numbers) per document."""
-    words = F.split("line", " ")
-    rows = _lines(docs, id_col, text_col).withColumn("w", words)
-    halves = F.when(F.size("w") >= NEAR_WORDS, _half_keys())
-    occ = materialise(rows.select("doc_id", "mark", "line_no", F.when(F.size("w") >= MIN_WORDS, _name(F.col("line"))).alias("line"), halves.alias("halves")))
-    at = F.struct("doc_id", "mark", "line_no")
-    firsts = materialise(occ.filter("line IS NOT NULL").groupBy("line").agg(F.min(at).alias("first")))
-    names = occ.filter("halves IS NOT NULL").join(firsts, "line").filter(at.eqNullSafe(F.col("first"))).select("line", "halves")
-    near = near_lines(docs, firsts, names, id_col, text_col)
-    verdict = firsts.join(near.select("line", F.lit(True).alias("near")), "line", "left")
-    judged = occ.select("doc_id", "mark", "line_no", "line").join(verdict, "line", "left")
-    gone = F.col("line").isNotNull() & (F.coalesce("near", F.lit(False)) | ~at.eqNullSafe(F.col("first")))
-    return (judged.groupBy("doc_id", "mark")
-                  .agg(F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("dropped")))
+    n = F.expr("1 + length(line) - length(replace(line, ' ', ''))")
+    occ = materialise(_lines(docs, id_col, text_col).withColumn("n", n)
+                      .select(F.struct("doc_id", "mark", "line_no").alias("at"), F.when(F.col("n") >= MIN_WORDS, _name(F.col("line"))).alias("line"),
+                              F.when(F.col("n") >= NEAR_WORDS, _half_keys()).alias("halves")))
+    again = (occ.filter("line IS NOT NULL").groupBy("line").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+                .select("line", "first"))
+    near = near_lines(docs, occ, id_col, text_col).select("line", F.lit(True).alias("near"))
+    # Only repeated and near lines; every other line stays.
+    verdict = materialise(again.join(near, "line", "full"))
+    return (occ.select("at", "line").join(broadcast_if_small(verdict), "line", "left")
+               .withColumn("gone", F.col("near").isNotNull() | (F.col("first").isNotNull() & ~F.col("at").eqNullSafe(F.col("first"))))
+               .groupBy("at.doc_id", "at.mark")
+               .agg(F.countDistinct("at.line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("at.line_no")))).alias("dropped")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
