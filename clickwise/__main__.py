@@ -1,6 +1,6 @@
 """Command-line entry (STR-11): ``python -m clickwise <job> ...``.
 
-Jobs: ``ingest`` (Q1), ``aggregate`` (Q2 + Q3), ``report`` (RPT-1),
+Jobs: ``ingest`` (Q1), ``aggregate`` (Q2 with its tables), ``report`` (RPT-1),
 ``retention`` (SNK-7), ``compact`` (AGG-11).  Spark settings come from the
 session (``spark-submit --conf``); job parameters from ``JobConfig`` and its
 environment overrides.
@@ -29,16 +29,18 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--kafka-servers")
 
-    s = sub.add_parser("aggregate", help="click events -> late split, minute log, rollups")
+    s = sub.add_parser("aggregate", help="click events -> late split, minute table, rollups")
     s.add_argument("--events", required=True)
     s.add_argument("--split-base", required=True)
     s.add_argument("--tables", required=True)
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--format", default="json")
     s.add_argument("--kafka", action="store_true")
+    s.add_argument("--encoding", choices=("json", "avro"), default="json", help="of the topic's values")
     s.add_argument("--part-col")
-    s.add_argument("--mode", choices=("stateful", "partials"), default="stateful")
-    s.add_argument("--rollup-mode", choices=("latest", "insert_sum"), default="latest")
+    s.add_argument("--keep-accepted", action="store_true", help="also write the accepted clicks per batch")
+    s.add_argument("--jdbc-url", help="also append minute rows to a database (or CLICKWISE_JDBC_*)")
+    s.add_argument("--jdbc-table")
 
     s = sub.add_parser("report", help="advertiser report at a grain")
     s.add_argument("--tables", required=True)
@@ -47,7 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--start")
     s.add_argument("--end")
     s.add_argument("--out", help="write JSON lines here instead of printing")
-    s.add_argument("--limit", type=int, default=20, help="rows printed when --out is not given")
+    s.add_argument("--limit", type=int, help="rows printed when --out is not given (default: all)")
 
     s = sub.add_parser("retention", help="drop rows past the retention horizon")
     s.add_argument("--table", required=True)
@@ -63,34 +65,45 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv=None, spark=None) -> int:
     args = _parser().parse_args(argv)
     cfg = JobConfig.load()
+    from clickwise.session import size_shuffle_partitions
     spark = spark or _session()
     if args.job == "ingest":
         from clickwise.sources.streams import request_log_stream
         from clickwise.streaming.ingest import start_ingest
+        size_shuffle_partitions(spark, args.requests)
         q = start_ingest(request_log_stream(spark, args.requests), args.out, args.checkpoint, cfg,
                          kafka_servers=args.kafka_servers)
         q.awaitTermination()
     elif args.job == "aggregate":
         from clickwise.streaming.job import AggregationPaths, run_aggregation
         paths = AggregationPaths(args.events, args.split_base, args.tables, args.checkpoint)
-        run_aggregation(spark, cfg, paths, fmt=args.format, use_kafka=args.kafka, part_col=args.part_col,
-                        rollup_mode=args.rollup_mode, mode=args.mode)
+        if args.jdbc_url:
+            cfg = cfg.with_(jdbc_url=args.jdbc_url, jdbc_table=args.jdbc_table or cfg.jdbc_table)
+        if not args.kafka:
+            size_shuffle_partitions(spark, args.events)
+        run_aggregation(spark, cfg, paths, fmt=args.format, use_kafka=args.kafka, encoding=args.encoding,
+                        part_col=args.part_col, keep_accepted=args.keep_accepted)
         spark.streams.awaitAnyTermination()
     elif args.job == "report":
         from clickwise.plans.report import as_json_lines, click_report
-        from clickwise.session import size_shuffle_partitions
         size_shuffle_partitions(spark, args.tables)
         rep = click_report(spark, args.tables, args.grain, args.advertiser, args.start, args.end)
         if args.out:
             as_json_lines(rep).write.mode("overwrite").text(args.out)
         else:
-            rep.orderBy(*rep.columns[:2]).show(args.limit, truncate=False)
+            print("\t".join(rep.columns))
+            ordered = rep.orderBy(*rep.columns[:2])
+            for n, row in enumerate(ordered.toLocalIterator()):
+                if n == args.limit:
+                    print(f"(cut after {n} rows; more exist)")
+                    break
+                print("\t".join(str(v) for v in row))
     elif args.job == "retention":
         from clickwise.sinks.tables import apply_retention
+        size_shuffle_partitions(spark, args.table)
         print(apply_retention(spark, args.table, args.time_col, args.now, cfg.retention_years))
     elif args.job == "compact":
         from clickwise.operators.storage import compact_months
-        from clickwise.session import size_shuffle_partitions
         size_shuffle_partitions(spark, args.table)
         compact_months(spark, args.table, args.months)
     return 0

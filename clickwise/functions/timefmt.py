@@ -13,10 +13,6 @@ def event_time(timestamp_ms) -> Column:
     return F.timestamp_millis(_c(timestamp_ms))
 
 
-def epoch_ms(ts) -> Column:
-    return F.unix_millis(_c(ts))
-
-
 def to_start_of_hour(ts) -> Column:
     return F.date_trunc("hour", _c(ts))
 

@@ -53,13 +53,6 @@ def batch_aggregates(exact_sessions: bool = False, with_sketch: bool = False,
     return aggs
 
 
-def stream_aggregates(precision: int = HLL_PRECISION) -> list[Column]:
-    """UDX-1 for streams: distinct aggregates are refused on streams, so the id
-    set is kept in state as ``collect_set`` (as the reference's accumulator)."""
-    return [F.size(F.collect_set("click_id")).cast("long").alias("click_count"),
-            advertiser_pick(), session_sketch(precision)]
-
-
 def with_window_columns(df: DataFrame) -> DataFrame:
     """PRJ-8 / UDX-2: stamp window start/end (timestamp and epoch ms)."""
     return (df.withColumn("window_start", F.col("window.start"))
@@ -115,16 +108,6 @@ def window_aggregate(clicks: DataFrame, window: str = "1 minute", exact_sessions
     return out
 
 
-def stream_window_aggregate(clicks: DataFrame, window: str, watermark: str,
-                            precision: int = HLL_PRECISION) -> DataFrame:
-    """Streaming form: watermark on event time, state-store aggregation."""
-    df = (normalize_keys(clicks).withColumn("event_time", event_time("timestamp_ms"))
-          .withWatermark("event_time", watermark))
-    out = (df.groupBy(F.window("event_time", window).alias("window"), *GROUP_KEYS)
-             .agg(*stream_aggregates(precision)))
-    return finish(with_window_columns(out), exact_sessions=False)
-
-
 # ------------------------------------------------------------ partials ----
 
 def partial_states(clicks: DataFrame, window: str = "1 minute", by=("part",),

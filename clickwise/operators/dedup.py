@@ -5,13 +5,11 @@ repeat does not refresh): the first sight of an id passes and opens a TTL
 period; every sight inside that period is a duplicate; the first sight at or
 after its end passes again and opens the next period.
 
-Batch plan: a narrow aggregate (id, first and last time) tells whether any id
-spans a whole TTL period.  If none does — the normal case — one aggregation
-per id (map-side combined, so a hot id costs one buffer per task, not a
-shuffle of its rows) picks each id's first sight and that is the answer.
-Otherwise rounds repeat on the sights at or after each period's end; every
-round is checkpointed to the shared checkpoint folder so lineage stays short
-and a lost executor costs one round, not the job.
+Batch plan: one aggregation per id (map-side combined, so a hot id costs one
+buffer per task, not a shuffle of its rows) picks each id's first sight.  Ids
+whose sights span a whole TTL period can pass again: their sights alone (id and
+time) go through one round per period, checkpointed to the shared folder, and
+the payload of those further passes is joined once.
 """
 
 from __future__ import annotations
@@ -23,11 +21,24 @@ from clickwise.session import ensure_checkpoint_dir
 DAY_MS = 24 * 3600 * 1000
 
 
-def _spanning(events: DataFrame, key: str, ts: str, ttl_ms: int) -> DataFrame:
-    """Ids whose sights span at least one whole TTL period (narrow hash aggregate:
-    the id and two longs, no row payload)."""
-    return (events.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-                  .filter(F.col("_hi") >= F.col("_lo") + F.lit(ttl_ms)))
+def _repeat_passes(events: DataFrame, key: str, ts: str, ttl_ms: int) -> DataFrame | None:
+    """(key, pass time) of every pass after an id's first one, or None if there is none.
+
+    Only ids whose sights span a whole period can pass again.  Their sights alone
+    (id and time, no payload) go through one round per period; each round's rows
+    are checkpointed."""
+    span = (events.groupBy(key).agg(F.min(ts).alias("_pass"), F.max(ts).alias("_hi"))
+                  .filter(F.col("_hi") >= F.col("_pass") + F.lit(ttl_ms)).select(key, "_pass"))
+    ensure_checkpoint_dir(events.sparkSession)
+    passes = span.checkpoint()
+    found = None
+    sights = events.select(key, ts)
+    while not passes.isEmpty():
+        sights = (sights.join(passes, key).filter(F.col(ts) >= F.col("_pass") + F.lit(ttl_ms)).select(key, ts).checkpoint())
+        passes = sights.groupBy(key).agg(F.min(ts).alias("_pass")).checkpoint()
+        if not passes.isEmpty():
+            found = passes if found is None else found.unionByName(passes)
+    return found
 
 
 def first_sight(events: DataFrame, key: str = "click_id", ts: str = "timestamp_ms",
@@ -36,27 +47,16 @@ def first_sight(events: DataFrame, key: str = "click_id", ts: str = "timestamp_m
     cols = events.columns
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak]) if tiebreak else F.col(ts)
 
-    def firsts(df: DataFrame) -> DataFrame:
-        return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("first")).select("first.*")
+    def earliest(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.min_by(F.struct(*cols), order).alias("first")).select("first.*")
 
-    if _spanning(events, key, ts, ttl_ms).isEmpty():
-        return firsts(events)  # every id lives inside its first period: one aggregation
-    ensure_checkpoint_dir(events.sparkSession)
-    passed = []
-    while True:
-        cur = firsts(events).checkpoint()
-        passed.append(cur)
-        # sights at or after the end of the period opened by this round's pass
-        later = (events.join(cur.select(key, F.col(ts).alias("_pass_ts")), key)
-                       .filter(F.col(ts) >= F.col("_pass_ts") + F.lit(ttl_ms))
-                       .drop("_pass_ts")).checkpoint()
-        if later.isEmpty():
-            break
-        events = later
-    out = passed[0]
-    for p in passed[1:]:
-        out = out.unionByName(p)
-    return out
+    first = earliest(events, key)
+    again = _repeat_passes(events, key, ts, ttl_ms)
+    if again is None:
+        return first
+    # The payload of the further passes is joined once, on id and time.
+    later = events.join(again.select(F.col(key), F.col("_pass").alias(ts)), [key, ts], "left_semi").select(*cols)
+    return first.unionByName(earliest(later, key, ts))
 
 
 def dedup_counts(events: DataFrame, passed: DataFrame) -> DataFrame:

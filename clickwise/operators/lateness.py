@@ -33,30 +33,45 @@ def is_closed(window_end: Column, watermark_ms: Column) -> Column:
     return F.coalesce(window_end <= watermark_ms, F.lit(False))
 
 
-def lateness_audit(arrivals: DataFrame, window_ms: int = WINDOW_MS, watermark_delay_ms: int = WATERMARK_MS,
+def _prefix_max(chunks: DataFrame, cols: list[str], per_group: int = 4096) -> DataFrame:
+    """Exclusive running max of ``cols`` over ``_chunk``, in two levels: over the
+    chunks of a group, and over the groups' maxima, so that no window grows with
+    the number of chunks alone."""
+    x = chunks.withColumn("_group", F.floor(F.col("_chunk") / per_group))
+    groups = x.groupBy("_group").agg(*[F.max(c).alias(c) for c in cols])
+    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    up = groups.select("_group", *[F.max(c).over(before).alias(f"_g_{c}") for c in cols])
+    inside = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return x.join(up, "_group").select("_chunk", *[F.greatest(F.col(f"_g_{c}"), F.max(c).over(inside)).alias(c) for c in cols])
+
+
+def lateness_audit(arrivals: DataFrame, n_parts: int, window_ms: int = WINDOW_MS, watermark_delay_ms: int = WATERMARK_MS,
                    lateness_ms: int = LATENESS_MS, part: str = "part", seq: str = "seq",
                    tiebreak: str = "event_id", ts: str = "timestamp_ms",
                    chunk: int = 1 << 16) -> DataFrame:
     """STR-7: replay the arrival order and mark each record late or not.
 
-    The watermark a record meets is the max event time of the records before it
-    in its source partition (ordered by ``seq``, ``tiebreak``) minus the delay.
+    The watermark a record meets is, as in the stream, the minimum over the
+    source partitions (0 .. n_parts - 1) that have sent something before it of
+    their max event time so far, minus the delay.  (Partitions idle for minutes
+    of processing time leave the stream's minimum; a replay has no such clock.)
 
-    Running max as a two-level prefix scan, so no window partition exceeds
-    ``chunk`` arrivals even when one source partition holds most of the data:
-    (1) max per (part, chunk) — a small table; (2) exclusive prefix max over
-    the chunks of a part; (3) running max inside each chunk; (4) the greater
-    of (2) and (3).
+    Running maxima are a prefix scan over chunks of ``chunk`` arrivals: maxima
+    per chunk and partition, their exclusive prefix, and the running max inside
+    a chunk.  No window holds more than a chunk's rows.
     """
+    cols = [f"_m{p}" for p in range(n_parts)]
     x = arrivals.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)).cast("long"))
-    chunk_max = x.groupBy(part, "_chunk").agg(F.max(ts).alias("_chunk_max"))
-    before = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = chunk_max.select(part, "_chunk", F.max("_chunk_max").over(before).alias("_prev_max"))
-    inside = Window.partitionBy(part, "_chunk").orderBy(seq, tiebreak).rowsBetween(Window.unboundedPreceding, -1)
-    y = (x.join(prefix, [part, "_chunk"], "left")
-          .withColumn("max_before_ms", F.greatest(F.col("_prev_max"), F.max(ts).over(inside))))
+    for p, c in enumerate(cols):
+        x = x.withColumn(c, F.when(F.col(part) == p, F.col(ts)))
+    prefix = _prefix_max(x.groupBy("_chunk").agg(*[F.max(c).alias(c) for c in cols]), cols)
+    inside = Window.partitionBy("_chunk").orderBy(seq, tiebreak, part).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = prefix.withColumnsRenamed({c: f"_p{c}" for c in cols})
+    so_far = [F.greatest(F.col(f"_p{c}"), F.max(c).over(inside)) for c in cols]
+    y = (x.join(prefix, "_chunk", "left")
+          .withColumn("max_before_ms", F.least(*so_far) if n_parts > 1 else so_far[0]))
     wm = F.col("max_before_ms") - F.lit(watermark_delay_ms)
     return (y.withColumn("watermark_ms", wm)
              .withColumn("window_end_ms", window_end_ms(F.col(ts), window_ms))
              .withColumn("is_late", is_late(F.col(ts), wm, window_ms, lateness_ms))
-             .drop("_chunk", "_prev_max"))
+             .drop("_chunk", *cols, *[f"_p{c}" for c in cols]))

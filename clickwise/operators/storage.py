@@ -8,7 +8,7 @@ what the reference's replacing table does at merge time (or with FINAL).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clickwise.schemas import GROUP_KEYS
 
@@ -31,13 +31,6 @@ def latest_wins(log: DataFrame, key=MINUTE_KEY, values=VALUE_COLS,
                       *[F.col("_ver")[c].alias(c) for c in version])
 
 
-def latest_wins_rownumber(log: DataFrame, key=MINUTE_KEY, version=("batch_id", "emit_seq")) -> DataFrame:
-    """The ``row_number() == 1`` form of AGG-7 (kept for comparison; it sorts
-    every version of a key inside one window partition)."""
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in version])
-    return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def sum_collapse(rows: DataFrame, key, sums=("click_count", "unique_sessions")) -> DataFrame:
     """AGG-10: rows sharing a sort key collapse into one with summed values.
 
@@ -50,16 +43,13 @@ def sum_collapse(rows: DataFrame, key, sums=("click_count", "unique_sessions"))
     return out.filter(nonzero)
 
 
-def compact_months(spark, table_path: str, months: list[int] | None = None) -> None:
-    """AGG-11: rewrite month partitions of a versioned minute table with only
-    their latest rows (dynamic partition overwrite touches only those months)."""
-    from clickwise.session import ensure_checkpoint_dir
-    from clickwise.sinks.tables import write_minute_table
-    ensure_checkpoint_dir(spark)
+def compact_months(spark, table_path: str, months: list[int] | None = None) -> list[int]:
+    """AGG-11: rewrite month partitions of a versioned minute table with only their
+    latest rows; each month is swapped in whole."""
+    from clickwise.sinks.tables import replace_months
+    from clickwise.sources import fs
+    fs.recover(spark, table_path)
     df = spark.read.parquet(table_path)
     if months:
         df = df.filter(F.col("month").isin(months))
-    compacted = latest_wins(df.drop("month"))
-    # Materialise before overwriting the folder it was read from.
-    compacted = compacted.checkpoint()
-    write_minute_table(compacted, table_path)
+    return replace_months(latest_wins(df, key=(*MINUTE_KEY, "month")), table_path, "window_start")

@@ -7,19 +7,23 @@ them, see ``clickwise.sources.derived``); timestamps leave as epoch-ms longs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickwise.functions import (
     device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, is_blank,
-    time_bucket_5s, to_yyyymm,
+    time_bucket_5s, to_start_of_day, to_start_of_hour, to_yyyymm,
 )
 from clickwise.functions import late_text as late_text_col
 from clickwise.operators import aggregate as agg
-from clickwise.operators import dedup, enrich, lateness, rollup, storage, versioning
+from clickwise.operators import dedup, enrich, lateness, rollup, storage
 from clickwise.operators.retention import retained
 from clickwise.plans import report, sqlparts as sp
 from clickwise.plans.registry import register, with_ctes
+from clickwise.session import ensure_checkpoint_dir
 from clickwise.sinks import messages
+from clickwise.sinks.tables import write_minute_table, write_rollup_table
 from clickwise.sources import derived
 from clickwise.sources.derived import CLICKS_SQL
 from clickwise.sources.tables import load
@@ -29,8 +33,8 @@ MINUTE_COLS = ["window_start_ms", "window_end_ms", "ad_id", "advertiser_id", "co
 KEYS = ["ad_id", "country", "device_type"]
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
-# Fixed values of the replay model: arrivals per micro-batch and the
-# retention clock used by the registered retention query.
+# Arrivals per partial state, and the retention clock of the
+# registered retention query.
 BATCH_SIZE = 64
 RETENTION_NOW = "2026-01-20 00:00:00"
 
@@ -48,7 +52,7 @@ def _arrivals(spark, sf_dir):
 
 
 def _minute_log(spark, sf_dir):
-    return versioning.emit_log(_arrivals(spark, sf_dir), 60_000, BATCH_SIZE)
+    return derived.version_log(agg.window_aggregate(_clicks(spark, sf_dir), "1 minute", exact_sessions=True))
 
 
 def _latest_minutes(spark, sf_dir):
@@ -159,8 +163,8 @@ def time_functions(spark, sf_dir):
     et = F.timestamp_millis("timestamp_ms")
     return _clicks(spark, sf_dir).select(
         "click_id", "event_id", "timestamp_ms", time_bucket_5s("timestamp_ms").alias("bucket_5s"),
-        F.unix_millis(F.date_trunc("hour", et)).alias("hour_start_ms"),
-        F.unix_millis(F.date_trunc("day", et)).alias("day_start_ms"),
+        F.unix_millis(to_start_of_hour(et)).alias("hour_start_ms"),
+        F.unix_millis(to_start_of_day(et)).alias("day_start_ms"),
         to_yyyymm(et).alias("month"))
 
 
@@ -190,10 +194,11 @@ def geo_range_join(spark, sf_dir):
 SELECT r.event_id, r.ad_id,
        coalesce(r.advertiser_id, 'adv-' || (p.p_partkey % 5), 'unknown') AS advertiser_id,
        coalesce('https://shop.example/p/' || p.p_partkey, {sp.redirect('r.ad_id')}) AS destination_url
-FROM requests r LEFT JOIN part p ON r.ad_id = 'ad-' || p.p_partkey"""))
+FROM requests r LEFT JOIN part p ON r.ad_id = 'ad-' || p.p_partkey AND p.p_partkey % 7 <> 3"""))
 def ad_dim_join(spark, sf_dir):
-    """JN-2 / UDX-4: ad dimension lookup (derived from ``part``) with defaults."""
-    ads = enrich.ads_from_part(load(spark, sf_dir, "part", ["p_partkey"]))
+    """JN-2 / UDX-4: ad dimension lookup (derived from ``part``, every 7th ad is
+    not in it) with defaults."""
+    ads = enrich.ads_from_part(load(spark, sf_dir, "part", ["p_partkey"]).filter("p_partkey % 7 != 3"))
     return _requests(spark, sf_dir).select("event_id", "ad_id", "advertiser_id") \
         .transform(enrich.ad_dimension(ads)).select("event_id", "ad_id", "advertiser_id", "destination_url")
 
@@ -274,17 +279,24 @@ def window_agg_1h(spark, sf_dir):
     return agg.window_aggregate(_clicks(spark, sf_dir), "60 minutes", exact_sessions=True).select(*MINUTE_COLS)
 
 
+WEEK_MS = 7 * DAY_MS
+
+
 @register("minute_agg_hll_check", _sql(CLICKS_SQL, body=f"""
-SELECT (timestamp_ms // {HOUR_MS}) * {HOUR_MS} AS window_start_ms, ad_id,
-       coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
+SELECT (timestamp_ms // {WEEK_MS}) * {WEEK_MS} AS window_start_ms, coalesce(device_type, 'UNKNOWN') AS device_type,
+       count(DISTINCT click_id) AS click_count, first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
        count(DISTINCT session_id) AS unique_sessions, TRUE AS hll_within_bound
-FROM clicks GROUP BY 1, 2, 3, 4"""))
+FROM clicks GROUP BY 1, 2"""))
 def minute_agg_hll_check(spark, sf_dir):
-    """AGG-2: HLL (p=14) session estimate within max(1, 3 %) of the exact count."""
-    out = agg.window_aggregate(_clicks(spark, sf_dir), "60 minutes", exact_sessions=True, with_sketch=True)
-    est = F.hll_sketch_estimate("session_sketch")
-    ok = F.abs(est - F.col("unique_sessions")) <= F.greatest(F.lit(1.0), 0.03 * F.col("unique_sessions"))
-    return out.select("window_start_ms", *KEYS, "unique_sessions", ok.alias("hll_within_bound"))
+    """AGG-2 / UDX-1: HLL (p=14) session estimate of large groups (7-day windows per
+    device) within 3 % of the exact count."""
+    clicks = _clicks(spark, sf_dir)
+    est = agg.window_aggregate(clicks, "7 days", exact_sessions=False, keys=("device_type",))
+    exact = (agg.normalize_keys(clicks).groupBy((F.floor(F.col("timestamp_ms") / WEEK_MS) * WEEK_MS).cast("long").alias("window_start_ms"),
+                                                "device_type").agg(F.count_distinct("session_id").alias("exact")))
+    ok = F.abs(F.col("unique_sessions") - F.col("exact")) <= 0.03 * F.col("exact")
+    return est.join(exact, ["window_start_ms", "device_type"]).select(
+        "window_start_ms", "device_type", "click_count", "advertiser_id", F.col("exact").alias("unique_sessions"), ok.alias("hll_within_bound"))
 
 
 @register("advertiser_pick", _sql(sp.INGEST_SQL, body=f"""
@@ -297,15 +309,9 @@ def advertiser_pick(spark, sf_dir):
     """AGG-3 (T7): advertiser of the earliest event when a window mixes values."""
     ev = agg.normalize_keys(_ingested(spark, sf_dir))
     w = F.window(F.timestamp_millis("timestamp_ms"), "60 minutes")
-    # Two levels: earliest event per (window, key, advertiser), then per (window, key)
-    # the count of advertisers and the earliest of those events.
-    per_adv = ev.groupBy(w.alias("window"), *KEYS, "advertiser_id").agg(
-        F.min(F.struct("timestamp_ms", "click_id", "advertiser_id")).alias("_first"))
-    return (per_adv.groupBy("window", *KEYS)
-                   .agg(F.min("_first")["advertiser_id"].alias("advertiser_id"),
-                        F.count(F.lit(1)).alias("n_advertisers"))
-                   .select(F.unix_millis("window.start").alias("window_start_ms"), *KEYS,
-                           "advertiser_id", "n_advertisers"))
+    return (ev.groupBy(w.alias("window"), *KEYS)
+              .agg(agg.advertiser_pick(), F.count_distinct("advertiser_id").alias("n_advertisers"))
+              .select(F.unix_millis("window.start").alias("window_start_ms"), *KEYS, "advertiser_id", "n_advertisers"))
 
 
 @register("partial_merge", _sql(sp.ARRIVALS_SQL, body=f"""
@@ -322,7 +328,7 @@ def partial_merge(spark, sf_dir):
     exact = agg.normalize_keys(arr).withColumn("window_start", F.window(F.timestamp_millis("timestamp_ms"),
                                                                          "60 minutes").start) \
         .groupBy("window_start", *KEYS).agg(F.count_distinct("session_id").alias("_exact"))
-    ok = F.abs(F.col("unique_sessions") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("_exact"))
+    ok = F.abs(F.col("unique_sessions") - F.col("_exact")) <= 0.03 * F.col("_exact")
     return merged.join(exact, ["window_start", *KEYS]).select(
         F.unix_millis("window_start").alias("window_start_ms"), *KEYS, "advertiser_id", "click_count",
         ok.alias("sessions_within_bound"))
@@ -330,24 +336,22 @@ def partial_merge(spark, sf_dir):
 
 # ===================================================== versioned storage ==
 
-@register("minute_log", _sql(sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE), body="SELECT * FROM minute_log"))
+@register("minute_log", _sql(CLICKS_SQL + sp.version_log(), body="SELECT * FROM minute_log"))
 def minute_log(spark, sf_dir):
-    """STR-5 / SNK-1 rows: every re-emission of a window per micro-batch, versioned."""
+    """STR-5 / SNK-1 rows: the stored versions of every minute row."""
     return _minute_log(spark, sf_dir)
 
 
-@register("latest_wins", _sql(sp.ARRIVALS_SQL, body="""
-SELECT (timestamp_ms // 60000) * 60000 AS window_start_ms, ad_id, country, device_type,
-       first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
-       count(DISTINCT click_id) AS click_count, count(DISTINCT session_id) AS unique_sessions,
-       CAST(max(seq // 64) AS BIGINT) AS batch_id, CAST(0 AS BIGINT) AS emit_seq
-FROM arrivals GROUP BY 1, 2, 3, 4"""))
+@register("latest_wins", _sql(CLICKS_SQL + sp.version_log(), body="""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_start_ms, ad_id, country, device_type
+                               ORDER BY batch_id DESC, emit_seq DESC) AS rn FROM minute_log) WHERE rn = 1"""))
 def latest_wins(spark, sf_dir):
     """AGG-7 / SRC-4 / DED-3: latest version per minute key of the log."""
     return _latest_minutes(spark, sf_dir)
 
 
-_LATEST_CTE = sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE) + """,
+_LATEST_CTE = CLICKS_SQL + sp.version_log() + """,
 latest AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY window_start_ms, ad_id, country, device_type
@@ -380,7 +384,7 @@ def daily_rollup(spark, sf_dir):
     return d
 
 
-_INSERT_SUM_CTE = sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE) + """,
+_INSERT_SUM_CTE = CLICKS_SQL + sp.version_log() + """,
 part_hours AS (
   SELECT batch_id, (window_start_ms // 3600000) * 3600000 AS window_hour_ms, advertiser_id, ad_id, country,
          device_type, sum(click_count) AS click_count, sum(unique_sessions) AS unique_sessions
@@ -412,52 +416,46 @@ def sum_collapse(spark, sf_dir):
 
 
 @register("rollup_sessions_merged_check", _sql(CLICKS_SQL, body="""
-SELECT window_hour_ms, advertiser_id, ad_id, country, device_type,
-       CAST(sum(us) AS BIGINT) AS unique_sessions, max(exact) AS unique_sessions_exact,
-       TRUE AS est_within_bound
-FROM (
-  SELECT (timestamp_ms // 60000) * 60000 AS m, (timestamp_ms // 3600000) * 3600000 AS window_hour_ms,
-         ad_id, coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
-         first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
-         count(DISTINCT session_id) AS us,
-         max(0) AS _z
-  FROM clicks GROUP BY 1, 2, 3, 4, 5
-) mins
-JOIN (
-  SELECT (timestamp_ms // 3600000) * 3600000 AS window_hour_ms, ad_id,
-         coalesce(country, 'UNKNOWN') AS country, coalesce(device_type, 'UNKNOWN') AS device_type,
-         count(DISTINCT session_id) AS exact
-  FROM clicks GROUP BY 1, 2, 3, 4
-) ex USING (window_hour_ms, ad_id, country, device_type)
+SELECT (mins.m // 3600000) * 3600000 AS window_hour_ms, advertiser_id, ad_id, country, device_type,
+       count(DISTINCT (mins.m, session_id)) FILTER (session_id IS NOT NULL) AS unique_sessions,
+       count(DISTINCT session_id) AS unique_sessions_exact, TRUE AS est_within_bound
+FROM (SELECT (timestamp_ms // 60000) * 60000 AS m, ad_id, coalesce(country, 'UNKNOWN') AS country,
+             coalesce(device_type, 'UNKNOWN') AS device_type,
+             first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id
+      FROM clicks GROUP BY 1, 2, 3, 4) mins
+JOIN (SELECT (timestamp_ms // 60000) * 60000 AS m, ad_id, coalesce(country, 'UNKNOWN') AS country,
+             coalesce(device_type, 'UNKNOWN') AS device_type, session_id FROM clicks) c USING (m, ad_id, country, device_type)
 GROUP BY 1, 2, 3, 4, 5"""))
 def rollup_sessions_merged_check(spark, sf_dir):
     """AGG-12 / T5: hourly sessions — summed minute values (reference) vs merged
-    sketches (correct, checked against the exact distinct count)."""
+    sketches (within 3 % of the exact distinct count of the same minutes)."""
     clicks = _clicks(spark, sf_dir)
     minutes = agg.window_aggregate(clicks, "1 minute", exact_sessions=True, with_sketch=True)
     merged = rollup.merged_sessions(minutes, "hour")
-    # exact hourly distinct sessions: only the session branch is needed
-    exact = (agg.normalize_keys(clicks).filter(F.col("session_id").isNotNull())
-             .select(((F.floor(F.col("timestamp_ms") / HOUR_MS)) * HOUR_MS).cast("long").alias("window_hour_ms"),
-                     *KEYS, "session_id").distinct()
-             .groupBy("window_hour_ms", *KEYS).agg(F.count(F.lit(1)).alias("unique_sessions_exact")))
-    j = merged.join(exact, ["window_hour_ms", *KEYS], "left") \
+    minute = ["window_start_ms", *KEYS]
+    sessions = (agg.normalize_keys(clicks).filter(F.col("session_id").isNotNull())
+                .select((F.floor(F.col("timestamp_ms") / 60_000) * 60_000).cast("long").alias("window_start_ms"), *KEYS, "session_id").distinct())
+    hour = ["window_hour_ms", "advertiser_id", *KEYS]
+    exact = (sessions.join(minutes.select(*minute, "advertiser_id"), minute)
+             .withColumn("window_hour_ms", (F.floor(F.col("window_start_ms") / HOUR_MS) * HOUR_MS).cast("long"))
+             .groupBy(*hour).agg(F.count_distinct("session_id").alias("unique_sessions_exact")))
+    j = merged.join(exact, hour, "left") \
         .withColumn("unique_sessions_exact", F.coalesce("unique_sessions_exact", F.lit(0).cast("long")))
-    ok = F.abs(F.col("unique_sessions_est") - F.col("unique_sessions_exact")) <= \
-        F.greatest(F.lit(1.0), 0.03 * F.col("unique_sessions_exact"))
+    ok = F.abs(F.col("unique_sessions_est") - F.col("unique_sessions_exact")) <= 0.03 * F.col("unique_sessions_exact")
     return j.select("window_hour_ms", "advertiser_id", *KEYS, "unique_sessions", "unique_sessions_exact",
                     ok.alias("est_within_bound"))
 
 
 # ============================================================== lateness ==
 
+_MAX_BEFORE = ", ".join(f"max(CASE WHEN part = {p} THEN timestamp_ms END) OVER before" for p in range(derived.N_SOURCE_PARTS))
 _AUDIT_SQL = sp.ARRIVALS_SQL + f""",
 audit AS (
   SELECT event_id, click_id, ad_id, part, seq, timestamp_ms,
          (timestamp_ms // {HOUR_MS}) * {HOUR_MS} + {HOUR_MS} AS window_end_ms,
-         max(timestamp_ms) OVER (PARTITION BY part ORDER BY seq, event_id
-                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before_ms
+         least({_MAX_BEFORE}) AS max_before_ms
   FROM arrivals
+  WINDOW before AS (ORDER BY seq, event_id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )"""
 
 
@@ -466,9 +464,9 @@ SELECT event_id, click_id, part, seq, timestamp_ms, window_end_ms, max_before_ms
        coalesce(window_end_ms + 30000 <= max_before_ms - 10000, FALSE) AS is_late
 FROM audit"""))
 def lateness_audit(spark, sf_dir):
-    """STR-7 / T1: replay of the arrival order; late iff window end + 30 s <=
-    (max event time before it in its source partition) - 10 s.  1 h windows."""
-    out = lateness.lateness_audit(_arrivals(spark, sf_dir), window_ms=HOUR_MS)
+    """STR-7 / T1: replay of the arrival order; late iff window end + 30 s <= (the least
+    over the source partitions of their max event time before it) - 10 s.  1 h windows."""
+    out = lateness.lateness_audit(_arrivals(spark, sf_dir), derived.N_SOURCE_PARTS, window_ms=HOUR_MS)
     return out.select("event_id", "click_id", "part", "seq", "timestamp_ms", "window_end_ms",
                       "max_before_ms", "is_late")
 
@@ -478,13 +476,13 @@ SELECT event_id, 'LATE:' || click_id || ' adId=' || ad_id AS value
 FROM audit WHERE window_end_ms + 30000 <= max_before_ms - 10000"""))
 def late_text(spark, sf_dir):
     """PRJ-5 / SNK-2: text records of the late clicks."""
-    out = lateness.lateness_audit(_arrivals(spark, sf_dir), window_ms=HOUR_MS).filter("is_late")
+    out = lateness.lateness_audit(_arrivals(spark, sf_dir), derived.N_SOURCE_PARTS, window_ms=HOUR_MS).filter("is_late")
     return out.select("event_id", late_text_col("click_id", "ad_id").alias("value"))
 
 
 # ========================================================= retention etc ==
 
-_MINUTE_LATEST_SQL = sp.ARRIVALS_SQL + sp.emit_log_sql(BATCH_SIZE) + """,
+_MINUTE_LATEST_SQL = CLICKS_SQL + sp.version_log() + """,
 latest AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY window_start_ms, ad_id, country, device_type
@@ -501,31 +499,81 @@ def retention(spark, sf_dir):
     return retained(_latest_minutes(spark, sf_dir), "window_start_ms", RETENTION_NOW, is_ms=True)
 
 
-def _report_sql(period: str, src: str, col: str) -> str:
+# ============================================================== reports ==
+
+def _report_sql(period: str, src: str, where: str = "TRUE") -> str:
     return _sql(_LATEST_CTE, body=f"""
-SELECT advertiser_id, {col} AS {period},
-       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
-FROM {src} GROUP BY 1, 2""")
+SELECT advertiser_id, {period}, CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+FROM {src} WHERE {where} GROUP BY 1, 2""")
+
+
+def _stored_tables(spark: SparkSession, sf_dir: str, grain: str) -> str:
+    """Write the table of a grain (SNK-5, SNK-6) to the shared folder; returns its base path."""
+    base = f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    if grain == "minute":
+        write_minute_table(_minute_log(spark, sf_dir), f"{base}/clicks_1min")
+        return base
+    hours, days = rollup.rollups(_minute_log(spark, sf_dir), "latest")
+    if grain == "hour":
+        write_rollup_table(hours, f"{base}/clicks_hourly", "window_hour")
+    else:
+        write_rollup_table(days, f"{base}/clicks_daily", "window_day")
+    return base
+
 
+def _report(spark: SparkSession, sf_dir: str, grain: str, **filters) -> DataFrame:
+    col = report.GRAINS[grain]
+    rep = report.click_report(spark, _stored_tables(spark, sf_dir, grain), grain, **filters)
+    return rep.withColumn(f"{col}_ms", F.unix_millis(col)).drop(col)
 
-@register("report_minute", _report_sql("window_start_ms", "latest", "window_start_ms"))
+
+# The filters of the report_filtered queries.
+REPORT_FILTERS = {"advertiser_id": "adv-1", "ad_ids": ["ad-1", "ad-5", "ad-6", "ad-11", "ad-16"],
+                  "start": "2024-01-05 00:00:00", "end": "2024-01-20 00:00:00"}
+
+
+def _filter_sql(col: str) -> str:
+    f = REPORT_FILTERS
+    ads = ", ".join(f"'{a}'" for a in f["ad_ids"])
+    return (f"advertiser_id = '{f['advertiser_id']}' AND ad_id IN ({ads}) AND epoch_ms({col}) >= TIMESTAMP '{f['start']}' "
+            f"AND epoch_ms({col}) < TIMESTAMP '{f['end']}'")
+
+
+@register("report_minute", _report_sql("window_start_ms", "latest"))
 def report_minute(spark, sf_dir):
-    """RPT-1 at minute grain (latest-wins minute table), all advertisers."""
-    return report.summarise(_latest_minutes(spark, sf_dir), "window_start_ms")
+    """RPT-1 / SNK-5 at minute grain: versions stored, read back latest-wins, all advertisers."""
+    return _report(spark, sf_dir, "minute")
 
 
-@register("report_hour", _report_sql("window_hour_ms", "hourly", "window_hour_ms"))
+@register("report_hour", _report_sql("window_hour_ms", "hourly"))
 def report_hour(spark, sf_dir):
-    """RPT-1 / SRC-6 at hour grain."""
-    h, _ = rollup.rollups(_minute_log(spark, sf_dir), "latest")
-    return report.summarise(h, "window_hour_ms")
+    """RPT-1 / SRC-6 / SNK-6 at hour grain."""
+    return _report(spark, sf_dir, "hour")
 
 
-@register("report_day", _report_sql("window_day_ms", "daily", "window_day_ms"))
+@register("report_day", _report_sql("window_day_ms", "daily"))
 def report_day(spark, sf_dir):
-    """RPT-1 / SRC-6 at day grain."""
-    _, d = rollup.rollups(_minute_log(spark, sf_dir), "latest")
-    return report.summarise(d, "window_day_ms")
+    """RPT-1 / SRC-6 / SNK-6 at day grain."""
+    return _report(spark, sf_dir, "day")
+
+
+@register("report_filtered_minute", _report_sql("window_start_ms", "latest", _filter_sql("window_start_ms")))
+def report_filtered_minute(spark, sf_dir):
+    """RPT-1 at minute grain for one advertiser, some ads and a time range; the
+    advertiser of many rows changed between versions."""
+    return _report(spark, sf_dir, "minute", **REPORT_FILTERS)
+
+
+@register("report_filtered_hour", _report_sql("window_hour_ms", "hourly", _filter_sql("window_hour_ms")))
+def report_filtered_hour(spark, sf_dir):
+    """RPT-1 at hour grain with the same filters."""
+    return _report(spark, sf_dir, "hour", **REPORT_FILTERS)
+
+
+@register("report_filtered_day", _report_sql("window_day_ms", "daily", _filter_sql("window_day_ms")))
+def report_filtered_day(spark, sf_dir):
+    """RPT-1 at day grain with the same filters."""
+    return _report(spark, sf_dir, "day", **REPORT_FILTERS)
 
 
 @register("limit10", _sql(_MINUTE_LATEST_SQL, body="""

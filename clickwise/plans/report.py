@@ -1,9 +1,10 @@
 """Advertiser reports over the minute / hourly / daily tables (RPT-1, SRC-4..6, SRT-2).
 
 ``click_report`` picks the table for the grain, adds the month-partition
-filter implied by the time range (a filter on the timestamp alone does not
-prune ``month``), filters on the sort-key columns so parquet statistics skip
-row groups, and sums per period.  The minute table is read latest-wins.
+filter implied by the time range, filters on the sort-key columns so parquet
+statistics skip row groups, and sums per period.  Versions are resolved after
+the time and ad filters and before the advertiser filter: a row's advertiser may
+change from one version to the next.
 """
 
 from __future__ import annotations
@@ -18,10 +19,7 @@ from clickwise.sources import fs
 
 GRAINS = {"minute": "window_start", "hour": "window_hour", "day": "window_day"}
 
-# Table folders per grain: the batch layout (month partitions, TIMESTAMP
-# columns) and the streaming job's layout (day partitions, epoch-ms columns).
-TABLE_DIRS = {"minute": ("clicks_1min", "current_minutes", "minute_log"), "hour": ("clicks_hourly", "hourly"),
-              "day": ("clicks_daily", "daily")}
+TABLE_DIRS = {"minute": "clicks_1min", "hour": "clicks_hourly", "day": "clicks_daily"}
 
 
 def _as_datetime(ts) -> dt.datetime:
@@ -29,46 +27,45 @@ def _as_datetime(ts) -> dt.datetime:
 
 
 def read_grain_table(spark: SparkSession, base_path: str, grain: str) -> DataFrame:
-    """SRC-6: the table of a grain, in whichever layout is present under
-    ``base_path``; the period column comes back as TIMESTAMP either way."""
-    col = GRAINS[grain]
-    for name in TABLE_DIRS[grain]:
-        path = f"{base_path.rstrip('/')}/{name}"
-        if fs.exists(spark, path):
-            df = spark.read.parquet(path)
-            if col not in df.columns and f"{col}_ms" in df.columns:
-                df = df.withColumn(col, F.timestamp_millis(f"{col}_ms"))
-            return df
-    raise FileNotFoundError(f"no {grain} table under {base_path}")
-
-
-def filter_range(df: DataFrame, period_col: str, advertiser_id=None, start=None, end=None,
-                 ad_ids=None) -> DataFrame:
-    """Sort-key and partition filters of a report.  The partition column
-    (``month`` yyyymm, ``day`` yyyymmdd or ``hour`` yyyymmddhh) gets its own filter: a filter on
-    the timestamp alone does not prune partitions."""
-    if advertiser_id is not None:
-        df = df.filter(F.col("advertiser_id") == advertiser_id)
+    """SRC-6: the stored table of a grain; of a streaming job's tables only the
+    batches that are complete."""
+    base = base_path.rstrip("/")
+    df = spark.read.parquet(f"{base}/{TABLE_DIRS[grain]}")
+    if fs.exists(spark, f"{base}/_commits"):
+        df = df.filter(F.col("batch_id") <= max((int(n) for n in fs.child_dirs(spark, f"{base}/_commits")), default=-1))
+    return df
+
+
+def filter_range(df: DataFrame, period_col: str, start=None, end=None, ad_ids=None) -> DataFrame:
+    """Time and ad filters of a report.  The partition column ``month`` gets its own
+    filter: one on the timestamp alone does not prune partitions."""
     if ad_ids:
         df = df.filter(F.col("ad_id").isin(list(ad_ids)))
-    part = next((c for c in ("month", "day", "hour") if c in df.columns), None)
 
-    def part_value(ts):
+    def month(ts):
         d = _as_datetime(ts)
-        ym = d.year * 100 + d.month
-        return {"month": ym, "day": ym * 100 + d.day, "hour": (ym * 100 + d.day) * 100 + d.hour}[part]
+        return d.year * 100 + d.month
 
     if start is not None:
-        df = df.filter(F.col(period_col) >= F.lit(start).cast("timestamp"))
-        if part:
-            df = df.filter(F.col(part) >= part_value(start))
+        df = df.filter((F.col(period_col) >= F.lit(start).cast("timestamp")) & (F.col("month") >= month(start)))
     if end is not None:
-        df = df.filter(F.col(period_col) < F.lit(end).cast("timestamp"))
-        if part:
-            df = df.filter(F.col(part) <= part_value(end))
+        df = df.filter((F.col(period_col) < F.lit(end).cast("timestamp")) & (F.col("month") <= month(end)))
     return df
 
 
+def current_rows(df: DataFrame, grain: str) -> DataFrame:
+    """Of a versioned table the rows in force: per minute key the latest version,
+    per hour or day the latest snapshot."""
+    if "batch_id" not in df.columns:
+        return df
+    col = GRAINS[grain]
+    if grain != "minute":
+        last = df.groupBy(col).agg(F.max("batch_id").alias("batch_id"))
+        return df.join(last, [col, "batch_id"], "left_semi")
+    keep = [col, *GROUP_KEYS, "advertiser_id", "click_count", "unique_sessions", "batch_id", "emit_seq"]
+    return latest_wins(df.select(*keep), key=(col, *GROUP_KEYS), values=("advertiser_id", "click_count", "unique_sessions"))
+
+
 def summarise(rows: DataFrame, period_col: str, by=("advertiser_id",)) -> DataFrame:
     """Report rows: clicks and (summed) sessions per period and ``by`` columns."""
     return (rows.groupBy(*by, period_col)
@@ -81,14 +78,15 @@ def click_report(spark: SparkSession, base_path: str, grain: str = "minute", adv
     """RPT-1 over stored tables: clicks and sessions per period and ``by``
     columns, optionally for one advertiser, some ads and a time range."""
     col = GRAINS[grain]
-    df = read_grain_table(spark, base_path, grain)
-    df = filter_range(df, col, advertiser_id, start, end, ad_ids)
-    if grain == "minute":
-        keep = ["window_start", *GROUP_KEYS, "advertiser_id", "click_count", "unique_sessions",
-                "batch_id", "emit_seq"]
-        df = latest_wins(df.select(*keep), key=("window_start", *GROUP_KEYS),
-                         values=("advertiser_id", "click_count", "unique_sessions"))
-    return summarise(df, col, by)
+    rows = filter_range(read_grain_table(spark, base_path, grain), col, start, end)
+    if grain == "minute":  # an ad is part of the versions' key; the advertiser is not
+        rows = filter_range(rows, col, ad_ids=ad_ids)
+    rows = current_rows(rows, grain)
+    if grain != "minute":
+        rows = filter_range(rows, col, ad_ids=ad_ids)
+    if advertiser_id is not None:
+        rows = rows.filter(F.col("advertiser_id") == advertiser_id)
+    return summarise(rows, col, by)
 
 
 def head_rows(df: DataFrame, n: int = 10, order=("window_start_ms", "ad_id", "country", "device_type")) -> DataFrame:

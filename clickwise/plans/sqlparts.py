@@ -3,10 +3,15 @@ functions, written as SQL so the oracle is an independent statement)."""
 
 from __future__ import annotations
 
-from clickwise.functions.device import MOBILE_MARKERS, TABLET_MARKERS
-from clickwise.functions.network import LOCAL_EXACT, LOCAL_PREFIXES
-from clickwise.functions.urls import REDIRECT_PREFIX, REDIRECT_SUFFIX
-from clickwise.sources.derived import ARRIVAL_SQL_COLUMNS, CLICKS_SQL, REQUESTS_SQL
+from clickwise.sources.derived import ARRIVAL_SQL_COLUMNS, CLICKS_SQL, REQUESTS_SQL, version_log_sql
+
+# Fixed values, stated here again and not taken from the code under test: device
+# markers, local addresses, stub URL parts.
+TABLET_MARKERS = ["ipad", "tablet", "kindle"]
+MOBILE_MARKERS = ["mobile", "android", "iphone", "windows phone", "blackberry"]
+LOCAL_PREFIXES = ("127.", "10.", "192.168.")
+LOCAL_EXACT = ("::1",)
+REDIRECT_PREFIX, REDIRECT_SUFFIX = "https://example.com?ad_id=", "&source=clickagg"
 
 
 def blank(x: str) -> str:
@@ -101,35 +106,6 @@ FROM {src}
 GROUP BY 1, 2, 3, 5, 6"""
 
 
-def emit_log_sql(batch_size: int, width_ms: int = 60000) -> str:
-    """CTE ``minute_log`` over ``arrivals``: the versioned re-emits."""
-    k = "window_start_ms, ad_id, country, device_type"
-    return f""",
-x AS (SELECT *, (timestamp_ms // {width_ms}) * {width_ms} AS window_start_ms,
-             seq // {batch_size} AS batch_id FROM arrivals),
-new_ids AS (SELECT {k}, b AS batch_id, count(*) AS nc
-            FROM (SELECT {k}, click_id, min(batch_id) AS b FROM x GROUP BY {k}, click_id)
-            GROUP BY {k}, b),
-new_sess AS (SELECT {k}, b AS batch_id, count(*) AS ns
-             FROM (SELECT {k}, session_id, min(batch_id) AS b FROM x
-                   WHERE session_id IS NOT NULL GROUP BY {k}, session_id)
-             GROUP BY {k}, b),
-touched AS (SELECT {k}, batch_id,
-                   min({{'ts': timestamp_ms, 'cid': click_id, 'adv': advertiser_id}}) AS first_ev
-            FROM x GROUP BY {k}, batch_id),
-per_batch AS (
-  SELECT t.*, coalesce(n.nc, 0) AS nc, coalesce(s.ns, 0) AS ns
-  FROM touched t
-  LEFT JOIN new_ids n USING ({k}, batch_id)
-  LEFT JOIN new_sess s USING ({k}, batch_id)
-),
-minute_log AS (
-  SELECT {k},
-         (min(first_ev) OVER w).adv AS advertiser_id,
-         CAST(sum(nc) OVER w AS BIGINT) AS click_count,
-         CAST(sum(ns) OVER w AS BIGINT) AS unique_sessions,
-         CAST(batch_id AS BIGINT) AS batch_id,
-         CAST(0 AS BIGINT) AS emit_seq
-  FROM per_batch
-  WINDOW w AS (PARTITION BY {k} ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-)"""
+def version_log() -> str:
+    """CTE ``minute_log`` over ``clicks``: the stored versions of the minute rows."""
+    return version_log_sql(minute_agg_body("clicks"))

@@ -34,25 +34,5 @@ CLICK_EVENT = T.StructType([
     T.StructField("timestamp_ms", T.LongType(), False),
 ])
 
-# Splitter output as a stream source: the partition column ``batch_id`` is
-# named in the schema so Spark fills it from the folder names consistently.
-ACCEPTED = T.StructType(CLICK_EVENT.fields + [T.StructField("batch_id", T.LongType(), True)])
-
-# Minute table row as stored (versioned log form).
-MINUTE_ROW = T.StructType([
-    T.StructField("window_start", T.TimestampType(), False),
-    T.StructField("ad_id", T.StringType(), False),
-    T.StructField("advertiser_id", T.StringType(), True),
-    T.StructField("country", T.StringType(), False),
-    T.StructField("device_type", T.StringType(), False),
-    T.StructField("click_count", T.LongType(), False),
-    T.StructField("unique_sessions", T.LongType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("emit_seq", T.LongType(), False),
-])
-
-# Key columns of the minute table (sort key order of the stored table).
+# Group columns of the minute table.
 GROUP_KEYS = ("ad_id", "country", "device_type")
-TABLE_SORT_KEY = ("advertiser_id", "ad_id", "window_start", "country", "device_type")
-HOURLY_SORT_KEY = ("advertiser_id", "ad_id", "window_hour", "country", "device_type")
-DAILY_SORT_KEY = ("advertiser_id", "ad_id", "window_day", "country", "device_type")

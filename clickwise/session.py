@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,25 +42,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    let_workers_import(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable SQL settings to an existing session."""
-    for k, v in BASE_CONF.items():
-        if k.startswith("spark.sql.") and "stateStore" not in k:
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a shared session: leave it
-                pass
+    """The one setting that results depend on; all others stay the caller's."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it (a folder that
+    executors see too; otherwise it comes with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is always used as is.
-    Only when it is unset (local tests) do we pick a scratch folder.
+    On a cluster the setting must name a folder that all executors share; a
+    scratch folder is picked only in local mode (tests), where there is one machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,15 +74,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="clickwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-# Input bytes per shuffle partition when sizing from the data (before partial
-# aggregation shrinks it; AQE then coalesces small partitions at runtime).
+# Input bytes per shuffle partition; map-side combining leaves a fraction of
+# them to shuffle.  The upper bound keeps the map status of a huge job in the
+# driver's memory (20,000 reducers for 100 TB are 5 GB of input each, before combining).
 BYTES_PER_SHUFFLE_PARTITION = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 20_000
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def input_bytes(spark: SparkSession, paths) -> int:
@@ -84,15 +96,15 @@ def input_bytes(spark: SparkSession, paths) -> int:
     return sum(fs.size_bytes(spark, p) for p in ([paths] if isinstance(paths, str) else paths))
 
 
+def shuffle_partitions_for(n_bytes: int, cores: int) -> int:
+    return max(cores, min(MAX_SHUFFLE_PARTITIONS, -(-n_bytes // BYTES_PER_SHUFFLE_PARTITION)))
+
+
 def size_shuffle_partitions(spark: SparkSession, paths, override: bool = False) -> int:
-    """Set ``spark.sql.shuffle.partitions`` (and AQE's initial partition count)
-    from the input size: ~256 MB of input per partition, at least the core
-    count.  100 TB gives ~400k initial partitions, which AQE coalesces to its
-    advisory size after the map side has combined.  A value the user set
-    explicitly is kept unless ``override``."""
-    if not override and spark.conf.get("spark.sql.shuffle.partitions", "200") != "200":
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(spark.sparkContext.defaultParallelism, -(-input_bytes(spark, paths) // BYTES_PER_SHUFFLE_PARTITION))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    """Set ``spark.sql.shuffle.partitions`` from the input size, at least the core
+    count.  A value the user set, 200 included, is kept unless ``override``."""
+    if not override and spark._jsparkSession.sessionState().conf().contains(SHUFFLE_PARTITIONS):
+        return int(spark.conf.get(SHUFFLE_PARTITIONS))
+    n = shuffle_partitions_for(input_bytes(spark, paths), spark.sparkContext.defaultParallelism)
+    spark.conf.set(SHUFFLE_PARTITIONS, str(n))
     return n

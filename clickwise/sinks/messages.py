@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clickwise.functions.timefmt import late_text
+from clickwise.sources.streams import add_frame, avro_schema
 
 AGGREGATE_FIELDS = ["window_start_ms", "window_end_ms", "ad_id", "advertiser_id", "country",
                     "device_type", "click_count", "unique_sessions"]
@@ -28,15 +29,16 @@ def aggregate_messages(aggregates: DataFrame) -> DataFrame:
                              F.to_json(F.struct(*AGGREGATE_FIELDS)).alias("value"))
 
 
-def event_messages(events: DataFrame, use_avro: bool = False, fields=None, keep=()) -> DataFrame:
+def event_messages(events: DataFrame, use_avro: bool = False, fields=None, keep=(), schema_id: int = 1) -> DataFrame:
     """SNK-4: key = ad id (same ad -> same partition), value = the event.
 
     JSON keeps null fields (as the Avro record does) so every message has
-    the same field set.  ``keep`` columns pass through beside key/value."""
+    the same field set; Avro values carry the registry frame that readers strip.
+    ``keep`` columns pass through beside key/value."""
     value = F.struct(*(fields or [c for c in events.columns if c not in keep]))
     if use_avro:
         from pyspark.sql.avro.functions import to_avro  # needs the spark-avro package
-        encoded = to_avro(value)
+        encoded = add_frame(to_avro(value, avro_schema()), schema_id)
     else:
         encoded = F.to_json(value, {"ignoreNullFields": "false"})
     return events.select(*keep, F.col("ad_id").alias("key"), encoded.alias("value"))

@@ -2,77 +2,97 @@
 
 Month partitions (``month=yyyymm``) give partition pruning; rows are sorted
 inside each file by the table's sort key so parquet row-group statistics skip
-most of a file for an advertiser/ad filter.  Writes overwrite only the month
-partitions present in the data (dynamic partition overwrite), so re-running
-a batch is idempotent.
+most of a file for an advertiser/ad filter.
+
+A write merges with the stored months it touches: rows of the same key are
+replaced, all others stay.  Each touched month is written whole to a folder
+beside the table and then swapped in, so a failed job leaves the old month.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from clickwise.functions.timefmt import to_yyyymm
+from clickwise.operators.storage import latest_wins
+from clickwise.schemas import GROUP_KEYS
 from clickwise.sources import fs
 
 
-def _write_partitioned(df: DataFrame, path: str, time_col: str, sort_key, mode: str) -> None:
-    out = df.withColumn("month", to_yyyymm(F.col(time_col)))
-    # Range-partition on (month, full sort key): sampled boundaries split a hot
-    # advertiser over many writer tasks, and every file holds one sorted key
-    # range, so row-group statistics skip most files for an advertiser filter.
-    (out.repartitionByRange("month", *sort_key)
-        .sortWithinPartitions("month", *sort_key)
-        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month").parquet(path))
+def sort_key(period_col: str) -> tuple[str, ...]:
+    """The stored tables' sort key."""
+    return ("advertiser_id", "ad_id", period_col, "country", "device_type")
+
+
+def write_sorted(df: DataFrame, path: str, period_col: str, *parts: str) -> None:
+    """Write ``df`` (with its partition columns ``parts``) range-partitioned and
+    sorted: sampled boundaries split a hot advertiser over many writer tasks,
+    and every file holds one sorted key range."""
+    key = (*parts, *sort_key(period_col))
+    (df.repartitionByRange(*key).sortWithinPartitions(*key)
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
+def replace_months(df: DataFrame, path: str, period_col: str) -> list[int]:
+    """Swap in the months of ``df`` (with column ``month``), whole."""
+    spark, stage = df.sparkSession, f"{path.rstrip('/')}__stage_{uuid.uuid4().hex}"
+    write_sorted(df, stage, period_col, "month")
+    months = [int(n.split("=")[1]) for n in fs.child_dirs(spark, stage)]
+    for m in months:
+        fs.swap(spark, f"{stage}/month={m}", f"{path.rstrip('/')}/month={m}")
+    fs.delete(spark, stage)
+    return months
 
 
-def write_minute_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK-5: minute rows with a TIMESTAMP ``window_start``."""
-    if "window_start" not in df.columns and "window_start_ms" in df.columns:
-        df = df.withColumn("window_start", F.timestamp_millis("window_start_ms")).drop("window_start_ms")
-    _write_partitioned(df, path, "window_start",
-                       ("advertiser_id", "ad_id", "window_start", "country", "device_type"), mode)
+def _with_period(df: DataFrame, col: str) -> DataFrame:
+    if col not in df.columns and f"{col}_ms" in df.columns:
+        df = df.withColumn(col, F.timestamp_millis(f"{col}_ms")).drop(f"{col}_ms")
+    return df
 
 
-def write_rollup_table(df: DataFrame, path: str, period_col: str, mode: str = "overwrite") -> None:
+def _merge(df: DataFrame, path: str, period_col: str, key: tuple[str, ...]) -> list[int]:
+    spark = df.sparkSession
+    new = df.withColumn("month", to_yyyymm(F.col(period_col)))
+    fs.recover(spark, path)
+    if fs.child_dirs(spark, path):
+        months = [r["month"] for r in new.select("month").distinct().collect()]  # a handful
+        stored = spark.read.parquet(path).filter(F.col("month").isin(months))
+        both = (stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True))
+        new = latest_wins(both, key=(*key, "month"), values=(), version=("_new",)).drop("_new")
+    return replace_months(new, path, period_col)
+
+
+def write_minute_table(df: DataFrame, path: str) -> list[int]:
+    """SNK-5: minute rows with a TIMESTAMP ``window_start``.  Stored versions stay
+    (readers take the latest): a row replaces only one of its own version."""
+    df = _with_period(df, "window_start")
+    version = tuple(c for c in ("batch_id", "emit_seq") if c in df.columns)
+    return _merge(df, path, "window_start", ("window_start", *GROUP_KEYS, *version))
+
+
+def write_rollup_table(df: DataFrame, path: str, period_col: str) -> list[int]:
     """SNK-6: hourly (``window_hour``) or daily (``window_day``) rows."""
-    if period_col not in df.columns and f"{period_col}_ms" in df.columns:
-        df = df.withColumn(period_col, F.timestamp_millis(f"{period_col}_ms")).drop(f"{period_col}_ms")
-    _write_partitioned(df, path, period_col,
-                       ("advertiser_id", "ad_id", period_col, "country", "device_type"), mode)
-
-
-def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> list:
-    """SNK-7 as a job, for every table layout (month, day or hour partitions;
-    TIMESTAMP or epoch-ms time column).
-
-    Partitions whose newest row is past the horizon are dropped as folders;
-    partitions holding some expired rows are rewritten without them (dynamic
-    partition overwrite touches only those partitions, sub-partitions kept).
-    Returns the outer partition values touched.
-    """
-    from clickwise.operators.retention import retained
-    from clickwise.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    df = spark.read.parquet(path)
-    parts = fs.partition_columns(spark, path)
-    outer = parts[0]
-    is_ms = time_col.endswith("_ms")
-    t = F.timestamp_millis(F.col(time_col)) if is_ms else F.col(time_col)
-    cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(years)} YEARS")
-    stats = (df.groupBy(outer).agg(F.max(t).alias("hi"), F.min(t).alias("lo"))
-               .filter(F.col("lo") <= cutoff)
-               .select(outer, (F.col("hi") <= cutoff).alias("whole")).collect())  # one row per partition
-    whole = [r[outer] for r in stats if r["whole"]]
-    partial = [r[outer] for r in stats if not r["whole"]]
-    if partial:
-        kept = retained(df.filter(F.col(outer).isin(partial)), time_col, now, years, is_ms=is_ms).checkpoint()
-        if outer == "month" and parts == ["month"]:
-            _write_partitioned(kept.drop("month"), path, time_col,
-                               ("advertiser_id", "ad_id", time_col, "country", "device_type"), "overwrite")
-        else:
-            (kept.repartition(outer).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy(*parts).parquet(path))
-    for v in whole:
-        fs.delete(spark, f"{path.rstrip('/')}/{outer}={v}")
-    return sorted(whole + partial)
+    return _merge(_with_period(df, period_col), path, period_col, (period_col, "advertiser_id", *GROUP_KEYS))
+
+
+def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> list[int]:
+    """SNK-7 as a job: months before the horizon's are dropped as folders, by their
+    names; the horizon's month is rewritten without its expired rows.  Returns the
+    months touched."""
+    from clickwise.operators.retention import expired_months, horizon, retained
+    fs.recover(spark, path)
+    months = [int(n.split("=")[1]) for n in fs.child_dirs(spark, path) if n.startswith("month=")]
+    whole = expired_months(months, now, years)
+    for m in whole:
+        fs.delete(spark, f"{path.rstrip('/')}/month={m}")
+    cut = horizon(now, years)
+    edge = cut.year * 100 + cut.month
+    if edge not in months:
+        return sorted(whole)
+    rows = spark.read.parquet(path).filter(F.col("month") == edge)
+    kept = retained(rows, time_col, now, years, is_ms=time_col.endswith("_ms"))
+    if not replace_months(kept, path, time_col):
+        fs.delete(spark, f"{path.rstrip('/')}/month={edge}")
+    return sorted([*whole, edge])

@@ -6,7 +6,12 @@ as SQL text (what the DuckDB oracle runs):
 * ``clicks``         — click events as they arrive on the raw-click stream
                        (already enriched), including exact replays.
 * ``click_requests`` — raw intake requests (before enrichment), including
-                       replays, for the ingest path.
+                       replays and ids that come again hours later, for the
+                       ingest path.
+
+and one of stored rows:
+
+* ``version_log``    — minute rows with earlier versions (``version_log``).
 
 Replays: every event whose id is a multiple of 10 arrives twice.  This is how
 duplicates enter the data; every row of ``events`` is used.
@@ -47,6 +52,15 @@ def _ts_ms() -> Column:
     return F.unix_millis(F.col("ts").cast("timestamp"))
 
 
+# Click ids that come again, by event_id % 50, and after how many hours.
+RECUR_EVERY = 50
+RECUR_AFTER_HOURS = {7: 1, 17: 20, 27: 25}
+# Every 9th click belongs to another advertiser than its ad's; a
+# session covers the clicks of a user with the same event_id % 400.
+OTHER_ADVERTISER_EVERY = 9
+SESSION_SPREAD = 400
+
+
 def _with_replays(events: DataFrame) -> DataFrame:
     """Every REPLAY_EVERY-th event arrives twice: one scan, a generator emits
     the copy (same result as a union with the filtered table, half the reads)."""
@@ -75,9 +89,9 @@ def clicks_from_events(events: DataFrame) -> DataFrame:
     out = events.select(
         F.concat(F.lit("c-"), _s(eid)).alias("click_id"),
         F.concat(F.lit("ad-"), _s(uid % N_ADS)).alias("ad_id"),
-        F.concat(F.lit("adv-"), _s(uid % N_ADVERTISERS)).alias("advertiser_id"),
+        F.concat(F.lit("adv-"), _s((uid + F.when(eid % OTHER_ADVERTISER_EVERY == 0, 1).otherwise(0)) % N_ADVERTISERS)).alias("advertiser_id"),
         F.when(uid % 3 != 0, F.concat(F.lit("pl-"), _s(uid % 3))).alias("placement_id"),
-        F.when(uid % NO_SESSION_EVERY != 0, F.concat(F.lit("sess-"), _s(uid))).alias("session_id"),
+        F.when(uid % NO_SESSION_EVERY != 0, F.concat(F.lit("sess-"), _s(uid), F.lit("-"), _s(eid % SESSION_SPREAD))).alias("session_id"),
         F.sha2(F.concat(F.lit("203.0.113."), _s(uid % 256)), 256).alias("hashed_ip"),
         ua.alias("user_agent"),
         F.when(uid % 7 == 0, F.lit(None).cast("string"))
@@ -89,21 +103,8 @@ def clicks_from_events(events: DataFrame) -> DataFrame:
     return _with_replays(out)
 
 
-_VIEWS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
-
-def _view(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """One DataFrame (a plan) per session, folder and view; queries share it."""
-    key = (id(spark), sf_dir, name)
-    hit = _VIEWS.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, build(load(spark, sf_dir, "events", EVENT_COLUMNS)))
-        _VIEWS[key] = hit
-    return hit[1]
-
-
 def load_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "clicks", clicks_from_events)
+    return clicks_from_events(load(spark, sf_dir, "events", EVENT_COLUMNS))
 
 
 _UA_SQL = "\n".join(
@@ -114,9 +115,9 @@ CLICKS_SQL = f"""
 clicks_base AS (
   SELECT 'c-' || event_id AS click_id,
          'ad-' || (user_id % {N_ADS}) AS ad_id,
-         'adv-' || (user_id % {N_ADVERTISERS}) AS advertiser_id,
+         'adv-' || ((user_id + CASE WHEN event_id % {OTHER_ADVERTISER_EVERY} = 0 THEN 1 ELSE 0 END) % {N_ADVERTISERS}) AS advertiser_id,
          CASE WHEN user_id % 3 <> 0 THEN 'pl-' || (user_id % 3) END AS placement_id,
-         CASE WHEN user_id % {NO_SESSION_EVERY} <> 0 THEN 'sess-' || user_id END AS session_id,
+         CASE WHEN user_id % {NO_SESSION_EVERY} <> 0 THEN 'sess-' || user_id || '-' || (event_id % {SESSION_SPREAD}) END AS session_id,
          sha256('203.0.113.' || (user_id % 256)) AS hashed_ip,
          CASE event_id % 6
            WHEN 0 THEN '{USER_AGENTS[0]}' WHEN 1 THEN '{USER_AGENTS[1]}' WHEN 2 THEN '{USER_AGENTS[2]}'
@@ -164,12 +165,21 @@ def requests_from_events(events: DataFrame) -> DataFrame:
         _ts_ms().alias("ts_ms"),
         eid.alias("event_id"),
     )
-    return _with_replays(out)
+    again = F.array().cast("array<long>")
+    for rest, hours in RECUR_AFTER_HOURS.items():
+        again = F.when(eid % RECUR_EVERY == rest, F.array(F.lit(hours * 3_600_000).cast("long"))).otherwise(again)
+    after = F.concat(F.array(F.lit(0).cast("long")), again)
+    return (_with_replays(out).withColumn("_after", F.explode(after))
+            .withColumn("ts_ms", F.col("ts_ms") + F.col("_after")).drop("_after"))
 
 
 def load_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "requests", requests_from_events)
+    return requests_from_events(load(spark, sf_dir, "events", EVENT_COLUMNS))
+
 
+_RECUR_SQL = "\n".join(
+    f"  UNION ALL SELECT * REPLACE (ts_ms + {h * 3_600_000} AS ts_ms) FROM requests_twice WHERE event_id % {RECUR_EVERY} = {r}"
+    for r, h in RECUR_AFTER_HOURS.items())
 
 REQUESTS_SQL = f"""
 requests_base AS (
@@ -191,10 +201,14 @@ requests_base AS (
          event_id
   FROM events
 ),
-requests AS (
+requests_twice AS (
   SELECT * FROM requests_base
   UNION ALL
   SELECT * FROM requests_base WHERE event_id % {REPLAY_EVERY} = 0
+),
+requests AS (
+  SELECT * FROM requests_twice
+{_RECUR_SQL}
 )"""
 
 
@@ -221,3 +235,32 @@ def ad_number(ad_id: Column) -> Column:
 
 ARRIVAL_SQL_COLUMNS = (f"event_id + CASE WHEN event_id % {LATE_EVERY} = 0 THEN {LATE_SHIFT} ELSE 0 END AS seq, "
                        f"CAST(split_part(ad_id, '-', 2) AS BIGINT) % {N_SOURCE_PARTS} AS part")
+
+
+# --------------------------------------------------------- version log ---
+
+def version_log(minutes: DataFrame) -> DataFrame:
+    """Minute rows as stored over time: an ad's rows have one to three versions
+    (ad number % 3 + 1).  The last version holds the row's values; one that is j
+    versions older counts j clicks more and names the advertiser j further on."""
+    ad = ad_number(F.col("ad_id"))
+    older = ad % 3 - F.col("batch_id")
+    return (minutes.withColumn("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), ad % 3)))
+                   .select("window_start_ms", "ad_id", "country", "device_type",
+                           F.concat(F.lit("adv-"), _s((ad_number(F.col("advertiser_id")) + older) % N_ADVERTISERS)).alias("advertiser_id"),
+                           (F.col("click_count") + older).alias("click_count"), "unique_sessions", "batch_id",
+                           F.lit(0).cast("long").alias("emit_seq")))
+
+
+def version_log_sql(minutes: str) -> str:
+    """CTE ``minute_log`` over the query ``minutes``."""
+    return f""",
+minute_rows AS ({minutes}),
+versions AS (SELECT *, CAST(split_part(ad_id, '-', 2) AS BIGINT) % 3 AS last,
+                    unnest(range(0, CAST(split_part(ad_id, '-', 2) AS BIGINT) % 3 + 1)) AS batch_id FROM minute_rows),
+minute_log AS (
+  SELECT window_start_ms, ad_id, country, device_type,
+         'adv-' || ((CAST(split_part(advertiser_id, '-', 2) AS BIGINT) + last - batch_id) % {N_ADVERTISERS}) AS advertiser_id,
+         click_count + last - batch_id AS click_count, unique_sessions, batch_id, CAST(0 AS BIGINT) AS emit_seq
+  FROM versions
+)"""

@@ -9,31 +9,45 @@ of JSON / parquet files — the path every test takes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clickwise.config import JobConfig
 from clickwise.schemas import CLICK_EVENT, CLICK_REQUEST
 
-# Fixed value: size of the schema-registry frame (magic byte + 4-byte schema id).
+# Schema-registry frame (magic byte 0, 4-byte schema id) and the
+# symbols of the device type enum, in their encoded order.
 REGISTRY_FRAME_BYTES = 5
+DEVICE_SYMBOLS = ["DESKTOP", "MOBILE", "TABLET", "UNKNOWN"]
 
 
-def _avro_schema_json(schema: T.StructType) -> str:
-    import json
+def avro_schema(schema: T.StructType = CLICK_EVENT) -> str:
+    """The record's Avro schema: required fields plain, optional ones a union with
+    null, the device type an enum (encoded as the symbol's number, not as text)."""
     kinds = {T.StringType: "string", T.LongType: "long", T.IntegerType: "int", T.BooleanType: "boolean"}
     fields = []
     for f in schema.fields:
-        t = kinds[type(f.dataType)]
-        fields.append({"name": f.name, "type": ["null", t] if f.nullable else t})
+        t = {"type": "enum", "name": "DeviceType", "symbols": DEVICE_SYMBOLS} if f.name == "device_type" else kinds[type(f.dataType)]
+        fields.append({"name": f.name, "type": ["null", t], "default": None} if f.nullable else {"name": f.name, "type": t})
     return json.dumps({"type": "record", "name": "ClickEvent", "namespace": "clickwise", "fields": fields})
 
 
+def add_frame(value: Column, schema_id: int) -> Column:
+    """Put the registry frame before an Avro body."""
+    return F.concat(F.unhex(F.lit(f"00{schema_id:08x}")), value)
+
+
+def strip_frame(value: Column) -> Column:
+    """An Avro body without its registry frame."""
+    return F.substring(value, REGISTRY_FRAME_BYTES + 1, F.length(value) - REGISTRY_FRAME_BYTES)
+
+
 def decode_values(raw: DataFrame, schema: T.StructType, encoding: str = "json") -> DataFrame:
     """SRC-2: Kafka ``value`` bytes -> typed columns, with the Kafka partition kept."""
     if encoding == "avro":
         from pyspark.sql.avro.functions import from_avro  # needs the spark-avro package
-        body = F.expr(f"substring(value, {REGISTRY_FRAME_BYTES + 1}, length(value) - {REGISTRY_FRAME_BYTES})")
-        rec = from_avro(body, _avro_schema_json(schema))
+        rec = from_avro(strip_frame(F.col("value")), avro_schema(schema))
     else:
         rec = F.from_json(F.col("value").cast("string"), schema)
     return raw.select(rec.alias("r"), F.col("partition").alias("source_partition")).select("r.*", "source_partition")
@@ -41,9 +55,10 @@ def decode_values(raw: DataFrame, schema: T.StructType, encoding: str = "json")
 
 def kafka_stream(spark: SparkSession, cfg: JobConfig, topic: str, schema: T.StructType,
                  encoding: str = "json") -> DataFrame:
-    """SRC-1: the topic from the earliest offset, value only."""
+    """SRC-1: the topic from the earliest offset, a bounded number of records per micro-batch."""
     raw = (spark.readStream.format("kafka")
            .option("kafka.bootstrap.servers", cfg.kafka_bootstrap_servers)
+           .option("maxOffsetsPerTrigger", cfg.max_offsets_per_trigger)
            .option("subscribe", topic).option("startingOffsets", "earliest").load())
     return decode_values(raw, schema, encoding)
 

@@ -1,15 +1,4 @@
-"""Parquet table loading with explicit column pruning.
-
-A table is listed and its footer schema read once per session; later queries
-reuse that DataFrame (a plan, not data), and the ``select`` on top becomes the
-scan's ReadSchema.
-
-A table that yields fewer scan splits than the session has cores (one small
-file, one row group) is spread round-robin so the first stage of a query
-does not run on a single core.  Column pruning and filters still reach the
-scan below that exchange.  Inputs of many files — any cluster-sized table —
-already have more splits than cores and are read as they are.
-"""
+"""Parquet table loading with explicit column pruning."""
 
 from __future__ import annotations
 
@@ -17,25 +6,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-# (session id, path) -> (session, DataFrame).  The session is held so its id
-# cannot be reused by a later session while the entry exists.
-_TABLES: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one table; ``columns`` becomes the scan's ReadSchema."""
-    key = (id(spark), table_path(sf_dir, name))
-    hit = _TABLES.get(key)
-    if hit is not None and hit[0] is spark:
-        df = hit[1]
-    else:
-        df = spark.read.parquet(key[1])
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        _TABLES[key] = (spark, df)
+    """Read one table, listed anew at each call; ``columns`` becomes the scan's ReadSchema."""
+    df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df

@@ -29,6 +29,17 @@ def ingest_stream(requests: DataFrame, cfg: JobConfig = JobConfig(),
     return deduped.observe("published", F.count(F.lit(1)).alias("published"))
 
 
+def intake_counts(progress: list[dict]) -> dict[str, int]:
+    """FLT-4 over a query's progress reports: requests, published, too_old (older
+    than the dedup horizon, dropped by the watermark) and duplicates (the rest)."""
+    def seen(p, name, field):
+        return ((p.get("observedMetrics") or {}).get(name) or {}).get(field) or 0
+    requests = sum(seen(p, "intake", "requests") for p in progress)
+    published = sum(seen(p, "published", "published") for p in progress)
+    too_old = sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators") or [])
+    return {"requests": requests, "published": published, "too_old": too_old, "duplicates": requests - published - too_old}
+
+
 def start_ingest(requests: DataFrame, out_path: str | None, checkpoint: str, cfg: JobConfig = JobConfig(),
                  trigger: dict | None = None, country: enrich.Step = enrich.stub_country,
                  kafka_servers: str | None = None, use_avro: bool = False):

@@ -1,10 +1,11 @@
 """STR-9 / STR-11: the named aggregation job.
 
-``run_aggregation`` wires Q2 (late splitter) and Q3 (window aggregate) over a
-click-event stream; ``run_ingest`` starts Q1.  Every query has its own
-checkpoint folder under ``checkpoint_root`` (offsets + commit log per
-micro-batch: the exactly-once role of the reference's periodic checkpoints);
-the trigger interval plays the checkpoint-cadence role.
+``run_aggregation`` reads click events, splits late ones off and keeps the minute
+and rollup tables, in one query: the tables see exactly the rows the splitter
+accepts.  Its checkpoint folder holds offsets and the commit log per micro-batch
+(the exactly-once role of the reference's periodic checkpoints); the trigger
+interval plays the checkpoint-cadence role.  A failed task, and so a failed
+insert, is retried by Spark (``spark.task.maxFailures``, 4 attempts by default).
 """
 
 from __future__ import annotations
@@ -14,39 +15,28 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from clickwise.config import JobConfig
-from clickwise.schemas import ACCEPTED
-from clickwise.sources.streams import click_event_stream, file_stream
-from clickwise.streaming.splitter import ensure_dir, start_splitter
-from clickwise.streaming.window_agg import start_aggregation
+from clickwise.sources.streams import click_event_stream
+from clickwise.streaming.minutes import MinuteTables
+from clickwise.streaming.splitter import start_splitter
 
 
 @dataclass
 class AggregationPaths:
     events: str          # click-event folder (when not reading Kafka)
-    split_base: str      # splitter outputs: accepted/, late/, late_text/, ledger/
-    tables_base: str     # minute_log/, hourly/, daily/
+    split_base: str      # splitter outputs: late/, late_text/, ledger/ (accepted/ if kept)
+    tables_base: str     # clicks_1min/, clicks_hourly/, clicks_daily/
     checkpoint_root: str
 
 
 def run_aggregation(spark: SparkSession, cfg: JobConfig, paths: AggregationPaths, fmt: str = "json",
-                    use_kafka: bool = False, part_col: str | None = None, rollup_mode: str = "latest",
+                    use_kafka: bool = False, encoding: str = "json", part_col: str | None = None,
                     trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                    mode: str = "stateful"):
-    """Start Q2 and Q3; returns both StreamingQuery handles.
-
-    ``mode="partials"`` runs no Q3: the splitter writes per-batch partial
-    states (exploded ids + session sketch) and the minute view is their merge
-    at read time (``read_minutes_from_partials``) — no window state at all,
-    which suits keys hot enough to make a per-window id set large.
-    """
+                    keep_accepted: bool = False, jdbc: dict | None = None):
+    """Start the job; returns its StreamingQuery.  ``jdbc`` (see ``JobConfig.jdbc``)
+    also appends each minute-row version to a database table."""
     events = click_event_stream(spark, cfg, paths.events, fmt, max_files_per_trigger=max_files_per_trigger,
-                                use_kafka=use_kafka)
-    q2 = start_splitter(events, paths.split_base, f"{paths.checkpoint_root}/splitter", cfg, part_col, trigger,
-                        write_partials=(mode == "partials"))
-    if mode == "partials":
-        return q2, None
-    ensure_dir(spark, f"{paths.split_base}/accepted")
-    accepted = file_stream(spark, f"{paths.split_base}/accepted", ACCEPTED, "parquet")
-    q3 = start_aggregation(accepted, paths.tables_base, f"{paths.checkpoint_root}/aggregate", cfg,
-                           rollup_mode, trigger)
-    return q2, q3
+                                use_kafka=use_kafka, encoding=encoding)
+    tables = MinuteTables(paths.tables_base, cfg, jdbc if jdbc is not None else cfg.jdbc)
+    return start_splitter(events, paths.split_base, f"{paths.checkpoint_root}/splitter", cfg, part_col, trigger,
+                          keep_accepted=keep_accepted, tables=tables,
+                          late_topic_servers=cfg.kafka_bootstrap_servers if use_kafka else None)

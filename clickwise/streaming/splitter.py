@@ -24,9 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickwise.config import JobConfig
 from clickwise.functions.timefmt import late_text
-from clickwise.operators.aggregate import merge_partials, normalize_keys, session_sketch
 from clickwise.operators.lateness import is_late, window_end_ms
-from clickwise.schemas import GROUP_KEYS
 from clickwise.sinks.messages import kafka_available, late_messages, write_messages
 from clickwise.sources import fs
 
@@ -36,24 +34,21 @@ LEDGER_SCHEMA = T.StructType([T.StructField("part", T.LongType()),
                              T.StructField("last_active_ms", T.LongType())])
 
 
-def ensure_dir(spark: SparkSession, path: str) -> None:
-    """Create a folder (a stream source needs it to exist)."""
-    fs.mkdirs(spark, path)
-
-
 class LateSplitter:
-    """A ``foreachBatch`` function.  Outputs under ``base``: accepted/, late/,
-    late_text/, ledger/ — each partitioned by ``batch_id``."""
+    """A ``foreachBatch`` function.  Outputs under ``base``: late/, late_text/,
+    ledger/ and, with ``keep_accepted``, accepted/ — each by ``batch_id``; only the
+    last two ledgers are kept.  ``tables`` is called with the accepted rows."""
 
     def __init__(self, base: str, cfg: JobConfig = JobConfig(), part_col: str | None = None,
-                 clock=lambda: int(time.time() * 1000), write_partials: bool = False,
-                 late_topic_servers: str | None = None):
+                 clock=lambda: int(time.time() * 1000), keep_accepted: bool = True,
+                 late_topic_servers: str | None = None, tables=None):
         self.base = base.rstrip("/")
         self.cfg = cfg
         self.part_col = part_col
         self.clock = clock
-        self.write_partials = write_partials
+        self.keep_accepted = keep_accepted
         self.late_topic_servers = late_topic_servers
+        self.tables = tables
 
     def path(self, name: str, batch_id: int | None = None) -> str:
         p = f"{self.base}/{name}"
@@ -62,8 +57,10 @@ class LateSplitter:
     def watermark_ms(self, spark: SparkSession, batch_id: int):
         """Watermark in force for ``batch_id`` (None before any data)."""
         prev = self.path("ledger", batch_id - 1)
-        if batch_id == 0 or not fs.exists(spark, prev):
+        if batch_id == 0 or not fs.child_dirs(spark, self.path("ledger")):
             return None
+        if not fs.exists(spark, prev):
+            raise FileNotFoundError(f"{prev} is gone: only the last batch can be replayed")
         rows = spark.read.parquet(prev).collect()  # one row per source partition
         if not rows:
             return None
@@ -91,37 +88,24 @@ class LateSplitter:
                 F.max("timestamp_ms").alias("max_event_ms"),
                 F.sum(F.col("is_late").cast("long")).alias("_late")).collect()
             cols = list(batch.columns)
-            (x.filter(~F.col("is_late")).select(*cols)
-              .write.mode("overwrite").parquet(self.path("accepted", batch_id)))
+            accepted = x.filter(~F.col("is_late")).select(*cols)
+            if self.keep_accepted:
+                accepted.write.mode("overwrite").parquet(self.path("accepted", batch_id))
             if any(r["_late"] for r in stats):
                 late = x.filter(F.col("is_late"))
                 late.select(*cols, "window_end_ms", F.lit(wm).cast("long").alias("watermark_ms")) \
                     .write.mode("overwrite").parquet(self.path("late", batch_id))
                 late.select(late_text("click_id", "ad_id").alias("value")) \
                     .write.mode("overwrite").text(self.path("late_text", batch_id))
-                if self.late_topic_servers and kafka_available(spark):
+                if self.late_topic_servers:
                     # SNK-2: the same records to the late topic (at-least-once on replay)
                     write_messages(late_messages(late), self.cfg.late_clicks_topic, self.late_topic_servers, None)
-            if self.write_partials:
-                self._write_partials(x.filter(~F.col("is_late")), batch_id)
+            if self.tables:
+                self.tables(accepted, batch_id, wm)
             self._write_ledger(spark, stats, batch_id)
         finally:
             x.unpersist()
 
-    def _write_partials(self, accepted: DataFrame, batch_id: int) -> None:
-        """State-free window aggregation: this batch's partial states — the
-        exploded id set and a session sketch per (window, key) — under
-        ``batch_id``; ``read_minutes_from_partials`` merges them (AGG-5)."""
-        w_ms = self.cfg.window_minutes * 60_000
-        x = normalize_keys(accepted).withColumn(
-            "window_start_ms", (F.floor(F.col("timestamp_ms") / w_ms) * w_ms).cast("long"))
-        keys = ["window_start_ms", *GROUP_KEYS]
-        x.select(*keys, "click_id").distinct() \
-         .write.mode("overwrite").parquet(self.path("partial_ids", batch_id))
-        x.groupBy(*keys).agg(session_sketch(self.cfg.hll_precision),
-                             F.min(F.struct("timestamp_ms", "click_id", "advertiser_id")).alias("first_event")) \
-         .write.mode("overwrite").parquet(self.path("partial_sketches", batch_id))
-
     def _write_ledger(self, spark: SparkSession, stats, batch_id: int) -> None:
         """Cumulative ledger for ``batch_id``: per source partition the max
         event time so far and when it was last active (a few rows)."""
@@ -137,30 +121,26 @@ class LateSplitter:
         rows = [(p, m, a) for p, (m, a) in sorted(led.items())]
         spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1) \
              .write.mode("overwrite").parquet(self.path("ledger", batch_id))
+        # A replay of this batch needs the ledger before it; no older one is read again.
+        if batch_id >= 2:
+            fs.delete(spark, self.path("ledger", batch_id - 2))
 
 
 def current_watermark_ms(spark: SparkSession, base: str, cfg: JobConfig = JobConfig()):
     """The watermark the splitter would apply to its next batch (None before data)."""
-    ledger = f"{base.rstrip('/')}/ledger"
-    if not fs.exists(spark, ledger):
-        return None
-    last = spark.read.parquet(ledger).agg(F.max("batch_id")).first()[0]
-    if last is None:
-        return None
-    return LateSplitter(base, cfg).watermark_ms(spark, last + 1)
-
-
-def read_minutes_from_partials(spark: SparkSession, base: str) -> DataFrame:
-    """Minute rows merged from the splitter's partials (no streaming state)."""
-    base = base.rstrip("/")
-    ids = spark.read.parquet(f"{base}/partial_ids").drop("batch_id")
-    sketches = spark.read.parquet(f"{base}/partial_sketches").drop("batch_id")
-    return merge_partials(ids, sketches, window_col="window_start_ms")
+    last = max((int(n.split("=")[1]) for n in fs.child_dirs(spark, f"{base.rstrip('/')}/ledger")), default=None)
+    return None if last is None else LateSplitter(base, cfg).watermark_ms(spark, last + 1)
 
 
 def start_splitter(events: DataFrame, base: str, checkpoint: str, cfg: JobConfig = JobConfig(),
-                   part_col: str | None = None, trigger: dict | None = None, write_partials: bool = False):
-    w = (events.writeStream.foreachBatch(LateSplitter(base, cfg, part_col, write_partials=write_partials))
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(**(trigger or {"processingTime": f"{cfg.trigger_seconds} seconds"}))
-    return w.start()
+                   part_col: str | None = None, trigger: dict | None = None, keep_accepted: bool = True,
+                   late_topic_servers: str | None = None, tables=None):
+    """Start Q2.  The watermark follows the source partitions where the stream names
+    them (``source_partition``, as read from the topic), else ``part_col``."""
+    if late_topic_servers and not kafka_available(events.sparkSession):
+        raise RuntimeError("a late topic is configured, but the Kafka package is not on the class path")
+    if part_col is None and "source_partition" in events.columns:
+        part_col = "source_partition"
+    splitter = LateSplitter(base, cfg, part_col, keep_accepted=keep_accepted, late_topic_servers=late_topic_servers, tables=tables)
+    w = events.writeStream.foreachBatch(splitter).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": f"{cfg.trigger_seconds} seconds"})).start()

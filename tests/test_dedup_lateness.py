@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from clickwise.operators import dedup, lateness
 from clickwise.sources import derived
@@ -45,16 +45,29 @@ def test_hot_id_single_period(spark):
     assert got == [("cold", 5, 99999), ("hot", 1000, 0)]
 
 
-def test_chunked_audit_equals_plain_window(spark):
+def test_chunked_audit_equals_brute_force(spark):
     arr = derived.with_arrival(derived.load_clicks(spark, SF01))
-    small_chunks = lateness.lateness_audit(arr, window_ms=3_600_000, chunk=97)
-    w = Window.partitionBy("part").orderBy("seq", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    plain = arr.withColumn("max_before_ms", F.max("timestamp_ms").over(w))
-    a = sorted(tuple(r) for r in small_chunks.select("event_id", "seq", "part", "max_before_ms").collect())
-    b = sorted(tuple(r) for r in plain.select("event_id", "seq", "part", "max_before_ms").collect())
-    assert a == b
-    n_late = small_chunks.filter("is_late").count()
-    assert 0 < n_late < small_chunks.count()
+    n = derived.N_SOURCE_PARTS
+    got = {(r.event_id, r.seq, r.part, r.max_before_ms): r.is_late
+           for r in lateness.lateness_audit(arr, n, window_ms=3_600_000, chunk=97).collect()}
+    rows = sorted(arr.select("seq", "event_id", "part", "timestamp_ms").collect())
+    seen, expect = {}, {}
+    for r in rows:
+        low = min(seen.values()) if seen else None
+        end = r.timestamp_ms // 3_600_000 * 3_600_000 + 3_600_000
+        expect[(r.event_id, r.seq, r.part, low)] = low is not None and end + 30_000 <= low - 10_000
+        seen[r.part] = max(seen.get(r.part, 0), r.timestamp_ms)
+    assert got == expect and 0 < sum(got.values()) < len(got)
+
+
+def test_building_the_dedup_needs_only_narrow_columns(spark):
+    """No id passes twice: the plan is one aggregation of the payload; ids that pass
+    again join it once."""
+    rows = [(f"id-{i}", 1000 + i, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "click_id string, timestamp_ms long, event_id long")
+    assert "Join" not in dedup.first_sight(df, tiebreak=("event_id",))._jdf.queryExecution().executedPlan().toString()
+    more = df.union(spark.createDataFrame([("id-3", 1003 + DAY, 99)], df.schema))
+    assert dedup.first_sight(more, tiebreak=("event_id",)).count() == 51
 
 
 def test_late_rule_t1(spark):

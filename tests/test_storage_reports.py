@@ -5,12 +5,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from clickwise.operators import rollup, storage, versioning
+from clickwise.operators import rollup, storage
 from clickwise.operators.retention import expired_months, retained
 from clickwise.plans import report
 from clickwise.sinks.tables import apply_retention, write_minute_table, write_rollup_table
 from clickwise.sources import derived
-from clickwise.operators.aggregate import normalize_keys, window_aggregate
+from clickwise.operators.aggregate import window_aggregate
 from tests.conftest import SF001
 
 LOG_SCHEMA = ("window_start_ms long, ad_id string, country string, device_type string, advertiser_id string, "
@@ -23,8 +23,7 @@ def test_latest_wins_picks_highest_version(spark):
     log = spark.createDataFrame(rows, LOG_SCHEMA)
     key = ("window_start_ms", "ad_id", "country", "device_type")
     a = sorted(tuple(r) for r in storage.latest_wins(log, key=key).select(*key, "click_count", "batch_id").collect())
-    b = sorted(tuple(r) for r in storage.latest_wins_rownumber(log, key=key).select(*key, "click_count", "batch_id").collect())
-    assert a == b == [(0, "ad-1", "US", "DESKTOP", 3, 2), (60000, "ad-1", "US", "DESKTOP", 7, 0)]
+    assert a == [(0, "ad-1", "US", "DESKTOP", 3, 2), (60000, "ad-1", "US", "DESKTOP", 7, 0)]
 
 
 def test_sum_collapse_drops_all_zero_keys(spark):
@@ -32,19 +31,66 @@ def test_sum_collapse_drops_all_zero_keys(spark):
     assert sorted(tuple(r) for r in storage.sum_collapse(df, ["k"]).collect()) == [("k", 3, 1)]
 
 
-def test_emit_log_final_equals_batch_aggregate(spark):
-    clicks = derived.load_clicks(spark, SF001)
-    log = versioning.emit_log(derived.with_arrival(normalize_keys(clicks)), 60_000, batch_size=8)
+def test_version_log_resolves_to_the_minute_rows(spark):
+    minutes = window_aggregate(derived.load_clicks(spark, SF001), "1 minute", exact_sessions=True)
+    log = derived.version_log(minutes)
     key = ("window_start_ms", "ad_id", "country", "device_type")
-    final = storage.latest_wins(log, key=key).select(*key, "advertiser_id", "click_count", "unique_sessions")
-    direct = window_aggregate(clicks, "1 minute", exact_sessions=True).select(*key, "advertiser_id", "click_count",
-                                                                               "unique_sessions")
-    assert sorted(map(tuple, final.collect())) == sorted(map(tuple, direct.collect()))
-    # re-emits exist (a window touched by more than one batch)
-    assert log.groupBy(*key).count().filter("count > 1").count() >= 0
+    cols = [*key, "advertiser_id", "click_count", "unique_sessions"]
+    latest = storage.latest_wins(log, key=key)
+    assert sorted(map(tuple, latest.select(*cols).collect())) == sorted(map(tuple, minutes.select(*cols).collect()))
+    per_key = log.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("advertiser_id").alias("advs"))
+    assert {r.n for r in per_key.select("n").distinct().collect()} == {1, 2, 3}
+    assert per_key.filter("n > 1 AND advs > 1").count() > 0
     h_latest, _ = rollup.rollups(log, "latest")
     h_sum, _ = rollup.rollups(log, "insert_sum")
-    assert h_sum.agg(F.sum("click_count")).first()[0] >= h_latest.agg(F.sum("click_count")).first()[0]
+    assert h_sum.agg(F.sum("click_count")).first()[0] > h_latest.agg(F.sum("click_count")).first()[0]
+
+
+def test_advertiser_filter_sees_only_current_rows(spark, tmp):
+    """A key whose advertiser changes from one version to the next belongs to the last one."""
+    t = dt.datetime(2024, 1, 5, 10, 0)
+    rows = [(t, "ad-1", "adv-1", "US", "DESKTOP", 3, 1, 0, 0), (t, "ad-1", "adv-2", "US", "DESKTOP", 4, 1, 1, 0)]
+    df = spark.createDataFrame(rows, "window_start timestamp, ad_id string, advertiser_id string, country string, device_type string, "
+                                     "click_count long, unique_sessions long, batch_id long, emit_seq long")
+    write_minute_table(df, f"{tmp}/clicks_1min")
+
+    def clicks(**kw):
+        return [r.click_count for r in report.click_report(spark, tmp, "minute", **kw).collect()]
+    assert clicks() == [4] and clicks(advertiser_id="adv-1") == [] and clicks(advertiser_id="adv-2") == [4]
+
+
+def test_writing_part_of_a_month_keeps_the_rest(spark, tmp):
+    m = _minutes(spark)
+    day = F.dayofmonth("window_start")
+    path = f"{tmp}/clicks_1min"
+    write_minute_table(m.filter(day == 1), path)
+    write_minute_table(m.filter(day == 2), path)
+    write_minute_table(m.filter(day == 2), path)  # again: replaces its own rows
+    assert spark.read.parquet(path).count() == m.filter(day <= 2).count()
+    hours = rollup.hourly(m.withColumn("window_start_ms", F.unix_millis("window_start")))
+    hour_day = F.dayofmonth(F.timestamp_millis("window_hour_ms"))
+    for d in (1, 2, 2):
+        write_rollup_table(hours.filter(hour_day == d), f"{tmp}/clicks_hourly", "window_hour")
+    assert spark.read.parquet(f"{tmp}/clicks_hourly").count() == hours.filter(hour_day <= 2).count()
+
+
+def test_half_done_swap_is_undone(spark, tmp):
+    from clickwise.sources import fs
+    path = f"{tmp}/clicks_1min"
+    m = _minutes(spark)
+    write_minute_table(m, path)
+    import os
+    os.rename(f"{path}/month=202401", f"{path}/_old_month=202401")  # a crash between the two renames
+    fs.recover(spark, path)
+    assert spark.read.parquet(path).count() == m.count()
+
+
+def test_load_sees_appended_rows(spark, tmp):
+    from clickwise.sources.tables import load
+    spark.range(10).write.parquet(f"{tmp}/t.parquet")
+    assert load(spark, tmp, "t").count() == 10
+    spark.range(15).write.mode("append").parquet(f"{tmp}/t.parquet")
+    assert load(spark, tmp, "t").count() == 25
 
 
 def _minutes(spark):
@@ -81,7 +127,7 @@ def test_compaction_keeps_latest_rows(spark, tmp):
     m = _minutes(spark)
     older = m.withColumn("click_count", F.col("click_count") + 100).withColumn("batch_id", F.lit(-1).cast("long"))
     write_minute_table(m.unionByName(older), path)
-    storage.compact_months(spark, path)
+    assert storage.compact_months(spark, path) == [202401]
     back = spark.read.parquet(path)
     assert back.count() == m.count()
     assert back.agg(F.sum("click_count")).first()[0] == m.agg(F.sum("click_count")).first()[0]
@@ -100,7 +146,9 @@ def test_retention(spark, tmp):
     touched = apply_retention(spark, path, "window_start", "2026-01-10 00:00:00")
     assert touched == [202312, 202401]
     assert sorted(r.ad_id for r in spark.read.parquet(path).collect()) == ["c"]
-    assert expired_months([202312, 202401, 202402], 202601) == [202312]
+    assert expired_months([202312, 202401, 202402], "2026-01-10 00:00:00") == [202312]
+    plan = retained(spark.read.parquet(path), "window_start", "2026-01-10 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(window_start" in plan  # the cut-off reaches the scan
 
 
 def test_head_rows_is_top_n(spark):
@@ -131,6 +179,6 @@ def test_report_ad_filter_and_breakdown(spark, tmp):
     write_minute_table(m, f"{base}/clicks_1min")
     rep = report.click_report(spark, base, "minute", ad_ids=["ad-1", "ad-6"], by=("advertiser_id", "ad_id"))
     got = {(r.ad_id, r.advertiser_id) for r in rep.select("ad_id", "advertiser_id").distinct().collect()}
-    assert got and {a for a, _ in got} <= {"ad-1", "ad-6"} and all(adv == "adv-1" for _, adv in got)
+    assert got and {a for a, _ in got} <= {"ad-1", "ad-6"} and {adv for _, adv in got} == {"adv-1", "adv-2"}
     want = m.filter(F.col("ad_id").isin("ad-1", "ad-6")).agg(F.sum("click_count")).first()[0]
     assert rep.agg(F.sum("click_count")).first()[0] == want

@@ -3,15 +3,18 @@ for on-time / late-accepted / late-rejected rows (FIXTURES section 4)."""
 
 import json
 import os
+import re
 import time
 
 from pyspark.sql import functions as F, types as T
 
 from clickwise.config import JobConfig
-from clickwise.schemas import ACCEPTED, CLICK_EVENT
+from clickwise.schemas import CLICK_EVENT
+from clickwise.sources import fs
 from clickwise.sources.streams import file_stream
-from clickwise.streaming.splitter import LateSplitter, start_splitter
-from clickwise.streaming.window_agg import read_minutes, read_rollup, start_aggregation
+from clickwise.streaming.job import AggregationPaths, run_aggregation
+from clickwise.streaming.minutes import MinuteTables, committed_batch, read_final_minutes, read_minutes, read_rollup
+from clickwise.streaming.splitter import LateSplitter, current_watermark_ms, start_splitter
 
 BASE_MS = 1_704_067_200_000  # 2024-01-01 00:00:00 UTC
 
@@ -50,6 +53,19 @@ def write_batches(folder):
         os.utime(p, (now + i, now + i))
 
 
+PARTED = T.StructType(CLICK_EVENT.fields + [T.StructField("part", T.LongType())])
+
+
+def parted(spark, rows):
+    """A micro-batch of (click, "mm:ss", source partition[, ad])."""
+    return spark.createDataFrame([tuple((event(c, t) | ({"ad_id": ad[0]} if ad else {})).values()) + (p,)
+                                  for c, t, p, *ad in rows], PARTED)
+
+
+def minute_counts(spark, tables):
+    return {int((r.window_start.timestamp() * 1000 - BASE_MS) // 60000): r.click_count for r in read_minutes(spark, tables).collect()}
+
+
 def run_split(spark, tmp, cfg=JobConfig()):
     src = os.path.join(tmp, "events")
     write_batches(src)
@@ -78,61 +94,148 @@ def test_splitter_late_set_and_ledger(spark, tmp):
 def test_splitter_rerun_is_idempotent(spark, tmp):
     split = run_split(spark, tmp)
     before = sorted(tuple(r) for r in spark.read.parquet(f"{split}/accepted").collect())
-    # re-invoke batch 4 by hand with the same rows: same outputs
+    # re-invoke the last batch by hand with the same rows: same outputs
     splitter = LateSplitter(split, JobConfig())
-    rows = spark.createDataFrame([event(c, t) for c, t in BATCHES[4]], CLICK_EVENT)
-    splitter(rows, 4)
+    rows = spark.createDataFrame([event(c, t) for c, t in BATCHES[6]], CLICK_EVENT)
+    splitter(rows, 6)
     after = sorted(tuple(r) for r in spark.read.parquet(f"{split}/accepted").collect())
     assert before == after
     assert [r.click_id for r in spark.read.parquet(f"{split}/late").collect()] == ["c6"]
 
 
-def test_window_aggregate_final_counts(spark, tmp):
-    split = run_split(spark, tmp)
-    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
-    tables = os.path.join(tmp, "tables")
-    q = start_aggregation(accepted, tables, os.path.join(tmp, "ck-agg"), JobConfig(),
-                          trigger={"availableNow": True})
-    q.awaitTermination(180)
-    dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0)
-                  for p in q.recentProgress if p.get("stateOperators"))
-    assert dropped == 0
-    got = {(r.window_start_ms - BASE_MS) // 60000: (r.click_count, r.unique_sessions)
-           for r in read_minutes(spark, tables).collect()}
-    assert got == {0: (3, 3), 1: (3, 3), 3: (2, 2)}
-    from clickwise.streaming.window_agg import read_final_minutes
-    final = {(r.window_start_ms - BASE_MS) // 60000: r.click_count
-             for r in read_final_minutes(spark, tables, split).collect()}
-    assert final == {0: 3, 1: 3}  # watermark 03:21: minute 3 (ends 04:00) is still open
+def run_job(spark, tmp, **kw):
+    src = os.path.join(tmp, "events")
+    write_batches(src)
+    paths = AggregationPaths(src, os.path.join(tmp, "split"), os.path.join(tmp, "tables"), os.path.join(tmp, "ck"))
+    q = run_aggregation(spark, JobConfig(), paths, trigger={"availableNow": True}, max_files_per_trigger=1, **kw)
+    q.awaitTermination(300)
+    return paths
+
+
+def test_job_counts_rollups_and_report(spark, tmp):
+    from clickwise.plans.report import click_report
+    paths = run_job(spark, tmp)
+    tables = paths.tables_base
+    assert minute_counts(spark, tables) == {0: 3, 1: 3, 3: 2}
+    assert {r.unique_sessions for r in read_minutes(spark, tables).collect()} == {3, 2}
+    final = sorted(r.click_count for r in read_final_minutes(spark, tables, paths.split_base).collect())
+    assert final == [3, 3]  # watermark 03:21: minute 3 (ends 04:00) is still open
     hourly = read_rollup(spark, tables, "hourly").collect()
-    assert len(hourly) == 1 and hourly[0].click_count == 8
-    assert hourly[0].unique_sessions_est == 8
-    daily = read_rollup(spark, tables, "daily").collect()
-    assert daily[0].click_count == 8
+    assert [(r.click_count, r.unique_sessions_est) for r in hourly] == [(8, 8)]
+    assert [r.click_count for r in read_rollup(spark, tables, "daily").collect()] == [8]
+    # RPT-1 reads the job's tables
+    minute = {r.window_start.minute: r.click_count for r in click_report(spark, tables, "minute").collect()}
+    assert minute == {0: 3, 1: 3, 3: 2}
+    hour = click_report(spark, tables, "hour", advertiser_id="adv-1", start="2024-01-01 00:00:00", end="2024-01-01 01:00:00")
+    assert [r.click_count for r in hour.collect()] == [8]
+    assert click_report(spark, tables, "day", start="2024-01-02").count() == 0
+    # month partitions and time filters reach the scan of the streamed table
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = click_report(spark, tables, "hour", advertiser_id="adv-1", start="2024-01-01")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[[^]]*month#\d+ >= 202401", plan) and "EqualTo(advertiser_id,adv-1)" in plan
+    # the job keeps neither accepted clicks nor old ledgers
+    assert not fs.exists(spark, f"{paths.split_base}/accepted")
+    assert fs.child_dirs(spark, f"{paths.split_base}/ledger") == ["batch_id=5", "batch_id=6"]
+
+
+def test_lagging_partition_loses_no_accepted_click(spark, tmp):
+    """Partition 0 lags partition 1 by ten minutes: its clicks are accepted, so they count."""
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    splitter = LateSplitter(os.path.join(tmp, "split"), JobConfig(), part_col="part", clock=lambda: 0, tables=tables)
+    batches = [[("a1", "00:05", 0), ("b1", "10:00", 1)], [("a2", "00:20", 0), ("b2", "10:30", 1)],
+               [("a3", "00:40", 0), ("b3", "11:00", 1)], [("a4", "00:50", 0), ("b4", "11:30", 1)]]
+    for i, rows in enumerate(batches):
+        splitter(parted(spark, rows), i)
+    late = spark.read.parquet(f"{tmp}/split/late").count() if fs.exists(spark, f"{tmp}/split/late") else 0
+    accepted = spark.read.parquet(f"{tmp}/split/accepted").count()
+    counted = sum(minute_counts(spark, tables.base).values())
+    assert (accepted, late, counted) == (8, 0, 8)
+    assert minute_counts(spark, tables.base) == {0: 4, 10: 2, 11: 2}
+
+
+def test_replayed_batch_changes_nothing(spark, tmp):
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    b0 = parted(spark, [("a1", "00:05", 0), ("a2", "59:59", 0)]).drop("part")
+    b1 = parted(spark, [("a3", "00:10", 0), ("x1", "61:00", 0, "ad-2")]).drop("part")
 
+    def snapshot():
+        return (sorted((str(r.window_start), r.ad_id, r.click_count) for r in read_minutes(spark, tables.base).collect()),
+                sorted((str(r.window_hour), r.ad_id, r.click_count) for r in read_rollup(spark, tables.base, "hourly").collect()),
+                sorted((str(r.window_day), r.ad_id, r.click_count) for r in read_rollup(spark, tables.base, "daily").collect()))
 
-def test_insert_sum_mode_double_counts_reemits(spark, tmp):
-    split = run_split(spark, tmp)
-    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
-    tables = os.path.join(tmp, "tables")
-    q = start_aggregation(accepted, tables, os.path.join(tmp, "ck-agg"), JobConfig(), rollup_mode="insert_sum",
-                          trigger={"availableNow": True})
-    q.awaitTermination(180)
-    latest_total = sum(r.click_count for r in read_minutes(spark, tables).collect())
-    summed = read_rollup(spark, tables, "hourly", mode="insert_sum").agg(F.sum("click_count")).first()[0]
-    assert latest_total == 8
-    assert summed > latest_total  # T4: re-emitted windows are added again
+    tables(b0, 0)
+    tables(b1, 1)
+    first = snapshot()
+    assert [c for _, _, c in first[0]] == [2, 1, 1] and [c for _, _, c in first[2]] == [3, 1]
+    tables(b1, 1)  # replay
+    assert snapshot() == first
+    # a batch that failed before its commit is not seen
+    tables._partials(b1.withColumn("click_id", F.lit("zz")), 2)
+    tables._write(spark.createDataFrame([(BASE_MS, "ad-9", "adv-9", "US", "DESKTOP", 99, 99)],
+                                        "window_hour_ms long, ad_id string, advertiser_id string, country string, "
+                                        "device_type string, click_count long, unique_sessions long"), "clicks_hourly", "window_hour", 2)
+    assert committed_batch(spark, tables.base) == 1 and snapshot() == first
+
+
+def test_live_batch_is_written_by_many_tasks(spark, tmp):
+    """One hour, one hot ad: the minute rows still come from more than one task."""
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    rows = (spark.range(20_000).select(
+        F.concat(F.lit("c"), F.col("id")).alias("click_id"), F.lit("ad-1").alias("ad_id"), F.lit("adv-1").alias("advertiser_id"),
+        F.lit(None).cast("string").alias("placement_id"), F.concat(F.lit("s"), F.col("id") % 500).alias("session_id"), F.lit("h").alias("hashed_ip"),
+        F.lit("ua").alias("user_agent"), F.concat(F.lit("C"), F.col("id") % 50).alias("country"), F.lit("MOBILE").alias("device_type"),
+        (F.lit(BASE_MS) + (F.col("id") % 60) * 60_000).alias("timestamp_ms")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the rows were large
+    try:
+        tables(rows, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(minute_counts_all(spark, tables.base)) == 20_000
+    files = spark.read.parquet(f"{tables.base}/clicks_1min").select(F.input_file_name()).distinct().count()
+    assert files > 1
+
+
+def minute_counts_all(spark, base):
+    return [r.click_count for r in read_minutes(spark, base).collect()]
+
+
+def test_partials_of_closed_hours_go(spark, tmp):
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    tables(parted(spark, [("a1", "00:05", 0)]).drop("part"), 0, None)
+    tables(parted(spark, [("a2", "125:00", 0)]).drop("part"), 1, ms("120:00"))
+    hours = fs.child_dirs(spark, f"{tables.base}/_partials/ids")
+    assert hours == [f"hour={BASE_MS // 3_600_000 + 2}"]
+    assert minute_counts(spark, tables.base) == {0: 1, 125: 1}
+
+
+def test_job_writes_jdbc_rows_of_seven_columns(spark, tmp):
+    url = f"jdbc:derby:memory:clickwisejob{os.getpid()};create=true"
+    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    cfg_jdbc = JobConfig(jdbc_url=url, jdbc_driver=props["driver"]).jdbc
+    run_job(spark, tmp, jdbc=cfg_jdbc)
+    back = spark.read.jdbc(url, "clicks_1min", properties=props)
+    assert [c.lower() for c in back.columns] == ["window_start", "ad_id", "advertiser_id", "country", "device_type",
+                                                 "click_count", "unique_sessions"]
+    best = back.groupBy("window_start").agg(F.max("click_count").alias("c"))
+    assert sorted(r.c for r in best.collect()) == [2, 3, 3]
+
+
+def test_late_topic_without_the_package_fails(spark, tmp):
+    import pytest
+    events = file_stream(spark, tmp, CLICK_EVENT, "json")
+    with pytest.raises(RuntimeError):
+        start_splitter(events, f"{tmp}/s", f"{tmp}/c", late_topic_servers="localhost:9092")
 
 
 def test_idle_partition_leaves_the_watermark(spark, tmp):
     """STR-2: a source partition silent for longer than the idle timeout no
     longer holds the watermark back."""
-    schema = T.StructType(CLICK_EVENT.fields + [T.StructField("part", T.LongType())])
     clock = {"now": 0}
     splitter = LateSplitter(os.path.join(tmp, "split"), JobConfig(), part_col="part", clock=lambda: clock["now"])
 
     def batch(rows):
-        return spark.createDataFrame([tuple(event(c, t).values()) + (p,) for c, t, p in rows], schema)
+        return parted(spark, rows)
 
     splitter(batch([("a1", "00:05", 0), ("b1", "10:00", 1)]), 0)
     # both partitions active: watermark = min(00:05, 10:00) - 10 s -> nothing late
@@ -147,23 +250,7 @@ def test_idle_partition_leaves_the_watermark(spark, tmp):
     splitter(batch([("a2", "00:06", 0)]), 3)
     late = [r.click_id for r in spark.read.parquet(f"{tmp}/split/late").collect()]
     assert late == ["a2"]
-
-
-def test_run_aggregation_wires_both_queries(spark, tmp):
-    from clickwise.streaming.job import AggregationPaths, run_aggregation
-    src = os.path.join(tmp, "events")
-    write_batches(src)
-    paths = AggregationPaths(src, os.path.join(tmp, "split"), os.path.join(tmp, "tables"), os.path.join(tmp, "ck"))
-    q2, q3 = run_aggregation(spark, JobConfig(), paths, trigger={"processingTime": "1 second"},
-                             max_files_per_trigger=1)
-    try:
-        q2.processAllAvailable()
-        q3.processAllAvailable()
-    finally:
-        q2.stop()
-        q3.stop()
-    got = {(r.window_start_ms - BASE_MS) // 60000: r.click_count for r in read_minutes(spark, paths.tables_base).collect()}
-    assert got == {0: 3, 1: 3, 3: 2}
+    assert current_watermark_ms(spark, f"{tmp}/split") == splitter.watermark_ms(spark, 4)
 
 
 def test_decode_values_json_keeps_partition(spark):
@@ -173,84 +260,28 @@ def test_decode_values_json_keeps_partition(spark):
     assert out.click_id == "c1" and out.timestamp_ms == ms("00:05") and out.source_partition == 3
 
 
-def test_partials_mode_matches_stateful_aggregate(spark, tmp):
-    """State-free alternative: the splitter's per-batch partials merged at read."""
-    from clickwise.streaming.splitter import read_minutes_from_partials
-    src = os.path.join(tmp, "events")
-    write_batches(src)
-    events = file_stream(spark, src, CLICK_EVENT, "json", max_files_per_trigger=1)
-    split = os.path.join(tmp, "split")
-    start_splitter(events, split, os.path.join(tmp, "ck"), JobConfig(), trigger={"availableNow": True},
-                   write_partials=True).awaitTermination(180)
-    got = {(r.window_start_ms - BASE_MS) // 60000: (r.click_count, r.unique_sessions, r.advertiser_id)
-           for r in read_minutes_from_partials(spark, split).collect()}
-    assert got == {0: (3, 3, "adv-1"), 1: (3, 3, "adv-1"), 3: (2, 2, "adv-1")}
-
-
-def test_report_over_streaming_tables(spark, tmp):
-    """RPT-1 reads the streaming job's tables (day partitions, epoch-ms columns)."""
-    from clickwise.plans.report import click_report
-    split = run_split(spark, tmp)
-    accepted = file_stream(spark, f"{split}/accepted", ACCEPTED, "parquet", max_files_per_trigger=1)
-    tables = os.path.join(tmp, "tables")
-    start_aggregation(accepted, tables, os.path.join(tmp, "ck-agg"), JobConfig(),
-                      trigger={"availableNow": True}).awaitTermination(180)
-    minute = {r.window_start.minute: r.click_count for r in click_report(spark, tables, "minute").collect()}
-    assert minute == {0: 3, 1: 3, 3: 2}
-    hour = click_report(spark, tables, "hour", advertiser_id="adv-1", start="2024-01-01 00:00:00",
-                        end="2024-01-01 01:00:00").collect()
-    assert [r.click_count for r in hour] == [8]
-    assert click_report(spark, tables, "day", start="2024-01-02").count() == 0
-
-
-def test_minute_writer_replay_is_idempotent(spark, tmp):
-    """A micro-batch replayed after a failure rewrites the same rows."""
-    from clickwise.streaming.window_agg import MinuteLogWriter
-    w = MinuteLogWriter(os.path.join(tmp, "tables"))
-    sketch = spark.createDataFrame([("s1",), ("s2",)], "session_id string").agg(
-        F.hll_sketch_agg("session_id", 14).alias("session_sketch")).first()[0]
-    schema = ("window_start_ms long, window_end_ms long, ad_id string, country string, device_type string, "
-              "advertiser_id string, click_count long, unique_sessions long, session_sketch binary")
-    b0 = spark.createDataFrame([(BASE_MS, BASE_MS + 60_000, "ad-1", "US", "DESKTOP", "adv-1", 2, 2, sketch)], schema)
-    b1 = spark.createDataFrame([(BASE_MS, BASE_MS + 60_000, "ad-1", "US", "DESKTOP", "adv-1", 3, 2, sketch),
-                                (BASE_MS + 3_600_000, BASE_MS + 3_660_000, "ad-2", "IN", "MOBILE", "adv-2", 1, 1,
-                                 sketch)], schema)
-    w(b0, 0)
-    w(b1, 1)
-
-    def snapshot():
-        return (sorted((r.window_start_ms, r.click_count) for r in read_minutes(spark, w.base).collect()),
-                sorted((r.window_hour_ms, r.click_count) for r in read_rollup(spark, w.base, "hourly").collect()),
-                sorted((r.window_day_ms, r.click_count) for r in read_rollup(spark, w.base, "daily").collect()))
-
-    first = snapshot()
-    w(b1, 1)  # replay
-    assert snapshot() == first
-    assert first[0] == [(BASE_MS, 3), (BASE_MS + 3_600_000, 1)]
-    assert first[2] == [(BASE_MS, 1), (BASE_MS, 3)]  # one daily row per key
+def test_avro_schema_and_frame(spark):
+    from clickwise.sources.streams import add_frame, avro_schema, strip_frame
+    fields = {f["name"]: f["type"] for f in json.loads(avro_schema())["fields"]}
+    assert list(fields) == ["click_id", "ad_id", "advertiser_id", "placement_id", "session_id", "hashed_ip", "user_agent",
+                            "country", "device_type", "timestamp_ms"]
+    assert [n for n, t in fields.items() if t == ["null", "string"]] == ["placement_id", "session_id", "country"]
+    assert fields["device_type"] == {"type": "enum", "name": "DeviceType", "symbols": ["DESKTOP", "MOBILE", "TABLET", "UNKNOWN"]}
+    assert fields["timestamp_ms"] == "long" and fields["click_id"] == "string"
+    body = spark.createDataFrame([(b"\x02abc",)], "value binary")
+    framed = body.select(add_frame(F.col("value"), 258).alias("value"))
+    assert bytes(framed.first().value) == b"\x00\x00\x00\x01\x02" + b"\x02abc"
+    assert bytes(framed.select(strip_frame(F.col("value")).alias("v")).first().v) == b"\x02abc"
 
 
 def test_retention_on_streaming_tables(spark, tmp):
-    """SNK-7 on the day/hour-partitioned streaming tables (epoch-ms times)."""
+    """SNK-7 on the job's month partitions: whole months go by name, the horizon's month is rewritten."""
     from clickwise.sinks.tables import apply_retention
-    from clickwise.streaming.window_agg import MinuteLogWriter
-    w = MinuteLogWriter(os.path.join(tmp, "tables"))
-    sketch = spark.createDataFrame([("s1",)], "session_id string").agg(
-        F.hll_sketch_agg("session_id", 14).alias("s")).first()[0]
-    schema = ("window_start_ms long, window_end_ms long, ad_id string, country string, device_type string, "
-              "advertiser_id string, click_count long, unique_sessions long, session_sketch binary")
+    tables = MinuteTables(os.path.join(tmp, "tables"))
     day = 86_400_000
-    rows = [(BASE_MS + k * day, BASE_MS + k * day + 60_000, "ad-1", "US", "DESKTOP", "adv-1", 1, 1, sketch)
-            for k in range(4)]  # 2024-01-01 .. 2024-01-04
-    late_jan2 = BASE_MS + day + 18 * 3_600_000
-    rows.append((late_jan2, late_jan2 + 60_000, "ad-1", "US", "DESKTOP", "adv-1", 1, 1, sketch))
-    w(spark.createDataFrame(rows, schema), 0)
-    now = "2026-01-02 12:00:00"   # horizon 2024-01-02 12:00: the rows of Jan 1 and Jan 2 (00:00) expire
-    touched = apply_retention(spark, f"{w.base}/minute_log", "window_start_ms", now)
-    assert touched == [20240101, 20240102]
-    log = spark.read.parquet(f"{w.base}/minute_log")
-    left = sorted(r.window_start_ms for r in log.collect())
-    assert left == [late_jan2, BASE_MS + 2 * day, BASE_MS + 3 * day]  # Jan 2 rewritten, 18:00 kept
-    assert {r.batch_id for r in log.collect()} == {0}                 # sub-partition kept
-    apply_retention(spark, f"{w.base}/current_minutes", "window_start_ms", now)
-    assert spark.read.parquet(f"{w.base}/current_minutes").count() == 3
+    rows = [tuple((event(f"c{k}", "00:05") | {"timestamp_ms": BASE_MS + k * day}).values()) for k in (-1, 0, 1, 2)]
+    tables(spark.createDataFrame(rows, CLICK_EVENT), 0)
+    touched = apply_retention(spark, f"{tables.base}/clicks_1min", "window_start", "2026-01-02 12:00:00")
+    assert touched == [202312, 202401]
+    left = sorted(str(r.window_start)[:10] for r in read_minutes(spark, tables.base).collect())
+    assert left == ["2024-01-03"]
