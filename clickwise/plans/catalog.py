@@ -279,20 +279,20 @@ def window_agg_1h(spark, sf_dir):
     return agg.window_aggregate(_clicks(spark, sf_dir), "60 minutes", exact_sessions=True).select(*MINUTE_COLS)
 
 
-WEEK_MS = 7 * DAY_MS
+MONTH_MS = 30 * DAY_MS
 
 
 @register("minute_agg_hll_check", _sql(CLICKS_SQL, body=f"""
-SELECT (timestamp_ms // {WEEK_MS}) * {WEEK_MS} AS window_start_ms, coalesce(device_type, 'UNKNOWN') AS device_type,
+SELECT (timestamp_ms // {MONTH_MS}) * {MONTH_MS} AS window_start_ms, coalesce(device_type, 'UNKNOWN') AS device_type,
        count(DISTINCT click_id) AS click_count, first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id,
        count(DISTINCT session_id) AS unique_sessions, TRUE AS hll_within_bound
 FROM clicks GROUP BY 1, 2"""))
 def minute_agg_hll_check(spark, sf_dir):
-    """AGG-2 / UDX-1: HLL (p=14) session estimate of large groups (7-day windows per
+    """AGG-2 / UDX-1: HLL (p=14) session estimate of large groups (30-day windows per
     device) within 3 % of the exact count."""
     clicks = _clicks(spark, sf_dir)
-    est = agg.window_aggregate(clicks, "7 days", exact_sessions=False, keys=("device_type",))
-    exact = (agg.normalize_keys(clicks).groupBy((F.floor(F.col("timestamp_ms") / WEEK_MS) * WEEK_MS).cast("long").alias("window_start_ms"),
+    est = agg.window_aggregate(clicks, "30 days", exact_sessions=False, keys=("device_type",))
+    exact = (agg.normalize_keys(clicks).groupBy((F.floor(F.col("timestamp_ms") / MONTH_MS) * MONTH_MS).cast("long").alias("window_start_ms"),
                                                 "device_type").agg(F.count_distinct("session_id").alias("exact")))
     ok = F.abs(F.col("unique_sessions") - F.col("exact")) <= 0.03 * F.col("exact")
     return est.join(exact, ["window_start_ms", "device_type"]).select(
