@@ -30,9 +30,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 12 << 20
 # Distinct pieces that one replay holds in memory.
-REPLAY_PIECES = 400_000
+REPLAY_PIECES = 150_000
+# Pair ranks remembered by a worker.
+KNOWN_PAIRS = 300_000
 BUCKETS_PER_PARTITION = 4
 
 
@@ -63,6 +65,8 @@ class Merges:
     def rank_of(self, keys: np.ndarray) -> np.ndarray:
         """Rank of each pair key (left * size + right); ``size`` where there is none."""
         unique, back = np.unique(keys, return_inverse=True)
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
         known, tokens, ranks, size = self.pairs, self.tokens, self.ranks, self.size
         out = np.empty(len(unique), np.int64)
         for i, k in enumerate(unique.tolist()):
@@ -83,9 +87,9 @@ def replay(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
     lengths = np.array([len(pieces[i]) for i in open_])
     tok = merges.byte[np.frombuffer(b"".join(pieces[i] for i in open_), np.uint8)]
     n = len(tok)
-    piece_of = np.repeat(np.arange(len(open_)), lengths)
+    piece_of = np.repeat(np.arange(len(open_), dtype=np.int32), lengths)
     ends = np.cumsum(lengths)
-    nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt, prev = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     nxt[ends - 1] = n
     prev[ends - lengths] = -1
     index: dict[int, list[np.ndarray]] = {}
@@ -237,6 +241,7 @@ def _blocks(pattern: str, buckets: int):
                 if size >= BLOCK_CHARS:
                     yield flush()
                     block, pieces, size, ids, found = block + 1, _Numbers(), 0, [], []
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
     return run
@@ -263,6 +268,7 @@ def _codes(path: str):
                 if len(numbers) >= REPLAY_PIECES or size >= 10 * REPLAY_PIECES:
                     yield from flush()
                     held, numbers, size = [], _Numbers(), 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from flush()
     return run
@@ -273,51 +279,82 @@ def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.filter(pc.greater_equal(batch.column("bucket"), 0))
 
 
-def _assemble(block: pa.Table, codes: pa.Table) -> pa.Table:
-    """One block: its documents' pieces and its dictionary's ids -> the documents' ids."""
-    code = [c for r in codes.sort_by("base").select(["count", "raw", "data"]).to_pylist() for c in _unpack(r["data"], r["count"], r["raw"])]
-    docs = block.filter(pc.less(block.column("bucket"), 0)).to_pylist()[0]
-    ids, counts, places = _unpack_docs(pa.decompress(docs["data"], docs["raw"], "zstd", asbytes=True), docs["count"])
-    flat, sizes, at = [], [], 0
-    for n in counts:
-        some = b"".join([code[i] for i in places[at:at + n].tolist()])
-        flat.append(some)
-        sizes.append(len(some) // 4)
-        at += n
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(
-        pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()))})
+def _objects(parts: list[bytes]) -> np.ndarray:
+    out = np.empty(len(parts), object)
+    out[:] = parts
+    return out
+
+
+def _longs(parts: list[bytes]) -> pa.Array:
+    """Ids of all documents, without a copy of the joined bytes."""
+    data = b"".join(parts)
+    return pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
+
+
+def _assemble(decode_path: str | None):
+    """One block: its documents' pieces and its dictionary's ids -> the documents'
+    ids, and with ``decode_path`` the bytes decoded from them."""
+    def run(block: pa.Table, codes: pa.Table) -> pa.Table:
+        rows = codes.sort_by("base").select(["count", "raw", "data"]).to_pylist()
+        code = _objects([c for r in rows for c in _unpack(r["data"], r["count"], r["raw"])])
+        del rows
+        docs = block.filter(pc.less(block.column("bucket"), 0)).to_pylist()[0]
+        ids, counts, places = _unpack_docs(pa.decompress(docs["data"], docs["raw"], "zstd", asbytes=True), docs["count"])
+        flat, at = [], 0
+        for n in counts:
+            flat.append(b"".join(code[places[at:at + n]].tolist()))
+            at += n
+        out = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *(len(f) // 4 for f in flat)]), pa.int32()), _longs(flat))}
+        if decode_path:
+            tokens = _tokens(decode_path)
+            out["decoded"] = pa.array([decode_ids(np.frombuffer(f, "<i4"), tokens) for f in flat], pa.binary())
+        return pa.table(out)
+    return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>) of every row, as the tokenizer without special tokens gives them."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>) of every row, as the tokenizer without special tokens
+    gives them; with ``decoded`` also the bytes decoded from the ids."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # One exchange by block serves both the dictionaries and the assembly.
     blocks = texts.mapInArrow(_blocks(pattern, BUCKETS_PER_PARTITION * partitions), SCHEMA).repartition(partitions, "block")
     codes = blocks.mapInArrow(_dictionaries, SCHEMA).repartition(partitions, "bucket").mapInArrow(_codes(ranks_path), SCHEMA)
-    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    return (blocks.groupBy("block").cogroup(codes.groupBy("block"))
+                  .applyInArrow(_assemble(ranks_path if decoded else None), "doc_id long, ids array<int>" + ", decoded binary" * decoded))
 
 
-def _decode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _merges(path).tokens
-        for batch in batches:
-            lists = batch.column("ids")
-            decoded = [b"".join([tokens[i] for i in x.values.to_pylist()]) if x.is_valid else b"" for x in lists]
-            yield pa.record_batch([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
-    return run
+@lru_cache(maxsize=4)
+def _tokens(path: str) -> np.ndarray:
+    """Bytes of each token id."""
+    known = {r: t for t, r in load_ranks(path).items()}
+    return _objects([known.get(i, b"") for i in range(max(known) + 1)])
+
+
+def decode_ids(ids: np.ndarray, tokens: np.ndarray) -> bytes:
+    return b"".join(tokens[ids].tolist())
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` (with ``ids``) plus ``decoded``, the ids' bytes."""
+    """``encoded`` (with ``ids``) plus ``decoded``, the ids' bytes; null ids decode to none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens(ranks_path)
+        for batch in batches:
+            lists = pc.fill_null(batch.column("ids"), [])
+            flat = lists.flatten().to_numpy()
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+            out = [decode_ids(flat[a:b], tokens) for a, b in zip([0, *ends], ends)]
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(_decode(ranks_path), schema + ", decoded binary")
+    return encoded.mapInArrow(run, schema + ", decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    out = decode(encode(docs, ranks_path, pattern), ranks_path)
+    out = encode(docs, ranks_path, pattern, decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
