@@ -16,8 +16,8 @@ Jaccard similarity reaches the bound share a shingle within their prefixes.
   counted per fragment and summed per pair, exactly.
 
 The order decides speed only, never the result.  Heavy shingles: those seen in
-several texts of one window of a partition, counted over all documents, the
-HEAVY most frequent ones (a bounded list).
+several texts of one window of a partition, counted over all documents, at most
+HEAVY of the most frequent ones (a bounded list).
 
 Defined results: null and empty texts have no shingles and are their own
 component; a null doc_id gives null component_id and takes no part in linking;
@@ -31,16 +31,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickwise.llm.common import materialise
+from clickwise.llm.common import broadcast_if_small, materialise
 from clickwise.llm.components import components
 from clickwise.llm.shingles import set_names, shingle_sets, slices
 
 FRAGMENT_BITS = 3
-HEAVY = 100_000
-HEAVY_TEXTS = 8
-WINDOW_TOKENS = 4_000_000
+HEAVY = 1_000_000
+HEAVY_TEXTS = 3
+WINDOW_TOKENS = 1_500_000
 SEEN_NODES = 1_000_000
 
 Batches = Iterator[pa.RecordBatch]
@@ -89,10 +89,16 @@ def _unpack_heavy(batches: Batches) -> Batches:
 
 
 def _heavy(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The at most HEAVY most frequent shingles (sorted) and their counts."""
-    top = (described.filter("heavy IS NOT NULL").select("heavy").mapInArrow(_unpack_heavy, "token long, seen long")
-                    .groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HEAVY_TEXTS)
-                    .orderBy(F.desc("seen"), "token").limit(HEAVY).toPandas().sort_values("token"))
+    """The most frequent shingles (sorted) and their counts: those from the least
+    count on, HEAVY_TEXTS or more, of which there are at most HEAVY."""
+    seen = materialise(described.filter("heavy IS NOT NULL").select("heavy").mapInArrow(_unpack_heavy, "token long, seen long")
+                       .groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HEAVY_TEXTS))
+    steps = seen.groupBy("seen").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy(F.desc("seen"))  # one row per distinct count
+    least = steps.withColumn("n", F.sum("n").over(upto)).filter(F.col("n") <= HEAVY).agg(F.min("seen")).first()[0]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    top = seen.filter(F.col("seen") >= F.lit(least)).toPandas().sort_values("token")  # at most HEAVY rows
     return top["token"].to_numpy(np.int64), top["seen"].to_numpy(np.int64)
 
 
@@ -122,43 +128,53 @@ def _postings(batches: Batches, n: int, percent: int, heavy) -> Batches:
                               names=["token", "a", "b", "n", "pos", "central"])
 
 
-LIVE = "token long, a long, b long, n long, pos long, la long, lb long, ln long, lpos long"
+LIVE = "token long, a long, b long, n long, pos long, la long, lb long, ln long, lpos long, many boolean"
 
 
-def _live(batches: Batches) -> Batches:
-    """Postings sorted by shingle, most central first -> those of shingles with two
-    nodes or more, with their leader.  Holds one batch and one leader."""
-    carry, told = np.empty((6, 0), np.int64), False
-    for batch in batches:
-        x = np.concatenate([carry, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-        keep = np.r_[True, (x[:3, 1:] != x[:3, :-1]).any(axis=0)]
-        x = x[:, keep]
+def _live(batches: Batches, percent: int) -> Batches:
+    """Postings sorted by shingle, most central node first -> each further node of a
+    shingle with the first one, its leader.  ``many`` marks shingles of three nodes
+    or more; of the others only pairs within the bounds are told.  Holds one batch
+    and at most two rows of the last shingle."""
+    def told(x: np.ndarray, many_before: bool) -> pa.RecordBatch:
         start = np.r_[True, x[0, 1:] != x[0, :-1]]
         lead = np.maximum.accumulate(np.where(start, np.arange(x.shape[1]), 0))
-        size = np.bincount(lead, minlength=x.shape[1])[lead]
-        out = size > 1
-        if told and x.shape[1]:  # the carried leader went out before
-            out[0] = False
-        member = x[:, out]
-        leader = x[:, lead[out]]
-        if member.shape[1]:
-            yield pa.record_batch([pa.array(c) for c in (*member[:5], *leader[1:5])], names=[f.split()[0] for f in LIVE.split(", ")])
-        if x.shape[1]:
-            last = lead[-1]
-            told = bool(size[-1] > 1) or (told and last == 0)
-            carry = x[:, [last]]
-
-
-def _segments(batches: Batches, n: int) -> Batches:
-    """Each text's shingles per fragment of the hash order."""
+        many = (np.bincount(lead)[lead] > 2) | (many_before & (lead == 0))
+        y = x[:, lead]
+        possible = np.minimum(x[3] - x[4], y[3] - y[4]) * (100 + percent) >= percent * (x[3] + y[3])
+        out = ~start & (many | possible)
+        return pa.record_batch([pa.array(c[out]) for c in (*x[:5], *y[1:5], many)], names=[f.split()[0] for f in LIVE.split(", ")])
+
+    carry, many = np.empty((6, 0), np.int64), False
+    for batch in batches:
+        x = np.concatenate([carry, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        if not x.shape[1]:
+            continue
+        x = x[:, np.r_[True, (x[:3, 1:] != x[:3, :-1]).any(axis=0)]]
+        last = int(np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])[-1])
+        if x.shape[1] - last > 2 or many and last == 0:  # three nodes or more: only the leader is still needed
+            body, carry, many_next = x, x[:, [last]], True
+        else:
+            body, carry, many_next = x[:, :last], x[:, last:], False
+        if body.shape[1]:
+            yield told(body, many)
+        many = many_next
+    if carry.shape[1] > 1:
+        yield told(carry, many)
+
+
+def _segments(batches: Batches, n: int, first: bool) -> Batches:
+    """Each text's shingles in the first fragment of the hash order, or in each of the others."""
     for _, row, token, count, a, b in _sets(batches, n):
-        part = row * (1 << FRAGMENT_BITS) + (token >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
-        if not len(part):
+        frag = (token >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
+        mine = (frag == 0) == first
+        row, token, frag = row[mine], token[mine], frag[mine]
+        if not len(row):
             continue
-        cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1]
+        cut = np.r_[0, np.flatnonzero(np.diff(row * (1 << FRAGMENT_BITS) + frag)) + 1]
         r = row[cut]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(part)], pa.int32()), pa.array(token.view(np.int64)))
-        yield pa.record_batch([pa.array(a[r]), pa.array(b[r]), pa.array((part[cut] % (1 << FRAGMENT_BITS)).astype(np.int32)), lists],
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(row)], pa.int32()), pa.array(token.view(np.int64)))
+        yield pa.record_batch([pa.array(a[r]), pa.array(b[r]), pa.array(frag[cut].astype(np.int32)), lists],
                               names=["a", "b", "frag", "tokens"])
 
 
@@ -168,18 +184,34 @@ def _possible(n: str, pos: str, m: str, mpos: str, percent: int) -> Column:
     return F.expr(f"least({n} - {pos}, {m} - {mpos}) * {100 + percent} >= {need}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v, nu, nv) that reach the bound: partial overlaps per fragment, summed per pair."""
+def _overlaps(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, first: bool) -> DataFrame:
+    """u, v, frag, both, su, sv: the pairs' overlap and sizes in the first fragment or
+    in each of the others, where both hold shingles.  Only the pairs' texts are read again."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    readers = nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    parts = materialise(texts.join(readers, "doc_id", "left_semi").select("doc_id", "text")
-                             .mapInArrow(partial(_segments, n=n), "a long, b long, frag int, tokens array<long>")
-                             .select(F.struct("a", "b").alias("node"), "frag", "tokens").dropDuplicates(["node", "frag"]))
+    readers = materialise(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    parts = materialise(texts.join(broadcast_if_small(readers), "doc_id", "left_semi").select("doc_id", "text")
+                             .mapInArrow(partial(_segments, n=n, first=first), "a long, b long, frag int, tokens array<long>")
+                             .select(F.struct("a", "b").alias("node"), "frag", "tokens"))
     left = parts.select(F.col("node").alias("u"), "frag", F.col("tokens").alias("tu"))
     right = parts.select(F.col("node").alias("v"), "frag", F.col("tokens").alias("tv"))
-    return (pairs.join(left, "u").join(right, ["v", "frag"])
-                 .groupBy("u", "v", "nu", "nv").agg(F.sum(F.size(F.array_intersect("tu", "tv"))).alias("both"))
-                 .filter(F.expr(f"100 * both >= {percent} * (nu + nv - both)")).select("u", "v"))
+    # A doc_id on several rows may bring a node's fragments more than once.
+    return (pairs.select("u", "v").join(left, "u").join(right, ["v", "frag"])
+                 .groupBy("u", "v", "frag").agg(F.max(F.size(F.array_intersect("tu", "tv"))).alias("both"),
+                                                F.max(F.size("tu")).alias("su"), F.max(F.size("tv")).alias("sv")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (u, v, nu, nv) that reach the bound: partial overlaps per fragment,
+    summed per pair.  Pairs that miss too much of the first fragment to reach the
+    bound, whatever the others hold, need no more of them."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    bound = f"100 * {{0}} >= {percent} * (nu + nv - {{0}})"
+    some = materialise(pairs.join(_overlaps(pairs, texts, nodes, n, True).drop("frag"), ["u", "v"], "left")
+                            .withColumn("both", zero("both")).withColumn("most", F.col("both") + F.least(F.col("nu") - zero("su"), F.col("nv") - zero("sv")))
+                            .filter(bound.format("most")).select("u", "v", "nu", "nv", "both"))
+    rest = _overlaps(some, texts, nodes, n, False).groupBy("u", "v").agg(F.sum("both").alias("rest"))
+    return (some.join(rest, ["u", "v"], "left").withColumn("both", F.col("both") + zero("rest"))
+                .filter(bound.format("both")).select("u", "v"))
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,19 +226,19 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
                             .mapInArrow(partial(_postings, n=n, percent=percent, heavy=heavy),
                                         "token long, a long, b long, n long, pos long, central long")
                             .repartition("token").sortWithinPartitions("token", F.desc("central"), "a", "b")
-                            .mapInArrow(_live, LIVE)
+                            .mapInArrow(partial(_live, percent=percent), LIVE)
                             .select("token", F.struct("a", "b").alias("node"), "n", "pos",
-                                    F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("lead"), "ln", "lpos"))
+                                    F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("lead"), "ln", "lpos", "many"))
     ends = lambda x, y, nx, ny: [F.least(x, y).alias("u"), F.greatest(x, y).alias("v"),
                                  F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("nu"),
                                  F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nv")]
-    first = materialise(live.filter((F.col("node") != F.col("lead")) & _possible("n", "pos", "ln", "lpos", percent))
+    first = materialise(live.filter(_possible("n", "pos", "ln", "lpos", percent))
                             .select(*ends("node", "lead", "n", "ln")).distinct())
     links = materialise(_verified(first, texts, nodes, n, percent))
     label = components(links)
 
-    # Nodes that meet on a shingle and are still apart.
-    part = (live.join(label.select("node", F.col("root").alias("part")), "node", "left")
+    # Further nodes of one shingle that are still in different components.
+    part = (live.filter("many").join(label.select("node", F.col("root").alias("part")), "node", "left")
                 .join(label.select(F.col("node").alias("lead"), F.col("root").alias("lead_part")), "lead", "left")
                 .select("token", "node", "n", "pos", F.coalesce("part", "node").alias("part"), F.coalesce("lead_part", "lead").alias("lead_part")))
     apart = part.filter("part != lead_part")
@@ -233,5 +265,6 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
 
 def keep_one_per_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies: of each group the smallest doc_id stays."""
-    gone = near_groups(docs, n, percent, id_col, text_col).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = materialise(near_groups(docs, n, percent, id_col, text_col).filter("doc_id != component_id")
+                       .select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")

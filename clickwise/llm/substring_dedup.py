@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from clickwise.llm.shingles import BYTE_VALUE, U, mix, powers, slices
 
 MEAN_CHUNK, MAX_CHUNK, MIN_WORDS = 24, 120, 24
-WINDOW_CHUNKS = 2_000_000
+WINDOW_CHUNKS = 1_000_000
 # A place is one long: 24 bits of the text's hash, 32 of the start, 7 of length - 1.
 LENGTH_BITS, START_BITS = 7, 32
 GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint16)
