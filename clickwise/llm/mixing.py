@@ -29,7 +29,7 @@ from clickwise.llm.common import materialise
 
 ALPHA = 0.5
 BLOCK_ROWS = 32
-# Slots of a cycle; the parameter bounds the schedule's size for any input.
+# Slots of a cycle, or the number of sources if there are more: the schedule's size.
 CYCLE = 1000
 # Hash buckets of a source: a fixed 3 hex digits, at most 4,096.
 BUCKET_DIGITS = 3
@@ -73,7 +73,7 @@ def cycle_schedule(share: DataFrame, cycle: int = CYCLE) -> DataFrame:
 
     picks = start.select("srcs", F.aggregate(F.sequence(F.lit(0), n - 1), F.col("zero"), step)["picks"].alias("picks"))
     slots = (picks.select("srcs", F.posexplode("picks").alias("slot", "i"))
-                  .select("slot", F.element_at("srcs", F.col("i") + 1).alias("s")).select("slot", "s.*"))
+                  .select("slot", F.get("srcs", F.col("i")).alias("s")).filter("s IS NOT NULL").select("slot", "s.*"))
     return slots.select("source", "share", (F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1).alias("k"), "slot")
 
 
@@ -85,14 +85,16 @@ def _place(rows: DataFrame, id_col: str, source_col: str, cycle: int, alpha: flo
                  .withColumn("__bucket", F.substring("__h", 1, BUCKET_DIGITS)))
     per_bucket = materialise(keyed.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("n"))
                                   .withColumnsRenamed({"__source": "source", "__bucket": "bucket"}))
-    share = materialise(shares(per_bucket.groupBy("source").agg(F.sum("n").alias("n")), cycle, alpha, weights))
+    counts = materialise(per_bucket.groupBy("source").agg(F.sum("n").alias("n")))
+    cycle = max(cycle, counts.count())  # a slot for every source at least
+    share = materialise(shares(counts, cycle, alpha, weights))
     plan = materialise(cycle_schedule(share, cycle))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (per_bucket.withColumn("__row0", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(share, "source")
                          .select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "__row0", F.col("share").alias("__share")))
     at = F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__h", id_col)) - 1
     slots = plan.select(F.col("source").alias("__source"), F.col("k").alias("__k"), F.col("slot").alias("__slot0"))
-    # ``slots`` has ``cycle`` rows, a parameter.
+    # ``slots`` has ``cycle`` rows.
     return (keyed.withColumn("__rank", at).join(offsets, ["__source", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__row0"))
                  .withColumn("__block", F.expr(f"__rank div {block_rows}")).withColumn("__k", F.col("__block") % F.col("__share"))
                  .join(F.broadcast(slots), ["__source", "__k"])

@@ -1,0 +1,52 @@
+"""The corpus pipeline against the stages in plain Python."""
+
+import hashlib
+
+import corpus_pipeline
+from clickwise.llm import mixing, quality
+from clickwise.llm.common import read_table
+from tests.conftest import SF001
+from tests.llm import odd
+from tests.llm.brute import fold, near_groups
+from tests.llm.test_bpe import library
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_run_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in read_table(spark, SF001, "documents").collect()}
+    good = {r.doc_id for r in quality.score(read_table(spark, SF001, "documents")).collect() if r.kept}
+    by_text = {}
+    for d in good:
+        by_text[fold(docs[d])] = max(d, by_text.get(fold(docs[d]), -1))
+    unique = sorted(by_text.values())
+    groups = near_groups([(d, docs[d]) for d in unique], corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILARITY_PERCENT)
+    stay = [d for d in unique if groups[d][1] == d]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF001).collect()}
+    enc = library()
+    want = {}
+    for d in stay:
+        ids = enc.encode_ordinary(docs[d])
+        want[d] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[d].encode()).hexdigest())
+    assert got == want
+
+
+def test_stages_keep_columns_and_survive_odd_rows(spark):
+    docs, sizes = odd.docs(spark).select(*COLUMNS), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == COLUMNS, name
+        sizes.append(docs.count())
+    assert sizes == sorted(sizes, reverse=True)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == sizes[-1]
+    empty = odd.empty(spark).select(*COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+
+
+def test_mixing_stage_orders_the_table(spark, tmp):
+    docs = read_table(spark, SF001, "documents")
+    corpus_pipeline.mix_sources(spark, docs, SF001).coalesce(1).write.parquet(f"{tmp}/mixed")
+    order = [r.doc_id for r in spark.read.parquet(f"{tmp}/mixed").collect()]
+    plan = sorted((r.slot, r.place, r.doc_id) for r in mixing.mix(docs).collect())
+    assert order == [d for _, _, d in plan]
