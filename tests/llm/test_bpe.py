@@ -1,7 +1,11 @@
 """BPE against the tokenizer's own library, and an exact round trip."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pyspark
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -40,18 +44,28 @@ def test_replay_pieces_by_themselves():
     enc = library()
     pieces = [p.encode() for p in ("aaaa", "aaaaa", "ababab", "the", " the", "zzzzzzzzzz", "Straße", "x", "internationalisation")] + [b""]
     for piece, ids in zip(pieces, bpe.replay(pieces, merges)):
-        assert ids.tolist() == enc.encode_single_token(piece) if False else ids.tolist() == enc._encode_single_piece(piece) if piece else ids.tolist() == []
-
-
-def test_many_small_blocks_give_the_same(spark, monkeypatch):
-    texts = strange_texts()[:200]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    whole = sorted((r.doc_id, list(r.ids)) for r in bpe.encode(df, PATH, PATTERN).collect())
-    enc = library()
-    assert whole == [(i, enc.encode_ordinary(t)) for i, t in enumerate(texts)]
-    numbers = [bpe._pack_docs([1, None], [2, 1], __import__("numpy").array([2, 0, 1]), __import__("numpy").array([0, 1, 2]))]
-    import pyarrow as pa
-    raw, data = numbers[0]
+        assert ids.tolist() == (enc.encode_ordinary(piece.decode()) if piece else [])
+
+
+def test_blocks_of_one_document_give_the_same(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1)
+    texts = [t for t in strange_texts()[:120] if t]
+    enc, run = library(), bpe._blocks(PATTERN, 7)
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in enumerate(texts)])]
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rows = [r for b in run(iter(batches)) for r in b.to_pylist()]
+    assert len({r["block"] for r in rows}) == len(texts) and {r["block"] >> 32 for r in rows} == {3}
+    codes = [r for b in bpe._codes(PATH)(iter([bpe._rows([tuple(r.values()) for r in rows if r["bucket"] >= 0])])) for r in b.to_pylist()]
+    got = {}
+    for block in {r["block"] for r in rows}:
+        table = pa.Table.from_pylist([r for r in rows if r["block"] == block], schema=bpe.ARROW)
+        own = pa.Table.from_pylist([r for r in codes if r["block"] == block], schema=bpe.ARROW)
+        got |= {r["doc_id"]: r["ids"] for r in bpe._assemble(None)(table, own).to_pylist()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_packed_documents_unpack():
+    raw, data = bpe._pack_docs([1, None], [2, 1], np.array([2, 0, 1]), np.array([0, 1, 2]))
     ids, counts, places = bpe._unpack_docs(pa.decompress(data, raw, "zstd", asbytes=True), 2)
     assert (ids, counts, places.tolist()) == ([1, None], [2, 1], [2, 0, 1])
 
