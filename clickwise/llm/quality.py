@@ -39,7 +39,7 @@ SCALE = 30.0
 LABELLERS = {
     "symbols": (lambda s: s > 0.03, lambda s: s < 0.005, 20),
     "capitals": (lambda s: s > 0.3, lambda s: s < 0.1, 10),
-    "stutter": (lambda s: s > 0.15, lambda s: s < 0.04, 20),
+    "stutter": (lambda s: s > 0.15, lambda s: s < 0.04, 12),
     "few_words": (lambda s: s > 0.65, lambda s: s < 0.5, 50),
     "phrases": (lambda s: s > 0.4, lambda s: s < 0.15, 50),
     "marks": (lambda s: s > 0.2, lambda s: s < 0.02, 10),
