@@ -40,8 +40,8 @@ from clickwise.llm.shingles import set_names, shingle_sets, slices
 FRAGMENT_BITS = 3
 HEAVY = 1_000_000
 HEAVY_TEXTS = 3
-WINDOW_TOKENS = 1_500_000
-SEEN_NODES = 1_000_000
+WINDOW_TOKENS = 1_000_000
+SEEN_NODES = 200_000
 
 Batches = Iterator[pa.RecordBatch]
 NODE = ("a", "b")
@@ -250,7 +250,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
                               .select(*ends("node", "node2", "n", "n2")).distinct()
                               .join(first, ["u", "v"], "left_anti"))
     more = materialise(_verified(second, texts, nodes, n, percent))
-    label = components(links.union(more))
+    if not more.isEmpty():
+        label = components(links.union(more))
 
     smallest = nodes.groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = smallest.join(label, "node")

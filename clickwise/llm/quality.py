@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickwise.llm.shingles import U, shingle_sets, slices, words
 
-KEEP_FROM = 0.5
-TRAIN_ROWS = 6000
-TRIGRAM_BITS = 12
+KEEP_FROM = 0.3
+TRAIN_ROWS = 4000
+TRIGRAM_BITS = 11
 BINS = 8
 SCALE = 30.0
 
@@ -128,13 +128,13 @@ def label_model(pattern: np.ndarray, count: np.ndarray, rounds: int = 100) -> tu
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams and their rows."""
     if len(data) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     d = data.astype(np.uint32)
     h = (d[:-2] * np.uint32(0x9E3779B1)) ^ (d[1:-1] * np.uint32(0x85EBCA77)) ^ (d[2:] * np.uint32(0xC2B2AE3D))
     h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TRIGRAM_BITS)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     inside = row[:-2] == row[2:]
-    return h[inside].astype(np.int64), row[:-2][inside]
+    return h[inside].astype(np.int32), row[:-2][inside]
 
 
 def _bins(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -170,18 +170,19 @@ def _feature_rows(prob: dict[int, float]):
 
 def fit(x: np.ndarray, good: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by full-batch Adam; bias last."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
+    w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
     for t in range(1, steps + 1):
-        grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - good).astype(np.float32) / len(x) + decay * w
+        miss = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - good).astype(np.float32)
+        grad = np.append(x.T @ miss, miss.sum()) / len(x) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w
 
 
 def _fit_table(table: pa.Table) -> pa.Table:
-    table = table.sort_by("mark")
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
+    table = table.sort_by("mark")  # a sorted copy: its buffers start at row 0
+    column = table.column("x").combine_chunks()
+    x = np.frombuffer(column.buffers()[2], np.float32)[:len(column) * N_FEATURES].reshape(-1, N_FEATURES)
     return pa.table({"w": pa.array([fit(x, table.column("good").to_numpy()).tobytes()], pa.binary())})
 
 

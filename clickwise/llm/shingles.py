@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -44,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 20, 1 << (n - 1).bit_length()))
+    return _powers(max(1 << 19, 1 << (n - 1).bit_length()))
 
 
 def slices(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
