@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickwise.llm.shingles import U, shingle_sets, slices, words
 
-KEEP_FROM = 0.3
-TRAIN_ROWS = 4000
-TRIGRAM_BITS = 11
+KEEP_FROM = 0.5
+TRAIN_ROWS = 6000
+TRIGRAM_BITS = 12
 BINS = 8
 SCALE = 30.0
 

@@ -53,3 +53,12 @@ def test_two_runs_agree(spark):
     docs = read_table(spark, SF01, "documents", "doc_id", "text")
     a, b = (sorted(map(tuple, quality.score(d, train_rows=300).collect())) for d in (docs, docs.repartition(5)))
     assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b], atol=1e-4)
+
+
+def test_more_likely_junk_than_good_goes(spark):
+    """The bound is the scorer's own even odds, in op8 and in the pipeline's stage."""
+    docs = read_table(spark, SF01, "documents", "doc_id", "text")
+    assert quality.KEEP_FROM == 0.5
+    rows = quality.score(docs).collect()
+    assert all(r.kept == (r.score >= 0.5) for r in rows)
+    assert quality.keep_good(docs).count() == sum(r.score >= 0.5 for r in rows)
