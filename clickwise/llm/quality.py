@@ -8,8 +8,9 @@
    labeller is right on junk and on good texts (no labels are used), and gives
    every pattern a probability of being good.
 3. A linear scorer over hashed features (byte trigrams and binned statistics)
-   is trained on those probabilities over a hash sample of TRAIN_ROWS documents
-   on average (a bound; the sample's labels come from all documents).
+   is trained on those probabilities over a sample of TRAIN_ROWS documents (its
+   labels come from all documents).  Copies of a text are one row with a weight,
+   the number of them drawn, so no group of copies makes the sample longer.
 4. The scorer scores every whole document; documents under KEEP_FROM go.
 
 Labels and sample depend on the documents alone, so a run can be repeated.
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from clickwise.llm.common import broadcast_if_small, materialise
 from clickwise.llm.shingles import U, shingle_sets, slices, words
 
 KEEP_FROM = 0.5
@@ -144,8 +146,8 @@ def _bins(stats: dict[str, np.ndarray]) -> np.ndarray:
 
 def _pattern_rows(batches: Batches) -> Batches:
     for batch in batches:
-        for _, offsets, data in slices(batch.column(0), fold=False):
-            yield pa.record_batch([pa.array(patterns(*statistics(offsets, data)))], names=["pattern"])
+        for first, offsets, data in slices(batch.column(0), fold=False):
+            yield pa.record_batch([batch.column(1).slice(first, len(offsets) - 1), pa.array(patterns(*statistics(offsets, data)))], names=["mark", "pattern"])
 
 
 def _feature_rows(prob: dict[int, float]):
@@ -163,17 +165,20 @@ def _feature_rows(prob: dict[int, float]):
                     x[bins[i]] = 1
                     out.append(x.tobytes())
                 keep = np.flatnonzero(pattern)
-                yield pa.record_batch([batch.column(1).slice(first, len(n)).take(pa.array(keep)), pa.array(out, pa.binary()),
-                                       pa.array([prob[p] for p in pattern[keep].tolist()], pa.float64())], names=["mark", "x", "good"])
+                mark, weight = (batch.column(c).slice(first, len(n)).take(pa.array(keep)) for c in (1, 2))
+                yield pa.record_batch([mark, weight, pa.array(out, pa.binary()),
+                                       pa.array([prob[p] for p in pattern[keep].tolist()], pa.float64())], names=["mark", "weight", "x", "good"])
     return run
 
 
-def fit(x: np.ndarray, good: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels by full-batch Adam; bias last."""
+def fit(x: np.ndarray, good: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, weight: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression on soft labels by full-batch Adam; bias last.  A row counts ``weight`` times."""
+    weight = np.ones(len(x), np.float32) if weight is None else weight.astype(np.float32)
     w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
     for t in range(1, steps + 1):
-        miss = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - good).astype(np.float32)
-        grad = np.append(x.T @ miss, miss.sum()) / len(x) + decay * w
+        miss = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - good)
+        miss = (miss * weight).astype(np.float32)
+        grad = np.append(x.T @ miss, miss.sum()) / float(weight.sum()) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w
@@ -183,22 +188,36 @@ def _fit_table(table: pa.Table) -> pa.Table:
     table = table.sort_by("mark")  # a sorted copy: its buffers start at row 0
     column = table.column("x").combine_chunks()
     x = np.frombuffer(column.buffers()[2], np.float32)[:len(column) * N_FEATURES].reshape(-1, N_FEATURES)
-    return pa.table({"w": pa.array([fit(x, table.column("good").to_numpy()).tobytes()], pa.binary())})
+    return pa.table({"w": pa.array([fit(x, table.column("good").to_numpy(), weight=table.column("weight").to_numpy()).tobytes()], pa.binary())})
+
+
+def drawn(texts: DataFrame, share: float) -> DataFrame:
+    """mark, weight: of ``texts`` (mark, n copies) those in the sample.  The copies drawn are
+    n * share, rounded up or down by the mark, so the weights add to all rows * share on average."""
+    at = F.shiftrightunsigned("mark", 1) / F.lit(2.0 ** 63)
+    return texts.select("mark", F.ceil(F.col("n") * F.lit(float(share)) - at).cast("long").alias("weight")).filter("weight > 0")
+
+
+def sampled(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[DataFrame | None, np.ndarray, np.ndarray]:
+    """text, mark, weight of the training texts, each once; the vote patterns and their counts."""
+    texts = docs.select(F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text", F.lit("train")))
+    counted = materialise(texts.mapInArrow(_pattern_rows, "mark long, pattern int").groupBy("mark", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    found = counted.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** 7 rows
+    pattern, count = (np.array([r[c] for r in found], np.int64) for c in ("pattern", "n"))
+    if not pattern.any():
+        return None, pattern, count
+    few = materialise(drawn(counted.filter("pattern != 0"), min(2.0, train_rows / count.sum())))
+    return texts.join(broadcast_if_small(few), "mark").groupBy("mark", "text").agg(F.max("weight").alias("weight")).select("text", "mark", "weight"), pattern, count
 
 
 def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights of the scorer, bias last."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    counted = texts.mapInArrow(_pattern_rows, "pattern int").groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** 7 rows
-    if not any(r["pattern"] for r in counted):
+    texts, pattern, count = sampled(docs, text_col, train_rows)
+    if texts is None:
         return np.zeros(N_FEATURES + 1, np.float32)
-    pattern, count = (np.array([r[c] for r in counted]) for c in ("pattern", "count"))
     prob, _, _ = label_model(pattern, count)
-    share = min(2.0, train_rows / count.sum())
-    mark = F.xxhash64("text", F.lit("train"))
-    sample = (texts.withColumn("mark", mark).filter(F.shiftrightunsigned("mark", 1) / F.lit(2.0 ** 63) < F.lit(float(share)))
-                   .select("text", "mark").mapInArrow(_feature_rows(dict(zip(pattern.tolist(), prob.tolist()))), "mark long, x binary, good double"))
-    # The sample is bounded by ``train_rows``, so one task can hold it.
+    sample = texts.mapInArrow(_feature_rows(dict(zip(pattern.tolist(), prob.tolist()))), "mark long, weight long, x binary, good double")
+    # Distinct texts, about ``train_rows`` of them at most whatever is copied, so one task can hold them.
     found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit_table, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float32) if found else np.zeros(N_FEATURES + 1, np.float32)
 

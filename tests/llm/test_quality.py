@@ -62,3 +62,23 @@ def test_more_likely_junk_than_good_goes(spark):
     rows = quality.score(docs).collect()
     assert all(r.kept == (r.score >= 0.5) for r in rows)
     assert quality.keep_good(docs).count() == sum(r.score >= 0.5 for r in rows)
+
+
+def test_copies_do_not_lengthen_the_sample(spark):
+    """A third of all rows are one text: drawn or not, it is one row, with its share as weight."""
+    docs = read_table(spark, SF01, "documents", "text").limit(300)
+    texts = [r.text for r in docs.collect()]
+    rows = [(t,) for t in texts] + [(t,) for t in texts[:5] for _ in range(600)]
+    sample, _, count = quality.sampled(spark.createDataFrame(rows, "text string"), train_rows=60)
+    got = sample.collect()
+    assert count.sum() == len(rows) and len({r.mark for r in got}) == len(got) <= 60
+    weight = {r.text: r.weight for r in got}
+    want = 601 * 60 / len(rows)
+    assert all(abs(weight.get(t, 0) - want) < 2 for t in texts[:5])
+    assert sum(weight.values()) <= 60 + 2 * 5 + 20
+
+
+def test_a_weight_is_as_many_rows():
+    rng = np.random.default_rng(2)
+    x, y, n = rng.random((50, 8)).astype(np.float32), rng.random(50), rng.integers(1, 5, 50)
+    assert np.allclose(quality.fit(x, y, weight=n), quality.fit(np.repeat(x, n, 0), np.repeat(y, n)), atol=1e-3)
