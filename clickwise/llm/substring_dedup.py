@@ -3,13 +3,16 @@
 A gear hash of the last 16 bytes runs over each text; a chunk ends where it falls
 below a bound (every MEAN_CHUNK bytes on average, MAX_CHUNK at most, never inside
 a character).  Cuts depend on the bytes around them alone, so a passage gets the
-same chunks wherever it stands and whatever is put in before it.  Chunks meet by
-digest; the first one in (doc_id, place) order is the original, others repeat it.
+same chunks wherever it stands and whatever is put in before it.  At every chunk
+begins a passage of MIN_WORDS words, to the end of the last one whatever chunks it
+spans.  Passages meet by the digest of all their bytes, so what is shared stands in
+one piece in the other text too; the first one in (doc_id, place) order is the
+original, others repeat it.
 
-Runs of neighbouring repeated chunks with MIN_WORDS words or more are reported
-(``repeats``); of those, the runs that are not originals are cut out of the text
-(``dropped``).  A passage loses a few words at either end to chunks that reach
-beyond it, so MIN_WORDS is about half of the 50 words that must be caught.
+Passages that meet another are joined where they overlap or touch and reported
+(``repeats``), those that are not originals are cut out of the text (``dropped``).
+A shared stretch loses the words before its first chunk and less than a chunk at
+its end, so MIN_WORDS is about half of the 50 words that must be caught.
 
 A window of texts sends each digest once, however often it holds it, so a passage
 of a third of all texts is spread over the tasks before anything is shuffled.
@@ -22,17 +25,18 @@ document (they are no repeats of each other); empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clickwise.llm.shingles import BYTE_VALUE, U, mix, powers, slices
+from clickwise.llm.shingles import BYTE_VALUE, IS_BLANK, U, mix, powers, slices
 
 MEAN_CHUNK, MAX_CHUNK, MIN_WORDS = 24, 120, 24
-WINDOW_CHUNKS = 1_000_000
-# A place is one long: 24 bits of the text's hash, 32 of the start, 7 of length - 1.
-LENGTH_BITS, START_BITS = 7, 32
+WINDOW_PASSAGES = 1_000_000
+# A place is one long: 24 bits of the text's hash, 32 of the start.
+START_BITS = 32
 GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint16)
 
 Batches = Iterator[pa.RecordBatch]
@@ -48,8 +52,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and digest of every chunk; texts begin at ``offsets``."""
+def _cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where chunks begin and end; texts begin at ``offsets``."""
     n = len(data)
     cut = np.flatnonzero(gear(data) < np.uint16(65536 // MEAN_CHUNK)) + 1
     cut = np.unique(np.concatenate([offsets, cut[cut < n]]))
@@ -60,20 +64,52 @@ def chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     padded = np.r_[data, np.zeros(4, np.uint8)]
     for _ in range(3):  # on to the next character
         cut = cut + ((padded[cut] & 0xC0) == 0x80)
-    cut = np.unique(cut)
+    return np.unique(cut)
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
     up, down = powers(max(n, 1))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[data] * up[:n], out=total[1:])
-    start, end = cut[:-1], cut[1:]
-    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)).view(np.int64)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and digest of every chunk; texts begin at ``offsets``."""
+    cut = _cuts(offsets, data)
+    return cut[:-1], cut[1:], _digests(data, cut[:-1], cut[1:])
+
+
+def _word_ends(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    edge = np.r_[IS_BLANK[data[1:]], True]
+    edge[offsets[1:][offsets[1:] > 0] - 1] = True
+    return np.flatnonzero(~IS_BLANK[data] & edge) + 1
+
 
+def _passage_ends(start: np.ndarray, word_ends: np.ndarray, min_words: int) -> np.ndarray:
+    """Where the last of ``min_words`` words from each start on ends; beyond all texts if there are fewer."""
+    far = np.iinfo(np.int64).max
+    at = np.searchsorted(word_ends, start, "right") + min_words - 1
+    return np.r_[word_ends, far][np.minimum(at, len(word_ends))]
 
-CHUNK_SCHEMA = "key long, doc_id long, place long, state int"
+
+def passages(offsets: np.ndarray, data: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text number and digest of the passage of ``min_words`` words at each chunk whose text has as many from there on."""
+    start = _cuts(offsets, data)[:-1]
+    row = np.searchsorted(offsets, start, "right") - 1
+    end = _passage_ends(start, _word_ends(offsets, data), min_words)
+    fits = end <= offsets[row + 1]
+    start, row, end = start[fits], row[fits], end[fits]
+    return start, row, _digests(data, start, end)
+
+
+PASSAGE_SCHEMA = "key long, doc_id long, place long, state int"
 ONCE, MANY, AGAIN = 0, 1, 2
 
 
-def _chunk_rows(batches: Batches) -> Batches:
-    """Per window of texts each digest's first chunk (state ONCE, or MANY if the
+def _passage_rows(batches: Batches, min_words: int) -> Batches:
+    """Per window of texts each digest's first passage (state ONCE, or MANY if the
     window repeats it) and the further ones (AGAIN, under a key of their own)."""
     held, size = [], 0
 
@@ -94,12 +130,13 @@ def _chunk_rows(batches: Batches) -> Batches:
         for first, offsets, data in slices(batch.column(1), fold=False):
             if not len(data):
                 continue
-            start, end, digest = chunks(offsets, data)
-            row = np.searchsorted(offsets, start, "right") - 1
-            place = (marks[first + row] << (START_BITS + LENGTH_BITS)) | ((start - offsets[row]) << LENGTH_BITS) | (end - start - 1)
+            start, row, digest = passages(offsets, data, min_words)
+            if not len(start):
+                continue
+            place = (marks[first + row] << START_BITS) | (start - offsets[row])
             held.append((digest, ids[first + row], place))
             size += len(start)
-            if size >= WINDOW_CHUNKS:
+            if size >= WINDOW_PASSAGES:
                 yield window()
                 held, size = [], 0
     if held:
@@ -107,7 +144,7 @@ def _chunk_rows(batches: Batches) -> Batches:
 
 
 def _repeats(batches: Batches) -> Batches:
-    """Sorted by key, doc_id, place -> the chunks whose digest stands elsewhere too, with
+    """Sorted by key, doc_id, place -> the passages whose digest stands elsewhere too, with
     whether they repeat an earlier one.  Holds one batch and the first row of a key."""
     carry, told = np.empty((4, 0), np.int64), False
     for batch in batches:
@@ -129,13 +166,13 @@ def _repeats(batches: Batches) -> Batches:
         carry = x[:, [at]]
 
 
-def _runs(start: np.ndarray, end: np.ndarray, data: bytes, min_words: int) -> list[dict]:
-    """Neighbouring chunks joined, those with enough words."""
+def _runs(start: np.ndarray, end: np.ndarray) -> list[dict]:
+    """Passages, sorted by start, joined where they overlap or touch."""
     if not len(start):
         return []
-    new = np.r_[True, start[1:] != end[:-1]]
-    firsts, lasts = start[new], end[np.r_[new[1:], True]]
-    return [{"start": int(a), "end": int(b)} for a, b in zip(firsts, lasts) if len(data[a:b].split()) >= min_words]
+    reach = np.maximum.accumulate(end)
+    new = np.r_[True, start[1:] > reach[:-1]]
+    return [{"start": int(a), "end": int(b)} for a, b in zip(start[new], reach[np.r_[new[1:], True]])]
 
 
 SPANS = "array<struct<start:long,end:long>>"
@@ -153,10 +190,10 @@ def _cut_out(min_words: int):
                 repeats, dropped = [], []
                 if places:
                     place, late = np.array(places, np.int64), np.array(later, bool)
-                    start = (place >> LENGTH_BITS) & ((1 << START_BITS) - 1)
-                    end = start + (place & ((1 << LENGTH_BITS) - 1)) + 1
-                    repeats = _runs(start, end, data, min_words)
-                    dropped = _runs(start[late], end[late], data, min_words)
+                    start = place & ((1 << START_BITS) - 1)
+                    end = _passage_ends(start, _word_ends(np.array([0, len(data)]), np.frombuffer(data, np.uint8)), min_words)
+                    repeats = _runs(start, end)
+                    dropped = _runs(start[late], end[late])
                 if dropped:
                     edges = [0, *(x for d in dropped for x in (d["start"], d["end"])), len(data)]
                     text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8")
@@ -171,10 +208,10 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     """doc_id, n_bytes, repeats and dropped (byte spans of the text), text (without the dropped spans) per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.shiftrightunsigned(F.xxhash64(text_col), 40).alias("mark"))
-    found = (rows.filter("doc_id IS NOT NULL").mapInArrow(_chunk_rows, CHUNK_SCHEMA)
+    found = (rows.filter("doc_id IS NOT NULL").mapInArrow(partial(_passage_rows, min_words=min_words), PASSAGE_SCHEMA)
                  .repartition("key").sortWithinPartitions("key", "doc_id", "place", F.desc("state"))
                  .mapInArrow(_repeats, "doc_id long, place long, later boolean"))
-    per_doc = (found.groupBy("doc_id", F.shiftrightunsigned("place", START_BITS + LENGTH_BITS).alias("mark"))
+    per_doc = (found.groupBy("doc_id", F.shiftrightunsigned("place", START_BITS).alias("mark"))
                     .agg(F.array_sort(F.collect_list(F.struct("place", "later"))).alias("hits"))
                     .select("doc_id", "mark", F.col("hits.place").alias("places"), F.col("hits.later").alias("later")))
     return (rows.join(per_doc, ["doc_id", "mark"], "left").select("doc_id", "text", "places", "later")

@@ -95,3 +95,28 @@ def test_repeated_rows_are_one_document(spark):
     text = prose(random.Random(9), 200)
     out = sub.substring_dedup(spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, bool(r.dropped)) for r in out) == [(1, False), (1, False), (2, True)]
+
+
+def test_words_shared_with_several_texts_are_no_passage(spark):
+    """Four words in random order: nearly every chunk stands elsewhere too, no 24 words in a row do."""
+    rnd = random.Random(11)
+    rows = [(d, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(150))) for d in range(300)]
+    grams = [{tuple(w[i:i + sub.MIN_WORDS]) for i in range(len(w) - sub.MIN_WORDS + 1)} for w in (t.split() for _, t in rows)]
+    assert len(set().union(*grams)) == sum(map(len, grams))
+    got = run(spark, rows)
+    assert all(not r.repeats and r.text == dict(rows)[d] for d, r in got.items())
+
+
+def test_every_span_is_made_of_passages_of_one_other_text(spark):
+    """Pieces of eight words from many texts around one passage of 60: only the passage goes."""
+    rnd = random.Random(12)
+    few = [prose(rnd, 1) for _ in range(6)]
+    texts = [" ".join(rnd.choice(few) for _ in range(200)) for _ in range(200)]
+    passage = prose(rnd, 60)
+    last = " ".join(" ".join(t.split()[20:28]) for t in texts[:20]) + f" {passage} " + " ".join(" ".join(t.split()[50:58]) for t in texts[20:40])
+    rows = [*enumerate(texts), (500, f"{prose(rnd, 9)} {passage}"), (501, last)]
+    got = run(spark, rows)
+    at, size = last.encode().index(passage.encode()), len(passage.encode())
+    assert [d for d in got if got[d].dropped] == [501]
+    (span,) = got[501].dropped
+    assert at <= span.start and span.end <= at + size and span.end - span.start > size / 2
