@@ -103,12 +103,12 @@ def _place(rows: DataFrame, id_col: str, source_col: str, cycle: int, alpha: flo
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", cycle: int = CYCLE, alpha: float = ALPHA,
-        block_rows: int = BLOCK_ROWS, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, source, block (of the source), slot, place (inside the block), share."""
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")))
+        block_rows: int = BLOCK_ROWS, weights: dict[str, float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, block (of the source), slot, place (inside the block), share, and the columns ``carry``."""
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *carry))
     return _place(rows, "doc_id", "source", cycle, alpha, block_rows, weights).select(
         "doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"),
-        F.col("__at").alias("place"), F.col("__share").alias("share"))
+        F.col("__at").alias("place"), F.col("__share").alias("share"), *carry)
 
 
 def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", cycle: int = CYCLE, alpha: float = ALPHA,

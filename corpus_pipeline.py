@@ -2,14 +2,15 @@
 
 Each stage takes the documents that its predecessor kept and is written as
 Parquet, which the next one reads.  All but the last return the columns of
-documents; the last one returns each document's token digests.
+documents; the last one returns each document's token digests and its slot and
+place in the mixture.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clickwise.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from clickwise.llm.common import read_table
@@ -42,8 +43,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens, as digests."""
-    return bpe.digests(docs, *vocabulary())
+    """Every document's tokens, as digests, with its slot in the mixture and its place in the slot.
+
+    The schedule depends on doc_id and source alone, so it is that of the mixed table.  Rows
+    that share a doc_id are told apart by their text, equal ones by a number."""
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    plan = (mixing.mix(docs.withColumn("sha", sha), carry=("sha",))
+            .select(F.col("doc_id").cast("long").alias("__id"), F.col("sha").alias("__sha"), "slot", "place")
+            .withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("slot", "place"))))
+    tokens = bpe.digests(docs, *vocabulary()).withColumn(
+        "__n", F.row_number().over(Window.partitionBy("doc_id", "decoded_sha256").orderBy("n_tokens")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("decoded_sha256") == F.col("__sha")) & (F.col("__n") == F.col("__copy"))
+    return tokens.join(plan, same, "left").select("slot", "place", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -31,6 +31,48 @@ def test_run_equals_brute_force(spark):
     assert got == want
 
 
+def plain_schedule(docs):
+    """{doc_id: (slot, place)} of (doc_id, source) pairs: earliest deadline first, in plain Python."""
+    ranked = {}
+    for d, s in docs:
+        ranked.setdefault(s, []).append((hashlib.md5(str(d).encode()).hexdigest(), d))
+    n, names = mixing.CYCLE, sorted(ranked)
+    want = {s: round(len(ranked[s]) ** mixing.ALPHA, 9) for s in names}
+    exact = {s: round(want[s] * (n - len(names)) / sum(want.values()), 6) for s in names}
+    share = {s: int(exact[s]) + 1 for s in names}
+    for s in sorted(names, key=lambda s: (-(exact[s] - int(exact[s])), s))[:n - sum(share.values())]:
+        share[s] += 1
+    done, slots = dict.fromkeys(names, 0), {s: [] for s in names}
+    for t in range(n):
+        ready = [(-(-(done[s] + 1) * n // share[s]), s) for s in names if done[s] < share[s] and done[s] * n // share[s] <= t]
+        if ready:
+            s = min(ready)[1]
+            slots[s].append(t)
+            done[s] += 1
+    out = {}
+    for s in names:
+        for rank, (_, d) in enumerate(sorted(ranked[s])):
+            block, place = divmod(rank, mixing.BLOCK_ROWS)
+            out[d] = (block // share[s] * n + slots[s][block % share[s]], place)
+    return out
+
+
+def test_run_returns_the_mixture(spark):
+    source = {r.doc_id: r.source for r in read_table(spark, SF001, "documents").collect()}
+    got = {r.doc_id: (r.slot, r.place) for r in corpus_pipeline.run(spark, SF001).collect()}
+    assert len(set(got.values())) == len(got) > 1
+    assert got == plain_schedule([(d, source[d]) for d in got])
+
+
+def test_last_stage_gives_each_row_one_slot(spark):
+    """Also rows without doc_id, rows that share one, and copies."""
+    docs = odd.docs(spark).select(*COLUMNS)
+    rows = corpus_pipeline.tokenise(spark, docs, "").collect()
+    plan = mixing.mix(docs).collect()
+    assert sorted((r.slot, r.place) for r in rows) == sorted((r.slot, r.place) for r in plan)
+    assert {(r.slot, r.place): r.doc_id for r in rows} == {(r.slot, r.place): r.doc_id for r in plan}
+
+
 def test_stages_keep_columns_and_survive_odd_rows(spark):
     docs, sizes = odd.docs(spark).select(*COLUMNS), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
