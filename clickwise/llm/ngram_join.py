@@ -48,12 +48,11 @@ NODE = ("a", "b")
 
 
 def _sets(batches: Batches, n: int):
-    """doc_ids, row, token, count, a, b per slice of text."""
+    """The batch's rows, row, token, count, a, b per slice of text."""
     for batch in batches:
-        ids = batch.column(0)
         for first, offsets, data in slices(batch.column(1)):
             row, token = shingle_sets(offsets, data, n)
-            yield (ids.slice(first, len(offsets) - 1), row, token, *set_names(row, token, len(offsets) - 1))
+            yield (batch.slice(first, len(offsets) - 1), row, token, *set_names(row, token, len(offsets) - 1))
 
 
 def _describe(batches: Batches, n: int) -> Batches:
@@ -65,12 +64,12 @@ def _describe(batches: Batches, n: int) -> Batches:
         token, seen = np.unique(np.concatenate(held), return_counts=True)
         some = seen > 1
         packed = np.stack([token[some].view(np.int64), seen[some]]).tobytes()
-        return pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                                pa.array([packed], pa.binary())], names=["doc_id", "n", "a", "b", "heavy"])
+        return pa.record_batch([*[pa.nulls(1, pa.int64())] * 5, pa.array([packed], pa.binary())],
+                               names=["doc_id", "mark", "n", "a", "b", "heavy"])
 
-    for ids, row, token, count, a, b in _sets(batches, n):
-        yield pa.record_batch([ids.cast(pa.int64()), pa.array(count), pa.array(a), pa.array(b), pa.nulls(len(ids), pa.binary())],
-                              names=["doc_id", "n", "a", "b", "heavy"])
+    for part, row, token, count, a, b in _sets(batches, n):
+        yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(2), pa.array(count), pa.array(a), pa.array(b), pa.nulls(part.num_rows, pa.binary())],
+                              names=["doc_id", "mark", "n", "a", "b", "heavy"])
         held.append(token)
         size += len(token)
         if size >= WINDOW_TOKENS:
@@ -214,12 +213,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, perc
                 .filter(bound.format("both")).select("u", "v"))
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of
-    at least ``percent`` / 100 Jaccard similarity of n-word shingles) per row."""
+    at least ``percent`` / 100 Jaccard similarity of n-word shingles) per row; with
+    ``mark`` also the text's hash."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialise(texts.mapInArrow(partial(_describe, n=n), "doc_id long, n long, a long, b long, heavy binary"))
-    rows = described.filter("heavy IS NULL").select("doc_id", "n", F.struct("a", "b").alias("node"))
+    described = materialise(texts.withColumn("mark", F.xxhash64("text"))
+                            .mapInArrow(partial(_describe, n=n), "doc_id long, mark long, n long, a long, b long, heavy binary"))
+    rows = described.filter("heavy IS NULL").select("doc_id", "mark", "n", F.struct("a", "b").alias("node"))
     nodes = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(described))
     live = materialise(texts.filter("doc_id IS NOT NULL")
@@ -258,14 +259,15 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     roots = joined.groupBy("root").agg(F.min("first").alias("component"))
     linked = joined.join(roots, "root").select("node", "component")
     named = smallest.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
-    # A doc_id on several rows is one document: the smallest component of its rows.
+    # A doc_id on several rows has a component per text, that of the row's own shingles.
     return (rows.join(named, "node", "left")
-                .select("doc_id", F.col("n").alias("n_shingles"),
+                .select("doc_id", *["mark"] * mark, F.col("n").alias("n_shingles"),
                         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id")))
 
 
 def keep_one_per_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies: of each group the smallest doc_id stays."""
-    gone = materialise(near_groups(docs, n, percent, id_col, text_col).filter("doc_id != component_id")
-                       .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = materialise(near_groups(docs, n, percent, id_col, text_col, mark=True).filter("doc_id != component_id")
+                       .select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__gone_mark")).distinct())
+    # By the text too: other rows of the doc_id may hold a text that is no near copy.
+    return docs.join(broadcast_if_small(gone), (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__gone_mark")), "left_anti")

@@ -103,3 +103,10 @@ def test_components_of_chains_and_rings(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 105: 105, 200: 105}
     assert np.array_equal(sorted(got), sorted({x for p in links for x in p}))
+
+
+def test_a_clean_text_stays_beside_a_near_copy_of_its_doc_id(spark):
+    base, own = [f"b{i}" for i in range(60)], " ".join(f"o{i}" for i in range(60))
+    rows = [(1, " ".join(base)), (7, " ".join(base[:-1] + ["z"])), (7, own), (9, own + " more")]
+    kept = ngram_join.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2]])
