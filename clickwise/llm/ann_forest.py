@@ -17,14 +17,15 @@ GROUP_ROWS classes is salted into several, and its queries go to all of them, so
 no group is unbounded and no candidate is left out.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite
-components, differ in length from the longest, or have a null vec_id take no
-part; rows repeating vec_id and vector are one; with no other vector a query has
-no rows.
+components, or have a null vec_id take no part; vectors of each length are an
+index of their own; rows repeating vec_id and vector are one; with no other vector
+of its length a query has no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ GROUP_ROWS = 20_000
 LEAF_ROWS = 64
 SALTS = 64
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -48,8 +51,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
                    .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(fine & F.exists("v", lambda x: x != 0.0)))
-    longest = rows.agg(F.max(F.size("v"))).first()[0]
-    return rows.filter(F.size("v") == F.lit(longest)).withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.lit("vector"), "v"))
+    return rows.withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.lit("vector"), "v"))
 
 
 def smallest_members(rows: DataFrame, k: int) -> DataFrame:
@@ -150,9 +152,20 @@ def _enough(sample: list, truth: list, target: float) -> int:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
             target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = usable(vectors, id_col, vec_col)
+    sizes = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
+    found = [_nearest(rows.filter(F.size("v") == F.lit(size)), k, every, target) for size in sizes]
+    if len(found) == 1:
+        return found[0]
+    # A vec_id may have vectors of several lengths.
+    line = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (reduce(DataFrame.union, found, vectors.sparkSession.createDataFrame([], RESULT))
+            .withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k))
+
+
+def _nearest(rows: DataFrame, k: int, every: int, target: float) -> DataFrame:
+    """``nearest`` among usable vectors of one length."""
+    empty = rows.sparkSession.createDataFrame([], RESULT)
     members = materialise(smallest_members(rows, k))
     reps = rows.join(members.select("a", "b", F.col("cid").alias("vec_id"), "cid"), ["a", "b", "vec_id"]).select("cid", "v").dropDuplicates(["cid"])
     classes = materialise(reps)

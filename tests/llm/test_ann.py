@@ -60,3 +60,10 @@ def test_unusable_vectors_take_no_part(spark):
     got = found(spark, rows, k=20, every=20)
     assert got == {0: [(160, 5.0), (1, 4.0)], 160: [(0, 5.0), (1, 4.0)]}
     assert found(spark, []) == {} and found(spark, [(20, None)]) == {} and found(spark, [(20, [1.0])]) == {}
+
+
+def test_a_longer_vector_drops_no_other(spark):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(100, [1.0] * 5)]
+    got, want = found(spark, rows, "vec_id long, embedding array<double>, label int, rank string", k=5, every=20, target=1.0), exact(rows[:-1], 5, 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
