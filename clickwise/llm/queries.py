@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import ann_forest, bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, sql, substring_dedup
+from clickwise.llm import (ann_forest, bpe, exact_dedup, license_scan, line_dedup, merkle, mixing, ngram_join, quality, sharding, sql,
+                           substring_dedup)
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +94,9 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every 20th vector, by inner product."""
     return ann_forest.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@_query("op11_merkle_manifest", sql.merkle())
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and the root recomputed from it, one in five tampered with."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents", *merkle.LEAF_FIELDS))

@@ -79,6 +79,46 @@ def mixing() -> str:
     return f"WITH RECURSIVE {_mixed('documents')} SELECT doc_id, source, block, slot, place, share FROM mixed"
 
 
+def _level(k: int) -> str:
+    """CTEs of level ``k``: its runs of 16, each node's siblings, and the nodes above (one node stays as it is)."""
+    return f"""
+run{k} AS (SELECT grp, i // 16 AS up, any_value(n) AS n, list(node ORDER BY i) AS nodes FROM lv{k} GROUP BY grp, i // 16),
+sib{k} AS (SELECT l.grp, l.i, CASE WHEN l.n = 1 THEN '' ELSE array_to_string(r.nodes[:l.i % 16], '') END AS lhs,
+                  CASE WHEN l.n = 1 THEN '' ELSE array_to_string(r.nodes[l.i % 16 + 2:], '') END AS rhs, l.n = 1 AS top
+           FROM lv{k} l JOIN run{k} r ON r.grp = l.grp AND r.up = l.i // 16),
+lv{k + 1} AS (SELECT grp, up AS i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM run{k})"""
+
+
+def merkle(levels: int = 5) -> str:
+    """The whole tree level by level: ``levels`` of them (16 ** levels leaves) in a source, then as many over the sources."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in
+                                       ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+    def crc(text: str) -> str:
+        step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+        byte = f"list_reduce(list_prepend(xor(h, b), range(8)), lambda c, e: {step})"
+        return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda h, b: {byte}), 4294967295)"
+    over = range(levels, 2 * levels)
+    way = [("d.grp", "d.i", k) for k in range(levels)] + [("''", "s.i", k) for k in over]
+    joins = "\n".join(f"JOIN sib{k} s{k} ON s{k}.grp = {g} AND s{k}.i = {i} // {16 ** (k % levels)}" for g, i, k in way)
+    siblings = " || ".join(f"s{k}.lhs || s{k}.rhs" for _, _, k in way)
+    folds = ", ".join(f"f{k} AS (SELECT *, CASE WHEN top{k} THEN g{k} ELSE sha256(l{k} || g{k} || r{k}) END AS g{k + 1} FROM {f'f{k - 1}' if k else 'paths'})" for k in range(2 * levels))
+    return f"""
+WITH leaves AS (SELECT doc_id, source, coalesce('=' || source, '-') AS grp, {leaf('text')} AS leaf,
+                       CASE WHEN {crc('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} END AS tampered FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+lv0 AS (SELECT grp, i, n, leaf AS node FROM d),{",".join(_level(k) for k in range(levels))},
+s AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM lv{levels}),
+lv{levels}s AS (SELECT '' AS grp, i, n, subroot AS node FROM s),{",".join(_level(k) for k in over).replace(f"FROM lv{levels} ", f"FROM lv{levels}s ")},
+paths AS (SELECT d.doc_id, d.source, d.leaf, s.subroot, t.node AS root, sha256({siblings}) AS proof_sha256, coalesce(d.tampered, d.leaf) AS g0,
+                 {", ".join(f"s{k}.lhs AS l{k}, s{k}.rhs AS r{k}, s{k}.top AS top{k}" for _, _, k in way)}
+          FROM d JOIN s ON s.grp = d.grp CROSS JOIN lv{2 * levels} t
+          {joins}),
+{folds}
+SELECT doc_id, source, leaf, subroot, root, proof_sha256, g{2 * levels} AS folded_root, g{2 * levels} = root AS verified FROM f{2 * levels - 1}"""
+
+
 def line_dedup() -> str:
     """Matches by the words themselves: the lists without one word."""
     return f"""
