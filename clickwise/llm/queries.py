@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import (ann_forest, bpe, exact_dedup, license_scan, line_dedup, merkle, mixing, ngram_join, quality, sharding, sql,
-                           substring_dedup)
+from clickwise.llm import (ann_forest, bpe, exact_dedup, license_scan, line_dedup, merkle, mixing, ngram_join, quality, quality_rules, sharding,
+                           sql, substring_dedup)
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,10 @@ def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and the root recomputed from it, one in five tampered with."""
     return merkle.manifest(read_table(spark, sf_dir, "documents", *merkle.LEAF_FIELDS))
+
+
+@_query("op12_quality_rules")
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule counts, base verdict, anomaly score and whether it stays."""
+    docs, labels = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality_rules.judge(docs, labels)
