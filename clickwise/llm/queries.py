@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickwise.llm import (ann_forest, bpe, exact_dedup, license_scan, line_dedup, merkle, mixing, ngram_join, quality, quality_rules, sharding,
-                           sql, substring_dedup)
+from clickwise.llm import (ann_forest, bpe, exact_dedup, lexical_search, license_scan, line_dedup, merkle, mixing, ngram_join, quality,
+                           quality_rules, sharding, sql, substring_dedup)
 from clickwise.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's rule counts, base verdict, anomaly score and whether it stays."""
     docs, labels = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality")
     return quality_rules.judge(docs, labels)
+
+
+@_query("op13_lexical_search", sql.LEXICAL_SEARCH)
+def lexical_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))

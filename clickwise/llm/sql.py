@@ -119,6 +119,25 @@ paths AS (SELECT d.doc_id, d.source, d.leaf, s.subroot, t.node AS root, sha256({
 SELECT doc_id, source, leaf, subroot, root, proof_sha256, g{2 * levels} AS folded_root, g{2 * levels} = root AS verified FROM f{2 * levels - 1}"""
 
 
+LEXICAL_SEARCH = f"""
+WITH terms AS (SELECT doc_id, rid, unnest(regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+               FROM (SELECT *, row_number() OVER () AS rid FROM documents)),
+tfs AS (SELECT rid, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY rid, term),
+lens AS (SELECT rid, sum(tf)::BIGINT AS n FROM tfs GROUP BY rid),
+corpus AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM lens),
+dfs AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, corpus GROUP BY term),
+imp AS (SELECT t.doc_id, t.rid, t.term, d.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))) AS v
+        FROM tfs t JOIN lens USING (rid) JOIN dfs d USING (term), corpus),
+items AS (SELECT iid, any_value(item_id) AS item_id, term, count(*) AS times
+          FROM (SELECT item_id, iid, unnest(regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+                FROM (SELECT *, row_number() OVER () AS iid FROM benchmark)) GROUP BY iid, term),
+scores AS (SELECT iid, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id, sum(times * v)::BIGINT AS score
+           FROM items JOIN imp USING (term) GROUP BY iid, rid)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW best AS (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST) QUALIFY row_number() OVER best <= 10
+"""
+
+
 def line_dedup() -> str:
     """Matches by the words themselves: the lists without one word."""
     return f"""
