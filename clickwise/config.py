@@ -21,6 +21,7 @@ DEFAULTS = {
     "idle_partition_minutes": 5,
     "trigger_seconds": 5,
     "dedup_ttl_hours": 24,
+    "dedup_lateness_hours": 24,
     "hll_precision": 14,
     "retention_years": 2,
     "max_offsets_per_trigger": 1_000_000,
@@ -42,6 +43,7 @@ ENV_NAMES = {
     "idle_partition_minutes": "CLICKWISE_IDLE_PARTITION_MINUTES",
     "trigger_seconds": "CLICKWISE_TRIGGER_SECONDS",
     "dedup_ttl_hours": "CLICKWISE_DEDUP_TTL_HOURS",
+    "dedup_lateness_hours": "CLICKWISE_DEDUP_LATENESS_HOURS",
     "hll_precision": "CLICKWISE_HLL_PRECISION",
     "retention_years": "CLICKWISE_RETENTION_YEARS",
     "max_offsets_per_trigger": "CLICKWISE_MAX_OFFSETS_PER_TRIGGER",
@@ -65,6 +67,8 @@ class JobConfig:
     idle_partition_minutes: int = DEFAULTS["idle_partition_minutes"]
     trigger_seconds: int = DEFAULTS["trigger_seconds"]
     dedup_ttl_hours: int = DEFAULTS["dedup_ttl_hours"]
+    # How far the intake's watermark trails its newest request (no property of the reference).
+    dedup_lateness_hours: int = DEFAULTS["dedup_lateness_hours"]
     hll_precision: int = DEFAULTS["hll_precision"]
     retention_years: int = DEFAULTS["retention_years"]
     max_offsets_per_trigger: int = DEFAULTS["max_offsets_per_trigger"]

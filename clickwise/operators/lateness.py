@@ -45,33 +45,58 @@ def _prefix_max(chunks: DataFrame, cols: list[str], per_group: int = 4096) -> Da
     return x.join(up, "_group").select("_chunk", *[F.greatest(F.col(f"_g_{c}"), F.max(c).over(inside)).alias(c) for c in cols])
 
 
+# Fixed value: the reference's idle timeout of a source partition (5 minutes).
+IDLE_MS = 300_000
+
+
+def _running_max(rows: DataFrame, cols: list[str], order: list[str], inclusive: bool) -> DataFrame:
+    """``rows`` (with ``_chunk``) plus ``_r_<col>``: the max of each column over the rows
+    before, or up to, each one in ``order``.  A prefix over chunks, then one inside a chunk."""
+    prefix = _prefix_max(rows.groupBy("_chunk").agg(*[F.max(c).alias(c) for c in cols]), cols)
+    inside = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    prefix = prefix.withColumnsRenamed({c: f"_p{c}" for c in cols})
+    out = rows.withColumns({f"_i{c}": F.max(c).over(inside) for c in cols}).join(prefix, "_chunk", "left")
+    return (out.withColumns({f"_r{c}": F.greatest(F.col(f"_p{c}"), F.col(f"_i{c}")) for c in cols})
+               .drop(*[f"_p{c}" for c in cols], *[f"_i{c}" for c in cols]))
+
+
 def lateness_audit(arrivals: DataFrame, n_parts: int, window_ms: int = WINDOW_MS, watermark_delay_ms: int = WATERMARK_MS,
                    lateness_ms: int = LATENESS_MS, part: str = "part", seq: str = "seq",
                    tiebreak: str = "event_id", ts: str = "timestamp_ms",
-                   chunk: int = 1 << 16) -> DataFrame:
+                   chunk: int = 1 << 16, arrived: str | None = None, idle_ms: int = IDLE_MS) -> DataFrame:
     """STR-7: replay the arrival order and mark each record late or not.
 
-    The watermark a record meets is, as in the stream, the minimum over the
-    source partitions (0 .. n_parts - 1) that have sent something before it of
-    their max event time so far, minus the delay.  (Partitions idle for minutes
-    of processing time leave the stream's minimum; a replay has no such clock.)
-
-    Running maxima are a prefix scan over chunks of ``chunk`` arrivals: maxima
-    per chunk and partition, their exclusive prefix, and the running max inside
-    a chunk.  No window holds more than a chunk's rows.
+    As in the stream, the watermark a record meets never falls: it is the highest value,
+    over all arrivals before it, of the minimum over the source partitions
+    (0 .. n_parts - 1) that have sent something of their max event time, minus the
+    delay.  With ``arrived`` (processing time in ms, not falling along ``seq``) a
+    partition that was silent for longer than ``idle_ms`` leaves the minimum until it
+    sends again; without it no partition ever idles.
+
+    Running maxima are prefix scans over chunks of ``chunk`` arrivals: maxima per chunk,
+    their exclusive prefix, and the running max inside a chunk, once for the
+    partitions' maxima and once for the watermark.  No window holds more than a
+    chunk's rows.
     """
-    cols = [f"_m{p}" for p in range(n_parts)]
+    order = [seq, tiebreak, part]
+    seen = [f"_m{p}" for p in range(n_parts)]
+    active = [f"_a{p}" for p in range(n_parts)] if arrived else []
     x = arrivals.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)).cast("long"))
-    for p, c in enumerate(cols):
-        x = x.withColumn(c, F.when(F.col(part) == p, F.col(ts)))
-    prefix = _prefix_max(x.groupBy("_chunk").agg(*[F.max(c).alias(c) for c in cols]), cols)
-    inside = Window.partitionBy("_chunk").orderBy(seq, tiebreak, part).rowsBetween(Window.unboundedPreceding, -1)
-    prefix = prefix.withColumnsRenamed({c: f"_p{c}" for c in cols})
-    so_far = [F.greatest(F.col(f"_p{c}"), F.max(c).over(inside)) for c in cols]
-    y = (x.join(prefix, "_chunk", "left")
-          .withColumn("max_before_ms", F.least(*so_far) if n_parts > 1 else so_far[0]))
+    x = x.withColumns({c: F.when(F.col(part) == p, F.col(ts)) for p, c in enumerate(seen)}
+                      | {c: F.when(F.col(part) == p, F.col(arrived)) for p, c in enumerate(active)})
+    x = _running_max(x, seen + active, order, inclusive=False)
+    least = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
+    if arrived:
+        last = [F.col(f"_r{c}") for c in active]
+        newest = F.greatest(*last) if n_parts > 1 else last[0]
+        low = least([F.when(a >= newest - F.lit(idle_ms), F.col(f"_r{c}")) for a, c in zip(last, seen)])
+    else:
+        low = least([F.col(f"_r{c}") for c in seen])
+    own = seen + active + [f"_r{c}" for c in seen + active]
+    y = _running_max(x.withColumn("_low", low).drop(*own), ["_low"], order, inclusive=True)
+    y = y.withColumnRenamed("_r_low", "max_before_ms")
     wm = F.col("max_before_ms") - F.lit(watermark_delay_ms)
     return (y.withColumn("watermark_ms", wm)
              .withColumn("window_end_ms", window_end_ms(F.col(ts), window_ms))
              .withColumn("is_late", is_late(F.col(ts), wm, window_ms, lateness_ms))
-             .drop("_chunk", *cols, *[f"_p{c}" for c in cols]))
+             .drop("_chunk", "_low"))

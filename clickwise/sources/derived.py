@@ -216,25 +216,35 @@ requests AS (
 
 # Late-arrival model.  Every 7th event arrives 40 positions late;
 # arrivals come from 4 source partitions, keyed by ad (ad number % 4, which
-# equals user_id % 4 because 4 divides the number of ads).
+# equals user_id % 4 because 4 divides the number of ads).  One position is one
+# second.  Of every 1,500 positions partition 3 is silent for 600 (longer than the
+# idle timeout) and then delivers what it held.
 LATE_SHIFT = 40
 LATE_EVERY = 7
 N_SOURCE_PARTS = 4
+SILENT_PART, SILENT_EVERY, SILENT_FOR = 3, 1500, 600
+POSITION_MS = 1000
 
 
 def with_arrival(clicks: DataFrame) -> DataFrame:
-    """Adds ``seq`` (arrival position) and ``part`` (source partition)."""
+    """Adds ``seq`` (arrival position), ``part`` (source partition) and ``arrived_ms`` (processing time)."""
     eid = F.col("event_id")
-    return clicks.withColumn("seq", eid + F.when(eid % LATE_EVERY == 0, LATE_SHIFT).otherwise(0)) \
-                 .withColumn("part", ad_number(F.col("ad_id")) % N_SOURCE_PARTS)
+    late = eid + F.when(eid % LATE_EVERY == 0, LATE_SHIFT).otherwise(0)
+    part = ad_number(F.col("ad_id")) % N_SOURCE_PARTS
+    held = (part == SILENT_PART) & (late % SILENT_EVERY < SILENT_FOR)
+    seq = F.when(held, late - late % SILENT_EVERY + SILENT_FOR).otherwise(late)
+    return clicks.withColumn("seq", seq).withColumn("part", part).withColumn("arrived_ms", F.col("seq") * POSITION_MS)
 
 
 def ad_number(ad_id: Column) -> Column:
     return F.substring_index(ad_id, "-", -1).cast("long")
 
 
-ARRIVAL_SQL_COLUMNS = (f"event_id + CASE WHEN event_id % {LATE_EVERY} = 0 THEN {LATE_SHIFT} ELSE 0 END AS seq, "
-                       f"CAST(split_part(ad_id, '-', 2) AS BIGINT) % {N_SOURCE_PARTS} AS part")
+_LATE_SQL = f"(event_id + CASE WHEN event_id % {LATE_EVERY} = 0 THEN {LATE_SHIFT} ELSE 0 END)"
+_PART_SQL = f"(CAST(split_part(ad_id, '-', 2) AS BIGINT) % {N_SOURCE_PARTS})"
+_SEQ_SQL = (f"(CASE WHEN {_PART_SQL} = {SILENT_PART} AND {_LATE_SQL} % {SILENT_EVERY} < {SILENT_FOR} "
+            f"THEN {_LATE_SQL} - {_LATE_SQL} % {SILENT_EVERY} + {SILENT_FOR} ELSE {_LATE_SQL} END)")
+ARRIVAL_SQL_COLUMNS = f"{_SEQ_SQL} AS seq, {_PART_SQL} AS part, {_SEQ_SQL} * {POSITION_MS} AS arrived_ms"
 
 
 # --------------------------------------------------------- version log ---

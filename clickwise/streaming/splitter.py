@@ -4,9 +4,12 @@ Spark drops late rows silently and with the previous batch's watermark (T2),
 so the late side output is built explicitly.  For micro-batch ``b``:
 
 1. read the watermark ledger written by batch ``b-1``: per source partition
-   the max event time seen and the processing time it was last active;
-2. watermark = min over partitions active within the idle timeout of
-   (their max) - delay; no ledger yet means no watermark;
+   the max event time seen and the processing time it was last active, and the
+   highest watermark so far;
+2. watermark = the greater of that highest one and the min over partitions active
+   within the idle timeout of (their max) - delay, so it never falls: a partition
+   that was idle and comes back does not reopen what was closed meanwhile; no
+   ledger yet means no watermark;
 3. T1 splits the batch: late iff window end + lateness <= watermark;
 4. accepted rows, late rows and late text are written under ``batch_id=b``
    with overwrite, then the cumulative ledger row set for ``b``.
@@ -31,7 +34,19 @@ from clickwise.sources import fs
 
 LEDGER_SCHEMA = T.StructType([T.StructField("part", T.LongType()),
                              T.StructField("max_event_ms", T.LongType()),
-                             T.StructField("last_active_ms", T.LongType())])
+                             T.StructField("last_active_ms", T.LongType()),
+                             # The highest watermark so far, the same on every row.
+                             T.StructField("watermark_ms", T.LongType())])
+
+
+def next_watermark(ledger: dict, highest: int | None, cfg: JobConfig) -> int | None:
+    """The watermark after ``ledger`` (partition -> max event time, last active), never below ``highest``."""
+    if not ledger:
+        return highest
+    newest = max(active for _, active in ledger.values())
+    idle_ms = cfg.idle_partition_minutes * 60_000
+    now = min(m for m, active in ledger.values() if active >= newest - idle_ms) - cfg.watermark_seconds * 1000
+    return now if highest is None else max(highest, now)
 
 
 class LateSplitter:
@@ -61,13 +76,18 @@ class LateSplitter:
             return None
         if not fs.exists(spark, prev):
             raise FileNotFoundError(f"{prev} is gone: only the last batch can be replayed")
-        rows = spark.read.parquet(prev).collect()  # one row per source partition
-        if not rows:
-            return None
-        newest = max(r["last_active_ms"] for r in rows)
-        idle_ms = self.cfg.idle_partition_minutes * 60_000
-        active = [r["max_event_ms"] for r in rows if r["last_active_ms"] >= newest - idle_ms]
-        return min(active) - self.cfg.watermark_seconds * 1000
+        return self._ledger(spark, batch_id - 1)[1]
+
+    def _ledger(self, spark: SparkSession, batch_id: int) -> tuple[dict, int | None]:
+        """Ledger of a batch (one row per source partition) and the highest watermark with it."""
+        path = self.path("ledger", batch_id)
+        if batch_id < 0 or not fs.exists(spark, path):
+            return {}, None
+        rows = spark.read.schema(LEDGER_SCHEMA).parquet(path).collect()
+        led = {r["part"]: (r["max_event_ms"], r["last_active_ms"]) for r in rows}
+        # A ledger of an earlier release has no watermark of its own.
+        stored = [r["watermark_ms"] for r in rows if r["watermark_ms"] is not None]
+        return led, max(stored) if stored else next_watermark(led, None, self.cfg)
 
     def split(self, batch: DataFrame, wm) -> DataFrame:
         w_ms = self.cfg.window_minutes * 60_000
@@ -110,15 +130,12 @@ class LateSplitter:
         """Cumulative ledger for ``batch_id``: per source partition the max
         event time so far and when it was last active (a few rows)."""
         now = self.clock()
-        led = {}
-        prev_path = self.path("ledger", batch_id - 1)
-        if batch_id > 0 and fs.exists(spark, prev_path):
-            led = {r["part"]: (r["max_event_ms"], r["last_active_ms"])
-                   for r in spark.read.parquet(prev_path).collect()}
+        led, highest = self._ledger(spark, batch_id - 1)
         for r in stats:
             old = led.get(r["part"])
             led[r["part"]] = (max(r["max_event_ms"], old[0]) if old else r["max_event_ms"], now)
-        rows = [(p, m, a) for p, (m, a) in sorted(led.items())]
+        wm = next_watermark(led, highest, self.cfg)
+        rows = [(p, m, a, wm) for p, (m, a) in sorted(led.items())]
         spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1) \
              .write.mode("overwrite").parquet(self.path("ledger", batch_id))
         # A replay of this batch needs the ledger before it; no older one is read again.

@@ -51,15 +51,38 @@ def test_chunked_audit_equals_brute_force(spark):
     got = {(r.event_id, r.seq, r.part, r.max_before_ms): r.is_late
            for r in lateness.lateness_audit(arr, n, window_ms=3_600_000, chunk=97).collect()}
     rows = sorted(arr.select("seq", "event_id", "part", "timestamp_ms").collect())
-    seen, expect = {}, {}
+    seen, expect, high, fell = {}, {}, None, 0
     for r in rows:
-        low = min(seen.values()) if seen else None
+        if seen:
+            low = min(seen.values())
+            fell += high is not None and low < high
+            high = low if high is None else max(high, low)
         end = r.timestamp_ms // 3_600_000 * 3_600_000 + 3_600_000
-        expect[(r.event_id, r.seq, r.part, low)] = low is not None and end + 30_000 <= low - 10_000
+        expect[(r.event_id, r.seq, r.part, high)] = high is not None and end + 30_000 <= high - 10_000
         seen[r.part] = max(seen.get(r.part, 0), r.timestamp_ms)
     assert got == expect and 0 < sum(got.values()) < len(got)
 
 
+def test_audit_with_idle_partitions_equals_brute_force(spark):
+    """The arrivals of the registered query: partition 3 falls silent and returns, which would
+    lower a watermark without memory."""
+    arr = derived.with_arrival(derived.load_clicks(spark, SF01))
+    got = {(r.event_id, r.max_before_ms): r.is_late
+           for r in lateness.lateness_audit(arr, derived.N_SOURCE_PARTS, window_ms=3_600_000, chunk=97, arrived="arrived_ms").collect()}
+    seen, active, expect, high, fell = {}, {}, {}, None, 0
+    for r in sorted(arr.select("seq", "event_id", "part", "timestamp_ms", "arrived_ms").collect()):
+        if seen:
+            newest = max(active.values())
+            low = min(seen[p] for p in seen if active[p] >= newest - 300_000)
+            fell += high is not None and low < high
+            high = low if high is None else max(high, low)
+        end = r.timestamp_ms // 3_600_000 * 3_600_000 + 3_600_000
+        expect[(r.event_id, high)] = high is not None and end + 30_000 <= high - 10_000
+        seen[r.part] = max(seen.get(r.part, 0), r.timestamp_ms)
+        active[r.part] = r.arrived_ms
+    assert got == expect and fell > 0
+
+
 def test_building_the_dedup_needs_only_narrow_columns(spark):
     """No id passes twice: the plan is one aggregation of the payload; ids that pass
     again join it once."""

@@ -8,7 +8,8 @@ import os
 from clickwise.operators import dedup, enrich
 from clickwise.schemas import CLICK_REQUEST
 from clickwise.sources.streams import request_log_stream
-from clickwise.streaming.ingest import start_ingest
+from clickwise.config import JobConfig
+from clickwise.streaming.ingest import intake_counts, openings, start_ingest
 
 T0 = 1_704_067_200_000
 
@@ -94,6 +95,61 @@ def test_streaming_ingest_dedups_across_batches(spark, tmp):
     assert sum(pubs) == 3
 
 
+HOUR = 3_600_000
+
+
+def run_ingest(spark, tmp, batches, cfg=JobConfig()):
+    """One file of requests per micro-batch; (click id, ms since T0) of what passes, and the counts."""
+    src, out = os.path.join(tmp, "req"), os.path.join(tmp, "events")
+    os.makedirs(src)
+    names = ["ad_id", "click_id", "placement_id", "session_id", "advertiser_id", "user_agent",
+             "x_forwarded_for", "x_real_ip", "remote_addr", "ts_ms"]
+    for i, rows in enumerate(batches):
+        with open(os.path.join(src, f"{i:03d}.json"), "w") as f:
+            for click, t in rows:
+                f.write(json.dumps(dict(zip(names, req("ad-1", click, t=T0 + t)))) + "\n")
+        os.utime(os.path.join(src, f"{i:03d}.json"), (1e9 + i, 1e9 + i))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    q = start_ingest(request_log_stream(spark, src, max_files_per_trigger=1), out, os.path.join(tmp, "ck"), cfg,
+                     trigger={"availableNow": True})
+    q.awaitTermination(240)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    return sorted((r.click_id, r.timestamp_ms - T0) for r in spark.read.parquet(out).collect()), intake_counts(q.recentProgress)
+
+
+def test_openings_of_periods():
+    import numpy as np
+    day = 24 * HOUR
+    times = np.array([0, 5, day - 1, day, day + 5, 3 * day, 4 * day - 1, 4 * day])
+    assert openings(times, None, day)[0].tolist() == [True, False, False, True, False, True, False, True]
+    passed, start = openings(times, -1, day)
+    assert passed.tolist() == [False, False, True, False, False, True, False, True] and start == 4 * day
+    assert openings(times[:2], -10, day)[0].tolist() == [False, False] and openings(times[:2], -10, day)[1] == -10
+
+
+def test_stream_passes_what_the_batch_rule_passes(spark, tmp):
+    """Recurrences after 1, 20, 25, 30, 47 and 51 hours, over seven micro-batches."""
+    batches = [[("x", 0), ("y", 0)], [("x", 1), ("w", 2), ("x", 20)], [("w", 22), ("x", 25)], [("w", 27), ("x", 30)], [("y", 47), ("z", 47.5)],
+               [("x", 51), ("x", 51)], [("z", 60)]]
+    batches = [[(c, int(h * HOUR)) for c, h in b] for b in batches]
+    rows = [r for b in batches for r in b]
+    got, counts = run_ingest(spark, tmp, batches)
+    df = spark.createDataFrame([(c, t, i) for i, (c, t) in enumerate(rows)], "click_id string, timestamp_ms long, event_id long")
+    want = sorted((r.click_id, r.timestamp_ms) for r in dedup.first_sight(df, tiebreak=("event_id",)).collect())
+    assert got == want and ("x", 25 * HOUR) in got and ("y", 47 * HOUR) in got and ("x", 51 * HOUR) in got
+    assert counts == {"requests": len(rows), "published": len(want), "too_old": 0, "duplicates": len(rows) - len(want)}
+
+
+def test_sights_of_one_batch_and_too_old_ones(spark, tmp):
+    """A batch may hold several periods of an id; what is older than the watermark is counted, not passed."""
+    cfg = JobConfig(dedup_lateness_hours=2)
+    batches = [[("a", 30 * HOUR), ("a", 0), ("a", 23 * HOUR), ("a", 31 * HOUR)], [("b", 40 * HOUR)], [("b", 41 * HOUR)],
+               [("c", 37 * HOUR), ("b", 39 * HOUR), ("a", 53 * HOUR)], [("a", 55 * HOUR)]]
+    got, counts = run_ingest(spark, tmp, batches, cfg)
+    assert got == [("a", 0), ("a", 30 * HOUR), ("a", 55 * HOUR), ("b", 40 * HOUR)]
+    assert counts == {"requests": 10, "published": 4, "too_old": 1, "duplicates": 5}
+
+
 def test_anti_join_seen_batches_cross_day(spark):
     day = dedup.DAY_MS
     batch = spark.createDataFrame([("a", 2 * day), ("b", 2 * day), ("c", 2 * day), ("d", 2 * day)],

@@ -21,13 +21,15 @@ SCHEMA = T.StructType(CLICK_EVENT.fields + [T.StructField("part", T.LongType()),
 
 
 def expected_late(rows, cfg):
-    """Brute force: watermark of batch b = min over partitions seen before b of
-    their max event time, minus the delay; T1 decides."""
-    seen, late = {}, set()
+    """Brute force: watermark of batch b = the highest so far of the min over partitions seen
+    before b of their max event time, minus the delay; T1 decides."""
+    seen, late, wm = {}, set(), None
     w = cfg.window_minutes * 60_000
     for b in sorted({r["seq"] // PER_BATCH for r in rows}):
         batch = [r for r in rows if r["seq"] // PER_BATCH == b]
-        wm = min(seen.values()) - cfg.watermark_seconds * 1000 if seen else None
+        if seen:
+            low = min(seen.values()) - cfg.watermark_seconds * 1000
+            wm = low if wm is None else max(wm, low)
         for r in batch:
             end = (r["timestamp_ms"] // w) * w + w
             if wm is not None and end + cfg.allowed_lateness_seconds * 1000 <= wm:
@@ -93,3 +95,26 @@ def test_audit_equals_the_stream_record_by_record(spark, tmp):
         splitter(spark.createDataFrame([r], SCHEMA), i)
     got = {r.click_id for r in spark.read.parquet(os.path.join(tmp, "s", "late")).collect()}
     assert got == expect and got
+
+
+def test_audit_equals_the_stream_when_a_partition_idles_and_returns(spark, tmp):
+    """Partition 1 is silent for eleven minutes of processing time, then sends what it held."""
+    from clickwise.operators.lateness import lateness_audit
+    from clickwise.streaming.splitter import LateSplitter
+    t0 = 1_704_067_200_000
+    # (source partition, event second, processing second)
+    sent = [(0, 10, 0), (1, 20, 1), (0, 100, 60), (1, 90, 61), (0, 400, 300), (0, 500, 362), (0, 700, 700), (0, 760, 715), (1, 95, 720), (1, 200, 721),
+            (0, 800, 722), (1, 690, 723), (1, 820, 724), (0, 620, 725), (1, 640, 726)]
+    rows = [(f"c{i}", "ad-1", "adv-1", None, "s", "h", "ua", "US", "DESKTOP", t0 + sec * 1000, part, i) for i, (part, sec, _) in enumerate(sent)]
+    df = spark.createDataFrame([(*r, t * 1000) for r, (_, _, t) in zip(rows, sent)], T.StructType(SCHEMA.fields + [T.StructField("arrived_ms", T.LongType())]))
+    audit = lateness_audit(df, n_parts=2, tiebreak="click_id", arrived="arrived_ms", chunk=3).collect()
+    clock = {"now": 0}
+    splitter = LateSplitter(os.path.join(tmp, "s"), JobConfig(), part_col="part", clock=lambda: clock["now"], keep_accepted=False)
+    marks = {}
+    for i, r in enumerate(rows):
+        clock["now"] = sent[i][2] * 1000
+        marks[r[0]] = splitter.watermark_ms(spark, i)
+        splitter(spark.createDataFrame([r], SCHEMA), i)
+    assert {r.click_id: r.watermark_ms for r in audit} == marks
+    late = {r.click_id for r in spark.read.parquet(os.path.join(tmp, "s", "late")).collect()}
+    assert {r.click_id for r in audit if r.is_late} == late == {"c8", "c9", "c11", "c13", "c14"}

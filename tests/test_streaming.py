@@ -253,6 +253,38 @@ def test_idle_partition_leaves_the_watermark(spark, tmp):
     assert current_watermark_ms(spark, f"{tmp}/split") == splitter.watermark_ms(spark, 4)
 
 
+def test_a_returning_partition_does_not_lower_the_watermark(spark, tmp):
+    """STR-1/2: partition 1 idles while partition 0 closes an hour and its partials go; its next
+    clicks of that hour are late, and the stored minute keeps its four clicks."""
+    clock = {"now": 0}
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    splitter = LateSplitter(os.path.join(tmp, "split"), JobConfig(), part_col="part", clock=lambda: clock["now"], tables=tables)
+    marks = []
+
+    def run(minute, rows):
+        clock["now"] = minute * 60_000
+        splitter(parted(spark, rows), len(marks))
+        marks.append(current_watermark_ms(spark, splitter.base))
+
+    run(0, [("a1", "00:05", 0), ("a2", "00:10", 0), ("b1", "00:20", 1), ("b2", "00:30", 1)])
+    assert minute_counts(spark, tables.base) == {0: 4}
+    run(60, [("a3", "150:00", 0)])
+    run(61, [("b3", "00:40", 1)])          # back after an hour: late
+    run(62, [("b4", "00:50", 1), ("a4", "151:00", 0)])
+    run(63, [("b5", "152:00", 1)])
+    assert marks == sorted(marks) and marks[1] == ms("149:50")
+    assert minute_counts(spark, tables.base) == {0: 4, 150: 1, 151: 1, 152: 1}
+    assert sorted(r.click_id for r in spark.read.parquet(f"{tmp}/split/late").collect()) == ["b3", "b4"]
+
+
+def test_a_ledger_without_a_watermark_is_read(spark, tmp):
+    """Ledgers of an earlier release give their partitions' minimum."""
+    splitter = LateSplitter(os.path.join(tmp, "split"), JobConfig(), part_col="part")
+    spark.createDataFrame([(0, ms("10:00"), 5), (1, ms("12:00"), 5)], "part long, max_event_ms long, last_active_ms long") \
+         .write.parquet(splitter.path("ledger", 3))
+    assert splitter.watermark_ms(spark, 4) == ms("10:00") - 10_000
+
+
 def test_decode_values_json_keeps_partition(spark):
     from clickwise.sources.streams import decode_values
     raw = spark.createDataFrame([(json.dumps(event("c1", "00:05")).encode(), 3)], "value binary, partition int")
