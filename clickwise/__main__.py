@@ -48,6 +48,8 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--advertiser")
     s.add_argument("--start")
     s.add_argument("--end")
+    s.add_argument("--sessions", choices=("summed", "merged"), default="summed", help="merged: from the stored sketches")
+    s.add_argument("--whole-range", action="store_true", help="one row for the range instead of one per period")
     s.add_argument("--out", help="write JSON lines here instead of printing")
     s.add_argument("--limit", type=int, help="rows printed when --out is not given (default: all)")
 
@@ -57,8 +59,10 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--now", required=True)
 
     s = sub.add_parser("compact", help="keep only the latest version of each minute row")
-    s.add_argument("--table", required=True)
-    s.add_argument("--months", type=int, nargs="*")
+    where = s.add_mutually_exclusive_group(required=True)
+    where.add_argument("--table", help="a batch-written minute table")
+    where.add_argument("--tables", help="base folder of a streaming job, running or not: all its tables")
+    s.add_argument("--months", type=int, nargs="*", help="with --table: these months only")
     return p
 
 
@@ -87,7 +91,8 @@ def main(argv=None, spark=None) -> int:
     elif args.job == "report":
         from clickwise.plans.report import as_json_lines, click_report
         size_shuffle_partitions(spark, args.tables)
-        rep = click_report(spark, args.tables, args.grain, args.advertiser, args.start, args.end)
+        rep = click_report(spark, args.tables, args.grain, args.advertiser, args.start, args.end, sessions=args.sessions,
+                           per_period=not args.whole_range)
         if args.out:
             as_json_lines(rep).write.mode("overwrite").text(args.out)
         else:
@@ -103,9 +108,13 @@ def main(argv=None, spark=None) -> int:
         size_shuffle_partitions(spark, args.table)
         print(apply_retention(spark, args.table, args.time_col, args.now, cfg.retention_years))
     elif args.job == "compact":
-        from clickwise.operators.storage import compact_months
-        size_shuffle_partitions(spark, args.table)
-        compact_months(spark, args.table, args.months)
+        size_shuffle_partitions(spark, args.table or args.tables)
+        if args.tables:
+            from clickwise.streaming.minutes import compact_tables
+            print(compact_tables(spark, args.tables))
+        else:
+            from clickwise.operators.storage import compact_months
+            compact_months(spark, args.table, args.months)
     return 0
 
 

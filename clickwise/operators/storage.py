@@ -44,10 +44,13 @@ def sum_collapse(rows: DataFrame, key, sums=("click_count", "unique_sessions"))
 
 
 def compact_months(spark, table_path: str, months: list[int] | None = None) -> list[int]:
-    """AGG-11: rewrite month partitions of a versioned minute table with only their
-    latest rows; each month is swapped in whole."""
+    """AGG-11 on a batch-written minute table: rewrite month partitions with only their
+    latest rows; each month is swapped in whole.  The tables of a streaming job are compacted
+    beside the stream by ``streaming.minutes.compact_tables``; this refuses them."""
     from clickwise.sinks.tables import replace_months
     from clickwise.sources import fs
+    if "batch_id" in fs.partition_columns(spark, table_path):
+        raise ValueError(f"{table_path} belongs to a streaming job: use compact_tables on its base folder")
     fs.recover(spark, table_path)
     df = spark.read.parquet(table_path)
     if months:

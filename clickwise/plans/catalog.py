@@ -384,37 +384,71 @@ def daily_rollup(spark, sf_dir):
     return d
 
 
-_INSERT_SUM_CTE = CLICKS_SQL + sp.version_log() + """,
-part_hours AS (
-  SELECT batch_id, (window_start_ms // 3600000) * 3600000 AS window_hour_ms, advertiser_id, ad_id, country,
-         device_type, sum(click_count) AS click_count, sum(unique_sessions) AS unique_sessions
-  FROM minute_log GROUP BY 1, 2, 3, 4, 5, 6
-)"""
+def _latest_rollup_sql(width_ms: int, out: str) -> str:
+    return _sql(_LATEST_CTE, body=f"""
+SELECT (window_start_ms // {width_ms}) * {width_ms} AS {out}, advertiser_id, ad_id, country, device_type,
+       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
+FROM latest GROUP BY 1, 2, 3, 4, 5""")
 
 
-@register("rollup_insert_sum", _sql(_INSERT_SUM_CTE, body="""
-SELECT window_hour_ms, advertiser_id, ad_id, country, device_type,
-       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
-FROM part_hours GROUP BY 1, 2, 3, 4, 5
-HAVING sum(click_count) <> 0 OR sum(unique_sessions) <> 0"""))
+@register("rollup_insert_sum", _latest_rollup_sql(HOUR_MS, "window_hour_ms"))
 def rollup_insert_sum(spark, sf_dir):
-    """STR-12 ``insert_sum`` mode (T4): every emitted version is summed, as
-    insert-triggered views over a replacing table do."""
-    h, _ = rollup.rollups(_minute_log(spark, sf_dir), "insert_sum")
+    """STR-12: hours from inserted rows alone: each version's values less those of the version it
+    replaces, summed.  Windows emitted again (T4) count once, so the result is that of the
+    latest versions."""
+    h, _ = rollup.rollups(_minute_log(spark, sf_dir), "deltas")
     return h
 
 
-@register("sum_collapse", _sql(_INSERT_SUM_CTE, body="""
-SELECT (window_hour_ms // 86400000) * 86400000 AS window_day_ms, advertiser_id, ad_id, country, device_type,
-       CAST(sum(click_count) AS BIGINT) AS click_count, CAST(sum(unique_sessions) AS BIGINT) AS unique_sessions
-FROM part_hours GROUP BY 1, 2, 3, 4, 5
-HAVING sum(click_count) <> 0 OR sum(unique_sessions) <> 0"""))
+@register("sum_collapse", _latest_rollup_sql(DAY_MS, "window_day_ms"))
 def sum_collapse(spark, sf_dir):
-    """AGG-10: partial daily rows of each insert collapsed by sort key."""
-    _, d = rollup.rollups(_minute_log(spark, sf_dir), "insert_sum")
+    """AGG-10: each batch's daily deltas, rows of one sort key collapsed into their sums and
+    keys whose sums are zero (an advertiser that lost its rows) gone."""
+    _, d = rollup.rollups(_minute_log(spark, sf_dir), "deltas")
     return d
 
 
+# Micro-batches of the streamed_* queries; the tables are compacted after the first two.
+STREAMED_BATCHES, COMPACT_AFTER = 3, 2
+
+
+def _streamed_tables(spark: SparkSession, sf_dir: str) -> str:
+    """The clicks in arrival order through the streaming job's tables; returns their base path."""
+    from clickwise.streaming.minutes import MinuteTables, compact_tables
+    base = f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    arrivals, tables = _arrivals(spark, sf_dir), MinuteTables(base)
+    last = arrivals.agg(F.max("seq")).first()[0]
+    for b in range(STREAMED_BATCHES if last is not None else 0):
+        tables(arrivals.filter(F.expr(f"seq * {STREAMED_BATCHES} div {last + 1} = {b}")).drop("seq", "part", "arrived_ms", "event_id"), b)
+        if b + 1 == COMPACT_AFTER:
+            compact_tables(spark, base)
+    return base
+
+
+def _streamed_sql(width_ms: int, out: str) -> str:
+    return _sql(CLICKS_SQL, body=f"""
+SELECT (window_start_ms // {width_ms}) * {width_ms} AS {out}, advertiser_id, ad_id, country, device_type,
+       CAST(sum(click_count) AS BIGINT) AS click_count
+FROM ({sp.minute_agg_body('clicks', 60_000)}) m GROUP BY 1, 2, 3, 4, 5""")
+
+
+@register("streamed_minutes", _sql(CLICKS_SQL, body=f"""
+SELECT window_start_ms, ad_id, advertiser_id, country, device_type, click_count FROM ({sp.minute_agg_body('clicks', 60_000)}) m"""))
+def streamed_minutes(spark, sf_dir):
+    """STR-5/STR-10, AGG-11: minute rows out of micro-batches whose tables are compacted between them."""
+    from clickwise.streaming.minutes import read_minutes
+    return read_minutes(spark, _streamed_tables(spark, sf_dir)).select(
+        F.unix_millis("window_start").alias("window_start_ms"), "ad_id", "advertiser_id", "country", "device_type", "click_count")
+
+
+@register("streamed_hours", _streamed_sql(HOUR_MS, "window_hour_ms"))
+def streamed_hours(spark, sf_dir):
+    """STR-12, AGG-10/11: hours kept by difference over micro-batches, compacted between them."""
+    from clickwise.streaming.minutes import read_rollup
+    return read_rollup(spark, _streamed_tables(spark, sf_dir), "hourly").select(
+        F.unix_millis("window_hour").alias("window_hour_ms"), "advertiser_id", *KEYS, "click_count")
+
+
 @register("rollup_sessions_merged_check", _sql(CLICKS_SQL, body="""
 SELECT (mins.m // 3600000) * 3600000 AS window_hour_ms, advertiser_id, ad_id, country, device_type,
        count(DISTINCT (mins.m, session_id)) FILTER (session_id IS NOT NULL) AS unique_sessions,
@@ -589,6 +623,34 @@ def report_filtered_day(spark, sf_dir):
     return _report(spark, sf_dir, "day", **REPORT_FILTERS)
 
 
+# The three days of the report_sessions_merged query.
+MERGED_RANGE = ("2024-01-05 00:00:00", "2024-01-08 00:00:00")
+
+
+@register("report_sessions_merged", _sql(CLICKS_SQL, body=f"""
+SELECT advertiser_id, count(DISTINCT click_id) AS click_count, count(DISTINCT session_id) AS unique_sessions_exact, TRUE AS est_within_bound
+FROM (SELECT (timestamp_ms // 60000) * 60000 AS m, ad_id, coalesce(country, 'UNKNOWN') AS country,
+             coalesce(device_type, 'UNKNOWN') AS device_type,
+             first(advertiser_id ORDER BY timestamp_ms, click_id) AS advertiser_id
+      FROM clicks GROUP BY 1, 2, 3, 4) mins
+JOIN (SELECT (timestamp_ms // 60000) * 60000 AS m, ad_id, coalesce(country, 'UNKNOWN') AS country,
+             coalesce(device_type, 'UNKNOWN') AS device_type, session_id, click_id FROM clicks) c USING (m, ad_id, country, device_type)
+WHERE epoch_ms(m) >= TIMESTAMP '{MERGED_RANGE[0]}' AND epoch_ms(m) < TIMESTAMP '{MERGED_RANGE[1]}' GROUP BY 1"""))
+def report_sessions_merged(spark, sf_dir):
+    """AGG-12 + RPT-1: distinct sessions of each advertiser over three days, from the hourly
+    sketches stored by the streaming job, within 3 % of the exact count."""
+    rep = report.click_report(spark, _streamed_tables(spark, sf_dir), "day", start=MERGED_RANGE[0], end=MERGED_RANGE[1],
+                              sessions="merged", per_period=False)
+    clicks = agg.normalize_keys(_clicks(spark, sf_dir)).withColumn("m", (F.floor(F.col("timestamp_ms") / 60_000) * 60_000).cast("long"))
+    at = F.timestamp_millis("m")
+    here = clicks.filter((at >= F.lit(MERGED_RANGE[0]).cast("timestamp")) & (at < F.lit(MERGED_RANGE[1]).cast("timestamp")))
+    owner = here.groupBy("m", *KEYS).agg(agg.advertiser_pick())
+    exact = (here.drop("advertiser_id").join(owner, ["m", *KEYS]).groupBy("advertiser_id")
+                 .agg(F.count_distinct("session_id").alias("unique_sessions_exact")))
+    ok = F.abs(F.col("unique_sessions") - F.col("unique_sessions_exact")) <= 0.03 * F.col("unique_sessions_exact")
+    return rep.join(exact, "advertiser_id").select("advertiser_id", "click_count", "unique_sessions_exact", ok.alias("est_within_bound"))
+
+
 @register("limit10", _sql(_MINUTE_LATEST_SQL, body="""
 SELECT * FROM latest ORDER BY window_start_ms, ad_id, country, device_type LIMIT 10"""))
 def limit10(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 ``click_report`` picks the table for the grain, adds the month-partition
 filter implied by the time range, filters on the sort-key columns so parquet
-statistics skip row groups, and sums per period.  Versions are resolved after
-the time and ad filters and before the advertiser filter: a row's advertiser may
-change from one version to the next.
+statistics skip row groups, and sums per period.  Versions and deltas are resolved after
+the time and ad filters, which are part of their keys, and before the advertiser
+filter: a row's advertiser may change from one version to the next.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickwise.operators.rollup import current_days, current_hours
 from clickwise.operators.storage import latest_wins
 from clickwise.schemas import GROUP_KEYS
-from clickwise.sources import fs
+from clickwise.sinks import batches
 
 GRAINS = {"minute": "window_start", "hour": "window_hour", "day": "window_day"}
 
@@ -30,10 +31,12 @@ def read_grain_table(spark: SparkSession, base_path: str, grain: str) -> DataFra
     """SRC-6: the stored table of a grain; of a streaming job's tables only the
     batches that are complete."""
     base = base_path.rstrip("/")
-    df = spark.read.parquet(f"{base}/{TABLE_DIRS[grain]}")
-    if fs.exists(spark, f"{base}/_commits"):
-        df = df.filter(F.col("batch_id") <= max((int(n) for n in fs.child_dirs(spark, f"{base}/_commits")), default=-1))
-    return df
+    if not batches.is_batch_table(spark, base):
+        return spark.read.parquet(f"{base}/{TABLE_DIRS[grain]}")
+    rows = batches.read_batches(spark, base, TABLE_DIRS[grain])
+    if rows is None:
+        raise FileNotFoundError(f"no batch of {TABLE_DIRS[grain]} is complete under {base}")
+    return rows
 
 
 def filter_range(df: DataFrame, period_col: str, start=None, end=None, ad_ids=None) -> DataFrame:
@@ -53,40 +56,49 @@ def filter_range(df: DataFrame, period_col: str, start=None, end=None, ad_ids=No
     return df
 
 
-def current_rows(df: DataFrame, grain: str) -> DataFrame:
-    """Of a versioned table the rows in force: per minute key the latest version,
-    per hour or day the latest snapshot."""
+def current_rows(df: DataFrame, grain: str, sketches: bool = False) -> DataFrame:
+    """Of a table of batches the rows in force: per minute key the latest version, per hour or
+    day the sum of the deltas."""
     if "batch_id" not in df.columns:
         return df
-    col = GRAINS[grain]
-    if grain != "minute":
-        last = df.groupBy(col).agg(F.max("batch_id").alias("batch_id"))
-        return df.join(last, [col, "batch_id"], "left_semi")
-    keep = [col, *GROUP_KEYS, "advertiser_id", "click_count", "unique_sessions", "batch_id", "emit_seq"]
-    return latest_wins(df.select(*keep), key=(col, *GROUP_KEYS), values=("advertiser_id", "click_count", "unique_sessions"))
+    if grain == "hour":
+        return current_hours(df)
+    if grain == "day":
+        return current_days(df)
+    col, values = GRAINS[grain], ["advertiser_id", "click_count", "unique_sessions", *["session_sketch"] * sketches]
+    return latest_wins(df.select(col, *GROUP_KEYS, *values, "batch_id", "emit_seq"), key=(col, *GROUP_KEYS), values=values)
 
 
-def summarise(rows: DataFrame, period_col: str, by=("advertiser_id",)) -> DataFrame:
-    """Report rows: clicks and (summed) sessions per period and ``by`` columns."""
-    return (rows.groupBy(*by, period_col)
-                .agg(F.sum("click_count").cast("long").alias("click_count"),
-                     F.sum("unique_sessions").cast("long").alias("unique_sessions")))
+def summarise(rows: DataFrame, period_col: str | None, by=("advertiser_id",), merged: bool = False) -> DataFrame:
+    """Report rows: clicks and sessions per period (None: the whole range) and ``by`` columns.
+    Sessions are the sum of the stored values or, ``merged``, the estimate of the united sketches."""
+    sessions = F.hll_sketch_estimate(F.hll_union_agg("session_sketch")) if merged else F.sum("unique_sessions").cast("long")
+    return (rows.groupBy(*by, *([period_col] if period_col else []))
+                .agg(F.sum("click_count").cast("long").alias("click_count"), sessions.alias("unique_sessions")))
 
 
 def click_report(spark: SparkSession, base_path: str, grain: str = "minute", advertiser_id=None,
-                 start=None, end=None, by=("advertiser_id",), ad_ids=None) -> DataFrame:
+                 start=None, end=None, by=("advertiser_id",), ad_ids=None, sessions: str = "summed",
+                 per_period: bool = True) -> DataFrame:
     """RPT-1 over stored tables: clicks and sessions per period and ``by``
-    columns, optionally for one advertiser, some ads and a time range."""
+    columns, optionally for one advertiser, some ads and a time range.
+
+    ``sessions``: "summed" adds up the finer grain's counts, as the reference does (a session
+    seen in two minutes counts twice); "merged" (AGG-12) unites the stored sketches, those of
+    the hours for a report by day.  Without ``per_period`` the whole range is one row."""
+    if sessions not in ("summed", "merged"):
+        raise ValueError(f"unknown sessions {sessions!r}")
+    merged, day = sessions == "merged", grain == "day" and sessions == "merged"
+    grain = "hour" if day else grain
     col = GRAINS[grain]
-    rows = filter_range(read_grain_table(spark, base_path, grain), col, start, end)
-    if grain == "minute":  # an ad is part of the versions' key; the advertiser is not
-        rows = filter_range(rows, col, ad_ids=ad_ids)
-    rows = current_rows(rows, grain)
-    if grain != "minute":
-        rows = filter_range(rows, col, ad_ids=ad_ids)
+    rows = filter_range(read_grain_table(spark, base_path, grain), col, start, end, ad_ids)
+    rows = current_rows(rows, grain, merged)
     if advertiser_id is not None:
         rows = rows.filter(F.col("advertiser_id") == advertiser_id)
-    return summarise(rows, col, by)
+    if day:
+        col = GRAINS["day"]
+        rows = rows.withColumn(col, F.date_trunc("day", GRAINS["hour"]))
+    return summarise(rows, col if per_period else None, by, merged)
 
 
 def head_rows(df: DataFrame, n: int = 10, order=("window_start_ms", "ad_id", "country", "device_type")) -> DataFrame:

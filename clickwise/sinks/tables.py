@@ -35,10 +35,11 @@ def write_sorted(df: DataFrame, path: str, period_col: str, *parts: str) -> None
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
-def replace_months(df: DataFrame, path: str, period_col: str) -> list[int]:
-    """Swap in the months of ``df`` (with column ``month``), whole."""
+def replace_months(df: DataFrame, path: str, period_col: str, *parts: str) -> list[int]:
+    """Swap in the months of ``df`` (with column ``month``), whole; ``parts``: further partition
+    columns inside a month."""
     spark, stage = df.sparkSession, f"{path.rstrip('/')}__stage_{uuid.uuid4().hex}"
-    write_sorted(df, stage, period_col, "month")
+    write_sorted(df, stage, period_col, "month", *parts)
     months = [int(n.split("=")[1]) for n in fs.child_dirs(spark, stage)]
     for m in months:
         fs.swap(spark, f"{stage}/month={m}", f"{path.rstrip('/')}/month={m}")
@@ -79,8 +80,15 @@ def write_rollup_table(df: DataFrame, path: str, period_col: str) -> list[int]:
 
 def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> list[int]:
     """SNK-7 as a job: months before the horizon's are dropped as folders, by their
-    names; the horizon's month is rewritten without its expired rows.  Returns the
-    months touched."""
+    names; the horizon's month is rewritten, in its own layout, without its expired rows.
+    A streaming job's table loses them from its compacted rows too.  Returns the months touched."""
+    from clickwise.sinks.batches import compacted_folder
+    touched = _retain(spark, path, time_col, now, years)
+    old = compacted_folder(spark, path.rstrip("/"))
+    return sorted({*touched, *_retain(spark, old, time_col, now, years)}) if old else touched
+
+
+def _retain(spark, path: str, time_col: str, now, years: int) -> list[int]:
     from clickwise.operators.retention import expired_months, horizon, retained
     fs.recover(spark, path)
     months = [int(n.split("=")[1]) for n in fs.child_dirs(spark, path) if n.startswith("month=")]
@@ -91,8 +99,9 @@ def apply_retention(spark, path: str, time_col: str, now, years: int = 2) -> lis
     edge = cut.year * 100 + cut.month
     if edge not in months:
         return sorted(whole)
+    inner = [c for c in fs.partition_columns(spark, f"{path.rstrip('/')}/month={edge}")]
     rows = spark.read.parquet(path).filter(F.col("month") == edge)
     kept = retained(rows, time_col, now, years, is_ms=time_col.endswith("_ms"))
-    if not replace_months(kept, path, time_col):
+    if not replace_months(kept, path, time_col, *inner):
         fs.delete(spark, f"{path.rstrip('/')}/month={edge}")
     return sorted([*whole, edge])

@@ -27,6 +27,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_if_empty(spark: SparkSession, path: str) -> None:
+    """Remove a folder that holds nothing (a folder that was filled meanwhile stays)."""
+    fs, p = _fs_path(spark, path)
+    if fs.exists(p) and not len(fs.listStatus(p)):
+        try:
+            fs.delete(p, False)
+        except Exception:  # filled between the two calls
+            if not fs.exists(p):
+                raise
+
+
 def size_bytes(spark: SparkSession, path: str) -> int:
     fs, p = _fs_path(spark, path)
     return int(fs.getContentSummary(p).getLength())

@@ -172,12 +172,107 @@ def test_replayed_batch_changes_nothing(spark, tmp):
     assert snapshot() == first
     # a batch that failed before its commit is not seen
     tables._partials(b1.withColumn("click_id", F.lit("zz")), 2)
-    tables._write(spark.createDataFrame([(BASE_MS, "ad-9", "adv-9", "US", "DESKTOP", 99, 99)],
+    tables._write(spark.createDataFrame([(BASE_MS, "ad-9", "adv-9", "US", "DESKTOP", 99, 99, None, False)],
                                         "window_hour_ms long, ad_id string, advertiser_id string, country string, "
-                                        "device_type string, click_count long, unique_sessions long"), "clicks_hourly", "window_hour", 2)
+                                        "device_type string, click_count long, unique_sessions long, session_sketch binary, is_base boolean"),
+                  "clicks_hourly", "window_hour", 2)
     assert committed_batch(spark, tables.base) == 1 and snapshot() == first
 
 
+def rows_of(spark, base):
+    """Everything a reader sees: minutes, hours and days."""
+    return (sorted((str(r.window_start), r.ad_id, r.advertiser_id, r.click_count, r.unique_sessions) for r in read_minutes(spark, base).collect()),
+            sorted((str(r.window_hour), r.ad_id, r.advertiser_id, r.click_count, r.unique_sessions, r.unique_sessions_est)
+                   for r in read_rollup(spark, base, "hourly").collect()),
+            sorted((str(r.window_day), r.ad_id, r.advertiser_id, r.click_count, r.unique_sessions) for r in read_rollup(spark, base, "daily").collect()))
+
+
+def clicks_of(spark, rows):
+    """(click, "mm:ss", ad, advertiser, session) as click events."""
+    return spark.createDataFrame([tuple((event(c, t) | {"ad_id": ad, "advertiser_id": adv, "session_id": ses}).values()) for c, t, ad, adv, ses in rows], CLICK_EVENT)
+
+
+STREAMED = [[("a1", "00:30", "ad-1", "adv-1", "s1"), ("a2", "01:10", "ad-1", "adv-1", "s1"), ("x1", "00:10", "ad-2", "adv-2", "s2")],
+            [("a3", "00:40", "ad-1", "adv-1", "s3"), ("a1", "00:30", "ad-1", "adv-1", "s1"), ("a4", "61:00", "ad-1", "adv-1", "s1")],
+            # an earlier click of the first minute: the row goes over to another advertiser
+            [("a5", "00:05", "ad-1", "adv-9", "s4"), ("x2", "00:20", "ad-2", "adv-2", "s5")],
+            [("a6", "02:00", "ad-1", "adv-9", "s4"), ("a7", "1500:00", "ad-1", "adv-1", "s6"), ("a2", "01:15", "ad-1", "adv-1", "s7")]]
+
+
+def batch_rollup(spark, upto):
+    """Minutes, hours and days of all clicks at once, by the batch functions."""
+    from clickwise.operators import rollup
+    from clickwise.operators.aggregate import window_aggregate
+    m = window_aggregate(clicks_of(spark, [r for b in STREAMED[:upto] for r in b]), "1 minute", exact_sessions=True, with_sketch=True)
+    hours = rollup.hourly_with_estimate(m)
+    out = []
+    for df, col in ((m, "window_start_ms"), (hours, "window_hour_ms"), (rollup.daily(hours), "window_day_ms")):
+        est = ["unique_sessions_est"] if "unique_sessions_est" in df.columns else []
+        out.append(sorted((str(r.period), *tuple(r)[1:]) for r in df.select(
+            F.timestamp_millis(col).alias("period"), "ad_id", "advertiser_id", "click_count", "unique_sessions", *est).collect()))
+    return tuple(out)
+
+
+def test_compaction_beside_a_running_stream(spark, tmp):
+    """STR-12, AGG-10, AGG-11: batch, compact, batch, replay, compact: always what the batch rollup gives."""
+    from clickwise.plans.report import click_report
+    from clickwise.streaming.minutes import COMPACTED, compact_tables
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    for b, rows in enumerate(STREAMED):
+        tables(clicks_of(spark, rows), b)
+        assert rows_of(spark, tables.base) == batch_rollup(spark, b + 1), b
+        if b in (1, 2):
+            assert compact_tables(spark, tables.base) == dict.fromkeys(COMPACTED, b)
+            assert compact_tables(spark, tables.base) == dict.fromkeys(COMPACTED)
+            assert rows_of(spark, tables.base) == batch_rollup(spark, b + 1), b
+        if b == 3:
+            tables(clicks_of(spark, rows), b)  # replay
+            assert rows_of(spark, tables.base) == batch_rollup(spark, 4)
+    # what the first compaction replaced is gone, what the second did is kept for readers under way
+    assert fs.child_dirs(spark, f"{tables.base}/clicks_1min/month=202401") == ["batch_id=2", "batch_id=3"]
+    assert fs.child_dirs(spark, f"{tables.base}/_partials/ids") == ["batch_id=2", "batch_id=3"]
+    assert fs.child_dirs(spark, f"{tables.base}/clicks_hourly/_compactions") == ["1", "2"]
+    # a compaction that failed before its marker is not seen, and the next attempt replaces it
+    spark.range(3).write.parquet(f"{tables.base}/clicks_daily/_compacted/3")
+    assert rows_of(spark, tables.base) == batch_rollup(spark, 4)
+    compact_tables(spark, tables.base)
+    assert rows_of(spark, tables.base) == batch_rollup(spark, 4)
+    # reports: sums as stored, and distinct sessions over any range
+    day = {r.advertiser_id: (r.click_count, r.unique_sessions) for r in click_report(spark, tables.base, "day", per_period=False).collect()}
+    merged = {r.advertiser_id: (r.click_count, r.unique_sessions)
+              for r in click_report(spark, tables.base, "day", per_period=False, sessions="merged").collect()}
+    assert day == {"adv-1": (3, 4), "adv-2": (2, 2), "adv-9": (4, 4)}
+    assert merged == {"adv-1": (3, 3), "adv-2": (2, 2), "adv-9": (4, 3)}
+    by_minute = click_report(spark, tables.base, "minute", per_period=False, sessions="merged", advertiser_id="adv-9").collect()
+    assert [(r.click_count, r.unique_sessions) for r in by_minute] == [(4, 3)]
+
+
+def test_a_batch_reads_no_stored_table(spark, tmp):
+    """STR-12: the cost of a batch follows its own windows: it works with the stored rows out of reach."""
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    for b, rows in enumerate(STREAMED[:3]):
+        tables(clicks_of(spark, rows), b)
+    before = {n: spark.read.parquet(f"{tables.base}/{n}").drop("month") for n in ("clicks_1min", "clicks_hourly", "clicks_daily")}
+    before = {n: df.toPandas() for n, df in before.items()}
+    for n in before:
+        for b in range(3):
+            fs.delete(spark, f"{tables.base}/{n}/month=202401/batch_id={b}")
+    tables(clicks_of(spark, STREAMED[3]), 3)
+    hours = spark.read.parquet(f"{tables.base}/clicks_hourly").filter("batch_id = 3").select("advertiser_id", "click_count").collect()
+    assert sorted(map(tuple, hours)) == [("adv-1", 0), ("adv-1", 1), ("adv-9", 1)]
+    # only batches that share an hour with this one are opened
+    assert sorted(tables._spans(spark)) == [(b, BASE_MS // 3_600_000, BASE_MS // 3_600_000 + h) for b, h in enumerate((0, 1, 0, 25))]
+
+
+def test_a_click_of_a_closed_hour_is_refused(spark, tmp):
+    import pytest
+    tables = MinuteTables(os.path.join(tmp, "tables"))
+    tables(parted(spark, [("a1", "00:05", 0), ("a2", "00:06", 0)]).drop("part"), 0, ms("90:00"))
+    with pytest.raises(ValueError, match="partial states are gone"):
+        tables(parted(spark, [("a3", "00:07", 0)]).drop("part"), 1, ms("90:00"))
+    assert minute_counts(spark, tables.base) == {0: 2}
+
+
 def test_live_batch_is_written_by_many_tasks(spark, tmp):
     """One hour, one hot ad: the minute rows still come from more than one task."""
     tables = MinuteTables(os.path.join(tmp, "tables"))
@@ -204,8 +299,8 @@ def test_partials_of_closed_hours_go(spark, tmp):
     tables = MinuteTables(os.path.join(tmp, "tables"))
     tables(parted(spark, [("a1", "00:05", 0)]).drop("part"), 0, None)
     tables(parted(spark, [("a2", "125:00", 0)]).drop("part"), 1, ms("120:00"))
-    hours = fs.child_dirs(spark, f"{tables.base}/_partials/ids")
-    assert hours == [f"hour={BASE_MS // 3_600_000 + 2}"]
+    assert fs.child_dirs(spark, f"{tables.base}/_partials/ids") == ["batch_id=1"]
+    assert fs.child_dirs(spark, f"{tables.base}/_partials/sketches") == ["batch_id=1"]
     assert minute_counts(spark, tables.base) == {0: 1, 125: 1}
 
 
@@ -317,3 +412,9 @@ def test_retention_on_streaming_tables(spark, tmp):
     assert touched == [202312, 202401]
     left = sorted(str(r.window_start)[:10] for r in read_minutes(spark, tables.base).collect())
     assert left == ["2024-01-03"]
+    # the stream goes on in the same layout, and a compacted table loses its expired rows too
+    from clickwise.streaming.minutes import compact_tables
+    tables(spark.createDataFrame([tuple((event("c9", "00:05") | {"timestamp_ms": BASE_MS + 40 * day}).values())], CLICK_EVENT), 1)
+    compact_tables(spark, tables.base)
+    assert apply_retention(spark, f"{tables.base}/clicks_1min", "window_start", "2026-01-10 00:00:00") == [202401]
+    assert [str(r.window_start)[:10] for r in read_minutes(spark, tables.base).collect()] == ["2024-02-10"]
