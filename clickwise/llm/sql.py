@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickwise.llm import license_scan as lic, line_dedup as ld, mixing as mx
+from clickwise.llm import license_scan as lic, line_dedup as ld
 from clickwise.llm.common import UPPER
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -47,16 +47,18 @@ FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, doc_id
 """
 
 
-def _mixed(docs: str, cycle: int = mx.CYCLE, alpha: float = mx.ALPHA, block_rows: int = mx.BLOCK_ROWS) -> str:
-    """CTEs up to ``mixed`` over the relation ``docs`` (doc_id, source)."""
+def _mixed(docs: str, cycle: int = 1000, block_rows: int = 32) -> str:
+    """CTEs up to ``mixed`` over the relation ``docs`` (doc_id, source): weights are the square root of
+    the rows, in whole shares of 1,000 slots (for up to 500 sources); the sources' lags are stepped slot by slot."""
     return f"""
 mix_rows AS (SELECT doc_id, coalesce(source, '') AS source,
                     row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS rank
              FROM {docs}),
-wants AS (SELECT source, round(pow(count(*)::DOUBLE, {alpha}), 9) AS want FROM mix_rows GROUP BY source),
-exacts AS (SELECT source, round(want * ({cycle} - count(*) OVER ()) / sum(want) OVER (), 6) AS exact FROM wants),
-shares AS (SELECT source, (floor(exact) + 1 + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, source)
-                  <= {cycle} - sum(floor(exact) + 1) OVER () THEN 1 ELSE 0 END)::BIGINT AS share FROM exacts),
+wants AS (SELECT source, sqrt(count(*)) AS want FROM mix_rows GROUP BY source),
+small AS (SELECT *, want * {cycle} < sum(want) OVER () AS few FROM wants),
+exacts AS (SELECT source, CASE WHEN few THEN 1.0 ELSE round(want * ({cycle} - count(*) FILTER (few) OVER ()) / sum(want) FILTER (NOT few) OVER (), 6) END AS exact FROM small),
+floors AS (SELECT source, greatest(floor(exact), 1) AS whole, row_number() OVER (ORDER BY exact - floor(exact) DESC, source) AS ord FROM exacts),
+shares AS (SELECT source, (whole + CASE WHEN ord <= {cycle} - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS share FROM floors),
 srcs AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS a FROM shares),
 sched(t, done, pick) AS (
   SELECT -1, list_transform(a, lambda x: 0::BIGINT), 0::BIGINT FROM srcs

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 from clickwise.llm import license_scan, mixing, sharding
 from tests.llm import odd
@@ -111,6 +112,40 @@ def test_interleave_orders_whole_rows(spark):
     assert mixing.interleave(odd.empty(spark)).count() == 0 and mixing.mix(odd.empty(spark)).count() == 0
 
 
+def test_given_weights_are_kept_after_any_prefix(spark):
+    """Less than one block from the weight itself, over many cycles, while all sources have blocks."""
+    for weights in ({"a": 0.9, "b": 0.1}, {"a": 0.97, "b": 0.02, "c": 0.01}, {"a": "1/3", "b": "1/7", "c": 1}, {"a": 3, "b": 2, "": 1, "gone": 0}):
+        rows = [(i, s or None) for k, s in enumerate(weights) if s != "gone" for i in range(k * 10_000, k * 10_000 + 3000)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, weights=weights).collect()
+        at, left, done = {r.slot: r.source for r in got}, Counter(s or "" for _, s in rows), Counter()
+        assert len(at) == len(got) == len(rows)
+        whole = sum(Fraction(str(w)) for w in weights.values())
+        for t in range(max(at) + 1):
+            done[at[t]] += 1
+            if any(done[s] == left[s] for s in left):
+                break
+            assert all(abs(done[s] - (t + 1) * Fraction(str(weights[s])) / whole) < 1 for s in left), (weights, t)
+        assert t >= 3000
+
+
+def test_weights_that_cannot_be_kept_are_refused(spark):
+    import pytest
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, source string")
+    for weights in ({"a": 1, "b": 1}, {"a": 1, "b": 0, None: 1}, {"a": -1, "b": 1, None: 1}, {"a": 0, "b": 0, None: 0}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, weights=weights)
+    assert mixing.mix(docs, weights={"a": 1, "b": 0.5, None: 2}).count() == 3
+    shares, cycle = mixing.given_shares({"a": 0.123456789, "b": 0.876543211, "c": 1e-9})
+    assert cycle == sum(shares.values()) == mixing.MAX_CYCLE and shares["c"] == 1
+
+
+def test_rows_of_one_doc_id_have_one_order(spark):
+    rows = [(1, "s", f"text {i}") for i in range(40)] + [(None, "s", f"text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    a, b = ([r.text for r in mixing.interleave(d, block_rows=4).collect()] for d in (df, df.repartition(7)))
+    assert a == b
+
+
 def test_more_sources_than_slots(spark):
     rows = [(i, f"s{i % 30}") for i in range(90)]
     assert mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), cycle=10, block_rows=1).count() == 90

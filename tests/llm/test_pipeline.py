@@ -37,9 +37,11 @@ def plain_schedule(docs):
     for d, s in docs:
         ranked.setdefault(s, []).append((hashlib.md5(str(d).encode()).hexdigest(), d))
     n, names = mixing.CYCLE, sorted(ranked)
-    want = {s: round(len(ranked[s]) ** mixing.ALPHA, 9) for s in names}
-    exact = {s: round(want[s] * (n - len(names)) / sum(want.values()), 6) for s in names}
-    share = {s: int(exact[s]) + 1 for s in names}
+    want = {s: len(ranked[s]) ** 0.5 for s in names}
+    few = [s for s in names if want[s] * n < sum(want.values())]
+    rest = sum(want[s] for s in names if s not in few)
+    exact = {s: 1.0 if s in few else round(want[s] * (n - len(few)) / rest, 6) for s in names}
+    share = {s: max(1, int(exact[s])) for s in names}
     for s in sorted(names, key=lambda s: (-(exact[s] - int(exact[s])), s))[:n - sum(share.values())]:
         share[s] += 1
     done, slots = dict.fromkeys(names, 0), {s: [] for s in names}
