@@ -9,9 +9,13 @@ Jaccard similarity reaches the bound share a shingle within their prefixes.
 * Of each shingle's nodes the most central one (most heavy shingles) is the
   leader; nodes are first compared with leaders only, which is linear in the
   postings and links nearly everything inside a large group of near copies.
-* What is left are nodes of a shingle that are still in different components;
-  those pairs are compared too, so no link between components is lost.  Length
-  and position bounds cut both lists.
+* What is left are nodes of a shingle that are still in different components; they
+  are compared too, so no link between components is lost.  Length and position
+  bounds cut both lists.  A posting of a set of n shingles at place pos can meet one of
+  another set only if percent * m <= 100 * n - (100 + percent) * pos and the same the
+  other way round, so before any pairs are formed the postings of a shingle (and size
+  class) that no least size, or no largest reach, of the others allows are dropped: texts
+  that share a frame but stay just below the bound form no pairs.
 * To compare a pair, the global order is cut into FRAGMENTS; overlaps are
   counted per fragment and summed per pair, exactly.
 
@@ -132,15 +136,23 @@ LIVE = "token long, a long, b long, n long, pos long, la long, lb long, ln long,
 
 def _live(batches: Batches, percent: int) -> Batches:
     """Postings sorted by shingle, most central node first -> each further node of a
-    shingle with the first one, its leader.  ``many`` marks shingles of three nodes
-    or more; of the others only pairs within the bounds are told.  Holds one batch
-    and at most two rows of the last shingle."""
-    def told(x: np.ndarray, many_before: bool) -> pa.RecordBatch:
+    shingle with the first one, its leader.  ``many`` marks postings that further nodes of
+    their shingle may meet; of the others only pairs within the bounds are told.  Holds one
+    batch and at most two rows of the last shingle."""
+    def told(x: np.ndarray, many_before: bool, goes_on: bool) -> pa.RecordBatch:
         start = np.r_[True, x[0, 1:] != x[0, :-1]]
         lead = np.maximum.accumulate(np.where(start, np.arange(x.shape[1]), 0))
         many = (np.bincount(lead)[lead] > 2) | (many_before & (lead == 0))
         y = x[:, lead]
         possible = np.minimum(x[3] - x[4], y[3] - y[4]) * (100 + percent) >= percent * (x[3] + y[3])
+        # Reach and size of the nodes that follow the leader, over shingles that lie whole in this batch.
+        reach, size, far = 100 * x[3] - (100 + percent) * x[4], percent * x[3], np.iinfo(np.int64).max
+        begin = np.flatnonzero(start)
+        least = np.minimum.reduceat(np.where(start, far, size), begin)
+        most = np.maximum.reduceat(np.where(start, -far, reach), begin)
+        group = np.cumsum(start) - 1
+        whole = ~((group == 0) & many_before | (group == group[-1]) & goes_on)
+        many &= ~whole | (least[group] <= reach) & (most[group] >= size)
         out = ~start & (many | possible)
         return pa.record_batch([pa.array(c[out]) for c in (*x[:5], *y[1:5], many)], names=[f.split()[0] for f in LIVE.split(", ")])
 
@@ -156,10 +168,10 @@ def _live(batches: Batches, percent: int) -> Batches:
         else:
             body, carry, many_next = x[:, :last], x[:, last:], False
         if body.shape[1]:
-            yield told(body, many)
+            yield told(body, many, many_next)
         many = many_next
     if carry.shape[1] > 1:
-        yield told(carry, many)
+        yield told(carry, many, False)
 
 
 def _segments(batches: Batches, n: int, first: bool) -> Batches:
@@ -213,6 +225,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, perc
                 .filter(bound.format("both")).select("u", "v"))
 
 
+def _meetable(postings: DataFrame, percent: int) -> DataFrame:
+    """``postings`` (token, n, pos, ...) with their size class, reach and size, without those that no
+    other one of their shingle can meet: sizes of a linked pair lie in one class or in neighbouring ones."""
+    x = (postings.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9))
+                 .withColumn("reach", F.expr(f"100 * n - {100 + percent} * pos")).withColumn("size", F.col("n") * percent))
+    near = (x.groupBy("token", "cls").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
+             .withColumn("cls", F.explode(F.array(*[F.col("cls") + k for k in (-1, 0, 1)])))
+             .groupBy("token", "cls").agg(F.min("least").alias("least"), F.max("most").alias("most")))
+    return x.join(near, ["token", "cls"]).filter("least <= reach AND most >= size").drop("least", "most")
+
+
+def _apart(live: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """node, n, node2, n2: further nodes of one shingle that are still in different components
+    and that the bounds allow to be linked."""
+    rows = _meetable(live.filter("many"), percent)
+    part = materialise(rows.join(label.select("node", F.col("root").alias("part")), "node", "left")
+                           .join(label.select(F.col("node").alias("lead"), F.col("root").alias("lead_part")), "lead", "left")
+                           .select("token", "cls", "node", "n", "reach", "size", F.coalesce("part", "node").alias("part"),
+                                   F.coalesce("lead_part", "lead").alias("lead_part")))
+    apart = part.filter("part != lead_part")
+    other = part.select("token", F.explode(F.array(*[F.col("cls") + k for k in (-1, 0, 1)])).alias("cls"), F.col("node").alias("node2"), F.col("n").alias("n2"),
+                        F.col("reach").alias("reach2"), F.col("size").alias("size2"), F.col("part").alias("part2"),
+                        (F.col("part") == F.col("lead_part")).alias("with_lead"))
+    return apart.join(other, ["token", "cls"]).filter((F.col("part") != F.col("part2")) & (F.col("with_lead") | (F.col("node") < F.col("node2")))
+                                                      & (F.col("size2") <= F.col("reach")) & (F.col("size") <= F.col("reach2")))
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of
     at least ``percent`` / 100 Jaccard similarity of n-word shingles) per row; with
@@ -238,18 +277,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     links = materialise(_verified(first, texts, nodes, n, percent))
     label = components(links)
 
-    # Further nodes of one shingle that are still in different components.
-    part = (live.filter("many").join(label.select("node", F.col("root").alias("part")), "node", "left")
-                .join(label.select(F.col("node").alias("lead"), F.col("root").alias("lead_part")), "lead", "left")
-                .select("token", "node", "n", "pos", F.coalesce("part", "node").alias("part"), F.coalesce("lead_part", "lead").alias("lead_part")))
-    apart = part.filter("part != lead_part")
-    other = part.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("part").alias("part2"),
-                        (F.col("part") == F.col("lead_part")).alias("with_lead"))
-    second = materialise(apart.join(other, "token")
-                              .filter((F.col("part") != F.col("part2")) & (F.col("with_lead") | (F.col("node") < F.col("node2")))
-                                      & _possible("n", "pos", "n2", "pos2", percent))
-                              .select(*ends("node", "node2", "n", "n2")).distinct()
-                              .join(first, ["u", "v"], "left_anti"))
+    second = materialise(_apart(live, label, percent).select(*ends("node", "node2", "n", "n2")).distinct().join(first, ["u", "v"], "left_anti"))
     more = materialise(_verified(second, texts, nodes, n, percent))
     if not more.isEmpty():
         label = components(links.union(more))

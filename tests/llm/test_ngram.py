@@ -110,3 +110,39 @@ def test_a_clean_text_stays_beside_a_near_copy_of_its_doc_id(spark):
     rows = [(1, " ".join(base)), (7, " ".join(base[:-1] + ["z"])), (7, own), (9, own + " more")]
     kept = ngram_join.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2]])
+
+
+def test_texts_just_below_the_bound_form_no_pairs(spark, monkeypatch):
+    """600 texts share 100 of 113 to 117 shingles: a join on the shingle alone would form 180,000 pairs."""
+    formed = []
+    apart = ngram_join._apart
+
+    def counted(live, label, percent):
+        out = apart(live, label, percent)
+        formed.append((live.count(), out.count()))
+        return out
+    monkeypatch.setattr(ngram_join, "_apart", counted)
+    frame = [f"f{i}" for i in range(103)]
+    rows = [(d, " ".join(frame + [f"o{d}-{i}" for i in range(13 + d % 5)])) for d in range(600)]
+    rows += [(1000 + d, rows[d][1] + " more") for d in range(0, 600, 100)]
+    got = groups(spark, rows, 4, 85)
+    assert {d: c for d, (_, c) in got.items()} == {d: d - 1000 if d >= 1000 else d for d, _ in rows}
+    (postings, pairs), = formed
+    assert pairs <= len(rows) and postings < 40 * len(rows)
+
+
+def test_meetable_keeps_every_possible_pair(spark):
+    """Against all pairs of a shingle: a posting that can meet another one stays."""
+    rnd = random.Random(4)
+    rows = []
+    for token in range(60):
+        for _ in range(rnd.randrange(1, 12)):
+            n = rnd.randrange(5, 200)
+            rows.append((token, n, rnd.randrange(0, n - -(-80 * n // 100) + 1)))
+    kept = {(r.token, r.n, r.pos) for r in ngram_join._meetable(spark.createDataFrame(rows, "token long, n long, pos long"), 80).collect()}
+    can = set()
+    for i, (t, n, p) in enumerate(rows):
+        for j, (s, m, q) in enumerate(rows):
+            if i != j and t == s and min(n - p, m - q) * 180 >= 80 * (n + m):
+                can.add((t, n, p))
+    assert can <= kept and len(kept) < len(set(rows))
