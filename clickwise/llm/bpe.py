@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from clickwise.llm.common import frugal
+
 BLOCK_CHARS = 12 << 20
 # Distinct pieces that one replay holds in memory.
 REPLAY_PIECES = 150_000
@@ -321,8 +323,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # One exchange by block serves both the dictionaries and the assembly.
-    blocks = texts.mapInArrow(_blocks(pattern, BUCKETS_PER_PARTITION * partitions), SCHEMA).repartition(partitions, "block")
-    codes = blocks.mapInArrow(_dictionaries, SCHEMA).repartition(partitions, "bucket").mapInArrow(_codes(ranks_path), SCHEMA)
+    blocks = texts.mapInArrow(frugal(_blocks(pattern, BUCKETS_PER_PARTITION * partitions)), SCHEMA).repartition(partitions, "block")
+    codes = blocks.mapInArrow(frugal(_dictionaries), SCHEMA).repartition(partitions, "bucket").mapInArrow(frugal(_codes(ranks_path)), SCHEMA)
     return (blocks.groupBy("block").cogroup(codes.groupBy("block"))
                   .applyInArrow(_assemble(ranks_path if decoded else None), "doc_id long, ids array<int>" + ", decoded binary" * decoded))
 

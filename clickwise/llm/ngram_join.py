@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickwise.llm.common import broadcast_if_small, materialise
+from clickwise.llm.common import broadcast_if_small, frugal, materialise
 from clickwise.llm.components import components
 from clickwise.llm.shingles import set_names, shingle_sets, slices
 
@@ -92,16 +92,18 @@ def _unpack_heavy(batches: Batches) -> Batches:
 
 
 def _heavy(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts: those from the least
-    count on, HEAVY_TEXTS or more, of which there are at most HEAVY."""
-    seen = materialise(described.filter("heavy IS NOT NULL").select("heavy").mapInArrow(_unpack_heavy, "token long, seen long")
+    """The most frequent shingles (sorted) and their counts, of those seen HEAVY_TEXTS times or
+    more: all from some count on, and of the next lower one a share (by hash), about HEAVY together."""
+    seen = materialise(described.filter("heavy IS NOT NULL").select("heavy").mapInArrow(frugal(_unpack_heavy), "token long, seen long")
                        .groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HEAVY_TEXTS))
-    steps = seen.groupBy("seen").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy(F.desc("seen"))  # one row per distinct count
-    least = steps.withColumn("n", F.sum("n").over(upto)).filter(F.col("n") <= HEAVY).agg(F.min("seen")).first()[0]
-    if least is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    top = seen.filter(F.col("seen") >= F.lit(least)).toPandas().sort_values("token")  # at most HEAVY rows
+    steps = seen.groupBy("seen").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    # The count whose shingles fit in part only, if any.
+    edge = steps.filter(F.col("upto") > HEAVY).orderBy(F.desc("seen")).select("seen", ((HEAVY - (F.col("upto") - F.col("n"))) / F.col("n")).alias("share")).first()
+    if edge:
+        drawn = F.shiftrightunsigned(F.xxhash64("token"), 1) / F.lit(2.0 ** 63) < F.lit(edge["share"])
+        seen = seen.filter((F.col("seen") > edge["seen"]) | (F.col("seen") == edge["seen"]) & drawn)
+    top = seen.toPandas().sort_values("token")  # about HEAVY rows at most
     return top["token"].to_numpy(np.int64), top["seen"].to_numpy(np.int64)
 
 
@@ -201,7 +203,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, firs
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     readers = materialise(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     parts = materialise(texts.join(broadcast_if_small(readers), "doc_id", "left_semi").select("doc_id", "text")
-                             .mapInArrow(partial(_segments, n=n, first=first), "a long, b long, frag int, tokens array<long>")
+                             .mapInArrow(frugal(partial(_segments, n=n, first=first)), "a long, b long, frag int, tokens array<long>")
                              .select(F.struct("a", "b").alias("node"), "frag", "tokens"))
     left = parts.select(F.col("node").alias("u"), "frag", F.col("tokens").alias("tu"))
     right = parts.select(F.col("node").alias("v"), "frag", F.col("tokens").alias("tv"))
@@ -258,15 +260,15 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     ``mark`` also the text's hash."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialise(texts.withColumn("mark", F.xxhash64("text"))
-                            .mapInArrow(partial(_describe, n=n), "doc_id long, mark long, n long, a long, b long, heavy binary"))
+                            .mapInArrow(frugal(partial(_describe, n=n)), "doc_id long, mark long, n long, a long, b long, heavy binary"))
     rows = described.filter("heavy IS NULL").select("doc_id", "mark", "n", F.struct("a", "b").alias("node"))
     nodes = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(described))
     live = materialise(texts.filter("doc_id IS NOT NULL")
-                            .mapInArrow(partial(_postings, n=n, percent=percent, heavy=heavy),
+                            .mapInArrow(frugal(partial(_postings, n=n, percent=percent, heavy=heavy)),
                                         "token long, a long, b long, n long, pos long, central long")
                             .repartition("token").sortWithinPartitions("token", F.desc("central"), "a", "b")
-                            .mapInArrow(partial(_live, percent=percent), LIVE)
+                            .mapInArrow(frugal(partial(_live, percent=percent)), LIVE)
                             .select("token", F.struct("a", "b").alias("node"), "n", "pos",
                                     F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("lead"), "ln", "lpos", "many"))
     ends = lambda x, y, nx, ny: [F.least(x, y).alias("u"), F.greatest(x, y).alias("v"),

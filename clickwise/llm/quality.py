@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clickwise.llm.common import broadcast_if_small, materialise
+from clickwise.llm.common import broadcast_if_small, frugal, materialise
 from clickwise.llm.shingles import U, shingle_sets, slices, words
 
 KEEP_FROM = 0.5
@@ -201,7 +201,7 @@ def drawn(texts: DataFrame, share: float) -> DataFrame:
 def sampled(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[DataFrame | None, np.ndarray, np.ndarray]:
     """text, mark, weight of the training texts, each once; the vote patterns and their counts."""
     texts = docs.select(F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text", F.lit("train")))
-    counted = materialise(texts.mapInArrow(_pattern_rows, "mark long, pattern int").groupBy("mark", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    counted = materialise(texts.mapInArrow(frugal(_pattern_rows), "mark long, pattern int").groupBy("mark", "pattern").agg(F.count(F.lit(1)).alias("n")))
     found = counted.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** 7 rows
     pattern, count = (np.array([r[c] for r in found], np.int64) for c in ("pattern", "n"))
     if not pattern.any():
@@ -216,7 +216,7 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS)
     if texts is None:
         return np.zeros(N_FEATURES + 1, np.float32)
     prob, _, _ = label_model(pattern, count)
-    sample = texts.mapInArrow(_feature_rows(dict(zip(pattern.tolist(), prob.tolist()))), "mark long, weight long, x binary, good double")
+    sample = texts.mapInArrow(frugal(_feature_rows(dict(zip(pattern.tolist(), prob.tolist())))), "mark long, weight long, x binary, good double")
     # Distinct texts, about ``train_rows`` of them at most whatever is copied, so one task can hold them.
     found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit_table, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float32) if found else np.zeros(N_FEATURES + 1, np.float32)
@@ -242,7 +242,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         for batch in batches:
             s = scores(batch.column(1), weights.value)
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array(s >= keep_from)], names=["doc_id", "score", "kept"])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, score double, kept boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(frugal(run), "doc_id long, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", keep_from: float = KEEP_FROM, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -253,4 +253,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", keep_from: float = KEEP_F
     def run(batches: Batches) -> Batches:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), weights.value) >= keep_from))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

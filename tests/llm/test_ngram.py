@@ -146,3 +146,14 @@ def test_meetable_keeps_every_possible_pair(spark):
             if i != j and t == s and min(n - p, m - q) * 180 >= 80 * (n + m):
                 can.add((t, n, p))
     assert can <= kept and len(kept) < len(set(rows))
+
+
+def test_heavy_list_is_bounded_and_never_empty(spark, monkeypatch):
+    """One count shared by more shingles than the list holds: a share of them is taken."""
+    import numpy as np
+    packed = np.stack([np.arange(1000), np.r_[np.full(10, 50), np.full(900, 7), np.full(90, 2)]]).astype(np.int64).tobytes()
+    df = spark.createDataFrame([(bytearray(packed),)], "heavy binary")
+    for most, least, high in ((2000, 910, 910), (310, 250, 370), (10, 10, 10), (5, 1, 9)):
+        monkeypatch.setattr(ngram_join, "HEAVY", most)
+        token, seen = ngram_join._heavy(df)
+        assert least <= len(token) <= high and (np.diff(token) > 0).all() and seen.min() >= 3
