@@ -18,6 +18,9 @@ from clickwise.llm.queries import vocabulary
 from clickwise.session import ensure_checkpoint_dir
 from clickwise.sources import fs
 
+# Texts that pass between Spark and Python at once: their bytes stand beside the executor's heap.
+TEXTS_AT_ONCE = 1000
+
 # Near copies: five words a shingle, a similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
@@ -71,6 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; the tables in between go to the shared checkpoint folder."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, last = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
