@@ -212,7 +212,7 @@ def _unpack_docs(data: bytes, n: int) -> tuple[list, list[int], np.ndarray]:
     return [None if x else i for i, x in zip(ids.tolist(), none)], counts.tolist(), place[numbers]
 
 
-def _blocks(pattern: str, buckets: int):
+def _blocks(pattern: str, buckets: int, block_chars: int = BLOCK_CHARS):
     """Texts -> blocks: their documents and their dictionaries by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -240,7 +240,7 @@ def _blocks(pattern: str, buckets: int):
                 ids.append(doc)
                 found.append(np.array([pieces[p] for p in cut(text)], np.uint32))
                 size += len(text)
-                if size >= BLOCK_CHARS:
+                if size >= block_chars:
                     yield flush()
                     block, pieces, size, ids, found = block + 1, _Numbers(), 0, [], []
                     pa.default_memory_pool().release_unused()
@@ -249,9 +249,9 @@ def _blocks(pattern: str, buckets: int):
     return run
 
 
-def _codes(path: str):
+def _codes(path: str, replay_pieces: int = REPLAY_PIECES):
     """Dictionary rows of some buckets -> the same rows with ids for pieces; every
-    distinct piece is replayed once per REPLAY_PIECES."""
+    distinct piece is replayed once per ``replay_pieces``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(path)
         held, numbers = [], _Numbers()
@@ -267,7 +267,7 @@ def _codes(path: str):
             for r in batch.to_pylist():
                 held.append((r, [numbers[p] for p in _unpack(r.pop("data"), r["count"], r["raw"])]))
                 size += r["count"]
-                if len(numbers) >= REPLAY_PIECES or size >= 10 * REPLAY_PIECES:
+                if len(numbers) >= replay_pieces or size >= 10 * replay_pieces:
                     yield from flush()
                     held, numbers, size = [], _Numbers(), 0
                     pa.default_memory_pool().release_unused()
@@ -316,15 +316,16 @@ def _assemble(decode_path: str | None):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           decoded: bool = False) -> DataFrame:
+           decoded: bool = False, block_chars: int = BLOCK_CHARS, replay_pieces: int = REPLAY_PIECES) -> DataFrame:
     """doc_id, ids (array<int>) of every row, as the tokenizer without special tokens
-    gives them; with ``decoded`` also the bytes decoded from the ids."""
+    gives them; with ``decoded`` also the bytes decoded from the ids.  Smaller blocks and
+    replays hold less in a task and move more: a piece once per block and replay."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # One exchange by block serves both the dictionaries and the assembly.
-    blocks = texts.mapInArrow(frugal(_blocks(pattern, BUCKETS_PER_PARTITION * partitions)), SCHEMA).repartition(partitions, "block")
-    codes = blocks.mapInArrow(frugal(_dictionaries), SCHEMA).repartition(partitions, "bucket").mapInArrow(frugal(_codes(ranks_path)), SCHEMA)
+    blocks = texts.mapInArrow(frugal(_blocks(pattern, BUCKETS_PER_PARTITION * partitions, block_chars)), SCHEMA).repartition(partitions, "block")
+    codes = blocks.mapInArrow(frugal(_dictionaries), SCHEMA).repartition(partitions, "bucket").mapInArrow(frugal(_codes(ranks_path, replay_pieces)), SCHEMA)
     return (blocks.groupBy("block").cogroup(codes.groupBy("block"))
                   .applyInArrow(_assemble(ranks_path if decoded else None), "doc_id long, ids array<int>" + ", decoded binary" * decoded))
 
@@ -354,9 +355,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema + ", decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS, replay_pieces: int = REPLAY_PIECES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    out = encode(docs, ranks_path, pattern, decoded=True)
+    out = encode(docs, ranks_path, pattern, decoded=True, block_chars=block_chars, replay_pieces=replay_pieces)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
