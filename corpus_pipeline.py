@@ -20,6 +20,9 @@ from clickwise.sources import fs
 
 # Texts that pass between Spark and Python at once: their bytes stand beside the executor's heap.
 TEXTS_AT_ONCE = 1000
+# Characters and distinct pieces that a tokenizing task holds: less than alone, as the executor's
+# heap has grown in the stages before.
+BLOCK_CHARS, REPLAY_PIECES = 3 << 20, 75_000
 
 # Near copies: five words a shingle, a similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -54,7 +57,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = (mixing.mix(docs.withColumn("sha", sha), carry=("sha",))
             .select(F.col("doc_id").cast("long").alias("__id"), F.col("sha").alias("__sha"), "slot", "place")
             .withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("slot", "place"))))
-    tokens = bpe.digests(docs, *vocabulary()).withColumn(
+    tokens = bpe.digests(docs, *vocabulary(), BLOCK_CHARS, REPLAY_PIECES).withColumn(
         "__n", F.row_number().over(Window.partitionBy("doc_id", "decoded_sha256").orderBy("n_tokens")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("decoded_sha256") == F.col("__sha")) & (F.col("__n") == F.col("__copy"))
     return tokens.join(plan, same, "left").select("slot", "place", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
