@@ -212,8 +212,10 @@ def _unpack_docs(data: bytes, n: int) -> tuple[list, list[int], np.ndarray]:
     return [None if x else i for i, x in zip(ids.tolist(), none)], counts.tolist(), place[numbers]
 
 
-def _blocks(pattern: str, buckets: int, block_chars: int = BLOCK_CHARS):
+def _blocks(pattern: str, buckets: int, block_chars: int | None = None):
     """Texts -> blocks: their documents and their dictionaries by bucket."""
+    block_chars = block_chars or BLOCK_CHARS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
@@ -249,9 +251,11 @@ def _blocks(pattern: str, buckets: int, block_chars: int = BLOCK_CHARS):
     return run
 
 
-def _codes(path: str, replay_pieces: int = REPLAY_PIECES):
+def _codes(path: str, replay_pieces: int | None = None):
     """Dictionary rows of some buckets -> the same rows with ids for pieces; every
     distinct piece is replayed once per ``replay_pieces``."""
+    replay_pieces = replay_pieces or REPLAY_PIECES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(path)
         held, numbers = [], _Numbers()
@@ -316,10 +320,11 @@ def _assemble(decode_path: str | None):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           decoded: bool = False, block_chars: int = BLOCK_CHARS, replay_pieces: int = REPLAY_PIECES) -> DataFrame:
+           decoded: bool = False, block_chars: int | None = None, replay_pieces: int | None = None) -> DataFrame:
     """doc_id, ids (array<int>) of every row, as the tokenizer without special tokens
     gives them; with ``decoded`` also the bytes decoded from the ids.  Smaller blocks and
-    replays hold less in a task and move more: a piece once per block and replay."""
+    replays hold less in a task and move more: a piece once per block and replay (default: BLOCK_CHARS and
+    REPLAY_PIECES)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -355,7 +360,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema + ", decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS, replay_pieces: int = REPLAY_PIECES) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int | None = None, replay_pieces: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     out = encode(docs, ranks_path, pattern, decoded=True, block_chars=block_chars, replay_pieces=replay_pieces)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
