@@ -3,16 +3,18 @@
 A gear hash of the last 16 bytes runs over each text; a chunk ends where it falls
 below a bound (every MEAN_CHUNK bytes on average, MAX_CHUNK at most, never inside
 a character).  Cuts depend on the bytes around them alone, so a passage gets the
-same chunks wherever it stands and whatever is put in before it.  At every chunk
-begins a passage of MIN_WORDS words, to the end of the last one whatever chunks it
-spans.  Passages meet by the digest of all their bytes, so what is shared stands in
-one piece in the other text too; the first one in (doc_id, place) order is the
-original, others repeat it.
+same chunks wherever it stands and whatever is put in before it.  Every chunk has
+a digest of its bytes.  A chunk of some 3 words recurs by chance, so what is looked
+for is a run of chunks: at every chunk begins a passage, as few whole chunks as hold
+MIN_WORDS words, named by the list of their digests.  Two passages meet where all
+their chunks are equal and in the same order, so what is shared stands in one piece
+in the other text too; the first one in (doc_id, place) order is the original,
+others repeat it.
 
 Passages that meet another are joined where they overlap or touch and reported
 (``repeats``), those that are not originals are cut out of the text (``dropped``).
-A shared stretch loses the words before its first chunk and less than a chunk at
-its end, so MIN_WORDS is about half of the 50 words that must be caught.
+A shared stretch loses less than a chunk at either end, so MIN_WORDS is about half
+of the 50 words that must be caught.
 
 A window of texts sends each digest once, however often it holds it, so a passage
 of a third of all texts is spread over the tasks before anything is shuffled.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickwise.llm.shingles import BYTE_VALUE, IS_BLANK, U, mix, powers, slices
 
-MEAN_CHUNK, MAX_CHUNK, MIN_WORDS = 24, 120, 24
+MEAN_CHUNK, MAX_CHUNK, MIN_WORDS = 20, 120, 24
 WINDOW_PASSAGES = 1_000_000
 # A place is one long: 24 bits of the text's hash, 32 of the start.
 START_BITS = 32
@@ -54,9 +56,9 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def _cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Where chunks begin and end; texts begin at ``offsets``."""
-    n = len(data)
     cut = np.flatnonzero(gear(data) < np.uint16(65536 // MEAN_CHUNK)) + 1
-    cut = np.unique(np.concatenate([offsets, cut[cut < n]]))
+    own = cut - offsets[np.searchsorted(offsets, cut - 1, "right") - 1] >= 16  # all bytes that were hashed are the text's
+    cut = np.unique(np.concatenate([offsets, cut[own]]))
     gap = np.diff(cut)
     more = (gap - 1) // MAX_CHUNK
     forced = np.repeat(cut[:-1], more) + MAX_CHUNK * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
@@ -67,41 +69,42 @@ def _cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.unique(cut)
 
 
-def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = len(data)
+def _digests(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Digest of each stretch ``values[start:end]``, by prefix sums."""
+    n = len(values)
     up, down = powers(max(n, 1))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[:n], out=total[1:])
+    np.cumsum(values * up[:n], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and digest of every chunk; texts begin at ``offsets``."""
     cut = _cuts(offsets, data)
-    return cut[:-1], cut[1:], _digests(data, cut[:-1], cut[1:])
+    return cut[:-1], cut[1:], _digests(BYTE_VALUE[data], cut[:-1], cut[1:])
 
 
 def _word_ends(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where words end; a text's end ends its last one."""
     edge = np.r_[IS_BLANK[data[1:]], True]
     edge[offsets[1:][offsets[1:] > 0] - 1] = True
     return np.flatnonzero(~IS_BLANK[data] & edge) + 1
 
 
-def _passage_ends(start: np.ndarray, word_ends: np.ndarray, min_words: int) -> np.ndarray:
-    """Where the last of ``min_words`` words from each start on ends; beyond all texts if there are fewer."""
+def _last_chunks(start: np.ndarray, end: np.ndarray, word_ends: np.ndarray, min_words: int) -> np.ndarray:
+    """The chunk with which ``min_words`` word ends lie in the run from each chunk on; the number of chunks if there are fewer."""
     far = np.iinfo(np.int64).max
     at = np.searchsorted(word_ends, start, "right") + min_words - 1
-    return np.r_[word_ends, far][np.minimum(at, len(word_ends))]
+    return np.searchsorted(end, np.r_[word_ends, far][np.minimum(at, len(word_ends))])
 
 
 def passages(offsets: np.ndarray, data: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, text number and digest of the passage of ``min_words`` words at each chunk whose text has as many from there on."""
-    start = _cuts(offsets, data)[:-1]
+    """Start, text number and digest of the passage at each chunk whose text has as many words from there on."""
+    start, end, digest = chunks(offsets, data)
+    last = _last_chunks(start, end, _word_ends(offsets, data), min_words)
     row = np.searchsorted(offsets, start, "right") - 1
-    end = _passage_ends(start, _word_ends(offsets, data), min_words)
-    fits = end <= offsets[row + 1]
-    start, row, end = start[fits], row[fits], end[fits]
-    return start, row, _digests(data, start, end)
+    fits = np.flatnonzero(np.r_[end, np.iinfo(np.int64).max][last] <= offsets[row + 1])
+    return start[fits], row[fits], _digests(digest.view(np.uint64), fits, last[fits] + 1)
 
 
 PASSAGE_SCHEMA = "key long, doc_id long, place long, state int"
@@ -190,10 +193,13 @@ def _cut_out(min_words: int):
                 repeats, dropped = [], []
                 if places:
                     place, late = np.array(places, np.int64), np.array(later, bool)
-                    start = place & ((1 << START_BITS) - 1)
-                    end = _passage_ends(start, _word_ends(np.array([0, len(data)]), np.frombuffer(data, np.uint8)), min_words)
-                    repeats = _runs(start, end)
-                    dropped = _runs(start[late], end[late])
+                    hit = place & ((1 << START_BITS) - 1)
+                    offsets, raw = np.array([0, len(data)]), np.frombuffer(data, np.uint8)
+                    cut = _cuts(offsets, raw)
+                    last = _last_chunks(hit, cut[1:], _word_ends(offsets, raw), min_words)
+                    end = cut[last + 1]
+                    repeats = _runs(hit, end)
+                    dropped = _runs(hit[late], end[late])
                 if dropped:
                     edges = [0, *(x for d in dropped for x in (d["start"], d["end"])), len(data)]
                     text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8")

@@ -1,6 +1,7 @@
 """Substring dedup: shared passages are caught, other text stays."""
 
 import random
+import re
 
 import numpy as np
 
@@ -120,3 +121,79 @@ def test_every_span_is_made_of_passages_of_one_other_text(spark):
     assert [d for d in got if got[d].dropped] == [501]
     (span,) = got[501].dropped
     assert at <= span.start and span.end <= at + size and span.end - span.start > size / 2
+
+
+def plain_chunks(data):
+    """Chunk ends of one text, byte by byte."""
+    def inside(i):
+        return i < len(data) and data[i] & 0xC0 == 0x80
+
+    hashes, cuts = [], [0]
+    for i in range(len(data)):
+        hashes.append(sum(int(sub.GEAR[data[i - j]]) << j for j in range(16) if i >= j) & 0xFFFF)
+    natural = [i + 1 for i, h in enumerate(hashes) if i >= 15 and h < 65536 // sub.MEAN_CHUNK and i + 1 < len(data)] + [len(data)]
+    for c in natural:
+        at = cuts[-1]
+        while c - at > sub.MAX_CHUNK:
+            at += sub.MAX_CHUNK
+            cuts.append(at)
+        cuts.append(c)
+    moved = set()
+    for c in cuts:
+        while inside(c):
+            c += 1
+        moved.add(c)
+    return sorted(moved)
+
+
+def plain_passages(data, min_words):
+    """(start, end) of each passage: the fewest whole chunks from a cut on that hold enough word ends."""
+    cuts = plain_chunks(data)
+    words = [m.end() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    for i, a in enumerate(cuts[:-1]):
+        end = next((b for b in cuts[i + 1:] if sum(a < w <= b for w in words) >= min_words), None)
+        if end is not None:
+            yield a, end
+
+
+def joined(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def test_spans_equal_a_plain_recomputation(spark):
+    """Every span of every text against whole bytes of chunk lists, without digests."""
+    rnd = random.Random(21)
+    shared = [prose(rnd, n) for n in (30, 45, 55, 80, 200)]
+    rows = []
+    for d in range(60):
+        parts = [prose(rnd, rnd.randrange(0, 30))]
+        for _ in range(rnd.randrange(0, 4)):
+            p = rnd.choice(shared).split(" ")
+            a = rnd.randrange(0, len(p) // 3)
+            parts += [" ".join(p[a:]), prose(rnd, rnd.randrange(0, 12))]
+        rows.append((d, "  ".join(parts) + ("\n" if d % 2 else "")))
+    rows += [(60, "x" * 700), (61, "x" * 700), (62, "a b " * 150), (63, "é" * 500 + " w" * 60), (64, ""), (65, rows[3][1])]
+    where = {}
+    for d, t in rows:
+        data = t.encode()
+        for a, b in plain_passages(data, sub.MIN_WORDS):
+            cuts = [c - a for c in plain_chunks(data) if a <= c <= b]
+            where.setdefault((data[a:b], tuple(cuts)), []).append((d, a, b))
+    repeats, dropped = {}, {}
+    for places in where.values():
+        for k, (d, a, b) in enumerate(sorted(places)):
+            if len(places) > 1:
+                repeats.setdefault(d, []).append((a, b))
+            if k:
+                dropped.setdefault(d, []).append((a, b))
+    got = run(spark, rows)
+    assert len(dropped) > 20 and len(dropped) < len(repeats)
+    for d, _ in rows:
+        assert [(s.start, s.end) for s in got[d].repeats] == joined(repeats.get(d, [])), d
+        assert [(s.start, s.end) for s in got[d].dropped] == joined(dropped.get(d, [])), d
