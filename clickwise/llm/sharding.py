@@ -2,13 +2,14 @@
 
 The sort key is a hash of the text, so equal texts stand side by side.  A
 size-weighted sample of the keys gives quantile boundaries for many more ranges
-than shards.  Every row is put into its range and the ranges' exact bytes and
-rows are counted; a range that holds more than its share (a group of copies, a
-few very long texts) is subdivided by a hash of doc_id, one with very many rows
-by a second hash of the key.  Running sums over the pieces, then over the rows
-inside a piece, place each row on the line of all bytes, and equal stretches of
-that line are the shards.  Sampling decides only how even the ranges are, never
-the result's exactness: shard sizes differ by about one text.
+than shards.  Every row is put into its range and the ranges' rows are counted; an
+overfull range is subdivided by a second hash of the key, so equal texts stay
+together.  Only a key that alone overfills a piece gets pieces of its own, by a hash
+of doc_id, which follow each other.  Running sums over the pieces, then over the
+rows inside a piece, place each row on the line of all bytes, and equal stretches of
+that line are the shards: a group of equal texts is parted only where a shard ends.
+Sampling decides only how even the ranges are, never the result's exactness: shard
+sizes differ by about one text.
 
 Defined results: a null text has size 1 (0 bytes plus 1) and CRC 0; an empty
 table gives no rows; repeated rows are placed one by one; ties in the key are
@@ -23,7 +24,8 @@ from clickwise.llm.common import materialise
 
 # The sample is Poisson with SAMPLE_PER_RANGE rows per range on average, for any input.
 RANGES_PER_SHARD, SAMPLE_PER_RANGE, STRIDE = 64, 16, 32
-ROWS_PER_PIECE = 1_000_000
+# A piece is one task's window: at most OVERFULL times a range's mean rows, and ROWS_PER_PIECE.
+ROWS_PER_PIECE, OVERFULL = 250_000, 4
 LAW = "bytes"
 
 
@@ -65,16 +67,22 @@ def place(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     ranged = (rows.withColumn("s", splitters(rows, n_ranges).scalar())
                   .withColumn("rng", _range_of(F.col("key"), F.col("s"))).drop("s"))
     # At most n_ranges + 1 rows, whatever the input.
-    fair = F.sum("bytes").over(W.partitionBy()) / n_ranges
-    parts = (ranged.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-                   .select("rng", F.ceil(F.col("bytes") / fair).alias("by_doc"),
-                           F.ceil(F.col("n") / F.lit(ROWS_PER_PIECE)).alias("by_key")))
-    pieced = (ranged.join(F.broadcast(parts), "rng")
+    most = F.least(F.lit(ROWS_PER_PIECE), F.ceil(F.sum("n").over(W.partitionBy()) * OVERFULL / n_ranges)).cast("long")
+    parts = (ranged.groupBy("rng").agg(F.count(F.lit(1)).alias("n"))
+                   .select("rng", most.alias("most"), F.ceil(F.col("n") / most).alias("by_key")))
+    ranged = ranged.join(F.broadcast(parts), "rng")
+    # Keys that overfill a piece alone: each holds more than ``most`` rows, so there are at most
+    # n_ranges / OVERFULL of them, or one per ROWS_PER_PIECE rows.
+    hot = (ranged.filter("by_key > 1").groupBy("key", "most").agg(F.count(F.lit(1)).alias("n"))
+                 .filter("n > most").select("key", F.ceil(F.col("n") / F.col("most")).alias("by_doc")))
+    pieced = (ranged.join(F.broadcast(hot), "key", "left")
                     .withColumn("sub_key", F.floor(_unit("key", F.lit("sub")) * F.col("by_key")))
-                    .withColumn("sub_doc", F.floor(_unit("doc_id", F.lit("sub")) * F.col("by_doc")))
-                    .drop("by_key", "by_doc"))
-    piece = ["rng", "sub_key", "sub_doc"]
-    # One row per piece: at most 2 * n_ranges, and one per ROWS_PER_PIECE rows.
+                    .withColumn("hot", F.col("by_doc").isNotNull())
+                    .withColumn("own", F.when(F.col("hot"), F.col("key")).otherwise(F.lit(0)))
+                    .withColumn("sub_doc", F.floor(_unit("doc_id", F.lit("sub")) * F.coalesce("by_doc", F.lit(1))))
+                    .drop("by_key", "by_doc", "most"))
+    piece = ["rng", "sub_key", "hot", "own", "sub_doc"]
+    # One row per piece: a few times n_ranges, or a few per ROWS_PER_PIECE rows.
     line = W.orderBy(*piece)
     before = line.rowsBetween(W.unboundedPreceding, -1)
     offsets = (pieced.groupBy(*piece).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))

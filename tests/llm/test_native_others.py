@@ -66,6 +66,23 @@ def test_shard_sizes_are_even_with_a_third_of_copies(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(len(t) for _, t in rows)
 
 
+def test_equal_texts_adjoin_and_part_only_where_a_shard_ends(spark):
+    """Small groups, a group larger than a shard, one larger than a piece; shard numbers from the line of bytes."""
+    rows = [(i, f"group {i % 400} " * (1 + i % 400 % 9)) for i in range(4000)] + [(10_000 + i, "of a third ") for i in range(3000)] \
+        + [(20_000 + i, "larger than a piece") for i in range(60)] + [(30_000 + i, f"single {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = {r.doc_id: r for r in sharding.place(df).collect()}
+    texts, places = dict(rows), defaultdict(list)
+    for d, r in placed.items():
+        places[texts[d]].append(r["rank"])
+    assert all(max(p) - min(p) == len(p) - 1 for p in places.values())
+    line, total = 0, sum(len(t) + 1 for _, t in rows)
+    for n, d in enumerate(sorted(placed, key=lambda d: placed[d]["rank"])):
+        assert placed[d]["rank"] == n and placed[d].shard == line * 16 // total
+        line += len(texts[d]) + 1
+    assert line == total
+
+
 def edf(shares, cycle):
     """One cycle, slot by slot: the released block with the earliest deadline."""
     done, out = {s: 0 for s in shares}, []
