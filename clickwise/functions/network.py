@@ -51,3 +51,31 @@ def ipv4_to_long(ip) -> Column:
         ok = ok & (octet <= 255)
         value = value * 256 + octet
     return F.when(ok, value)
+
+
+def ipv4_key(number) -> Column:
+    """An IPv4 number as 32 hex digits (mapped into the IPv6 space); null beyond 32 bits."""
+    n = _c(number)
+    return F.when(n.between(0, (1 << 32) - 1), F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(n)), 8, "0")))
+
+
+def ip_key(ip) -> Column:
+    """IPv4 or IPv6 text (``::``, a dotted tail and a zone included) as 32 hex digits; anything else gives null."""
+    ip = _c(ip)
+    text = F.lower(F.regexp_replace(ip, r"%.+$", ""))
+    tail = F.regexp_extract(text, r"^.*:(\d+\.\d+\.\d+\.\d+)$", 1)
+    last = ipv4_key(ipv4_to_long(tail))
+    text = F.when(tail != "", F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""),
+                                       F.substring(last, 25, 4), F.lit(":"), F.substring(last, 29, 4))).otherwise(text)
+    halves = F.split(text, "::")
+
+    def groups(i: int) -> Column:
+        half = F.get(halves, i)
+        return F.when(half.isNull() | (half == ""), F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    known = F.size(groups(0)) + F.size(groups(1))
+    missing = F.when((F.size(halves) == 2) & (known <= 7), 8 - known).when((F.size(halves) == 1) & (known == 8), 0)
+    parts = F.concat(groups(0), F.array_repeat(F.lit("0"), missing), groups(1))
+    v6 = F.when(F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.coalesce(ipv4_key(ipv4_to_long(ip)), v6)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickwise.functions import (
-    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip, ipv4_to_long,
+    device_type_from_ua, extract_client_ip, geo_country_stub, hash_ip,
     normalize_device_type, redirect_url, resolve_click_id, is_blank,
 )
 
@@ -63,44 +63,6 @@ def geo_ranges_from_nation(nation: DataFrame, octets_per_country: int = 10) -> D
         F.col("n_name").alias("country"))
 
 
-# Width of the equi-join bucket: the top 16 bits of the address.
-_BUCKET_SHIFT = 16
-
-
-def bucket_ranges(geo: DataFrame) -> DataFrame:
-    """Explode each range into the /16 buckets it touches.
-
-    For non-overlapping ranges the result has at most (#ranges + 65,536) rows,
-    a bound independent of the click volume, so the side stays small enough
-    for Catalyst's size-checked broadcast; beyond the threshold the same plan
-    runs as a shuffled equi-join.
-    """
-    return geo.withColumn("ip_bucket", F.explode(F.sequence(
-        F.shiftright("ip_from", _BUCKET_SHIFT), F.shiftright("ip_to", _BUCKET_SHIFT))))
-
-
-def range_country(geo: DataFrame) -> Step:
-    """JN-1 resolver: IPv4 -> country by range lookup, unmatched -> null.
-
-    The range predicate rides on an equi-key (/16 bucket), so Spark plans a
-    hash join instead of a nested-loop join.
-    """
-    buckets = bucket_ranges(geo).select("ip_bucket", "ip_from", "ip_to",
-                                        F.col("country").alias("_geo_country"))
-
-    def step(df: DataFrame) -> DataFrame:
-        x = df.withColumn("_ip_num", ipv4_to_long("raw_ip")) \
-              .withColumn("ip_bucket", F.shiftright("_ip_num", _BUCKET_SHIFT))
-        cond = ((x["ip_bucket"] == buckets["ip_bucket"]) &
-                (x["_ip_num"] >= buckets["ip_from"]) & (x["_ip_num"] <= buckets["ip_to"]))
-        joined = x.join(buckets, cond, "left")
-        return (joined.drop(buckets["ip_bucket"]).drop("ip_from", "ip_to")
-                      .drop(x["ip_bucket"])
-                      .withColumnRenamed("_geo_country", "country")
-                      .withColumnRenamed("_ip_num", "ip_num"))
-    return step
-
-
 # ------------------------------------------------------------ anonymise ----
 
 def anonymise(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from clickwise.functions import (
 from clickwise.functions import late_text as late_text_col
 from clickwise.operators import aggregate as agg
 from clickwise.operators import dedup, enrich, lateness, rollup, storage
+from clickwise.operators.georanges import range_country
 from clickwise.operators.retention import retained
 from clickwise.plans import report, sqlparts as sp
 from clickwise.plans.registry import register, with_ctes
@@ -186,10 +187,21 @@ def geo_range_join(spark, sf_dir):
     geo = enrich.geo_ranges_from_nation(load(spark, sf_dir, "nation", ["n_nationkey", "n_name"]))
     ip = extract_client_ip("x_forwarded_for", "x_real_ip", "remote_addr")
     df = _requests(spark, sf_dir).select("event_id", ip.alias("raw_ip"))
-    return df.transform(enrich.range_country(geo)) \
+    return df.transform(range_country(geo)) \
         .select("event_id", F.col("raw_ip").alias("client_ip"), "ip_num", "country")
 
 
+@register("geo_nested_ranges", "WITH " + derived.NESTED_RANGES_SQL + """
+SELECT a.event_id, a.client_ip,
+       (SELECT arg_min(r.country, (r.high - r.low, r.country)) FROM nested r
+        WHERE r.family = a.family AND a.n BETWEEN r.low AND r.high) AS country
+FROM addresses a""")
+def geo_nested_ranges(spark, sf_dir):
+    """JN-1: IPv4 and IPv6 addresses by ranges that nest and overlap; the narrowest one names the country."""
+    return (derived.load_addresses(spark, sf_dir).transform(range_country(derived.load_nested_ranges(spark, sf_dir)))
+            .select("event_id", F.col("raw_ip").alias("client_ip"), "country"))
+
+
 @register("ad_dim_join", _sql(sp.REQUESTS_SQL, body=f"""
 SELECT r.event_id, r.ad_id,
        coalesce(r.advertiser_id, 'adv-' || (p.p_partkey % 5), 'unknown') AS advertiser_id,

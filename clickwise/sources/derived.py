@@ -274,3 +274,64 @@ minute_log AS (
          click_count + last - batch_id AS click_count, unique_sessions, batch_id, CAST(0 AS BIGINT) AS emit_seq
   FROM versions
 )"""
+
+
+# ------------------------------------------------- addresses and ranges --
+
+def _dotted(n: Column) -> Column:
+    return F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+
+
+def _group(n: Column) -> Column:
+    return F.concat(F.lit("2001:db8:"), F.lower(F.hex(n)))
+
+
+def load_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, raw_ip: an address per event, every third one IPv6, the others all over IPv4."""
+    e = F.col("event_id").cast("long")
+    v6 = F.concat(_group(e * 40503 % 65536), F.lit("::"), F.lower(F.hex(F.col("user_id").cast("long") % 65536)))
+    return (load(spark, sf_dir, "events", ["event_id", "user_id"])
+            .select("event_id", F.when(e % 3 == 0, v6).otherwise(_dotted(e * 2654435761 % (1 << 32))).alias("raw_ip")))
+
+
+def load_nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ip_from, ip_to, country: wide ranges of nations, narrower ones of suppliers across and inside them."""
+    k, s = F.col("n_nationkey").cast("long"), F.col("s_suppkey").cast("long")
+    nations = load(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    suppliers = load(spark, sf_dir, "supplier", ["s_suppkey"])
+    first, group = s * 2654435761 % (1 << 32), s * 40503 % 65536
+
+    def rows(df, low, high, country, text, tail=""):
+        return df.select(text(low).alias("ip_from") if not tail else F.concat(text(low), F.lit("::")).alias("ip_from"),
+                         F.concat(text(high), F.lit(tail)).alias("ip_to"), country.alias("country"))
+
+    six = ":ffff" * 5
+    return (rows(nations, k * 10 * (1 << 24), (k + 1) * 10 * (1 << 24) - 1, F.col("n_name"), _dotted)
+            .unionByName(rows(nations, k * 2600, k * 2600 + 2599, F.col("n_name"), _group, six))
+            .unionByName(rows(suppliers, first, F.least(first + F.expr("shiftleft(1L, cast(8 + s_suppkey % 16 as int))") - 1, F.lit((1 << 32) - 1)),
+                              F.concat(F.lit("zone-"), s % 50), _dotted))
+            .unionByName(rows(suppliers, group, F.least(group + s % 2000, F.lit(65535)), F.concat(F.lit("six-"), s % 50), _group, six)))
+
+
+NESTED_RANGES_SQL = """
+nested AS (
+  SELECT 4 AS family, CAST(n_nationkey AS BIGINT) * 10 * 16777216 AS low, (CAST(n_nationkey AS BIGINT) + 1) * 10 * 16777216 - 1 AS high,
+         n_name AS country FROM nation
+  UNION ALL SELECT 6, CAST(n_nationkey AS BIGINT) * 2600, CAST(n_nationkey AS BIGINT) * 2600 + 2599, n_name FROM nation
+  UNION ALL SELECT 4, f, least(f + (CAST(1 AS BIGINT) << (8 + s % 16)) - 1, 4294967295), 'zone-' || (s % 50)
+            FROM (SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(s_suppkey AS BIGINT) * 2654435761 % 4294967296 AS f FROM supplier)
+  UNION ALL SELECT 6, g, least(g + s % 2000, 65535), 'six-' || (s % 50)
+            FROM (SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(s_suppkey AS BIGINT) * 40503 % 65536 AS g FROM supplier)
+),
+numbers AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 6 ELSE 4 END AS family, CAST(user_id AS BIGINT) % 65536 AS low_group,
+         CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS BIGINT) * 40503 % 65536
+              ELSE CAST(event_id AS BIGINT) * 2654435761 % 4294967296 END AS n
+  FROM events
+),
+addresses AS (
+  SELECT event_id, family, n,
+         CASE WHEN family = 6 THEN '2001:db8:' || format('{:x}', n) || '::' || format('{:x}', low_group)
+              ELSE (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) END AS client_ip
+  FROM numbers
+)"""

@@ -6,6 +6,7 @@ import os
 
 
 from clickwise.operators import dedup, enrich
+from clickwise.operators.georanges import range_country
 from clickwise.schemas import CLICK_REQUEST
 from clickwise.sources.streams import request_log_stream
 from clickwise.config import JobConfig
@@ -57,7 +58,7 @@ def test_geo_range_join_and_ad_dimension(spark):
     nation = spark.createDataFrame([(0, "N0"), (20, "N20")], "n_nationkey int, n_name string")
     geo = enrich.geo_ranges_from_nation(nation)
     df = spark.createDataFrame([("203.0.113.1",), ("9.255.255.255",), ("10.0.0.1",), (None,), ("::1",)], "raw_ip string")
-    got = [r.country for r in df.transform(enrich.range_country(geo)).orderBy("raw_ip").collect()]
+    got = [r.country for r in df.transform(range_country(geo)).orderBy("raw_ip").collect()]
     assert sorted(got, key=str) == sorted(["N20", "N0", None, None, None], key=str)
     ads = spark.createDataFrame([("ad-1", "adv-9", "https://x/1")], "ad_id string, advertiser_id string, destination_url string")
     rq = spark.createDataFrame([("ad-1", None), ("ad-2", None), ("ad-1", "adv-own")], "ad_id string, advertiser_id string")
