@@ -59,23 +59,36 @@ def ipv4_key(number) -> Column:
     return F.when(n.between(0, (1 << 32) - 1), F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(n)), 8, "0")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: a column used many times would be copied into the plan each time."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _v6_key(text: Column) -> Column:
+    """IPv6 groups (``::`` for a run of zeros) as 32 hex digits; anything else gives null."""
+    def groups(half: Column) -> Column:
+        return F.when(half.isNull() | (half == ""), F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def filled(x: Column) -> Column:
+        known = F.size(x["left"]) + F.size(x["right"])
+        zeros = F.when((x["halves"] == 2) & (known <= 7), 8 - known).when((x["halves"] == 1) & (known == 8), 0)
+        return F.concat(x["left"], F.array_repeat(F.lit("0"), zeros), x["right"])
+
+    sides = _let(F.split(text, "::"), lambda h: F.struct(
+        F.size(h).alias("halves"), groups(F.get(h, 0)).alias("left"), groups(F.get(h, 1)).alias("right")))
+    return _let(_let(sides, filled), lambda parts: F.when(
+        F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")))
+
+
 def ip_key(ip) -> Column:
     """IPv4 or IPv6 text (``::``, a dotted tail and a zone included) as 32 hex digits; anything else gives null."""
-    ip = _c(ip)
-    text = F.lower(F.regexp_replace(ip, r"%.+$", ""))
-    tail = F.regexp_extract(text, r"^.*:(\d+\.\d+\.\d+\.\d+)$", 1)
-    last = ipv4_key(ipv4_to_long(tail))
-    text = F.when(tail != "", F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""),
-                                       F.substring(last, 25, 4), F.lit(":"), F.substring(last, 29, 4))).otherwise(text)
-    halves = F.split(text, "::")
-
-    def groups(i: int) -> Column:
-        half = F.get(halves, i)
-        return F.when(half.isNull() | (half == ""), F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    def v4(text: Column) -> Column:
+        return _let(ipv4_to_long(text), ipv4_key)
+
+    def grouped(text: Column) -> Column:
+        """A dotted tail becomes two groups."""
+        tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+        return F.when(tail == "", text).otherwise(_let(v4(tail), lambda last: F.concat(
+            F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(last, 25, 4), F.lit(":"), F.substring(last, 29, 4))))
 
-    known = F.size(groups(0)) + F.size(groups(1))
-    missing = F.when((F.size(halves) == 2) & (known <= 7), 8 - known).when((F.size(halves) == 1) & (known == 8), 0)
-    parts = F.concat(groups(0), F.array_repeat(F.lit("0"), missing), groups(1))
-    v6 = F.when(F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
-                F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), ""))
-    return F.coalesce(ipv4_key(ipv4_to_long(ip)), v6)
+    return _let(_c(ip), lambda x: F.coalesce(v4(x), _let(_let(F.lower(F.regexp_replace(x, r"%.+$", "")), grouped), _v6_key)))
