@@ -101,13 +101,20 @@ def _search(dim: int, k: int):
             shift = BITS - depth
             lo = np.searchsorted(h, (qh >> shift) << shift)
             hi = np.searchsorted(h, ((qh >> shift) + 1) << shift)
-            for at in range(0, len(q), 256):
-                scores = q[at:at + 256] @ x.T
-                for i, row in enumerate(scores, at):
-                    some, exact = _best(row[lo[i]:hi[i]], x[lo[i]:hi[i]], q[i], cid[lo[i]:hi[i]], k)
-                    out[0].append(np.full(len(some), qid[i]))
-                    out[1].append(cid[lo[i]:hi[i]][some])
-                    out[2].append(exact)
+            # Only stretches are multiplied, each once with the queries that share its prefix.
+            by_stretch = np.lexsort((hi, lo))
+            edges = np.flatnonzero(np.diff(lo[by_stretch]) | np.diff(hi[by_stretch])) + 1
+            for sharing in np.split(by_stretch, edges):
+                a, b = lo[sharing[0]], hi[sharing[0]]
+                if a == b:
+                    continue
+                for at in range(0, len(sharing), 256):
+                    some_queries = sharing[at:at + 256]
+                    for i, row in zip(some_queries, q[some_queries] @ x[a:b].T):
+                        some, exact = _best(row, x[a:b], q[i], cid[a:b], k)
+                        out[0].append(np.full(len(some), qid[i]))
+                        out[1].append(cid[a:b][some])
+                        out[2].append(exact)
         cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
         return pa.table({"query": cat(out[0], pa.int64()), "cid": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
     return run
