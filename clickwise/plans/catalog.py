@@ -20,9 +20,10 @@ from clickwise.operators import aggregate as agg
 from clickwise.operators import dedup, enrich, lateness, rollup, storage
 from clickwise.operators.georanges import range_country
 from clickwise.operators.retention import retained
+from clickwise.operators.seenlog import SeenLog
 from clickwise.plans import report, sqlparts as sp
 from clickwise.plans.registry import register, with_ctes
-from clickwise.session import ensure_checkpoint_dir
+from clickwise.session import SHUFFLE_PARTITIONS, ensure_checkpoint_dir
 from clickwise.sinks import messages
 from clickwise.sinks.tables import write_minute_table, write_rollup_table
 from clickwise.sources import derived
@@ -266,13 +267,16 @@ def dedup_counts(spark, sf_dir):
     return dedup.dedup_counts(ev, dedup.first_sight(ev, tiebreak=("event_id",)))
 
 
-@register("dedup_vs_seen", _DEDUP_SQL + """,
+_SEEN_SQL = _DEDUP_SQL + """,
 seen AS (SELECT click_id, timestamp_ms AS seen_ms FROM kept WHERE rn = 1),
 batches AS (SELECT event_id, click_id, timestamp_ms, (timestamp_ms // 86400000) * 86400000 AS batch_start_ms
             FROM ingested)
 SELECT * FROM batches b
 WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.click_id = b.click_id
-                  AND s.seen_ms > b.batch_start_ms - 86400000 AND s.seen_ms < b.batch_start_ms)""")
+                  AND s.seen_ms > b.batch_start_ms - 86400000 AND s.seen_ms < b.batch_start_ms)"""
+
+
+@register("dedup_vs_seen", _SEEN_SQL)
 def dedup_vs_seen(spark, sf_dir):
     """JN-3: daily request batches anti-joined with the ids seen (passed) in
     the 24 h before each batch starts."""
@@ -283,6 +287,17 @@ def dedup_vs_seen(spark, sf_dir):
     return dedup.anti_join_seen_batches(batch, seen)
 
 
+@register("dedup_seen_log", _SEEN_SQL)
+def dedup_seen_log(spark, sf_dir):
+    """JN-3 by the stored log: passed ids are written to a log bucketed by id, which the
+    daily batches are joined with where it lies."""
+    ev = _ingested(spark, sf_dir).select(*_EVENT_COLS)
+    log = SeenLog(spark, f"{ensure_checkpoint_dir(spark)}/seen-{uuid.uuid4().hex}", int(spark.conf.get(SHUFFLE_PARTITIONS)))
+    log.append(dedup.first_sight(ev, tiebreak=("event_id",)), 0)
+    return log.drop_seen(ev.select("event_id", "click_id", "timestamp_ms",
+                                   (F.floor(F.col("timestamp_ms") / DAY_MS) * DAY_MS).cast("long").alias("batch_start_ms")))
+
+
 # ============================================================ aggregates ==
 
 @register("window_agg_1h", _sql(CLICKS_SQL, body=sp.minute_agg_body("clicks", HOUR_MS)))
