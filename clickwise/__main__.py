@@ -37,6 +37,8 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--format", default="json")
     s.add_argument("--kafka", action="store_true")
     s.add_argument("--encoding", choices=("json", "avro"), default="json", help="of the topic's values")
+    s.add_argument("--avro-writer", action="append", metavar="ID=FILE", default=[],
+                   help="a writer schema by its id in the frame (repeatable); values of other ids become dead letters")
     s.add_argument("--part-col")
     s.add_argument("--keep-accepted", action="store_true", help="also write the accepted clicks per batch")
     s.add_argument("--jdbc-url", help="also append minute rows to a database (or CLICKWISE_JDBC_*)")
@@ -66,6 +68,16 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _writers(given: list[str]) -> dict[int, str]:
+    """ID=FILE arguments -> schema id -> Avro schema."""
+    out = {}
+    for arg in given:
+        number, _, path = arg.partition("=")
+        with open(path, encoding="utf-8") as f:
+            out[int(number)] = f.read()
+    return out
+
+
 def main(argv=None, spark=None) -> int:
     args = _parser().parse_args(argv)
     cfg = JobConfig.load()
@@ -86,7 +98,7 @@ def main(argv=None, spark=None) -> int:
         if not args.kafka:
             size_shuffle_partitions(spark, args.events)
         run_aggregation(spark, cfg, paths, fmt=args.format, use_kafka=args.kafka, encoding=args.encoding,
-                        part_col=args.part_col, keep_accepted=args.keep_accepted)
+                        part_col=args.part_col, keep_accepted=args.keep_accepted, writers=_writers(args.avro_writer))
         spark.streams.awaitAnyTermination()
     elif args.job == "report":
         from clickwise.plans.report import as_json_lines, click_report
