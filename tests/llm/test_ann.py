@@ -67,3 +67,29 @@ def test_a_longer_vector_drops_no_other(spark):
     rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(100, [1.0] * 5)]
     got, want = found(spark, rows, "vec_id long, embedding array<double>, label int, rank string", k=5, every=20, target=1.0), exact(rows[:-1], 5, 20)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_salted_groups_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(8) + (i % 4 == 0)).astype(np.float32).tolist()) for i in range(800)]
+    whole = found(spark, rows, k=20, every=20)
+    monkeypatch.setattr(ann_forest, "GROUP_ROWS", 50)
+    assert found(spark, rows, k=20, every=20) == whole
+
+
+def test_a_stretch_is_searched_like_each_query_alone():
+    """Queries of one prefix share a product; each still meets its own prefix's classes only."""
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    h, x = rng.integers(0, 1 << ann_forest.BITS, 300), rng.standard_normal((300, 4))
+    qh, depth, q = rng.integers(0, 1 << ann_forest.BITS, 90), rng.integers(0, 5, 90), rng.standard_normal((90, 4))
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    left = pa.table({"h": h, "cid": np.arange(300), "v": lists(x)})
+    right = pa.table({"h": qh, "depth": depth, "cid": np.arange(1000, 1090), "v": lists(q)})
+    got = {}
+    for r in ann_forest._search(4, 5)(left, right).to_pylist():
+        got.setdefault(r["query"], []).append(r["cid"])
+    for i in range(90):
+        shift = ann_forest.BITS - int(depth[i])
+        near = [c for c in range(300) if h[c] >> shift == qh[i] >> shift]
+        assert got.get(1000 + i, []) == sorted(near, key=lambda c: -(x[c] * q[i]).sum())[:6]
