@@ -11,7 +11,7 @@ from tests.conftest import SF001
 
 QUERIES = sorted(REGISTRY)
 # Their scans are in the jobs that write the tables they read back.
-STORED = {n for n in QUERIES if n.startswith("report_")}
+STORED = {n for n in QUERIES if n.startswith(("report_", "streamed_"))}
 
 # Upper bounds on shuffles.
 MAX_EXCHANGES = {"minute_log": 4, "latest_wins": 5, "hourly_rollup": 6, "daily_rollup": 7,
@@ -35,15 +35,25 @@ def test_no_round_robin(spark, name):
     assert "RoundRobinPartitioning" not in _plan(spark, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STORED))
-def test_event_scans_are_pruned(spark, name):
-    plan = _plan(spark, name)
+def _assert_pruned(plan):
     schemas = re.findall(r"events\.parquet.*?ReadSchema: struct<([^>]*)>", plan)
     assert schemas  # every registered query reads events
     for schema in schemas:
         assert len(schema.split(",")) <= 3, schema  # of event_id, ts, user_id, event_type, value, props
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STORED))
+def test_event_scans_are_pruned(spark, name):
+    _assert_pruned(_plan(spark, name))
+
+
+@pytest.mark.parametrize("source", ["_minute_log", "_arrivals"])
+def test_scans_of_stored_queries_are_pruned(spark, source):
+    """What the report_ and streamed_ queries write their tables from."""
+    from clickwise.plans import catalog
+    _assert_pruned(getattr(catalog, source)(spark, SF001)._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("name", sorted(MAX_EXCHANGES))
 def test_exchange_budget(spark, name):
     plan = _plan(spark, name)
